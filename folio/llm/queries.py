@@ -35,9 +35,9 @@ ORACLES = {
 WITH RECURSIVE {_SHINGLES},
 classes AS MATERIALIZED (SELECT min(doc_id) AS c, s FROM (SELECT doc_id, list_sort(s) AS s FROM sets) GROUP BY s HAVING len(s) > 0),
 flat AS MATERIALIZED (SELECT c, len(s) AS n, unnest(s) AS g FROM classes),
-pairs AS (SELECT a.c AS x, b.c AS y, any_value(a.n) + any_value(b.n) AS total, count(*) AS both
+pairs AS (SELECT a.c AS x, b.c AS y, any_value(a.n) + any_value(b.n) AS total, count(*) AS common
   FROM flat a JOIN flat b ON a.g = b.g AND a.c < b.c GROUP BY a.c, b.c),
-links AS MATERIALIZED (SELECT x, y FROM pairs WHERE 100 * both >= 75 * (total - both)),
+links AS MATERIALIZED (SELECT x, y FROM pairs WHERE 100 * common >= 75 * (total - common)),
 edges AS MATERIALIZED (SELECT x, y FROM links UNION SELECT y, x FROM links),
 reach AS (SELECT x AS v, x AS r FROM edges UNION SELECT e.y, reach.r FROM reach JOIN edges e ON e.x = reach.v),
 comp AS (SELECT v, min(r) AS r FROM reach GROUP BY v),
