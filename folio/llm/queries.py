@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe
 from .neardup import near_duplicates
 
 
@@ -15,8 +16,17 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded, path))
+
+
 QUERIES = {
     "op6_near_dedup": op6_near_dedup,
+    "op9_bpe": op9_bpe,
 }
 
 _SHINGLES = r"""
