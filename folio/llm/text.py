@@ -146,3 +146,25 @@ def shingles(hashes: np.ndarray, size: int = 5) -> np.ndarray:
     if len(hashes) < size:
         return mix(runs(hashes, len(hashes)) + np.uint64(len(hashes)))
     return runs(hashes, size)
+
+
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[0x41:0x5B] = ord("A")
+_SHAPE[0x61:0x7B] = ord("a")
+_SHAPE[0x30:0x3A] = ord("0")
+_SHAPE[0x80:] = ord("a")
+
+
+def shapes(words: Words) -> np.ndarray:
+    """A hash of each word's shape: small letters (and all beyond ASCII), capitals and digits as one sign each, runs of one sign as one."""
+    sign = _SHAPE[words.raw]
+    n = len(sign)
+    fresh = np.ones(n, bool)
+    fresh[1:] = sign[1:] != sign[:-1]
+    fresh[words.start] = True
+    place = np.zeros(n + 1, np.int64)
+    np.cumsum(fresh, out=place[1:])
+    power, inverse = _power(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(np.where(fresh, _BYTE_VALUES[sign] * power[place[:-1]], np.uint64(0)), out=sums[1:])
+    return mix((sums[words.end] - sums[words.start]) * inverse[place[words.start]])
