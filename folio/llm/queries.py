@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
 from .decontaminate import contamination
+from .licenses import licenses
 from .neardup import near_duplicates
 from .quality import quality
 from .toxicity import toxicity
@@ -27,6 +28,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +45,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op4_decontamination": op4_decontamination,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
