@@ -101,17 +101,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(counts, np.array([r.y for r in rows], np.int64))
 
 
-def _scorer(shared):
+def _scorer(shared, carry: list[str], text_col: str, name: str):
     def score(batches):
         model = shared.value
         for batch in batches:
-            for part in slices(batch):
-                scores = [model.score(term_counts(part.column("text").slice(i, 512))) for i in range(0, part.num_rows, 512)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.concatenate(scores))], names=["doc_id", "score"])
+            for part in slices(batch, text_col):
+                scores = [model.score(term_counts(part.column(text_col).slice(i, 512))) for i in range(0, part.num_rows, 512)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(np.concatenate(scores))], names=[*carry, name])
 
     return score
 
 
+def with_score(docs: DataFrame, labels: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
+    """The columns ``carry`` of docs, which must be its own, and the score as ``name``: one narrow pass."""
+    model = fit(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = docs.select(*carry).schema.add(name, "double")
+    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(_scorer(shared, carry, text_col, name), schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each row of docs.
 
@@ -121,7 +129,6 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    out = docs.mapInArrow(_scorer(shared), "doc_id long, score double")
+    out = with_score(docs, labels, ["doc_id"])
     held = F.coalesce(remainder("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

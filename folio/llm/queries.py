@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .licenses import licenses
 from .lm import language_model
 from .neardup import near_duplicates
+from .pii import replace_pii
 from .quality import quality
 from .shared import written
 from .toxicity import toxicity
@@ -39,6 +40,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(_table(spark, sf_dir, "documents"))
 
 
+#: Anyone who knows it can repeat the choice of surrogates; a deployment passes its own.
+DEMO_KEY = b"folio demonstration key"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(_table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -61,6 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_pii": op3_pii,
     "op5_lm_score": op5_lm_score,
     "op10_packing": op10_packing,
     "op2_license_scan": op2_license_scan,

@@ -78,6 +78,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         begin = end
 
 
+def with_columns(part: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch with these columns put in the place of those of the same name."""
+    return pa.RecordBatch.from_arrays([columns.get(c, part.column(c)) for c in part.schema.names], names=part.schema.names)
+
+
 class Words:
     """Words of a text column.
 
