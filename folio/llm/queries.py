@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, packing
+from .ann import neighbours
 from .decontaminate import contamination
 from .licenses import licenses
 from .lm import language_model
@@ -36,6 +37,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path))
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours(vectors, vectors.where("vec_id % 20 = 0").select("vec_id"), k=20)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(_table(spark, sf_dir, "documents"))
 
@@ -70,6 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op3_pii": op3_pii,
     "op5_lm_score": op5_lm_score,
     "op10_packing": op10_packing,
