@@ -1,0 +1,112 @@
+"""Pages to section-aware chunks."""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import clean_text, heading_title, is_heading, split_units, token_estimate
+
+CHUNK_SIZE, OVERLAP = 900, 140
+
+
+def packed(lengths: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges of units, one a chunk: a chunk closes before the unit that would make it too long; the next one starts
+    with the last units that fit the overlap, at least one if there is any overlap."""
+    ends = [0]
+    for n in lengths:
+        ends.append(ends[-1] + n + 1)
+    out, begin = [], 0
+    for i, n in enumerate(lengths):
+        if i > begin and ends[i] - ends[begin] + n > size:
+            out.append((begin, i))
+            if not overlap:
+                begin = i
+                continue
+            first = i - 1
+            while first > begin and ends[i] - ends[first - 1] - 1 <= overlap:
+                first -= 1
+            begin = first
+    if lengths:
+        out.append((begin, len(lengths)))
+    return out
+
+
+def _chunker(size: int, overlap: int):
+    def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pages in frames:
+            out = []
+            for doc, page, units, headings in zip(pages.doc_id, pages.page_number, pages.units, pages.headings):
+                units = list(units)
+                titles, latest = [], None
+                for h in headings:
+                    latest = h if h is not None else latest
+                    titles.append(latest)
+                for k, (a, b) in enumerate(packed([len(u) for u in units], size, overlap)):
+                    # the unit that closes a chunk has been looked at: its heading labels the chunk before it
+                    out.append((doc, page, k, "\n".join(units[a:b]), titles[min(b, len(units) - 1)]))
+            yield pd.DataFrame(out, columns=["doc_id", "page_number", "part", "content", "section"])
+
+    return chunks
+
+
+def chunk_pages(pages: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """(chunk_id, doc_id, page_number, chunk_index, section_path, token_count, content) of pages(doc_id, page_number, text).
+
+    Packing is narrow work on each page; only section titles and numbers look across the pages of a document. Null and
+    blank pages give no chunk.
+    """
+    text = clean_text(F.coalesce("text", F.lit("")))
+    units = pages.select("doc_id", F.col("page_number").cast("int").alias("page_number"), split_units(text, chunk_size).alias("units"))
+    units = units.withColumn("headings", F.transform("units", lambda u: F.when(is_heading(u), heading_title(u))))
+    parts = units.mapInPandas(_chunker(chunk_size, overlap), "doc_id long, page_number int, part int, content string, section string")
+    order = Window.partitionBy("doc_id").orderBy("page_number", "part")
+    return parts.select(
+        F.xxhash64("doc_id", F.row_number().over(order) - 1).alias("chunk_id"), "doc_id", "page_number",
+        (F.row_number().over(order) - 1).alias("chunk_index"),
+        F.coalesce(F.last("section", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit("")).alias("section_path"),
+        token_estimate("content").alias("token_count"), "content",
+    )
+
+
+def word_costs(texts: DataFrame, least: int = 2, limit: int = 200_000) -> dict[str, float]:
+    """Costs of words by their frequency in a corpus, of at most ``limit`` words; for repair_fused."""
+    words = texts.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"([a-z]{1,17})(?![a-z])"), 1)).alias("word")).groupBy("word").count()
+    rows = words.where(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(limit).collect()
+    total = sum(r["count"] for r in rows)
+    return {r.word: math.log(total / r["count"]) for r in rows}
+
+
+def best_split(run: str, costs: dict[str, float]) -> list[str]:
+    """The cheapest split of a run of letters into known words; an unknown letter costs more than any of them."""
+    longest = max(map(len, costs), default=1)
+    unknown = max(costs.values(), default=0.0) + 10.0
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for i in range(1, len(run) + 1):
+        best.append(min((best[j][0] + costs.get(run[j:i], unknown * (i - j)), j) for j in range(max(0, i - longest), i)))
+    out, i = [], len(run)
+    while i:
+        out.append(run[best[i][1] : i])
+        i = best[i][1]
+    return out[::-1]
+
+
+_FUSED = re.compile(r"\b[a-z]{18,}\b")
+
+
+def repair_fused(texts: DataFrame, costs: dict[str, float]) -> DataFrame:
+    """texts with runs of 18 or more small letters in ``text`` split into known words; texts without such runs never leave the JVM."""
+    at_issue = F.coalesce(F.col("text").rlike("[a-z]{18,}"), F.lit(False))
+    shared = texts.sparkSession.sparkContext.broadcast(costs)
+
+    def repair(frames):
+        for pdf in frames:
+            pdf["text"] = [_FUSED.sub(lambda m: " ".join(best_split(m.group(), shared.value)), t) for t in pdf["text"]]
+            yield pdf
+
+    return texts.where(~at_issue).unionByName(texts.where(at_issue).mapInPandas(repair, texts.schema))

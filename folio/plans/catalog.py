@@ -2,5 +2,436 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..functions import text as T
+from ..operators import answer, chunking, embed, evaluate, ingest, listing, search, workspace
+from ..streaming import jobs
+from . import sql as S
+from . import tables as D
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, **ctes: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = S.with_ctes(sql, **ctes)
+        return f
+
+    return register
+
+
+# ---- text ----
+
+
+@query(f"SELECT doc_id, clean, length(clean) AS n_chars FROM (SELECT doc_id, {S.clean('text')} AS clean FROM documents)")
+def clean_text(spark, sf):
+    d = D.table(spark, sf, "documents").select("doc_id", T.clean_text("text").alias("clean"))
+    return d.select("doc_id", "clean", F.length("clean").cast("long").alias("n_chars"))
+
+
+@query("SELECT doc_id, unnest(range(len(units))) AS at, unnest(units) AS unit FROM page_units")
+def split_units(spark, sf):
+    d = D.table(spark, sf, "documents").select("doc_id", F.posexplode(T.split_units(T.clean_text("text"))).alias("at", "unit"))
+    return d.select("doc_id", F.col("at").cast("long").alias("at"), "unit")
+
+
+@query(f"SELECT doc_id, count(*) AS n_units, count(*) FILTER ({S.heading('u')}) AS n_headings FROM (SELECT doc_id, unnest(units) AS u FROM page_units) GROUP BY doc_id")
+def headings(spark, sf):
+    d = D.table(spark, sf, "documents").select("doc_id", F.explode(T.split_units(T.clean_text("text"))).alias("u"))
+    return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.count_if(T.is_heading("u")).alias("n_headings"))
+
+
+@query("SELECT doc_id, page_number, chunk_index, section_path, token_count, content FROM chunk0")
+def chunk_pages(spark, sf):
+    return chunking.chunk_pages(D.pages(spark, sf)).drop("chunk_id")
+
+
+@query(S._chunked("turn_units"))
+def chunk_turns(spark, sf):
+    return chunking.chunk_pages(D.turns(spark, sf)).drop("chunk_id")
+
+
+@query("SELECT doc_id, page_number, greatest(1, length(coalesce(text, '')) // 3) AS token_estimate FROM turn")
+def token_estimate(spark, sf):
+    d = D.turns(spark, sf)
+    return d.select("doc_id", "page_number", T.token_estimate(F.coalesce("text", F.lit(""))).cast("long").alias("token_estimate"))
+
+
+@query()
+def repair_fused(spark, sf):
+    d = D.table(spark, sf, "documents").select("doc_id", "text")
+    return chunking.repair_fused(d.where("text is not null"), chunking.word_costs(d)).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"SELECT doc_id, len(s) AS n_terms, CAST(list_sum(list_transform(s, lambda x: length(x))) AS BIGINT) AS n_signs FROM (SELECT doc_id, {S.terms('text')} AS s FROM documents)")
+def terms(spark, sf):
+    d = D.table(spark, sf, "documents").select("doc_id", T.terms("text").alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n_terms"), F.expr("case when size(s) > 0 then aggregate(s, 0L, (a, x) -> a + length(x)) end").alias("n_signs"))
+
+
+@query(f"SELECT doc_id, t AS token, count(*) AS n FROM (SELECT doc_id, unnest({S.tokens('text')}) AS t FROM documents) GROUP BY ALL")
+def tokens(spark, sf):
+    d = D.table(spark, sf, "documents").select("doc_id", F.explode(T.tokens("text")).alias("token"))
+    return d.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT query_id, {S.expanded('question')} AS expanded FROM ask")
+def expand_query(spark, sf):
+    return D.questions(spark, sf).select("query_id", T.expand_query("question").alias("expanded"))
+
+
+@query(
+    "SELECT query_id, chunk_id, CASE WHEN len(t) = 0 THEN 0 ELSE round(len(list_intersect(t, c)) / sqrt(len(t) * greatest(1, len(c))), 6) END AS score "
+    f"FROM (SELECT query_id, kb_id, {S.terms('question')} AS t FROM ask) JOIN (SELECT chunk_id, kb_id, {S.terms('content')} AS c FROM chunk WHERE chunk_index = 0) USING (kb_id)"
+)
+def lexical_score(spark, sf):
+    first = D.chunks(spark, sf).where("chunk_index = 0")
+    return D.questions(spark, sf).join(first, "kb_id").select("query_id", "chunk_id", F.round(T.lexical_score("question", "content"), 6).alias("score"))
+
+
+#: The default intents with signals that the invented texts hold.
+INTENTS = tuple((t, tuple((((("tion",), ("heed", "ouan"), ("edan",))), w, c) for _, w, c in parts), first) for t, parts, first in rules.INTENTS)
+
+
+@query(f"SELECT query_id, chunk_id, round({S.intent('question', 'content', 'page_number', INTENTS)}, 6) AS bonus, round({S.intent('question', 'content', 'page_number')}, 6) AS default_bonus FROM ask JOIN chunk USING (kb_id) WHERE chunk_index < 2")
+def intent_bonus(spark, sf):
+    few = D.chunks(spark, sf).where("chunk_index < 2")
+    pairs = D.questions(spark, sf).join(few, "kb_id")
+    own, default = T.intent_bonus("question", "content", "page_number", INTENTS), T.intent_bonus("question", "content", "page_number")
+    return pairs.select("query_id", "chunk_id", F.round(own, 6).alias("bonus"), F.round(default, 6).alias("default_bonus"))
+
+
+@query(f"SELECT doc_id, turn, {S.penalty('t', 'turn')} AS penalty FROM (SELECT conv_id AS doc_id, turn, replace(replace(text, 'the', '1999 the 2001, arxiv preprint '), 'is', ' 2010') AS t FROM conversations)")
+def reference_penalty(spark, sf):
+    c = D.table(spark, sf, "conversations").withColumn("t", F.expr("replace(replace(text, 'the', '1999 the 2001, arxiv preprint '), 'is', ' 2010')"))
+    return c.select(F.col("conv_id").alias("doc_id"), "turn", T.reference_penalty("t", "turn").alias("penalty"))
+
+
+@query(f"SELECT query_id, doc_id, {S.name_bonus('question', 'document_name')} AS bonus FROM (SELECT query_id, kb_id, question || ' Doc ' || (query_id * 7) AS question FROM ask) JOIN docs USING (kb_id)")
+def filename_bonus(spark, sf):
+    named = D.questions(spark, sf).withColumn("question", F.concat("question", F.lit(" Doc "), F.col("query_id") * 7))
+    return named.join(D.documents(spark, sf), "kb_id").select("query_id", "doc_id", T.filename_bonus("question", "document_name").alias("bonus"))
+
+
+# ---- ingest ----
+
+
+_FILES = """SELECT doc_id, lang AS kb_id, 'up/load dir/' || doc_id || CASE doc_id % 9 WHEN 0 THEN '.ZIP' WHEN 1 THEN '' WHEN 2 THEN ' a+b.MD' ELSE '.txt' END AS file_name,
+  CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END AS body FROM documents"""
+
+
+def _files(spark, sf):
+    d = D.table(spark, sf, "documents")
+    n = F.col("doc_id") % 9
+    suffix = F.when(n == 0, ".ZIP").when(n == 1, "").when(n == 2, " a+b.MD").otherwise(".txt")
+    body = F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("text"))
+    return d.select("doc_id", F.col("lang").alias("kb_id"), F.concat(F.lit("up/load dir/"), "doc_id", suffix).alias("file_name"), F.encode(body, "utf-8").alias("content"))
+
+
+_ADMITTED = r"""SELECT doc_id, kb_id, name, lower(regexp_extract(name, '[^.]\.([^.]+)$', 1)) AS file_type, sha256(body) AS sha256, body FROM (
+  SELECT doc_id, kb_id, body, regexp_replace(regexp_extract(file_name, '[^/]*$'), '[^\p{L}\p{M}\p{N}_.\-]', '_', 'g') AS name FROM files0)"""
+_REASON = "CASE WHEN file_type NOT IN ('pdf', 'txt', 'md', 'docx') THEN 'unsupported' WHEN length(body) = 0 THEN 'empty' WHEN strlen(body) > 26214400 THEN 'too large' END"
+
+
+@query(f"SELECT doc_id, kb_id, name, file_type, sha256, {_REASON} AS reject_reason FROM admitted0", files0=_FILES, admitted0=_ADMITTED)
+def admit(spark, sf):
+    return ingest.admit(_files(spark, sf)).select("doc_id", "kb_id", "name", "file_type", "sha256", "reject_reason")
+
+
+@query(
+    f"""SELECT doc_id, kb_id, sha256 FROM (SELECT *, row_number() OVER (PARTITION BY kb_id, sha256 ORDER BY doc_id) AS r FROM admitted0 WHERE {_REASON} IS NULL AND doc_id % 5 <> 0) a
+WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM admitted0 s WHERE s.doc_id % 5 = 0 AND s.kb_id = a.kb_id AND s.sha256 = a.sha256)""",
+    files0=_FILES, admitted0=_ADMITTED,
+)
+def admit_dedup(spark, sf):
+    files = ingest.admit(_files(spark, sf))
+    return ingest.reject_duplicates(files.where("doc_id % 5 <> 0"), files.where("doc_id % 5 = 0")).select("doc_id", "kb_id", "sha256")
+
+
+@query(
+    """SELECT d.doc_id, d.kb_id, d.document_name, CASE WHEN c IS NULL THEN 0 ELSE 1 END AS page_count, CAST(coalesce(c, 0) AS INT) AS chunk_count,
+CASE WHEN c IS NULL THEN 'failed' ELSE 'ready' END AS status, CASE WHEN c IS NULL THEN 'no text found' END AS error_message
+FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS c FROM chunk0 WHERE doc_id % 10 <> 3 GROUP BY doc_id) USING (doc_id)"""
+)
+def doc_status(spark, sf):
+    found = chunking.chunk_pages(D.pages(spark, sf)).where("doc_id % 10 <> 3")
+    d = D.documents(spark, sf).drop("created_at").withColumn("page_count", F.lit(0)).withColumn("chunk_count", F.lit(0))
+    out = ingest.document_status(d, D.pages(spark, sf), found)
+    return out.select("doc_id", "kb_id", "document_name", "page_count", "chunk_count", "status", "error_message")
+
+
+@query("SELECT doc_id, chunk_index, CASE WHEN doc_id % 10 = 0 AND doc_id % 20 <> 0 THEN upper(section_path) ELSE section_path END AS section_path, length(content) AS n FROM chunk0")
+def reindex(spark, sf):
+    old = chunking.chunk_pages(D.pages(spark, sf))
+    fresh = old.where("doc_id % 10 = 0 and doc_id % 20 <> 0").withColumn("section_path", F.upper("section_path"))
+    ids = D.documents(spark, sf).where("doc_id % 10 = 0")
+    return ingest.reindex(old, fresh, ids).select("doc_id", "chunk_index", "section_path", F.length("content").cast("long").alias("n"))
+
+
+@query("SELECT 'kb' AS level, count(DISTINCT kb_id) AS n FROM docs WHERE kb_id <> 'de' UNION ALL SELECT 'document', count(*) FROM docs WHERE kb_id <> 'de' UNION ALL SELECT 'chunk', count(*) FROM chunk WHERE kb_id <> 'de'")
+def delete_cascade(spark, sf):
+    d, c = D.documents(spark, sf), D.chunks(spark, sf)
+    kbs = d.select("kb_id").distinct()
+    left = ingest.delete(kbs, kbs.where("kb_id = 'de'"), "kb_id", (d, "kb_id"), (c.select("chunk_id", "doc_id"), "doc_id"))
+    n = lambda df, name: df.agg(F.lit(name).alias("level"), F.count(F.lit(1)).alias("n"))
+    return n(left[0], "kb").union(n(left[1], "document")).union(n(left[2], "chunk"))
+
+
+# ---- vectors and search ----
+
+_FEATURES = r"list_concat(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+'), list_transform(range(1, length(lower({x})) - 1), lambda i: substr(lower({x}), i, 3)))"
+
+
+def _sparse(source: str, key: str, text: str) -> tuple[str, str]:
+    f = _FEATURES.format(x=text)
+    sums = f"SELECT {key}, CAST(('0x' || substr(md5(f), 1, 8))::BIGINT % 384 AS INT) AS dim, sum(CASE WHEN ('0x' || substr(md5(f), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS n FROM (SELECT {key}, unnest({f}) AS f FROM {source}) GROUP BY ALL HAVING n <> 0"
+    return sums, "SELECT {key}, dim, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS value FROM {sums}"
+
+
+_QSUM, _UNIT = _sparse("expand", "query_id", "expanded")
+_CSUM, _ = _sparse("chunk", "chunk_id", "content")
+_VECTORS = {
+    "expand": f"SELECT *, {S.expanded('question')} AS expanded FROM ask", "qsum": _QSUM, "qvec": _UNIT.format(key="query_id", sums="qsum"),
+    "csum": _CSUM, "cvec": _UNIT.format(key="chunk_id", sums="csum"),
+}
+
+
+@query("SELECT query_id, dim, round(value, 6) AS value FROM qvec", **_VECTORS)
+def hash_embed(spark, sf):
+    asked = D.questions(spark, sf).withColumn("expanded", T.expand_query("question"))
+    return embed.sparse_embedding(asked, "query_id", "expanded").select("query_id", "dim", F.round("value", 6).alias("value"))
+
+
+@query()
+def hash_embed_batches(spark, sf):
+    out = embed.hash_embed(D.chunks(spark, sf).select("chunk_id", "content"), "content")
+    return out.select("chunk_id", F.size("embedding").alias("dims"), F.round(F.expr("aggregate(embedding, 0d, (a, x) -> a + x * x)"), 4).alias("norm"))
+
+
+@query(
+    """SELECT query_id, item_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank
+  FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0) WHERE rank <= 10"""
+)
+def vector_topk(spark, sf):
+    e = D.table(spark, sf, "embeddings")
+    found = search.vector_topk(e.where("vec_id % 25 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "item_id"), 10)
+    return found.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0")
+def cosine(spark, sf):
+    e = D.table(spark, sf, "embeddings")
+    pairs = e.where("vec_id % 50 = 0").toDF("a", "x", "label").join(e.toDF("b", "y", "label"), "label")
+    return pairs.select("a", "b", F.round(search.cosine("x", "y", unit=False), 6).alias("sim"))
+
+
+@query("SELECT query_id, chunk_id, round(bm25, 6) AS bm25 FROM bm25")
+def bm25(spark, sf):
+    return search.bm25(D.questions(spark, sf), D.chunks(spark, sf)).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(
+    """SELECT query_id, chunk_id, round(CASE WHEN abs(hi - lo) <= 1e-9 * greatest(abs(hi), abs(lo)) THEN CASE WHEN hi > 0 THEN 1 ELSE 0 END ELSE (bm25 - lo) / (hi - lo) END, 6) AS scaled
+FROM (SELECT *, min(bm25) OVER (PARTITION BY query_id) AS lo, max(bm25) OVER (PARTITION BY query_id) AS hi FROM bm25)"""
+)
+def minmax(spark, sf):
+    scored = search.bm25(D.questions(spark, sf), D.chunks(spark, sf))
+    return scored.select("query_id", "chunk_id", F.round(search.minmax("bm25"), 6).alias("scaled"))
+
+
+@query("SELECT query_id, count(*) AS n, min(chunk_id) AS first FROM ask JOIN chunk k USING (kb_id) JOIN docs d ON d.doc_id = k.doc_id WHERE d.status = 'ready' AND (query_id % 2 = 0 OR k.doc_id IN (query_id, query_id + 4, query_id + 8)) GROUP BY query_id")
+def scope(spark, sf):
+    ids = F.when(F.col("query_id") % 2 == 1, F.array("query_id", F.col("query_id") + 4, F.col("query_id") + 8))
+    asked = D.questions(spark, sf).withColumn("doc_ids", ids)
+    found = search.scoped(asked, D.chunks(spark, sf).drop("document_name"), D.documents(spark, sf))
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("first"))
+
+
+_TOP = 5
+_MARK = S.tokens("substr(content, 1, 900)")
+
+
+def _picked(score: str = "scored") -> dict[str, str]:
+    """Greedy choice, one expression a step, over the pool of each question."""
+    out = {
+        "marked": f"SELECT query_id, chunk_id, document_name, page_number, chunk_index, score, list_distinct({_MARK}) AS mark, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM {score}",
+        "pool": f"SELECT m.* FROM marked m LEFT JOIN (SELECT query_id, score AS bar FROM marked WHERE place = {_TOP}) b USING (query_id) WHERE bar IS NULL OR score >= bar - 0.286 - 1e-9",
+        "likeness": """SELECT a.query_id, a.chunk_id AS x, b.chunk_id AS y, len(list_intersect(a.mark, b.mark)) / greatest(1, len(list_distinct(list_concat(a.mark, b.mark))))
+  + CASE WHEN a.document_name = b.document_name AND a.page_number = b.page_number THEN 0.18::DOUBLE + CASE WHEN abs(a.chunk_index - b.chunk_index) <= 1 THEN 0.12::DOUBLE ELSE 0 END ELSE 0 END AS p
+  FROM pool a JOIN pool b ON a.query_id = b.query_id AND a.chunk_id <> b.chunk_id""",
+        "pick1": "SELECT query_id, chunk_id, score, 1 AS rank FROM pool WHERE place = 1",
+    }
+    for k in range(2, _TOP + 1):
+        out[f"pick{k}"] = f"""SELECT * FROM pick{k - 1} UNION ALL SELECT query_id, chunk_id, score, {k} AS rank FROM (
+  SELECT o.*, row_number() OVER (PARTITION BY o.query_id ORDER BY o.score - 0.22::DOUBLE * coalesce(pen, 0) DESC, o.place) AS r FROM pool o
+  LEFT JOIN (SELECT l.query_id, l.x, max(l.p) AS pen FROM likeness l JOIN pick{k - 1} s ON s.query_id = l.query_id AND s.chunk_id = l.y GROUP BY ALL) n ON n.query_id = o.query_id AND n.x = o.chunk_id
+  WHERE NOT EXISTS (SELECT 1 FROM pick{k - 1} s WHERE s.query_id = o.query_id AND s.chunk_id = o.chunk_id)) WHERE r = 1"""
+    return out
+
+
+_MMR = {"mscore": "SELECT b.query_id, b.chunk_id, document_name, page_number, chunk_index, content, bm25 / 10 AS score FROM bm25 b JOIN chunk USING (chunk_id)"} | _picked("mscore")
+
+
+@query(f"SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, round(score, 6) AS score FROM pick{_TOP}", **_MMR)
+def diverse_topk(spark, sf):
+    chunks = D.chunks(spark, sf)
+    scored = search.bm25(D.questions(spark, sf), chunks).join(chunks.drop("kb_id"), "chunk_id").withColumn("score", F.col("bm25") / 10)
+    return search.diverse(scored, _TOP).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def _hybrid(limit: str) -> dict[str, str]:
+    return _VECTORS | {
+        "sim": "SELECT query_id, chunk_id, sum(q.value * c.value) AS semantic FROM qvec q JOIN cvec c USING (dim) GROUP BY ALL",
+        "pairs0": "SELECT e.query_id, e.question, e.expanded, k.*, greatest(0, coalesce(s.semantic, 0)) AS semantic FROM expand e JOIN chunk k USING (kb_id) JOIN docs d ON d.doc_id = k.doc_id AND d.status = 'ready' LEFT JOIN sim s ON s.query_id = e.query_id AND s.chunk_id = k.chunk_id",
+        "cand": f"SELECT * FROM pairs0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(semantic, 9) DESC, chunk_id) <= {limit}",
+        "crow": f"SELECT query_id, chunk_id, {S.tokens('section_path || chr(10) || content')} AS toks, list_distinct({S.tokens('expanded')}) AS want FROM cand",
+        "ctot": "SELECT query_id, count(*) AS n, avg(len(toks)) AS avgdl FROM crow GROUP BY query_id",
+        "ctf": "SELECT query_id, chunk_id, dl, token, count(*) AS tf FROM (SELECT query_id, chunk_id, len(toks) AS dl, want, unnest(toks) AS token FROM crow) WHERE list_contains(want, token) GROUP BY ALL",
+        "cdf": "SELECT query_id, token, count(*) AS df FROM ctf GROUP BY ALL",
+        "cbm": f"SELECT query_id, chunk_id, sum({S.bm25_sum()}) AS bm FROM ctf JOIN cdf USING (query_id, token) JOIN ctot USING (query_id) GROUP BY ALL",
+        "both0": "SELECT c.*, coalesce(bm, 0) AS bm FROM cand c LEFT JOIN cbm USING (query_id, chunk_id)",
+        "scaled": "SELECT *, "
+        + ", ".join(
+            f"CASE WHEN abs(max({x}) OVER w - min({x}) OVER w) <= 1e-9 * greatest(abs(max({x}) OVER w), abs(min({x}) OVER w)) THEN CASE WHEN max({x}) OVER w > 0 THEN 1::DOUBLE ELSE 0 END ELSE ({x} - min({x}) OVER w) / (max({x}) OVER w - min({x}) OVER w) END AS n_{x}"
+            for x in ("semantic", "bm")
+        )
+        + " FROM both0 WINDOW w AS (PARTITION BY query_id)",
+        "fusedrow": f"SELECT *, n_semantic * 0.62::DOUBLE + n_bm * 0.28::DOUBLE + {S.name_bonus('question', 'document_name')} + {S.intent('question', 'content', 'page_number', INTENTS)} - {S.penalty('content', 'page_number')} AS score FROM scaled",
+    } | _picked("fusedrow")
+
+
+def _searched(spark, sf, mode):
+    asked, chunks = D.questions(spark, sf), D.chunks(spark, sf)
+    q = embed.sparse_embedding(asked.withColumn("expanded", T.expand_query("question")), "query_id", "expanded")
+    similar = search.sparse_similarity(q, embed.sparse_embedding(chunks, "chunk_id", "content"))
+    found = search.search(asked, chunks.drop("document_name"), D.documents(spark, sf), similar, _TOP, mode, intents=INTENTS)
+    return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), F.round("semantic", 6).alias("semantic"), F.round("bm25", 6).alias("bm25"))
+
+
+_FOUND = f"SELECT p.query_id, CAST(p.rank AS INT) AS rank, p.chunk_id, round(p.score, 6) AS score, round(semantic, 6) AS semantic, round(bm, 6) AS bm25 FROM pick{_TOP} p JOIN fusedrow f ON f.query_id = p.query_id AND f.chunk_id = p.chunk_id"
+
+
+@query(_FOUND, **_hybrid("40"))
+def hybrid_search(spark, sf):
+    return _searched(spark, sf, "candidates")
+
+
+@query(_FOUND, **_hybrid("100000000"))
+def exhaustive_search(spark, sf):
+    return _searched(spark, sf, "exhaustive")
+
+
+# ---- display and reading ----
+
+
+@query(f"SELECT doc_id, at, {S.noise('unit')} AS noise FROM (SELECT doc_id, unnest(range(len(units))) AS at, unnest(units) AS unit FROM page_units)")
+def display_noise(spark, sf):
+    d = D.table(spark, sf, "documents").select("doc_id", F.posexplode(T.split_units(T.clean_text("text"))).alias("at", "unit"))
+    return d.select("doc_id", F.col("at").cast("long").alias("at"), T.is_display_noise("unit").alias("noise"))
+
+
+@query(f"SELECT conv_id, turn, {S.display('text')} AS shown FROM conversations")
+def clean_display(spark, sf):
+    return D.table(spark, sf, "conversations").select("conv_id", "turn", T.clean_display_text("text").alias("shown"))
+
+
+_VIEW = f"SELECT k.doc_id, k.chunk_index, k.page_number, k.section_path, {S.display('k.content')} AS text FROM chunk k JOIN docs d ON d.doc_id = k.doc_id WHERE d.status = 'ready'"
+
+
+@query("SELECT * FROM view0", view0=_VIEW)
+def reader_view(spark, sf):
+    return workspace.reader_view(D.documents(spark, sf), D.chunks(spark, sf))
+
+
+_READER = f"list_filter(list_transform(regexp_extract_all({S.squeezed('text')}, '[^.!?。！？]+[.!?。！？]+|[^.!?。！？]+$'), lambda s: {S.strip('s')}), lambda s: length(s) > 1)"
+
+
+@query(f"SELECT sentence, count(*) AS uses FROM (SELECT unnest({_READER}) AS sentence FROM view0) WHERE trim(sentence) <> '' AND NOT {S.noise('sentence')} GROUP BY sentence", view0=_VIEW)
+def translation_queue(spark, sf):
+    return workspace.translation_queue(workspace.reader_view(D.documents(spark, sf), D.chunks(spark, sf)))
+
+
+#: Aspects with signals that the invented texts hold.
+ASPECTS = (("研究问题", ("thou", "heed", "anst", "ouea")), ("核心方法", ("lichen", "eauou", "ciónes")), ("数据集与指标", ("tion", "edan", "worthless")), ("主要发现", ("sch", "ment", "erha")), ("局限与未来工作", ("licensed", "password", "token")))
+
+
+def _best(signals, order: str = "chunk_index") -> str:
+    return S.signal_count("lower(content)", signals)
+
+
+def _aspect_sql() -> dict[str, str]:
+    union = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS aspect, chunk_index, {S.signal_count('lower(content)', s)} AS n FROM chunk" for i, (_, s) in enumerate(ASPECTS)
+    )
+    value = "CASE aspect " + " ".join(f"WHEN {i} THEN {_excerpt(s)}" for i, (_, s) in enumerate(ASPECTS)) + " END"
+    return {
+        "best0": f"SELECT * FROM ({union}) WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, aspect ORDER BY n DESC, chunk_index) = 1",
+        "sents0": f"SELECT b.doc_id, b.aspect, k.page_number, k.section_path AS section, {S.workspace('content')} AS sents, {S.display('content')} AS shown FROM best0 b JOIN chunk k USING (doc_id, chunk_index)",
+        "found0": f"SELECT doc_id, aspect, {value} AS value, page_number, section, substr(shown, 1, 420) AS quote FROM sents0",
+        "arow": f"SELECT d.doc_id, a.aspect, coalesce(f.value, {S.q(rules.NOT_FOUND)}) AS value, page_number, section, quote FROM docs d CROSS JOIN (SELECT unnest(range({len(ASPECTS)})) AS aspect) a LEFT JOIN found0 f USING (doc_id, aspect)",
+    }
+
+
+def _excerpt(signals) -> str:
+    n = S.signal_count("lower(s)", signals)
+    counts = f"list_transform(sents, lambda s: {n})"
+    return f"substr(CASE WHEN len(sents) > 0 THEN sents[list_position({counts}, list_max({counts}))] ELSE shown END, 1, 360)"
+
+
+@query("SELECT doc_id, CAST(aspect AS INT) AS aspect, value, page_number, section, quote FROM arow", **_aspect_sql())
+def aspect_excerpts(spark, sf):
+    return workspace.aspect_rows(D.documents(spark, sf), D.chunks(spark, sf), ASPECTS)
+
+
+_EVIDENCE = "SELECT doc_id, page_number, quote, min(aspect) AS first, arg_max(section, aspect) AS section FROM arow WHERE quote IS NOT NULL GROUP BY ALL"
+
+
+@query(
+    f"""SELECT d.doc_id, d.document_name, CASE WHEN c.aspect_1 = {S.q(rules.NOT_FOUND)} THEN coalesce(o.opening, {S.q(rules.NOT_FOUND)}) ELSE c.aspect_1 END AS overview,
+  c.aspect_0, c.aspect_1, c.aspect_2, c.aspect_3, c.aspect_4, coalesce(e.n, 0) AS n_evidence, coalesce(e.quotes, '') AS quotes
+FROM docs d JOIN (SELECT doc_id, {", ".join(f"max(value) FILTER (aspect = {i}) AS aspect_{i}" for i in range(5))} FROM arow GROUP BY doc_id) c USING (doc_id)
+LEFT JOIN (SELECT doc_id, substr(CASE WHEN len(sents) > 0 THEN sents[1] ELSE shown END, 1, 360) AS opening FROM (SELECT doc_id, {S.workspace('content')} AS sents, {S.display('content')} AS shown FROM chunk WHERE chunk_index = 0)) o USING (doc_id)
+LEFT JOIN (SELECT doc_id, least(5, count(*)) AS n, array_to_string(list(quote ORDER BY first)[:5], '|') AS quotes FROM ({_EVIDENCE}) GROUP BY doc_id) e USING (doc_id)""",
+    **_aspect_sql(),
+)
+def reading_card(spark, sf):
+    cards = workspace.reading_cards(D.documents(spark, sf), D.chunks(spark, sf), ASPECTS)
+    quotes = F.array_join(F.transform("evidence", lambda e: e["quote"]), "|")
+    return cards.withColumn("n_evidence", F.size("evidence").cast("long")).withColumn("quotes", quotes).drop("evidence")
+
+
+_SETS = "SELECT doc_id AS set_id, CASE WHEN doc_id % 40 = 0 THEN [doc_id] WHEN doc_id % 20 = 0 THEN [doc_id + 3, doc_id + 3] ELSE [doc_id + 1, doc_id, doc_id + 2] END AS ids FROM documents WHERE doc_id % 10 = 0"
+
+
+def _sets(spark, sf):
+    d = F.col("doc_id")
+    ids = F.when(d % 40 == 0, F.array(d)).when(d % 20 == 0, F.array(d + 3, d + 3)).otherwise(F.array(d + 1, d, d + 2))
+    return D.table(spark, sf, "documents").where(d % 10 == 0).select(d.alias("set_id"), ids.alias("doc_ids"))
+
+
+@query(
+    f"""SELECT set_id, CAST(aspect AS INT) AS aspect, CASE aspect {" ".join(f"WHEN {i} THEN {S.q(n)}" for i, (n, _) in enumerate(ASPECTS))} END AS label, array_to_string(list(value ORDER BY at), '|') AS vals
+FROM members0 m JOIN arow USING (doc_id) WHERE set_id IN (SELECT set_id FROM members0 m2 LEFT JOIN docs d ON d.doc_id = m2.doc_id AND d.status = 'ready' GROUP BY set_id HAVING count(*) BETWEEN 2 AND 5 AND count(DISTINCT m2.doc_id) = count(*) AND count(d.doc_id) = count(*)) GROUP BY ALL""",
+    sets0=_SETS, members0="SELECT set_id, unnest(ids) AS doc_id, unnest(range(len(ids))) AS at FROM sets0", **_aspect_sql(),
+)
+def comparison(spark, sf):
+    table, _, _ = workspace.comparison(_sets(spark, sf), D.documents(spark, sf), D.chunks(spark, sf), ASPECTS)
+    return table.select("set_id", "aspect", "label", F.array_join("values", "|").alias("vals"))
+
+
+@query(
+    """SELECT set_id, CASE WHEN n NOT BETWEEN 2 AND 5 OR u <> n THEN 'size' ELSE 'not ready' END AS reason FROM (
+  SELECT set_id, count(*) AS n, count(DISTINCT m.doc_id) AS u, count(d.doc_id) AS g FROM members0 m LEFT JOIN docs d ON d.doc_id = m.doc_id AND d.status = 'ready' GROUP BY set_id) WHERE n NOT BETWEEN 2 AND 5 OR u <> n OR g < n""",
+    sets0=_SETS, members0="SELECT set_id, unnest(ids) AS doc_id FROM sets0",
+)
+def rejected_sets(spark, sf):
+    return workspace.comparison(_sets(spark, sf), D.documents(spark, sf), D.chunks(spark, sf), ASPECTS)[2]
