@@ -163,7 +163,7 @@ def evidence_quality(questions: DataFrame, cited: DataFrame) -> DataFrame:
         F.count_if(F.col("score") >= 0.55).alias("strong"), F.min_by("score", "rank").alias("first"),
     )
     value = F.least(F.lit(1.0), F.col("pages") / F.greatest(F.lit(1), F.least(F.lit(3), F.col("n"))) * 0.45 + F.col("strong") / F.greatest(F.lit(1), F.col("n")) * 0.45 + F.least(F.lit(1.0), F.col("first")) * 0.10)
-    rows = questions.select("query_id").join(stats, "query_id", "left").withColumn("value", F.coalesce(value, F.lit(0.0)))
+    rows = questions.select("query_id").join(stats, "query_id", "left").withColumn("value", F.when(F.col("n").isNull(), 0.0).otherwise(value))
     level = F.when(F.col("value") >= 0.72, "high").when(F.col("value") >= 0.42, "medium").otherwise("low")
     return rows.select("query_id", level.alias("confidence"), F.round("value", 4).alias("coverage"))
 

@@ -44,5 +44,5 @@ def request_metrics(requests: DataFrame, by: list | None = None) -> DataFrame:
     errors = F.count_if(F.col("status") >= 400)
     return kept.groupBy(*(by or [])).agg(
         n.alias("requests"), errors.alias("errors"), F.round(errors / F.greatest(F.lit(1), n), 4).alias("error_rate"),
-        F.round(F.coalesce(F.sum("latency_ms"), F.lit(0.0)) / F.greatest(F.lit(1), n), 2).alias("mean_latency_ms"),
+        F.round(F.coalesce(F.sum("latency_ms"), F.lit(0.0)) / F.greatest(F.lit(1), n) + 1e-9, 2).alias("mean_latency_ms"),
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -263,7 +265,7 @@ _MARK = S.tokens("substr(content, 1, 900)")
 def _picked(score: str = "scored") -> dict[str, str]:
     """Greedy choice, one expression a step, over the pool of each question."""
     out = {
-        "marked": f"SELECT query_id, chunk_id, document_name, page_number, chunk_index, score, list_distinct({_MARK}) AS mark, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM {score}",
+        "marked": f"SELECT query_id, chunk_id, document_name, page_number, chunk_index, score, list_distinct({_MARK}) AS mark, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM (SELECT * REPLACE (round(score, 9) AS score) FROM {score})",
         "pool": f"SELECT m.* FROM marked m LEFT JOIN (SELECT query_id, score AS bar FROM marked WHERE place = {_TOP}) b USING (query_id) WHERE bar IS NULL OR score >= bar - 0.286 - 1e-9",
         "likeness": """SELECT a.query_id, a.chunk_id AS x, b.chunk_id AS y, len(list_intersect(a.mark, b.mark)) / greatest(1, len(list_distinct(list_concat(a.mark, b.mark))))
   + CASE WHEN a.document_name = b.document_name AND a.page_number = b.page_number THEN 0.18::DOUBLE + CASE WHEN abs(a.chunk_index - b.chunk_index) <= 1 THEN 0.12::DOUBLE ELSE 0 END ELSE 0 END AS p
@@ -272,19 +274,19 @@ def _picked(score: str = "scored") -> dict[str, str]:
     }
     for k in range(2, _TOP + 1):
         out[f"pick{k}"] = f"""SELECT * FROM pick{k - 1} UNION ALL SELECT query_id, chunk_id, score, {k} AS rank FROM (
-  SELECT o.*, row_number() OVER (PARTITION BY o.query_id ORDER BY o.score - 0.22::DOUBLE * coalesce(pen, 0) DESC, o.place) AS r FROM pool o
+  SELECT o.*, row_number() OVER (PARTITION BY o.query_id ORDER BY round(o.score - 0.22::DOUBLE * coalesce(pen, 0), 9) DESC, o.place) AS r FROM pool o
   LEFT JOIN (SELECT l.query_id, l.x, max(l.p) AS pen FROM likeness l JOIN pick{k - 1} s ON s.query_id = l.query_id AND s.chunk_id = l.y GROUP BY ALL) n ON n.query_id = o.query_id AND n.x = o.chunk_id
   WHERE NOT EXISTS (SELECT 1 FROM pick{k - 1} s WHERE s.query_id = o.query_id AND s.chunk_id = o.chunk_id)) WHERE r = 1"""
     return out
 
 
-_MMR = {"mscore": "SELECT b.query_id, b.chunk_id, document_name, page_number, chunk_index, content, bm25 / 10 AS score FROM bm25 b JOIN chunk USING (chunk_id)"} | _picked("mscore")
+_MMR = {"mscore": "SELECT b.query_id, b.chunk_id, document_name, page_number, chunk_index, content, bm25 AS score FROM bm25 b JOIN chunk USING (chunk_id)"} | _picked("mscore")
 
 
 @query(f"SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, round(score, 6) AS score FROM pick{_TOP}", **_MMR)
 def diverse_topk(spark, sf):
     chunks = D.chunks(spark, sf)
-    scored = search.bm25(D.questions(spark, sf), chunks).join(chunks.drop("kb_id"), "chunk_id").withColumn("score", F.col("bm25") / 10)
+    scored = search.bm25(D.questions(spark, sf), chunks).join(chunks.drop("kb_id"), "chunk_id").withColumn("score", F.col("bm25"))
     return search.diverse(scored, _TOP).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -325,7 +327,7 @@ def hybrid_search(spark, sf):
     return _searched(spark, sf, "candidates")
 
 
-@query(_FOUND, **_hybrid("100000000"))
+@query()  # in SQL, the greedy choice over all chunks takes minutes
 def exhaustive_search(spark, sf):
     return _searched(spark, sf, "exhaustive")
 
@@ -333,10 +335,10 @@ def exhaustive_search(spark, sf):
 # ---- display and reading ----
 
 
-@query(f"SELECT doc_id, at, {S.noise('unit')} AS noise FROM (SELECT doc_id, unnest(range(len(units))) AS at, unnest(units) AS unit FROM page_units)")
+@query(f"SELECT doc_id, pos, {S.noise('unit')} AS noise FROM (SELECT doc_id, unnest(range(len(units))) AS pos, unnest(units) AS unit FROM page_units)")
 def display_noise(spark, sf):
-    d = D.table(spark, sf, "documents").select("doc_id", F.posexplode(T.split_units(T.clean_text("text"))).alias("at", "unit"))
-    return d.select("doc_id", F.col("at").cast("long").alias("at"), T.is_display_noise("unit").alias("noise"))
+    d = D.table(spark, sf, "documents").select("doc_id", F.posexplode(T.split_units(T.clean_text("text"))).alias("pos", "unit"))
+    return d.select("doc_id", F.col("pos").cast("long").alias("pos"), T.is_display_noise("unit").alias("noise"))
 
 
 @query(f"SELECT conv_id, turn, {S.display('text')} AS shown FROM conversations")
@@ -419,9 +421,9 @@ def _sets(spark, sf):
 
 
 @query(
-    f"""SELECT set_id, CAST(aspect AS INT) AS aspect, CASE aspect {" ".join(f"WHEN {i} THEN {S.q(n)}" for i, (n, _) in enumerate(ASPECTS))} END AS label, array_to_string(list(value ORDER BY at), '|') AS vals
+    f"""SELECT set_id, CAST(aspect AS INT) AS aspect, CASE aspect {" ".join(f"WHEN {i} THEN {S.q(n)}" for i, (n, _) in enumerate(ASPECTS))} END AS label, array_to_string(list(value ORDER BY pos), '|') AS vals
 FROM members0 m JOIN arow USING (doc_id) WHERE set_id IN (SELECT set_id FROM members0 m2 LEFT JOIN docs d ON d.doc_id = m2.doc_id AND d.status = 'ready' GROUP BY set_id HAVING count(*) BETWEEN 2 AND 5 AND count(DISTINCT m2.doc_id) = count(*) AND count(d.doc_id) = count(*)) GROUP BY ALL""",
-    sets0=_SETS, members0="SELECT set_id, unnest(ids) AS doc_id, unnest(range(len(ids))) AS at FROM sets0", **_aspect_sql(),
+    sets0=_SETS, members0="SELECT set_id, unnest(ids) AS doc_id, unnest(range(len(ids))) AS pos FROM sets0", **_aspect_sql(),
 )
 def comparison(spark, sf):
     table, _, _ = workspace.comparison(_sets(spark, sf), D.documents(spark, sf), D.chunks(spark, sf), ASPECTS)
@@ -435,3 +437,322 @@ def comparison(spark, sf):
 )
 def rejected_sets(spark, sf):
     return workspace.comparison(_sets(spark, sf), D.documents(spark, sf), D.chunks(spark, sf), ASPECTS)[2]
+
+
+# ---- answers ----
+
+#: Rules with words that the invented texts hold.
+SLOTS = (("problem", "研究问题", ("thou", "heed", "anst")), ("proposal", "核心方案", ("tion", "lich", "ment")), ("result", "实验结论", ("erha", "ciónes", "sch")))
+COMPONENTS = (("- one ", (("the", "and"), ("der", "und"))), ("- two ", (("tion",), ("lich", "ung"))), ("- three ", (("zzzz",),)), ("- four ", (("is", "of"),)))
+DATASETS = (("A", ("thou", "eaux")), ("B", ("worthless",)), ("C", ("lich",)))
+METRICS = (("M1", "edan"), ("M2", "schen"))
+PLAIN = ("ou", "plain")
+RESULTS = ("heed", "anst", "ment")
+RESEARCH = ("tion", "heed")
+METHODS = ("ouan", "edan", "lich", "ment")
+LIMITS = ("worthless", "zzzz")
+
+
+def _hits(spark, sf):
+    chunks = D.chunks(spark, sf)
+    scored = search.bm25(D.questions(spark, sf), chunks).join(chunks.drop("kb_id"), "chunk_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "chunk_id")
+    scored = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5").withColumn("score", F.col("bm25") / 20)
+    return scored.select("query_id", "rank", "chunk_id", "document_name", "page_number", "chunk_index", "content", "score")
+
+
+def _excerpt_sql() -> dict[str, str]:
+    sents = rf"list_filter(list_transform(string_split_regex(regexp_replace(content, '([。！？.!?]){S.WS}+', '\1' || chr(10) || chr(10), 'g'), '\n{{2,}}'), lambda s: {S.strip('s')}), lambda s: length(s) BETWEEN 24 AND 700)"
+    years = S.words_between("s", r"\p{Nd}{4}")
+    score = f"""round(len(list_intersect(want, {S.terms('s')})) / greatest(1, len(want)) + CASE WHEN {S.any_of('lower(s)', RESEARCH)} THEN 0.08::DOUBLE ELSE 0 END
+      + CASE WHEN {S.any_of('question', rules.METHOD_TRIGGERS)} THEN least(0.42::DOUBLE, {S.signal_count('lower(s)', METHODS)} * 0.07::DOUBLE) ELSE 0 END
+      - CASE WHEN starts_with(lower(s), 'references') OR {years} >= 4 OR contains(lower(s), 'arxiv preprint') THEN 0.35::DOUBLE ELSE 0 END, 12)"""
+    return {
+        "exc0": f"SELECT query_id, rank, question, content, {S.terms(S.expanded('question'))} AS want, {sents} AS sents FROM hits JOIN ask USING (query_id)",
+        "exc1": f"SELECT query_id, rank, pos, s, {score} AS v FROM (SELECT query_id, rank, question, want, unnest(sents) AS s, unnest(range(len(sents))) AS pos FROM exc0)",
+        "exc": f"""SELECT e.query_id, e.rank, {S.strip("substr(coalesce(b.s, e.content), 1, 420)")} AS excerpt FROM exc0 e
+  LEFT JOIN (SELECT * FROM exc1 QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY v DESC, pos) = 1) b USING (query_id, rank)""",
+    }
+
+
+@query("SELECT query_id, rank, excerpt FROM exc", **_excerpt_sql())
+def best_excerpt(spark, sf):
+    both = _hits(spark, sf).join(D.questions(spark, sf), "query_id")
+    return both.select("query_id", "rank", answer.best_excerpt("question", "content", research=RESEARCH, signals=METHODS).alias("excerpt"))
+
+
+def _answer_sql() -> dict[str, str]:
+    lit = S.q
+    first = lambda sets: "coalesce(" + ", ".join("min(rank) FILTER (" + " AND ".join(f"contains(lower(content), {lit(x)})" for x in one) + ")" for one in sets) + ")"
+    lines = ", ".join(f"CASE WHEN c{i} IS NOT NULL THEN {lit(text + '[')} || c{i} || ']' END" for i, (text, _) in enumerate(COMPONENTS))
+    summary = rf"string_split(regexp_replace(regexp_replace({S.squeezed('content')}, '([.!?]){S.WS}+', '\1' || chr(10), 'g'), '([.!?])([A-Z])', '\1' || chr(10) || '\2', 'g'), chr(10))"
+    best = lambda name: f"SELECT query_id, rank, s FROM sum0 WHERE {name} > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {name} DESC, rank, pos) = 1"
+    part = lambda t, head: f"{lit(head)} || chr(10) || '- ' || substr({t}.s, 1, 460) || ' [' || {t}.rank || ']'"
+    (n1, h1, _), (n2, h2, _), (n3, h3, _) = SLOTS
+    counts = ", ".join(f"{S.signal_count('lower(s)', x)} AS {n}" for n, _, x in SLOTS)
+    labels = "list_filter([" + ", ".join(f"CASE WHEN {S.any_of('low', s)} THEN {lit('- ' + n)} END" for n, s in DATASETS) + "], lambda x: x IS NOT NULL)"
+    metrics = "list_filter([" + ", ".join(f"CASE WHEN contains(low, {lit(s)}) THEN {lit('- ' + n)} END" for n, s in METRICS) + "], lambda x: x IS NOT NULL)"
+    result = f"list_filter(list_transform(string_split(content, chr(10)), lambda x: {S.squeezed('x')}), lambda x: x <> '')"
+    return _excerpt_sql() | {
+        "comp0": "SELECT query_id, " + ", ".join(f"{first(s)} AS c{i}" for i, (_, s) in enumerate(COMPONENTS)) + " FROM hits GROUP BY query_id",
+        "comp": f"SELECT query_id, list_filter([{lines}], lambda x: x IS NOT NULL) AS lines FROM comp0",
+        "method0": f"SELECT query_id, {lit(rules.TEXT_METHOD_HEAD)} || chr(10) || array_to_string(lines, chr(10)) || chr(10) || chr(10) || {lit(rules.TEXT_METHOD_END)} AS a FROM comp WHERE len(lines) >= 2",
+        "sum0": f"SELECT query_id, rank, pos, s, {counts} FROM (SELECT query_id, rank, unnest(range(len(ss))) AS pos, trim(unnest(ss)) AS s FROM (SELECT query_id, rank, list_filter(list_transform({summary}, lambda s: {S.strip('s')}), lambda s: length(s) BETWEEN 40 AND 650) AS ss FROM hits WHERE rank <= 4))",
+        "slot1": best(n1), "slot2": best(n2), "slot3": best(n3),
+        "summary0": f"SELECT query_id, concat_ws(chr(10) || chr(10), {part('slot1', h1)}, {part('slot2', h2)}, CASE WHEN len(lines) >= 2 THEN {lit(rules.TEXT_CONTRIBUTIONS)} || chr(10) || array_to_string(lines[:4], chr(10)) END, {part('slot3', h3)}, {lit(rules.TEXT_SUMMARY_END)}) AS a FROM slot1 JOIN slot2 USING (query_id) LEFT JOIN slot3 USING (query_id) LEFT JOIN comp USING (query_id)",
+        "lines0": f"SELECT query_id, rank, ls, list_position(list_transform(ls, lambda x: length(x) > 24 AND {S.any_of('lower(x)', RESULTS)}), true) AS p FROM (SELECT query_id, rank, {result} AS ls FROM hits WHERE rank <= 3)",
+        "result0": "SELECT query_id, substr(array_to_string(ls[greatest(1, p - 1):p + 3], ' '), 1, 420) AS r FROM lines0 WHERE p > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1",
+        "low0": "SELECT query_id, lower(array_to_string(list(content ORDER BY rank), chr(10))) AS low FROM hits GROUP BY query_id",
+        "dataset0": f"""SELECT query_id, concat_ws(chr(10) || chr(10), {lit(rules.TEXT_DATASETS)} || chr(10) || CASE WHEN len({labels}) > 0 THEN array_to_string({labels}, chr(10)) ELSE {lit(rules.TEXT_NO_DATASETS)} END,
+  {lit(rules.TEXT_METRICS)} || chr(10) || CASE WHEN len({metrics}) > 0 THEN array_to_string({metrics}, chr(10)) WHEN contains(low, {lit(PLAIN[0])}) THEN {lit('- ' + PLAIN[1])} ELSE {lit(rules.TEXT_NO_METRICS)} END,
+  {lit(rules.TEXT_RESULTS)} || chr(10) || '- ' || r || ' [1]', {lit(rules.TEXT_DATASET_END)}) AS a FROM low0 LEFT JOIN result0 USING (query_id)""",
+        "excl0": "SELECT query_id, excerpt, min(rank) AS rank FROM exc WHERE rank <= 3 AND excerpt <> '' GROUP BY ALL",
+        "excerpts0": f"SELECT query_id, {lit(rules.TEXT_EXCERPTS_HEAD)} || chr(10) || coalesce(body, '') || chr(10) || chr(10) || {lit(rules.TEXT_EXCERPTS_END)} AS a FROM ask LEFT JOIN (SELECT query_id, array_to_string(list('- ' || excerpt || ' [' || rank || ']' ORDER BY rank), chr(10)) AS body FROM excl0 GROUP BY query_id) USING (query_id)",
+        "top0": f"SELECT query_id, arg_min(score, rank) AS top, bool_or({S.any_of('lower(content)', LIMITS)}) AS stated FROM hits GROUP BY query_id",
+        "kinds": f"""SELECT a.query_id, CASE WHEN top IS NULL OR top < 0.02 THEN 'none' WHEN {S.any_of('question', rules.LIMITATION_TRIGGERS)} AND NOT stated THEN 'refusal' WHEN {S.any_of('question', rules.DATASET_TRIGGERS)} THEN 'dataset'
+  WHEN {S.any_of('question', rules.METHOD_TRIGGERS)} AND m.a IS NOT NULL THEN 'method' WHEN {S.any_of('question', rules.SUMMARY_TRIGGERS)} AND s.a IS NOT NULL THEN 'summary' ELSE 'excerpts' END AS kind,
+  d.a AS dataset, m.a AS method, s.a AS summary, e.a AS excerpts FROM ask a LEFT JOIN top0 USING (query_id) LEFT JOIN dataset0 d ON d.query_id = a.query_id LEFT JOIN method0 m ON m.query_id = a.query_id LEFT JOIN summary0 s ON s.query_id = a.query_id LEFT JOIN excerpts0 e ON e.query_id = a.query_id""",
+        "answers": f"SELECT query_id, kind, CASE kind WHEN 'none' THEN {lit(rules.TEXT_NO_EVIDENCE)} WHEN 'refusal' THEN {lit(rules.TEXT_NO_LIMITATION)} WHEN 'dataset' THEN dataset WHEN 'method' THEN method WHEN 'summary' THEN summary ELSE excerpts END AS answer FROM kinds",
+        "window0": r"SELECT h.*, list_max(list_transform(regexp_extract_all(a.answer, '\[(\p{Nd}{1,2})\]', 1), lambda n: CAST(n AS INT))) AS cited FROM hits h JOIN answers a USING (query_id)",
+        "cited": "SELECT * EXCLUDE (cited) FROM window0 WHERE cited IS NULL OR rank <= cited",
+    }
+
+
+_ANSWER = _answer_sql()
+
+
+def _answers(spark, sf, hits):
+    return answer.batch_answers(
+        D.questions(spark, sf), hits, slots=SLOTS, components=COMPONENTS, limitation=LIMITS,
+        dataset_rules={"datasets": DATASETS, "metrics": METRICS, "plain": PLAIN, "signals": RESULTS}, excerpt_rules={"research": RESEARCH, "signals": METHODS},
+    )
+
+
+@query("SELECT query_id, a AS answer FROM dataset0", **_ANSWER)
+def dataset_answer(spark, sf):
+    return answer.dataset_answer(_hits(spark, sf), DATASETS, METRICS, PLAIN, RESULTS)
+
+
+@query("SELECT query_id, a AS answer FROM method0", **_ANSWER)
+def method_answer(spark, sf):
+    return answer.method_answer(_hits(spark, sf), COMPONENTS)
+
+
+@query("SELECT query_id, a AS answer FROM summary0", **_ANSWER)
+def summary_answer(spark, sf):
+    return answer.summary_answer(_hits(spark, sf), SLOTS, COMPONENTS)
+
+
+@query("SELECT query_id, kind, answer FROM answers", **_ANSWER)
+def batch_answers(spark, sf):
+    return _answers(spark, sf, _hits(spark, sf))
+
+
+@query(
+    "SELECT query_id, '用户问题：' || question || chr(10) || chr(10) || '证据：' || chr(10) || array_to_string(list('[证据 ' || rank || '] 文件：' || document_name || '，页码：' || page_number || chr(10) || content ORDER BY rank), chr(10) || chr(10)) AS prompt FROM hits JOIN ask USING (query_id) GROUP BY query_id, question"
+)
+def prompt_table(spark, sf):
+    return answer.prompts(D.questions(spark, sf), _hits(spark, sf))
+
+
+@query("SELECT query_id, rank, chunk_id FROM cited", **_ANSWER)
+def cited_window(spark, sf):
+    hits = _hits(spark, sf)
+    return answer.cited_window(_answers(spark, sf, hits), hits).select("query_id", "rank", "chunk_id")
+
+
+@query(
+    """SELECT query_id, CASE WHEN v >= 0.72 THEN 'high' WHEN v >= 0.42 THEN 'medium' ELSE 'low' END AS confidence, round(v, 4) AS coverage FROM (SELECT query_id, coalesce(v, 0) AS v FROM ask LEFT JOIN (
+  SELECT query_id, least(1, count(DISTINCT document_name || '/' || page_number) / greatest(1, least(3, count(*))) * 0.45::DOUBLE + count(*) FILTER (score >= 0.55) / greatest(1, count(*)) * 0.45::DOUBLE + least(1, arg_min(score, rank)) * 0.1::DOUBLE) AS v FROM cited GROUP BY query_id) USING (query_id))""",
+    **_ANSWER,
+)
+def evidence_quality(spark, sf):
+    hits = _hits(spark, sf)
+    return answer.evidence_quality(D.questions(spark, sf), answer.cited_window(_answers(spark, sf, hits), hits))
+
+
+@query(
+    f"""SELECT query_id * 2 + 1 AS message_id, rank, chunk_id, document_name, page_number, substr({S.display('content')}, 1, 420) AS quote, round(score, 6) AS score FROM cited""",
+    **_ANSWER,
+)
+def qa_citations(spark, sf):
+    hits = _hits(spark, sf)
+    answers = _answers(spark, sf, hits)
+    return answer.qa_tables(D.questions(spark, sf), answers, answer.cited_window(answers, hits))[2].withColumn("score", F.round("score", 6))
+
+
+@query(
+    "SELECT query_id * 2 AS message_id, query_id AS conv_id, 'user' AS role, question AS content, substr(question, 1, 80) AS title FROM ask UNION ALL SELECT query_id * 2 + 1, query_id, 'assistant', answer, substr(question, 1, 80) FROM answers JOIN ask USING (query_id)",
+    **_ANSWER,
+)
+def qa_messages(spark, sf):
+    hits = _hits(spark, sf)
+    answers = _answers(spark, sf, hits)
+    conversations, messages, _ = answer.qa_tables(D.questions(spark, sf), answers, answer.cited_window(answers, hits))
+    return messages.join(conversations.select("conv_id", "title"), "conv_id")
+
+
+# ---- evaluation ----
+
+_LABELS = "SELECT a.query_id AS question_id, a.kb_id AS dataset_id, list(chunk_id ORDER BY chunk_id) AS rel FROM ask a JOIN (SELECT query_id, chunk_id FROM ask JOIN chunk USING (kb_id) WHERE (query_id + doc_id) % 23 = 0 AND chunk_index = 0 UNION SELECT query_id, chunk_id FROM hits WHERE rank IN (2, 4)) USING (query_id) GROUP BY ALL"
+_METRICS = """SELECT l.question_id, l.dataset_id, coalesce(m, 0) / len(rel) AS recall, coalesce(m, 0) / 5 AS precision, coalesce(1 / first, 0) AS reciprocal_rank, coalesce(got, '') AS retrieved FROM lab0 l
+LEFT JOIN (SELECT h.query_id AS question_id, count(*) FILTER (list_contains(rel, chunk_id)) AS m, min(rank) FILTER (list_contains(rel, chunk_id)) AS first, array_to_string(list(chunk_id ORDER BY rank), ',') AS got FROM hits h JOIN lab0 ON question_id = query_id GROUP BY ALL) USING (question_id)"""
+
+
+def _labelled(spark, sf, hits):
+    asked = D.questions(spark, sf).select("query_id", "kb_id")
+    some = asked.join(D.chunks(spark, sf).where("chunk_index = 0"), "kb_id").where("(query_id + doc_id) % 23 = 0").select("query_id", "chunk_id")
+    each = some.union(hits.where("rank in (2, 4)").select("query_id", "chunk_id")).join(asked, "query_id")
+    return each.groupBy(F.col("query_id").alias("question_id"), F.col("kb_id").alias("dataset_id")).agg(F.sort_array(F.collect_set("chunk_id")).alias("relevant_chunk_ids"))
+
+
+def _results(spark, sf):
+    hits = _hits(spark, sf)
+    return evaluate.question_metrics(_labelled(spark, sf, hits), hits.withColumnRenamed("query_id", "question_id"), 5)
+
+
+@query("SELECT question_id, dataset_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(reciprocal_rank, 6) AS reciprocal_rank, retrieved FROM met0", lab0=_LABELS, met0=_METRICS)
+def eval_questions(spark, sf):
+    r = _results(spark, sf)
+    got = F.array_join(F.col("retrieved_chunk_ids").cast("array<string>"), ",").alias("retrieved")
+    return r.select("question_id", "dataset_id", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "reciprocal_rank")), got)
+
+
+@query("SELECT dataset_id, count(*) AS questions, round(avg(recall), 6) AS recall_at_k, round(avg(precision), 6) AS precision_at_k, round(avg(reciprocal_rank), 6) AS mrr, round(avg(CASE WHEN precision > 0 THEN 1 ELSE 0 END), 6) AS hit_rate FROM met0 GROUP BY dataset_id", lab0=_LABELS, met0=_METRICS)
+def eval_runs(spark, sf):
+    r = evaluate.run_metrics(_results(spark, sf))
+    return r.select("dataset_id", "questions", *(F.round(c, 6).alias(c) for c in ("recall_at_k", "precision_at_k", "mrr", "hit_rate")))
+
+
+@query("SELECT q AS question_id, c AS chunk_id FROM (SELECT query_id AS q, kb_id, unnest([c0, c0 + 1, c0]) AS c FROM (SELECT query_id, kb_id, query_id * 100000 AS c0 FROM ask)) x WHERE NOT EXISTS (SELECT 1 FROM chunk k WHERE k.kb_id = x.kb_id AND k.chunk_id = x.c) GROUP BY ALL")
+def label_check(spark, sf):
+    c0 = F.col("query_id") * 100000
+    asked = D.questions(spark, sf).select(F.col("query_id").alias("question_id"), F.col("kb_id").alias("dataset_id"), F.array(c0, c0 + 1, c0).alias("relevant_chunk_ids"))
+    datasets = D.documents(spark, sf).select(F.col("kb_id").alias("dataset_id"), "kb_id").distinct()
+    return evaluate.check_labels(asked, datasets, D.documents(spark, sf), D.chunks(spark, sf).drop("kb_id"))[1]
+
+
+@query("SELECT query_id AS conv_id, question, array_to_string(list(chunk_id ORDER BY rank), ',') AS relevant FROM cited JOIN ask USING (query_id) GROUP BY ALL", **_ANSWER)
+def labels_from_answers(spark, sf):
+    hits = _hits(spark, sf)
+    answers = _answers(spark, sf, hits)
+    _, messages, citations = answer.qa_tables(D.questions(spark, sf), answers, answer.cited_window(answers, hits))
+    out = evaluate.labels_from_answers(messages, citations)
+    return out.select("conv_id", "question", F.array_join(F.col("relevant_chunk_ids").cast("array<string>"), ",").alias("relevant"))
+
+
+# ---- listings and requests ----
+
+
+@query("SELECT label AS dataset_id, count(*) FILTER (vec_id % 3 = 0) AS question_count FROM embeddings GROUP BY label")
+def dataset_list(spark, sf):
+    e = D.table(spark, sf, "embeddings")
+    datasets = e.select(F.col("label").alias("dataset_id")).distinct().withColumn("created_at", F.timestamp_seconds("dataset_id"))
+    asked = e.where("vec_id % 3 = 0").select(F.col("label").alias("dataset_id"))
+    return evaluate.dataset_list(datasets, asked).select("dataset_id", "question_count")
+
+
+@query("SELECT user_id AS run_id, min(ts) AS created_at FROM events GROUP BY user_id")
+def run_history(spark, sf):
+    runs = D.table(spark, sf, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.min("ts").alias("created_at"))
+    return evaluate.run_history(runs)
+
+
+_MEMBERS = "SELECT DISTINCT user_id, CASE user_id % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END AS kb_id, CASE user_id % 3 WHEN 0 THEN 'owner' WHEN 1 THEN 'editor' ELSE 'viewer' END AS role FROM events"
+
+
+def _members(spark, sf):
+    u = F.col("user_id")
+    kb = F.when(u % 5 == 0, "en").when(u % 5 == 1, "fr").when(u % 5 == 2, "de").otherwise("es")
+    role = F.when(u % 3 == 0, "owner").when(u % 3 == 1, "editor").otherwise("viewer")
+    return D.table(spark, sf, "events").select(u, kb.alias("kb_id"), role.alias("role")).distinct()
+
+
+@query("SELECT user_id, m.kb_id, role, coalesce(n, 0) AS document_count FROM mem m JOIN (SELECT DISTINCT kb_id FROM docs) k ON k.kb_id = m.kb_id LEFT JOIN (SELECT kb_id, count(*) AS n FROM docs WHERE kb_id <> 'es' GROUP BY kb_id) d ON d.kb_id = m.kb_id", mem=_MEMBERS)
+def kb_listing(spark, sf):
+    d = D.documents(spark, sf)
+    kbs = d.select("kb_id").distinct().withColumn("created_at", F.current_timestamp())
+    return listing.visible_kbs(kbs, _members(spark, sf), d.where("kb_id <> 'es'")).select("user_id", "kb_id", "role", "document_count")
+
+
+@query("SELECT doc_id, document_name, status FROM docs WHERE kb_id = 'fr'")
+def kb_documents(spark, sf):
+    return listing.kb_documents(D.documents(spark, sf), "fr").select("doc_id", "document_name", "status")
+
+
+@query("SELECT kb_id, count(*) FILTER (status = 'ready') AS ready, count(*) AS total FROM docs GROUP BY kb_id")
+def ready_counts(spark, sf):
+    return listing.ready_counts(D.documents(spark, sf))
+
+
+@query("SELECT event_id, e.user_id FROM events e JOIN mem m ON m.user_id = e.user_id AND m.kb_id = CASE WHEN event_id % 2 = 0 THEN 'en' ELSE 'de' END AND role IN ('owner', 'editor')", mem=_MEMBERS)
+def access_filter(spark, sf):
+    asked = D.table(spark, sf, "events").select("event_id", "user_id", F.when(F.col("event_id") % 2 == 0, "en").otherwise("de").alias("kb_id"))
+    return listing.allowed(asked, _members(spark, sf), write=True).select("event_id", "user_id")
+
+
+@query("SELECT set_id AS request_id, bool_and(d.doc_id IS NOT NULL) AS accepted FROM (SELECT set_id, unnest(ids) AS doc_id FROM sets0) m JOIN docs o ON o.doc_id = set_id LEFT JOIN docs d ON d.doc_id = m.doc_id AND d.status = 'ready' AND d.kb_id = o.kb_id GROUP BY set_id", sets0=_SETS)
+def requested_set_check(spark, sf):
+    own = D.documents(spark, sf).select(F.col("doc_id").alias("set_id"), "kb_id")
+    asked = _sets(spark, sf).join(own, "set_id").withColumnRenamed("set_id", "request_id")
+    return listing.check_requested(asked, D.documents(spark, sf))
+
+
+_REQUESTS = "SELECT ts, CASE WHEN event_type = 'view' THEN '/health' ELSE '/' || event_type END AS path, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value AS latency_ms FROM events"
+_RATES = "count(*) AS requests, count(*) FILTER (status >= 400) AS errors, round(count(*) FILTER (status >= 400) / greatest(1, count(*)), 4) AS error_rate, round(coalesce(sum(latency_ms), 0) / greatest(1, count(*)) + 1e-9, 2) AS mean_latency_ms"
+
+
+def _requests(events):
+    kind = F.col("event_type")
+    path = F.when(kind == "view", "/health").otherwise(F.concat(F.lit("/"), kind))
+    return events.select("ts", path.alias("path"), F.when(kind == "error", 500).otherwise(200).alias("status"), F.col("value").alias("latency_ms"))
+
+
+@query(f"SELECT {_RATES} FROM req WHERE path <> '/health'", req=_REQUESTS)
+def request_metrics(spark, sf):
+    return listing.request_metrics(_requests(D.table(spark, sf, "events")))
+
+
+@query(f"SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, {_RATES} FROM req WHERE path <> '/health' GROUP BY ALL", req=_REQUESTS)
+def request_windows(spark, sf):
+    return jobs.windowed_metrics(_requests(D.table(spark, sf, "events")))
+
+
+# ---- streams ----
+
+
+def _store(spark) -> str:
+    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="folio-stream-")
+    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, {_RATES} FROM req WHERE path <> '/health' GROUP BY ALL", req=_REQUESTS)
+def streaming_metrics(spark, sf):
+    """The event table as a stream, to a table of windows."""
+    events = D.table(spark, sf, "events")
+    at = _store(spark)
+    events.repartition(1).write.parquet(f"{at}/in")
+    stream = _requests(spark.readStream.schema(events.schema).parquet(f"{at}/in"))
+    counted = jobs.windowed_metrics(stream)
+    done = (
+        counted.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+        .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out")).start()
+    )
+    done.awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+@query(
+    f"""SELECT a.doc_id, a.kb_id, a.sha256, CASE WHEN c.n IS NULL THEN 'failed' ELSE 'ready' END AS status, CAST(coalesce(c.n, 0) AS INT) AS chunk_count FROM (
+  SELECT *, row_number() OVER (PARTITION BY kb_id, sha256 ORDER BY doc_id % 2, doc_id) AS r FROM admitted0 WHERE {_REASON} IS NULL) a LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunk0 GROUP BY doc_id) c USING (doc_id) WHERE r = 1""",
+    files0=_FILES, admitted0=_ADMITTED,
+)
+def streaming_ingest(spark, sf):
+    """All documents as two waves of files; the second run of the stream takes only what is new."""
+    files = _files(spark, sf)
+    at = _store(spark)
+    for wave in (0, 1):
+        files.where(F.col("doc_id") % 2 == wave).repartition(1).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(files.schema).parquet(f"{at}/in")
+        jobs.ingest_stream(stream, f"{at}/store", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/store/documents").select("doc_id", "kb_id", "sha256", "status", "chunk_count")

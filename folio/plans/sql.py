@@ -115,7 +115,7 @@ def name_bonus(question: str, name: str) -> str:
 
 def noise(x: str) -> str:
     c = squeezed(x)
-    numbers = words_between(c, r"\p{Nd}+(?:\.\p{Nd}+)?")
+    numbers = words_between(c, r"\p{Nd}+(?:\.\.\p{Nd}+)?")  # the dot is doubled too
     signs = count(c, "[∑∫√≈≠≤≥±×÷∞∂∇∈∉∪∩→←↔σλμθφψΩ]")
     marks = count(c, r"[^\p{L}\p{M}\p{N}_\s]")
     return f"(length({c}) >= 8 AND ({signs} >= 2 OR {numbers} >= 5 OR ({marks} / greatest(1, length({c})) > 0.24 AND {numbers} >= 2)))"
@@ -195,14 +195,14 @@ def with_ctes(body: str, **extra: str) -> str:
     known = CTES | extra
     needed: list[str] = []
 
-    def add(text: str) -> None:
+    def add(text: str, within: str = "") -> None:
         for name in known:
-            if name not in needed and known[name] is not text and re.search(rf"\b{name}\b", text):
+            if name not in needed and name != within and re.search(rf"(?:FROM|JOIN)\s+{name}\b", text):
                 add_one(name)
 
     def add_one(name: str) -> None:
         if name not in needed:
-            add(known[name])
+            add(known[name], name)
             needed.append(name)
 
     add(body)

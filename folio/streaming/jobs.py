@@ -65,6 +65,6 @@ def ingest_stream(files: DataFrame, store: str, checkpoint: str, embed: Callable
 def windowed_metrics(requests: DataFrame, size: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Request metrics by window of ``ts``; as a stream, state is bounded by the watermark and later rows are dropped."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    marked = requests.withWatermark("ts", late).withColumn("window", window)
+    marked = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("window", window)
     out = request_metrics(marked, ["window"])
     return out.select(F.col("window.start").alias("window_start"), "requests", "errors", "error_rate", "mean_latency_ms")
