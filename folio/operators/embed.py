@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 DIMS = 384
 BATCH = 64
@@ -55,7 +56,7 @@ def encode_batches(texts: DataFrame, text: str, make: Callable[[], Encoder], dim
 
     Null texts have null vectors. A vector of another length fails the job.
     """
-    schema = texts.schema.add(name, "array<float>")
+    schema = StructType([*texts.schema.fields, StructField(name, ArrayType(FloatType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = make()

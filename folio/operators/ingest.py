@@ -57,10 +57,10 @@ def reindex(chunks: DataFrame, fresh: DataFrame, ids: DataFrame) -> DataFrame:
 def delete(parents: DataFrame, gone: DataFrame, key: str, *children: tuple[DataFrame, str]) -> list[DataFrame]:
     """What is left of parents and, level by level, of their children: each (table, key of its parent) hangs on the one before it."""
     gone = gone.select(key).distinct()
-    left = [parents.join(gone, key, "left_anti")]
+    left = [parents.join(gone, key, "left_anti").select(*parents.columns)]
     for table, parent_key in children:
         keys = gone.withColumnRenamed(gone.columns[0], parent_key)
-        left.append(table.join(keys, parent_key, "left_anti"))
+        left.append(table.join(keys, parent_key, "left_anti").select(*table.columns))
         own = table.columns[0]
         gone = table.join(keys, parent_key, "left_semi").select(own)
     return left

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..operators import answer, chunking, embed, evaluate, ingest, listing, search, workspace
+from ..sources.store import shared_dir, written
 from ..streaming import jobs
 from . import sql as S
 from . import tables as D
@@ -314,7 +314,7 @@ def _hybrid(limit: str) -> dict[str, str]:
 def _searched(spark, sf, mode):
     asked, chunks = D.questions(spark, sf), D.chunks(spark, sf)
     q = embed.sparse_embedding(asked.withColumn("expanded", T.expand_query("question")), "query_id", "expanded")
-    similar = search.sparse_similarity(q, embed.sparse_embedding(chunks, "chunk_id", "content"))
+    similar = written(search.sparse_similarity(written(q), embed.sparse_embedding(chunks, "chunk_id", "content")))
     found = search.search(asked, chunks.drop("document_name"), D.documents(spark, sf), similar, _TOP, mode, intents=INTENTS)
     return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), F.round("semantic", 6).alias("semantic"), F.round("bm25", 6).alias("bm25"))
 
@@ -458,7 +458,7 @@ def _hits(spark, sf):
     scored = search.bm25(D.questions(spark, sf), chunks).join(chunks.drop("kb_id"), "chunk_id")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "chunk_id")
     scored = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5").withColumn("score", F.col("bm25") / 20)
-    return scored.select("query_id", "rank", "chunk_id", "document_name", "page_number", "chunk_index", "content", "score")
+    return written(scored.select("query_id", "rank", "chunk_id", "document_name", "page_number", "chunk_index", "content", "score"))
 
 
 def _excerpt_sql() -> dict[str, str]:
@@ -722,8 +722,7 @@ def request_windows(spark, sf):
 
 
 def _store(spark) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="folio-stream-")
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query(f"SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, {_RATES} FROM req WHERE path <> '/health' GROUP BY ALL", req=_REQUESTS)

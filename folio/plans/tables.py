@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk_pages
+from ..sources.store import written
 
 #: Questions take one of these words by item_id, so that every intent occurs.
 QUESTION_WORDS = ("数据集 ", "局限 ", "贡献 ", "模型架构 ", "", "结果 ")
@@ -37,9 +38,9 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all documents, with ids that SQL can make too."""
+    """Chunks of all documents, with ids that SQL can make too; written, as the queries read them more than once."""
     found = chunk_pages(pages(spark, sf_dir)).withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("chunk_index"))
-    return found.join(documents(spark, sf_dir).select("doc_id", "kb_id", "document_name"), "doc_id")
+    return written(found.join(documents(spark, sf_dir).select("doc_id", "kb_id", "document_name"), "doc_id"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
