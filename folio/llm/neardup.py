@@ -27,9 +27,12 @@ MANTISSA_BITS = 10
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: A pair whose corrected estimate is lower than the limit by this many standard deviations is not verified.
-DEVIATIONS = 4.5
-#: Rows of one bucket that a residual task compares with each other.
+DEVIATIONS = 4.0
+#: Classes of a bucket against which all its classes are held first.
+CENTRES = 2
+#: Rows of one bucket that a residual task compares with each other, and shingles of one component that it holds.
 BLOCK = 2048
+SET_BLOCK = 1_000_000
 
 _FACTORS = (mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -94,7 +97,7 @@ def _sets(batch: pa.RecordBatch):
         yield i, np.unique(shingles(words.hash[words.bounds[i] : words.bounds[i + 1]], SHINGLE))
 
 
-def _class_of(s: np.ndarray) -> tuple[int, bytes]:
+def _class_of(s: np.ndarray) -> int:
     digest = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
     return int.from_bytes(digest, "little", signed=True)
 
@@ -150,36 +153,44 @@ def _full_sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(out, pa.binary())], names=["cls", "shingles"])
 
 
+def _link(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets link."""
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _linked(batches):
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("sa"), batch.column("sb")):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            place = np.searchsorted(y, x)
-            both = int((y[np.minimum(place, len(y) - 1)] == x).sum())
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            keep.append(_link(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _cross_pairs(batches):
-    """Streams rows (grp, side, comp, cls, n, regs) sorted by grp; yields pairs of different components that may link.
+def _crossing(batches):
+    """Streams rows (grp, side, comp, weight, cls, n, regs) sorted by grp; yields (cls, comp) where a class may link into another component.
 
-    Of one group, at most 2 * BLOCK rows are held: side 0 within itself, or side 0 against side 1.
+    Of two components, the lighter one's class is named. Of one group, at most about 2 * BLOCK rows
+    are held: side 0 within itself, or side 0 against side 1.
     """
     least, held, at = _least(), [], None
 
     def flush():
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        comp, cls, n, side = (rows.column(c).to_numpy() for c in ("comp", "cls", "n", "side"))
+        comp, weight, cls, n, side = (rows.column(c).to_numpy() for c in ("comp", "weight", "cls", "n", "side"))
         regs, sides = _matrix(rows.column("regs")), np.flatnonzero(side == 1)
+        found = []
         for i in np.flatnonzero(side == 0):
             other = sides if len(sides) else np.arange(i + 1, len(comp))
             other = other[(comp[other] != comp[i]) & _may_link(n[other], n[i])]
             if len(other):
                 other = other[estimate(regs[other], regs[i], n[other], np.full(len(other), n[i])) >= least]
             if len(other):
-                a, b = np.full(len(other), cls[i]), cls[other]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                mine = (weight[i] < weight[other]) | ((weight[i] == weight[other]) & (comp[i] > comp[other]))
+                found.append(np.stack([np.where(mine, cls[i], cls[other]), np.where(mine, comp[other], comp[i])], axis=1))
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["cls", "comp"])
 
     for batch in batches:
         grp = batch.column("grp").to_numpy()
@@ -195,6 +206,40 @@ def _cross_pairs(batches):
         yield from flush()
 
 
+def _joins_block(batches):
+    """Streams rows (comp, block, kind, cls, regs, shingles) sorted by comp, block, kind; yields a confirmed link (a, b) of each kind-1 class into the block.
+
+    The kind-0 rows of one block are held; they have about SET_BLOCK shingles.
+    """
+    least, at, held, regs, sizes = _least(), None, [], None, None
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("comp", "block", "kind", "cls", "regs", "shingles")]
+        a, b = [], []
+        for comp, block, kind, cls, reg, raw in zip(*columns):
+            if (comp, block) != at:
+                at, held, regs = (comp, block), [], None
+            own = np.frombuffer(raw, np.uint64)
+            if kind == 0:
+                held.append((cls, reg, own))
+                continue
+            if not held:
+                continue
+            if regs is None:
+                regs = np.frombuffer(b"".join(r for _, r, _ in held), np.uint16).reshape(-1, PERMUTATIONS)
+                sizes = np.array([len(x) for _, _, x in held])
+            maybe = np.flatnonzero(_may_link(sizes, len(own)))
+            value = estimate(regs[maybe], np.frombuffer(reg, np.uint16), sizes[maybe], np.full(len(maybe), len(own)))
+            for k in np.argsort(-value).tolist():
+                if value[k] < least:
+                    break
+                other = held[maybe[k]]
+                if other[0] != cls and _link(own, other[2]):
+                    a.append(min(cls, other[0]))
+                    b.append(max(cls, other[0]))
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets link."""
     first = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
@@ -202,6 +247,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(second, "b").join(first, "a").mapInArrow(_linked, "a long, b long")
 
 
+def _placed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, size, cls, comp) of the buckets that hold several components."""
+    placed = buckets.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return placed.join(mixed, "key")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
@@ -211,9 +263,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     come back unlinked, component_id and kept null. A doc_id that occurs twice gives two
     rows. Further columns, whatever their names, are ignored. An empty table gives no rows.
 
-    In each band bucket every class is first held against the bucket's smallest one; only where that leaves
-    a bucket with several components are the rest of its pairs across components tried, in
-    blocks, so a bucket of n alike texts costs n verifications and loses no link.
+    In each band bucket every class is held against CENTRES classes of the bucket. What is left apart after that
+    is held against the whole of each other component in a shared bucket that it may link into, in blocks. So a bucket of n alike texts costs about n
+    verifications, makes no row for each pair, and loses no link between components.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = written(docs.mapInArrow(_sketches, _SKETCH))
@@ -223,33 +275,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rep = written(rep.groupBy("cls").agg(F.first("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")))
 
     banded = rep.select("cls", "regs").mapInArrow(_banded, "key long, cls long")
-    shared = banded.groupBy("key").agg(F.min("cls").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = written(banded.join(shared, "key"))
-
     involved = buckets.select("cls").distinct().join(rep.select("cls", "doc_id"), "cls").select("doc_id").distinct()
     sets = written(docs.join(involved, "doc_id", "left_semi").mapInArrow(_full_sets, "cls long, shingles binary").dropDuplicates(["cls"]))
-
     sketch = rep.select("cls", "n", "regs")
-    star = buckets.where("rep <> cls").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
-    star = (
-        star.join(sketch.toDF("b", "nb", "rb"), "b").join(sketch.toDF("a", "na", "ra"), "a")
+
+    centres = buckets.groupBy("key").agg(*(F.min_by("cls", F.xxhash64("cls", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)))
+    pairs = buckets.join(centres, "key").select("cls", F.explode(F.array_distinct(F.array(*(f"c{i}" for i in range(CENTRES))))).alias("centre"))
+    pairs = pairs.where("cls <> centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
+    pairs = (
+        pairs.join(sketch.toDF("b", "nb", "rb"), "b").join(sketch.toDF("a", "na", "ra"), "a")
         .mapInArrow(_near_enough, "a long, b long")
     )
-    links = written(_verified(star, sets))
-    labels = connected(links)
+    labels = connected(_verified(pairs, sets))
 
-    placed = buckets.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label", "rep")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    placed = _placed(buckets, labels)
+    weights = labels.groupBy(F.col("label").alias("comp")).agg(F.count(F.lit(1)).alias("weight"))
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    rest = placed.join(mixed, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rest = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select(
         F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("grp"),
         (F.col("own") > F.col("with")).cast("int").alias("side"), "comp", "cls",
-    ).join(sketch, "cls")
-    rest = rest.repartition("grp").sortWithinPartitions("grp").mapInArrow(_cross_pairs, "a long, b long").distinct()
-    more = written(_verified(rest, sets))
-    labels = connected(links.union(more))
+    ).join(weights, "comp", "left").withColumn("weight", F.coalesce("weight", F.lit(1))).join(sketch, "cls")
+    rest = rest.repartition("grp").sortWithinPartitions("grp").mapInArrow(_crossing, "cls long, comp long")
+    rest = written(rest.distinct())
+
+    members = rep.select("cls", "n").join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "n", F.coalesce("label", "cls").alias("comp"))
+    members = members.join(rest.select("comp").distinct(), "comp", "left_semi")
+    cut = members.groupBy("comp").agg(F.ceil(F.sum("n") / F.lit(SET_BLOCK)).cast("int").alias("blocks"))
+    held = members.join(cut, "comp").select("comp", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "cls")
+    tried = rest.join(cut, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "cls")
+    against = held.union(tried).join(sketch.select("cls", "regs"), "cls").join(sets, "cls").select("comp", "block", "kind", "cls", "regs", "shingles")
+    against = against.repartition("comp", "block").sortWithinPartitions("comp", "block", "kind")
+    more = against.mapInArrow(_joins_block, "a long, b long")
+    # components of components: what is linked now are labels
+    for end in ("a", "b"):
+        more = more.join(labels.select(F.col("v").alias(end), F.col("label").alias("l" + end)), end, "left").withColumn(end, F.coalesce("l" + end, end)).drop("l" + end)
+    joined_labels = connected(more)
+    merged = labels.withColumnRenamed("label", "v0").join(joined_labels.select(F.col("v").alias("v0"), "label"), "v0", "left").select("v", F.coalesce("label", "v0").alias("label"))
+    labels = written(merged.union(joined_labels.join(labels.select("v"), "v", "left_anti").select("v", "label")))
 
     joined = classes.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = joined.groupBy("label").agg(F.min("first_doc").alias("component"))

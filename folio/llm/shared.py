@@ -33,14 +33,18 @@ def connected(edges: DataFrame, limit: int = 60) -> DataFrame:
     with the logarithm of a component's width. Each round is written, nothing but a count
     comes to the driver.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    # rows are two numbers: fewer and larger parts than a shuffle of texts needs
+    parts = max(8, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    edges = written(edges.select("a", "b").where("a <> b"))
+    both = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().coalesce(parts))
+    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")).coalesce(parts))
     for _ in range(limit):
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         jump = labels.select(F.col("v").alias("label"), F.col("label").alias("far"))
         following = written(
             labels.join(near, "v").join(jump, "label")
             .select("v", F.least("label", "near", "far").alias("label"), (F.least("near", "far") < F.col("label")).alias("moved"))
+            .coalesce(parts)
         )
         moved = following.where("moved").limit(1).count()
         labels = following.select("v", "label")
