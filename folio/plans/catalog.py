@@ -314,7 +314,15 @@ def _hybrid(limit: str) -> dict[str, str]:
 def _searched(spark, sf, mode):
     asked, chunks = D.questions(spark, sf), D.chunks(spark, sf)
     q = embed.sparse_embedding(asked.withColumn("expanded", T.expand_query("question")), "query_id", "expanded")
-    similar = written(search.sparse_similarity(written(q), embed.sparse_embedding(chunks, "chunk_id", "content")))
+    items = embed.sparse_embedding(chunks, "chunk_id", "content")
+    if mode == "candidates":
+        ready = chunks.join(D.documents(spark, sf).where("status = 'ready'").select("doc_id"), "doc_id", "left_semi")
+        items = ready.select("chunk_id", F.col("kb_id").alias("scope")).join(items, "chunk_id", "left").withColumnRenamed("chunk_id", "item_id")
+        near = search.sparse_topk(q.join(asked.select("query_id", F.col("kb_id").alias("scope")), "query_id"), items, max(8 * _TOP, search.CANDIDATES), embed.DIMS)
+        similar = near.select("query_id", F.col("item_id").alias("chunk_id"), F.col("score").alias("semantic"))
+    else:
+        similar = search.sparse_similarity(written(q), items)
+    similar = written(similar)
     found = search.search(asked, chunks.drop("document_name"), D.documents(spark, sf), similar, _TOP, mode, intents=INTENTS)
     return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), F.round("semantic", 6).alias("semantic"), F.round("bm25", 6).alias("bm25"))
 
