@@ -1,29 +1,13 @@
-"""What the operators share: cut lineage, connected components, sums of many rows."""
+"""What the operators share: tables that cut lineage, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, a new temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="folio-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read from there: lost executors cost no recomputation before this point."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["connected", "shared_dir", "written"]
 
 
 def connected(edges: DataFrame, limit: int = 60) -> DataFrame:
