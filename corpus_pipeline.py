@@ -44,7 +44,7 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document's ids and of the bytes that they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
+    return bpe.digests(bpe.round_trip(docs, path, public_tokenizers.PATTERN))
 
 
 STAGES = [

@@ -25,7 +25,7 @@ from .text import slices
 CHUNK = 32_768
 OVERLAP = 1_024
 #: Encoded pieces that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 @lru_cache(maxsize=4)
@@ -148,19 +148,22 @@ def _range_encoder(chunk: int, path: str, pattern: str):
     return encode
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, then: tuple | None = None) -> DataFrame:
     """(doc_id, ids array<int>), one row for each row of docs.
 
     ``path`` is a rank file, ``pattern`` the pre-token pattern; it must not look
     behind. Null and empty texts have no ids. Null doc_ids stay null, repeated
     rows give repeated results, further columns are ignored, an empty table
     gives no rows. A long text whose neighbouring chunks share no boundary in their overlap (one endless pre-token,
-    say) is encoded whole.
+    say) is encoded whole. ``then`` may be a function of record batches (doc_id, ids) and its schema: what it makes of
+    the rows is returned instead, without the ids leaving the worker that made them.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     length = F.length(F.coalesce("text", F.lit("")))
-    whole = _encoder(path, pattern, ("doc_id",))
-    short = docs.where(length <= chunk + overlap).mapInArrow(whole, "doc_id long, ids array<int>")
+    finish, schema = then or (None, "doc_id long, ids array<int>")
+    plain = _encoder(path, pattern, ("doc_id",))
+    whole = (lambda batches: finish(plain(batches))) if finish else plain
+    short = docs.where(length <= chunk + overlap).mapInArrow(whole, schema)
 
     long = docs.where(length > chunk + overlap).withColumn("uid", F.monotonically_increasing_id())
     cut = written(long.mapInArrow(_cutter(chunk, overlap), "uid long, doc_id long, chunk int, last boolean, text string"))
@@ -178,10 +181,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     )
     gathered = ranged.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     stitched = gathered.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids"))
+    stitched = stitched.mapInArrow(finish, schema) if finish else stitched
     again = (
         cut.join(torn, "uid", "left_semi").withColumn("text", F.when(F.col("last"), F.col("text")).otherwise(F.substring("text", 1, chunk)))
         .groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("parts"))
-        .select("doc_id", F.array_join(F.col("parts.text"), "").alias("text")).mapInArrow(whole, "doc_id long, ids array<int>")
+        .select("doc_id", F.array_join(F.col("parts.text"), "").alias("text")).mapInArrow(whole, schema)
     )
     return short.unionByName(stitched).unionByName(again)
 
@@ -198,9 +202,17 @@ def _decoder(path: str):
     return decode
 
 
+_DECODED = "doc_id long, ids array<int>, decoded binary"
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded binary): the ids' bytes in order; of null ids, no bytes."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decoder(path), "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(_decoder(path), _DECODED)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, **kw) -> DataFrame:
+    """decode(encode(docs)), the ids decoded by the worker that made them."""
+    return encode(docs, path, pattern, then=(_decoder(path), _DECODED), **kw)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

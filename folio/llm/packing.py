@@ -90,6 +90,16 @@ def _segmenter(capacity: int, dtype: str):
     return segments
 
 
+_DTYPES = {2: "<u2", 4: "<u4"}
+
+
+def segmenting(capacity: int = CAPACITY, width: int = 2) -> tuple:
+    """A function of record batches (doc_id, ids) that splits texts into segments, and its schema; for mapInArrow or an encoder's ``then``."""
+    if not 0 < capacity < 1 << (8 * width):
+        raise ValueError("capacity must be positive and fit the width")
+    return _segmenter(capacity, _DTYPES[width]), "doc_id long, start long, size int, ids binary"
+
+
 _SCHEMA = (
     "shard int, row int, n_tokens int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids binary, positions binary"
 )
@@ -140,11 +150,13 @@ def pack(encoded: DataFrame, tokens: int, capacity: int = CAPACITY, width: int =
     fill no row; null doc_ids are packed as null; repeated rows are packed repeatedly; further columns are ignored; an
     empty table gives no rows. Ids must fit the width, and capacity must too.
     """
-    dtype = {2: "<u2", 4: "<u4"}[width]
-    if not 0 < capacity < 1 << (8 * width):
-        raise ValueError("capacity must be positive and fit the width")
-    shards = max(1, -(-tokens // SHARD_TOKENS))
-    pieces = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(_segmenter(capacity, dtype), "doc_id long, start long, size int, ids binary")
+    pieces = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(*segmenting(capacity, width))
+    return pack_segments(pieces, tokens, capacity, width, pad)
+
+
+def pack_segments(pieces: DataFrame, tokens: int, capacity: int = CAPACITY, width: int = 2, pad: int = 0) -> DataFrame:
+    """pack() of segments (doc_id, start, size, ids binary), as ``segmenting`` makes them."""
+    dtype, shards = _DTYPES[width], max(1, -(-tokens // SHARD_TOKENS))
     # by content too, as one id may be repeated
     shard = F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(shards)).cast("int")
     dealt = pieces.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", F.desc("size"), "doc_id", "start")

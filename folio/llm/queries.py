@@ -33,8 +33,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, path))
+    return bpe.digests(bpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +70,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return packing.digests(written(packing.pack(encoded, tokens=size // 4)))
+    segments = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, then=packing.segmenting())
+    return packing.digests(written(packing.pack_segments(segments, tokens=size // 4)))
 
 
 QUERIES = {
