@@ -74,3 +74,21 @@ def test_contamination_equals_brute_force(spark, monkeypatch):
     assert got == want
     assert decontaminate.contamination(docs, benchmark.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(docs.limit(0), benchmark).count() == 0
+
+
+def test_contamination_of_shortened_texts(spark):
+    rnd = random.Random(9)
+    draw = lambda n: [f"w{rnd.randrange(20_000)}" for _ in range(n)]
+    items = [(k, draw(n)) for k, n in enumerate([3, 5, 6, 7, 8, 10, 12, 16, 25, 40, 60, 120, 200])]
+    texts = []
+    for _, w in items:
+        n = len(w)
+        cut = rnd.randint(n // 8, n // 4)
+        # its start, end or both left out, whole, its middle replaced, and without its start in a longer text
+        texts += [w[cut:], w[: n - cut], w[cut // 2 : n - cut // 2 - cut % 2], w, [*w[: n // 2], *draw(max(1, n // 20)), *w[n // 2 + max(1, n // 20) :]], draw(30) + draw(n // 8) + w[n // 8 :] + draw(30)]
+    texts += [items[11][1][:4] * 3, items[5][1] * 3, [*items[8][1], *items[8][1][4:]]]
+    named = [(k, " ".join(w)) for k, w in items]
+    texts = [" ".join(w) for w in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontaminate.contamination(docs, spark.createDataFrame(named, "item_id long, text string")).collect()
+    assert {(r.doc_id, k): round(s, 9) for r in rows for k, s in zip(r.item_ids, r.similarities)} == brute(texts, named)
