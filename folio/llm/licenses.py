@@ -26,7 +26,7 @@ BASE = (
     ("cc-by-nc", "cc by nc"),
 )
 
-#: Short notices that may hold errors: label, notice, words that must be unchanged.
+#: Short notices that may hold errors: label, notice, words that must stand unchanged in their places.
 NOTICES = (
     ("mit", "under the mit license", ("mit",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", ()),
@@ -56,14 +56,16 @@ def errors_allowed(notice: str) -> int:
 
 @lru_cache(maxsize=1)
 def _compiled():
-    """(label, notice, kept words, errors, pieces with their places, fuzzy pattern) of each notice."""
+    """(label, notice, errors, pieces with their places, fuzzy pattern) of each notice."""
     out = []
     for label, notice, kept in NOTICES:
         k = errors_allowed(notice)
         cuts = [round(i * len(notice) / (k + 1)) for i in range(k + 2)]
         pieces = [(a, notice[a:b].encode()) for a, b in zip(cuts[:-1], cuts[1:])]
-        fuzzy = regex.compile(rf"(?b)(?<!\S)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}(?!\S)")
-        out.append((label, notice, frozenset(kept), k, pieces, fuzzy))
+        # kept words as they are, each stretch between them with errors; their sum is checked on the match
+        parts = re.split(rf"((?<!\S)(?:{'|'.join(kept)})(?!\S))", notice) if kept else [notice]
+        form = "".join(rf"(?<!\S){x}(?!\S)" if x in kept else rf"(?:{regex.escape(x, literal_spaces=True)}){{e<={k}}}" for x in parts if x)
+        out.append((label, notice, k, pieces, regex.compile(rf"(?b)(?<!\S){form}(?!\S)")))
     return out
 
 
@@ -106,6 +108,17 @@ def base_places(words: Words) -> list[tuple[int, str]]:
     return found
 
 
+def _all_matches(fuzzy, k: int, text: str):
+    """Matches with at most k errors, none over another. A search gives the best match of a stretch, so what stands before it and after it is searched again."""
+    left = [(0, len(text))]
+    while left:
+        begin, end = left.pop()
+        m = fuzzy.search(text, begin, end)
+        if m and sum(m.fuzzy_counts) <= k:
+            yield m
+            left += [(a, b) for a, b in ((begin, m.start() - 1), (m.end() + 1, end)) if a < b]
+
+
 def fuzzy_places(text: bytes) -> list[tuple[str, int, int, int, int]]:
     """(label, begin, end, edits, length of the notice) of notices in normalised text, positions in bytes."""
     seen: dict[bytes, list[int]] = {}
@@ -117,7 +130,7 @@ def fuzzy_places(text: bytes) -> list[tuple[str, int, int, int, int]]:
         if at:
             seen[piece] = at
     out = []
-    for label, notice, kept, k, pieces, fuzzy in _compiled():
+    for label, notice, k, pieces, fuzzy in _compiled():
         windows = sorted({max(0, i - a - 4 * k) for a, p in pieces for i in seen.get(p, ())})
         reach = len(notice) + 9 * k  # an edit may be a sign of up to four bytes
         merged: list[list[int]] = []
@@ -132,10 +145,9 @@ def fuzzy_places(text: bytes) -> list[tuple[str, int, int, int, int]]:
             e = len(text) if (z := text.find(b" ", e)) < 0 else z
             for line in re.finditer(rb"[^\n]+", text[b:e]):
                 piece = line.group().decode("utf-8", "replace")
-                for m in fuzzy.finditer(piece):
-                    if kept <= set(m.group().split()):
-                        begin = b + line.start() + len(piece[: m.start()].encode())
-                        out.append((label, begin, begin + len(m.group().encode()), sum(m.fuzzy_counts), len(notice)))
+                for m in _all_matches(fuzzy, k, piece):
+                    begin = b + line.start() + len(piece[: m.start()].encode())
+                    out.append((label, begin, begin + len(m.group().encode()), sum(m.fuzzy_counts), len(notice)))
     return sorted(set(out))
 
 

@@ -35,6 +35,18 @@ def test_license_scan(spark):
     assert got[6].labels == "gpl-3" and got[5].labels == "" and got[3].labels == "" and got[8].score == 0
 
 
+def test_notices_close_together():
+    found = lambda text: [(label, text.encode()[a:b].decode(), n) for label, a, b, n, _ in sorted(licenses.fuzzy_places(text.encode()), key=lambda m: m[1])]
+    two, three, publik = "gnu general public license version 2", "gnu general public license version 3", "gnu general publik licence version 2"
+    assert found(f"{publik} or {three}") == [("gpl-2", publik, 2), ("gpl-3", three, 0)]
+    assert found(f"{publik} and then {two}") == [("gpl-2", publik, 2), ("gpl-2", two, 0)]
+    assert found(f"{two} {publik} {two} {publik}") == [("gpl-2", two, 0), ("gpl-2", publik, 2)] * 2
+    assert found("under the mti license under th mit license under the mit license") == [("mit", "under th mit license", 1), ("mit", "under the mit license", 0)]
+    assert found("licensed undr cc by nc licensed under cc by sa") == [("cc-by-nc", "licensed undr cc by nc", 1), ("cc-by-sa", "licensed under cc by sa", 0)]
+    assert found("gnu general public license version 12") == []
+    assert len(found(f"{publik} " * 200)) == 200
+
+
 def brute(texts, items):
     """(text, item) -> best weighted similarity over all windows of the item's length."""
     grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
