@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from functools import lru_cache
 
@@ -32,10 +33,11 @@ _PATTERNS = (
     ("secret", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])")),
     ("email", re.compile(r"(?<![A-Za-z0-9._%+\-])([A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})(?![A-Za-z0-9\-])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
+    ("ip6", re.compile(r"(?:(?<![\w.:])|(?<=[A-Za-z]:)(?=[0-9A-Fa-f]))((?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{0,4}))(?![\w:])")),
     ("ip", re.compile(r"(?<![\w.])((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\w]|\.\d)")),
     ("ssn", re.compile(r"(?<![\w\-])(\d{3}-\d{2}-\d{4})(?![\w\-])")),
     ("card", re.compile(r"(?<![\w.])(\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w]|\.\d)")),
-    ("phone", re.compile(r"(?<![\w.+])(\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\w)")),
+    ("phone", re.compile(r"(?<![\w.+])(\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\- ]\d{3}[.\- ]\d{4})(?!\w)")),
 )
 
 #: Titles with their gender.
@@ -50,6 +52,7 @@ _GENDER = {name: g for g, names in GIVEN.items() for name in names}
 _UPPER = r"[A-ZÀ-ÖØ-ÞА-ЯЁ]"
 _LOWER = r"[a-zß-öø-ÿа-яё]"
 _NAME = re.compile(rf"(?<!\w)({'|'.join(TITLES)})\.?[ ]((?:{_UPPER}{_LOWER}+)(?:[ \-]{_UPPER}{_LOWER}+){{0,2}})(?!\w)")
+_CAPITALISED = re.compile(rf"(?<!\w){_UPPER}\w+")
 
 #: Syllables from which surrogate names are built, by script, and endings by script and gender.
 SYLLABLES = {"latin": "al an ber bro car dal den el fa ga han jor ka lin mar nel ol per ra sel ta ul ven wil".split(), "cyrillic": "ал бор вла гре дан ель зор кир лев мар нел оль пет рад сав тим".split()}
@@ -57,11 +60,26 @@ ENDINGS = {("latin", "m"): "o en us ert".split(), ("latin", "f"): "a ia ine elle
 
 _MAY_HOLD = np.zeros(256, bool)
 _MAY_HOLD[[ord(c) for c in "@0123456789=:"]] = True
-_TITLE_BYTES = re.compile(b"|".join(t.encode() for t in TITLES))
+#: Titles, and the beginnings of keys, which may hold letters only.
+_SIGN_BYTES = re.compile(b"|".join(t.encode() for t in TITLES) + rb"|AKIA|ASIA|gh[pousr]_|sk-[A-Za-z0-9]{20}")
+
+
+def _address6(s: str) -> str | None:
+    """The canonical form of an IPv6 address; none if it is not one, unspecified, or may as well be two names (a::b)."""
+    try:
+        address = ipaddress.IPv6Address(s)
+    except ValueError:
+        return None
+    if not int(address) or not (re.search(r"\d", s) or len(re.findall(r"[^:]+", s)) > 2):
+        return None
+    return address.compressed
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """(begin, end, type, canonical form) of a text's entities, in order, none within another; earlier patterns win."""
+    """(begin, end, type, canonical form) of a text's entities, in order, none within another; earlier patterns win.
+
+    A name that stands after a title is an entity wherever the text has it.
+    """
     found: list[tuple[int, int, str, str]] = []
     taken = bytearray(len(text))
 
@@ -73,6 +91,12 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     for kind, pattern in _PATTERNS:
         for m in pattern.finditer(text):
             s = m.group(1)
+            if kind == "ip6":
+                if s.endswith(":") and not s.endswith("::"):
+                    s = s[:-1]
+                if canonical := _address6(s):
+                    take(m.start(1), m.start(1) + len(s), "ip", canonical)
+                continue
             if kind == "secret":
                 canonical = s
             elif kind in ("email", "ip"):
@@ -82,6 +106,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 if kind == "phone" and not 7 <= len(canonical) <= 15:
                     continue
             take(m.start(1), m.end(1), kind, canonical)
+    kinds: dict[str, list[str]] = {}
     for m in _NAME.finditer(text):
         parts = list(re.finditer(r"[^ \-]+", m.group(2)))
         gender = TITLES[m.group(1)]
@@ -90,6 +115,19 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             given = i < len(parts) - 1
             kind = "given_" + (gender if gender != "n" else _GENDER.get(p.group(), "n")) if given else "family"
             take(m.start(2) + p.start(), m.start(2) + p.end(), kind, p.group().lower())
+            kinds.setdefault(p.group().lower(), []).append(kind)
+    if kinds:
+        for m in _CAPITALISED.finditer(text):
+            name, s = m.group().lower(), m.group()
+            if name not in kinds or s not in (name.capitalize(), name.upper()):
+                continue
+            kind = kinds[name][0]
+            if "family" in kinds[name] and set(kinds[name]) != {"family"}:
+                # both a given and a family name in this text: given where a family name follows
+                after = _CAPITALISED.match(text, m.end() + 1) if text[m.end() : m.end() + 1] in (" ", "-") else None
+                given = after is not None and "family" in kinds.get(after.group().lower(), ())
+                kind = next(k for k in kinds[name] if (k != "family") == given)
+            take(m.start(), m.end(), kind, name)
     return sorted(found)
 
 
@@ -144,6 +182,9 @@ def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0) -> str:
         labels = domain.split(".")
         # the last two labels are reserved for documentation, so no mail reaches anybody
         return _like(local, draw) + "@" + ".".join([_like(x, draw) for x in labels[:-2]] + ["example", labels[-1] if labels[-1] in ("com", "net", "org") else "org"])
+    if kind == "ip" and ":" in canonical:
+        # the block that is reserved for documentation
+        return ipaddress.IPv6Address((0x20010DB8 << 96) | sum(draw.below(1 << 16) << (16 * i) for i in range(6))).compressed
     if kind == "ip":
         return f"10.{draw.below(256)}.{draw.below(256)}.{draw.below(256)}" if attempt < 3 else ".".join([str(1 + draw.below(223)), *(str(draw.below(256)) for _ in range(3))])
     if kind == "card":
@@ -173,7 +214,7 @@ def rendered(kind: str, mention: str, canonical: str) -> str:
     if kind in ("card", "phone", "ssn", "iban"):
         signs = iter(canonical)
         return "".join(next(signs, "") if c.isdigit() or (c.isalpha() and c.isascii()) else c for c in mention)
-    if kind == "email" and mention.isupper():
+    if (kind == "email" or kind == "ip" and ":" in canonical) and mention.isupper():
         return canonical.upper()
     if kind.startswith("given_") or kind == "family":
         return canonical.upper() if mention.isupper() else canonical.capitalize()
@@ -190,7 +231,7 @@ def _suspects(column: pa.Array) -> np.ndarray:
     raw, at = text_buffer(column)
     sums = np.concatenate([[0], np.cumsum(_MAY_HOLD[raw])])
     out = sums[at[1:]] > sums[at[:-1]]
-    for m in _TITLE_BYTES.finditer(raw.tobytes()):
+    for m in _SIGN_BYTES.finditer(raw.tobytes()):
         out[np.searchsorted(at, m.start(), "right") - 1] = True
     return out
 
@@ -293,7 +334,7 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     """(doc_id, text, n_entities, entities), one row for each row of docs: the text with surrogates, and their types and spans in it.
 
     Types: email, phone, ip, card, ssn, iban, secret, and names after a title (given_m, given_f, given_n,
-    family). Null texts stay null and empty ones empty; null doc_ids stay null; repeated rows get equal results;
+    family), there and wherever else the text has them. Null texts stay null and empty ones empty; null doc_ids stay null; repeated rows get equal results;
     further columns are ignored; an empty table gives no rows. Texts without entities come back unchanged.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -59,3 +59,28 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert pii.replace_pii(spark.createDataFrame([], SCHEMA), KEY).collect() == []
+
+
+def test_bare_mentions_and_further_forms(spark):
+    texts = [
+        "Mr. Peter Jones came. Later Jones signed, PETER JONES agreed and Peter's car left; Jonesy stayed.", "Jones signed.",
+        "call 555 123 4567 now", "from 2001:0DB8:0:0::00FF, ip:2001:db8::ff: and fe80::1%eth0; std::vector a::b 12:30:45 :: aa:bb:cc:dd:ee:ff",
+        "the key is sk-" + "abcdefghij" * 2 + " here", "AKIA" + "ABCDEFGH" * 2, "a ghp_" + "abcdef" * 6 + " b",
+        "Mr. James Peter met Dr. Peter Jones. Peter Jones left with Peter.",
+    ]
+    rows = pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()
+    got = {r.doc_id: r.text for r in rows}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. Later (\w+) signed, (\w+) (\w+) agreed and (\w+)'s car left; Jonesy stayed\.", got[0])
+    given, family = m[1], m[2]
+    assert (m[3], m[4], m[5], m[6]) == (family, given.upper(), family.upper(), given) and given != "Peter" and family != "Jones"
+    assert got[1] == texts[1]
+    assert re.fullmatch(r"call \d{3} \d{3} \d{4} now", got[2]) and got[2] != texts[2]
+    m = re.fullmatch(r"from (2001:DB8:[0-9A-F:]+), ip:(2001:db8:[0-9a-f:]+): and (2001:db8:[0-9a-f:]+)%eth0; std::vector a::b 12:30:45 :: aa:bb:cc:dd:ee:ff", got[3])
+    assert m[1].lower() == m[2] != m[3]
+    for i, form in ((4, r"the key is sk-[a-z]{20} here"), (5, r"AKIA[A-Z]{16}"), (6, r"a ghp_[a-z]{36} b")):
+        assert re.fullmatch(form, got[i]) and got[i] != texts[i]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Dr\. (\w+) (\w+)\. (\w+) (\w+) left with (\w+)\.", got[7])
+    assert (m[5], m[6], m[7]) == (m[3], m[4], m[2])
+    for r in rows:
+        for e in r.entities:
+            assert r.text[e.begin : e.end].lower() == e.surrogate.lower()
