@@ -74,18 +74,19 @@ def chunk_pages(pages: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = O
     )
 
 
-def word_costs(texts: DataFrame, least: int = 2, limit: int = 200_000) -> dict[str, float]:
-    """Costs of words by their frequency in a corpus, of at most ``limit`` words; for repair_fused."""
+def word_counts(texts: DataFrame, least: int = 2) -> DataFrame:
+    """(word, count) of all words of a corpus that it has ``least`` times or more; for repair_fused."""
     words = texts.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"([a-z]{1,17})(?![a-z])"), 1)).alias("word")).groupBy("word").count()
-    rows = words.where(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(limit).collect()
-    total = sum(r["count"] for r in rows)
-    return {r.word: math.log(total / r["count"]) for r in rows}
+    return words.where(F.col("count") >= least)
 
 
-def best_split(run: str, costs: dict[str, float]) -> list[str]:
-    """The cheapest split of a run of letters into known words; an unknown letter costs more than any of them."""
-    longest = max(map(len, costs), default=1)
-    unknown = max(costs.values(), default=0.0) + 10.0
+def best_split(run: str, costs: dict[str, float], longest: int | None = None, dearest: float | None = None) -> list[str]:
+    """The cheapest split of a run of letters into known words; an unknown letter costs more than any of them.
+
+    If ``costs`` has only the words within the run, ``longest`` and ``dearest`` are those of all words.
+    """
+    longest = longest or max(map(len, costs), default=1)
+    unknown = (max(costs.values(), default=0.0) if dearest is None else dearest) + 10.0
     best: list[tuple[float, int]] = [(0.0, 0)]
     for i in range(1, len(run) + 1):
         best.append(min((best[j][0] + costs.get(run[j:i], unknown * (i - j)), j) for j in range(max(0, i - longest), i)))
@@ -99,14 +100,70 @@ def best_split(run: str, costs: dict[str, float]) -> list[str]:
 _FUSED = re.compile(r"\b[a-z]{18,}\b")
 
 
-def repair_fused(texts: DataFrame, costs: dict[str, float]) -> DataFrame:
-    """texts with runs of 18 or more small letters in ``text`` split into known words; texts without such runs never leave the JVM."""
-    at_issue = F.coalesce(F.col("text").rlike("[a-z]{18,}"), F.lit(False))
-    shared = texts.sparkSession.sparkContext.broadcast(costs)
+def _runs(frames):
+    """(text_key, run) of the fused runs of each text."""
+    for pdf in frames:
+        rows = [(k, run) for k, t in zip(pdf["text_key"], pdf["text"]) for run in sorted(set(_FUSED.findall(t)))]
+        yield pd.DataFrame(rows, columns=["text_key", "run"])
 
-    def repair(frames):
+
+def _substrings(longest: int):
+    def substrings(frames):
         for pdf in frames:
-            pdf["text"] = [_FUSED.sub(lambda m: " ".join(best_split(m.group(), shared.value)), t) for t in pdf["text"]]
-            yield pdf
+            for key, run in zip(pdf["run_key"], pdf["run"]):
+                found = {run[i : i + n] for n in range(1, longest + 1) for i in range(len(run) - n + 1)}
+                yield pd.DataFrame({"run_key": key, "word": sorted(found)})
+
+    return substrings
+
+
+def _splitter(total: int, least: int, longest: int):
+    def split(frames):
+        for pdf in frames:
+            out = []
+            for run, known in zip(pdf["run"], pdf["known"]):
+                costs = {w["word"]: math.log(total / w["count"]) for w in known} if known is not None else {}
+                out.append(" ".join(best_split(run, costs, longest, math.log(total / least))))
+            yield pd.DataFrame({"run_key": pdf["run_key"], "split": out})
+
+    return split
+
+
+def repair_fused(texts: DataFrame, words: DataFrame | dict[str, float]) -> DataFrame:
+    """texts with runs of 18 or more small letters in ``text`` split into known words; texts without such runs never leave the JVM.
+
+    ``words`` has counts of words (word, count), of any number: each run meets only the words within it, by a join.
+    Or it is a small table of costs, which is sent to the executors.
+    """
+    at_issue = F.coalesce(F.col("text").rlike("[a-z]{18,}"), F.lit(False))
+    if isinstance(words, dict):
+        shared = texts.sparkSession.sparkContext.broadcast(words)
+
+        def repair(frames):
+            for pdf in frames:
+                pdf["text"] = [_FUSED.sub(lambda m: " ".join(best_split(m.group(), shared.value)), t) for t in pdf["text"]]
+                yield pdf
+
+        return texts.where(~at_issue).unionByName(texts.where(at_issue).mapInPandas(repair, texts.schema))
+
+    total, least, longest = words.agg(F.sum("count"), F.min("count"), F.max(F.length("word"))).first()
+    total, least, longest = total or 1, least or 1, longest or 1
+    keyed = texts.where(at_issue).withColumn("text_key", F.sha2("text", 256))
+    of_text = keyed.select("text_key", "text").distinct().mapInPandas(_runs, "text_key string, run string").withColumn("run_key", F.sha2("run", 256))
+    distinct = of_text.select("run_key", "run").distinct()
+    known = distinct.mapInPandas(_substrings(longest), "run_key string, word string").join(words, "word")
+    known = known.groupBy("run_key").agg(F.collect_list(F.struct("word", "count")).alias("known"))
+    splits = distinct.join(known, "run_key", "left").mapInPandas(_splitter(total, least, longest), "run_key string, split string")
+    found = of_text.join(splits, "run_key").groupBy("text_key").agg(F.collect_list(F.struct("run", "split")).alias("splits"))
+    joined = keyed.join(found, "text_key", "left").select(*texts.columns, "splits")
+
+    def put(frames):
+        for pdf in frames:
+            out = []
+            for text, pairs in zip(pdf["text"], pdf["splits"]):
+                split = {p["run"]: p["split"] for p in pairs} if pairs is not None else {}
+                out.append(_FUSED.sub(lambda m, split=split: split[m.group()], text))
+            pdf["text"] = out
+            yield pdf.drop(columns="splits")
 
-    return texts.where(~at_issue).unionByName(texts.where(at_issue).mapInPandas(repair, texts.schema))
+    return texts.where(~at_issue).unionByName(joined.mapInPandas(put, texts.schema))

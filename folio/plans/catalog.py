@@ -70,7 +70,7 @@ def token_estimate(spark, sf):
 @query()
 def repair_fused(spark, sf):
     d = D.table(spark, sf, "documents").select("doc_id", "text")
-    return chunking.repair_fused(d.where("text is not null"), chunking.word_costs(d)).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    return chunking.repair_fused(d.where("text is not null"), chunking.word_counts(d)).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(f"SELECT doc_id, len(s) AS n_terms, CAST(list_sum(list_transform(s, lambda x: length(x))) AS BIGINT) AS n_signs FROM (SELECT doc_id, {S.terms('text')} AS s FROM documents)")

@@ -1,5 +1,6 @@
 """Operators on small inline tables: the expected results are worked out by hand or by a plain model."""
 
+import math
 import random
 
 import numpy as np
@@ -256,3 +257,20 @@ def test_files_and_stream(spark, tmp_path):
     assert sorted((r.doc_id, r.status, r.chunk_count) for r in spark.read.parquet(f"{store}/documents").collect()) == [(1, "ready", 1), (4, "failed", 0)]
     assert [r.doc_id for r in spark.read.parquet(f"{store}/chunks").collect()] == [1]
     assert [r.reject_reason for r in spark.read.parquet(f"{store}/rejected").collect()] == ["unsupported"]
+
+
+def test_repair_fused_with_all_words(spark):
+    # rarer words than the dictionary of 200,000 held: each of these stands twice, the many others three times
+    letters = "abcdefghijklmnopqrst"
+    many = [a + b + c + d for a in letters for b in letters for c in letters for d in letters][:160_000]
+    many += ["z" + a + b + c + d for a in letters for b in letters for c in letters for d in letters][:45_000]
+    corpus = spark.createDataFrame([(" ".join(many),)] * 3 + [("vivid yuwuxy xyvuwy Vivid",), ("yuwuxy xyvuwy vivid",)], "text string")
+    words = chunking.word_counts(corpus)
+    assert words.count() == len(many) + 3
+    rows = [(1, "a yuwuxyvividxyvuwyvivid b yuwuxyvividxyvuwyvivid"), (2, "yuwuxyvividxyvuwyvivid é"), (2, "yuwuxyvividxyvuwyvivid é"), (3, "short"), (4, None), (5, "v" * 20 + "9"), (6, "u" * 20)]
+    got = chunking.repair_fused(spark.createDataFrame(rows, "i int, text string"), words).collect()
+    split = "yuwuxy vivid xyvuwy vivid"
+    counts = {r.word: r["count"] for r in words.collect()}
+    total = sum(counts.values())
+    costs = {w: math.log(total / n) for w, n in counts.items()}
+    assert sorted((r.i, r.text or "") for r in got) == [(1, f"a {split} b {split}"), (2, f"{split} é"), (2, f"{split} é"), (3, "short"), (4, ""), (5, "v" * 20 + "9"), (6, " ".join(chunking.best_split("u" * 20, costs)))]
