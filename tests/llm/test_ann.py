@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from folio.llm import ann
 
@@ -47,3 +49,57 @@ def test_few_and_none(spark):
 def test_chi_square():
     # 0.95 quantile with 8 degrees of freedom
     assert abs(ann.stopping_ratio(0.95, 8) - 15.5073) < 1e-3
+
+
+def _unit(x):
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _measured(spark, path, x):
+    """(recall of the 20 nearest, share of the vectors that a query was multiplied with), all settings by default."""
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x.astype(np.float32))}), path)
+    vectors = spark.read.parquet(str(path))
+    got, verified = {}, {}
+    for r in ann.neighbours(vectors, vectors.where("vec_id % 400 = 0").select("vec_id")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        verified[r.query_id] = r.n_verified
+    exact = x.astype(np.float32).astype(np.float64)
+    hits = 0
+    for i in got:
+        s = exact @ exact[i]
+        s[i] = -np.inf
+        hits += len(got[i] & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert len(got) == -(-len(x) // 400)
+    return hits / (20 * len(got)), sum(verified.values()) / len(x) / len(got)
+
+
+def test_recall_and_verified_share_by_default(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    clustered = _unit(rng.standard_normal((500, 64))[rng.integers(0, 500, 50_000)] + 0.3 * rng.standard_normal((50_000, 64)))
+    recall, share = _measured(spark, tmp_path / "clustered.parquet", clustered)
+    assert recall >= 0.95 and share < 0.05, (recall, share)
+    # no structure: the test can only hold late
+    recall, share = _measured(spark, tmp_path / "gaussian.parquet", _unit(rng.standard_normal((50_000, 64))))
+    assert recall >= 0.9 and share < 0.5, (recall, share)
+
+
+def test_visits_of_clustered_vectors_do_not_grow_with_the_blocks(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((160, 64))
+    shares = []
+    for n in (4_000, 16_000):
+        monkeypatch.setattr(ann, "CELL", 500)
+        monkeypatch.setattr(ann, "BLOCK", 500)
+        _, share = _measured(spark, tmp_path / f"{n}.parquet", _unit(centres[np.arange(n) % (n // 100)] + 0.2 * rng.standard_normal((n, 64))))
+        shares.append(share * n)
+    assert shares[1] < 1.5 * shares[0], shares
+
+
+def test_large_and_small_components(spark):
+    rows = [(0, [3e200, 4e200]), (1, [1e200, 0.0]), (2, [0.0, 2e200]), (3, [1e-300, 0.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in ann.neighbours(docs, docs.where("vec_id = 0").select("vec_id")).orderBy("rank").collect()]
+    assert got == [(2, float("inf")), (1, float("inf"))]
+    tiny = spark.createDataFrame([(0, [3e-100, 4e-100]), (1, [1e-100, 0.0]), (2, [0.0, 2e-100])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in ann.neighbours(tiny, tiny.where("vec_id = 0").select("vec_id")).orderBy("rank").collect()]
+    assert got == [(2, 4e-100 * 2e-100), (1, 3e-100 * 1e-100)]
