@@ -3,9 +3,11 @@
 Detected entities get replacements made from a keyed hash of the entity, so the
 same entity has the same surrogate everywhere (coreference) and nobody without the key can
 repeat the choice. Surrogates keep type and format: lengths, punctuation, letter case, check
-digits, and for names gender and script. Collisions are looked for over all
+digits, and for names gender and script. The gender of a given name is what the titles
+before it say all over the corpus. Collisions are looked for over all
 entities of the corpus: of entities with one surrogate, and of surrogates that are themselves an entity, all
-but one draw again until none is left.
+but one draw again until none is left. From the GROWS-th draw on a surrogate is longer than its entity, by one sign more
+every second time, so that no format runs out of surrogates.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from .text import slices, text_buffer, with_columns
 
 #: Entities that drew again are sent to every task up to this many; beyond it they are joined to their texts.
 SENT = 100_000
-ROUNDS = 30
+#: Draws after which surrogates grow: forms of few signs at once, those of fixed length once many draws have failed.
+GROWS = {"email": 2, "secret": 2, "phone": 6, "card": 6, "ssn": 6, "iban": 6}
 
 _PATTERNS = (
     ("secret", re.compile(r"(?i)(?<![A-Za-z0-9])(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/\-]{6,}={0,2})")),
@@ -51,7 +54,7 @@ GIVEN = {"m": ("John", "Peter", "Michael", "Hans", "Pierre", "Carlos", "Paul", "
 _GENDER = {name: g for g, names in GIVEN.items() for name in names}
 _UPPER = r"[A-ZÀ-ÖØ-ÞА-ЯЁ]"
 _LOWER = r"[a-zß-öø-ÿа-яё]"
-_NAME = re.compile(rf"(?<!\w)({'|'.join(TITLES)})\.?[ ]((?:{_UPPER}{_LOWER}+)(?:[ \-]{_UPPER}{_LOWER}+){{0,2}})(?!\w)")
+_NAME = re.compile(rf"(?<!\w)({'|'.join(TITLES)})\.?[ ]((?:{_UPPER}{_LOWER}+)(?:[ \-](?!(?:{'|'.join(TITLES)})(?!\w)){_UPPER}{_LOWER}+){{0,2}})(?!\w)")
 _CAPITALISED = re.compile(rf"(?<!\w){_UPPER}\w+")
 
 #: Syllables from which surrogate names are built, by script, and endings by script and gender.
@@ -177,35 +180,38 @@ def _is_luhn(digits: str) -> bool:
 def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0) -> str:
     """The canonical form of an entity's surrogate."""
     draw = _Draw(key, kind, canonical, attempt)
+    more = max(0, attempt - GROWS.get(kind, attempt) + 2) // 2 if attempt else 0
     if kind == "email":
         local, _, domain = canonical.partition("@")
         labels = domain.split(".")
         # the last two labels are reserved for documentation, so no mail reaches anybody
-        return _like(local, draw) + "@" + ".".join([_like(x, draw) for x in labels[:-2]] + ["example", labels[-1] if labels[-1] in ("com", "net", "org") else "org"])
+        return _like(local + "x" * more, draw) + "@" + ".".join([_like(x, draw) for x in labels[:-2]] + ["example", labels[-1] if labels[-1] in ("com", "net", "org") else "org"])
     if kind == "ip" and ":" in canonical:
         # the block that is reserved for documentation
         return ipaddress.IPv6Address((0x20010DB8 << 96) | sum(draw.below(1 << 16) << (16 * i) for i in range(6))).compressed
+    if kind == "ip" and attempt > 8:
+        return surrogate("ip", "::1", draw.seed)
     if kind == "ip":
         return f"10.{draw.below(256)}.{draw.below(256)}.{draw.below(256)}" if attempt < 3 else ".".join([str(1 + draw.below(223)), *(str(draw.below(256)) for _ in range(3))])
     if kind == "card":
-        out = canonical[0] + _like(canonical[1:], draw)
+        out = canonical[0] + _like(canonical[1:] + "0" * more, draw)
         return _luhn(out) if _is_luhn(canonical) else out
     if kind == "phone":
         keep = 1 if canonical[0] == "1" and len(canonical) == 11 else 0
-        return canonical[:keep] + str(2 + draw.below(8)) + _like(canonical[keep + 1 :], draw)
+        return canonical[:keep] + str(2 + draw.below(8)) + _like(canonical[keep + 1 :] + "0" * more, draw)
     if kind == "ssn":
-        return "9" + _like(canonical[1:], draw)
+        return "9" + _like(canonical[1:] + "0" * more, draw)
     if kind == "iban":
-        body = canonical[:2] + "00" + _like(canonical[4:], draw)
+        body = canonical[:2] + "00" + _like(canonical[4:] + "0" * more, draw)
         number = int("".join(str(int(c, 36)) for c in body[4:] + body[:4]))
         return body[:2] + f"{98 - number % 97:02d}" + body[4:]
     if kind == "secret":
         prefix = re.match(r"AKIA|ASIA|gh[pousr]_|sk-|", canonical).group()
         rest = canonical[len(prefix) :]
-        return prefix + _like(rest, draw, bool(re.fullmatch(r"(?=.*[a-fA-F])(?=.*\d)(?:[0-9a-f]+|[0-9A-F]+)", rest)))
+        return prefix + _like(rest + ("0" if rest.isdigit() else "x") * more, draw, bool(re.fullmatch(r"(?=.*[a-fA-F])(?=.*\d)(?:[0-9a-f]+|[0-9A-F]+)", rest)))
     script = "cyrillic" if re.search("[а-яё]", canonical) else "latin"
     syllables, endings = SYLLABLES[script], ENDINGS[script, kind[-1] if kind.startswith("given_") else "n"]
-    count = 1 + draw.below(2) + attempt // 4  # longer names once the short ones are taken
+    count = 1 + draw.below(2) + attempt // 2  # longer names once the short ones are taken
     return "".join(syllables[draw.below(len(syllables))] for _ in range(count)) + endings[draw.below(len(endings))]
 
 
@@ -213,7 +219,7 @@ def rendered(kind: str, mention: str, canonical: str) -> str:
     """The canonical surrogate in the format of a mention."""
     if kind in ("card", "phone", "ssn", "iban"):
         signs = iter(canonical)
-        return "".join(next(signs, "") if c.isdigit() or (c.isalpha() and c.isascii()) else c for c in mention)
+        return "".join(next(signs, "") if c.isdigit() or (c.isalpha() and c.isascii()) else c for c in mention) + "".join(signs)
     if (kind == "email" or kind == "ip" and ":" in canonical) and mention.isupper():
         return canonical.upper()
     if kind.startswith("given_") or kind == "family":
@@ -264,21 +270,45 @@ def _drawer(key: bytes):
 _DRAWN = "type string, canonical string, attempt int, surrogate string"
 
 
+def _pool(kind: str):
+    """The entities among which a surrogate must be the only one: all names together, each other type by itself."""
+    return F.when(F.col(kind).startswith("given_") | (F.col(kind) == "family"), "name").otherwise(F.col(kind)).alias("pool")
+
+
+def resolved(entities: DataFrame) -> DataFrame:
+    """(type, canonical, as_type): given names get one gender each, that of all titles before them; none if those disagree."""
+    given = F.col("type").startswith("given_")
+    seen = lambda kind: F.max((F.col("type") == kind).cast("int"))
+    gender = entities.where(given).groupBy("canonical").agg((seen("given_m") - seen("given_f")).alias("gender"))
+    one = entities.join(gender, "canonical", "left")
+    as_type = F.when(~given, F.col("type")).when(F.col("gender") > 0, "given_m").when(F.col("gender") < 0, "given_f").otherwise("given_n")
+    return one.select("type", "canonical", as_type.alias("as_type"))
+
+
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
-    """(type, canonical, attempt, surrogate) of distinct entities: no two of a type share a surrogate, and none is another entity of its type."""
-    entities = written(entities.select("type", "canonical").distinct())
-    real = entities.select("type", F.col("canonical").alias("surrogate"))
+    """(type, canonical, attempt, surrogate, moved) of distinct entities: no two of a pool share a surrogate, and none is another entity of it.
+
+    A given name has one surrogate, whatever types it was found with; ``moved`` tells those whose surrogate is not the first draw of their type.
+    """
+    found = written(resolved(entities.select("type", "canonical").distinct()))
+    entities = written(found.select(F.col("as_type").alias("type"), "canonical").distinct())
+    real = entities.select(_pool("type"), F.col("canonical").alias("surrogate")).distinct()
     drawn = written(entities.withColumn("attempt", F.lit(0)).mapInArrow(_drawer(key), _DRAWN))
-    for attempt in range(1, ROUNDS):
-        owner = drawn.groupBy("type", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("first"), F.count(F.lit(1)).alias("n"))
+    attempt = 0
+    while True:
+        pooled = drawn.select("*", _pool("type"))
+        owner = pooled.groupBy("pool", "surrogate").agg(F.min(F.struct("attempt", "canonical", "type")).alias("first"), F.count(F.lit(1)).alias("n"))
         # who drew earlier keeps it
-        shared = drawn.join(owner.where("n > 1"), ["type", "surrogate"]).where("canonical <> first.canonical").select("type", "canonical")
-        lost = written(shared.union(drawn.join(real, ["type", "surrogate"], "left_semi").select("type", "canonical")).distinct())
+        other = (F.col("canonical") != F.col("first.canonical")) | (F.col("type") != F.col("first.type"))
+        shared = pooled.join(owner.where("n > 1"), ["pool", "surrogate"]).where(other).select("type", "canonical")
+        lost = written(shared.union(pooled.join(real, ["pool", "surrogate"], "left_semi").select("type", "canonical")).distinct())
         if not lost.limit(1).count():
-            return drawn
+            break
+        attempt += 1
         again = lost.withColumn("attempt", F.lit(attempt)).mapInArrow(_drawer(key), _DRAWN)
         drawn = written(drawn.join(lost, ["type", "canonical"], "left_anti").union(again))
-    raise RuntimeError(f"surrogates still collide after {ROUNDS} draws")
+    moved = ((F.col("attempt") > 0) | (F.col("type") != F.col("as_type"))).alias("moved")
+    return found.join(drawn.withColumnRenamed("type", "as_type"), ["as_type", "canonical"]).select("type", "canonical", "attempt", "surrogate", moved)
 
 
 _ENTITIES = "array<struct<type:string,begin:long,end:long,surrogate:string>>"
@@ -318,7 +348,7 @@ def with_surrogates(docs: DataFrame, key: bytes, sent: int = SENT) -> DataFrame:
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
     found = written(marked.mapInArrow(_detector, _ENTITY))
     drawn = assign(found, key)
-    redrawn = drawn.where("attempt > 0").select("type", "canonical", "surrogate")
+    redrawn = written(drawn.where("moved")).select("type", "canonical", "surrogate")
     ready = docs.withColumn("entities", F.expr(f"cast(null as {_ENTITIES})"))
     if redrawn.limit(sent + 1).count() <= sent:
         again = {(r.type, r.canonical): r.surrogate for r in redrawn.collect()}
@@ -333,8 +363,8 @@ def with_surrogates(docs: DataFrame, key: bytes, sent: int = SENT) -> DataFrame:
 def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", sent: int = SENT) -> DataFrame:
     """(doc_id, text, n_entities, entities), one row for each row of docs: the text with surrogates, and their types and spans in it.
 
-    Types: email, phone, ip, card, ssn, iban, secret, and names after a title (given_m, given_f, given_n,
-    family), there and wherever else the text has them. Null texts stay null and empty ones empty; null doc_ids stay null; repeated rows get equal results;
+    Types: email, phone, ip, card, ssn, iban, secret, and names after a title (given_m, given_f, given_n: what the titles in
+    this text say; family), there and wherever else the text has them. Null texts stay null and empty ones empty; null doc_ids stay null; repeated rows get equal results;
     further columns are ignored; an empty table gives no rows. Texts without entities come back unchanged.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

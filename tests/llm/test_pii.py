@@ -84,3 +84,45 @@ def test_bare_mentions_and_further_forms(spark):
     for r in rows:
         for e in r.entities:
             assert r.text[e.begin : e.end].lower() == e.surrogate.lower()
+
+
+def test_short_forms_never_run_out(spark):
+    one = [f"{c}@{d}{e}.com" for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcdefg" for e in "abcdef"][:1000]
+    two = [f"{a}{b}@{d}.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for d in ("xy", "yz", "zx")][:2000]
+    fixed = [f"token={n:06d}" for n in range(300)] + ["password=______"] + [f"password={'_' * n}" for n in range(7, 20)]
+    texts = one + two + fixed
+    rows = pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()
+    new = [r.text for r in rows]
+    assert len(set(new)) == len(texts) and not set(new) & set(texts)
+    assert all(re.fullmatch(r"[a-z]+@example\.(com|org)", t) for t in new if "@" in t)
+    assert all(r.n_entities == 1 for r in rows)
+
+
+def test_formats_of_fixed_length_grow_late():
+    for kind, canonical in (("ssn", "123456789"), ("phone", "2755557228"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000")):
+        assert {len(pii.surrogate(kind, canonical, KEY, a)) for a in range(6)} == {len(canonical)}
+        assert [len(pii.surrogate(kind, canonical, KEY, a)) - len(canonical) for a in (6, 8, 10)] == [1, 2, 3]
+    assert pii.rendered("ssn", "123-45-6789", "9123456789") == "912-34-56789"
+    assert ":" in pii.surrogate("ip", "1.2.3.4", KEY, 9)
+
+
+def test_one_name_under_all_titles(spark):
+    texts = ["Dr. Alex Meyer and Mr. Alex Meyer", "Mrs. Alex Meyer; Dr Alex", "Dr. Robin Ott", "Mr. Robin Ott", "Frau Kim Ott, Dr. Kim Ott", "Dr. Alex Ott said that Alex Ott knows."]
+    rows = pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()
+    got = [r.text for r in sorted(rows)]
+    a, b = re.fullmatch(r"Dr\. (\w+ \w+) and Mr\. (\w+ \w+)", got[0]).groups()
+    c, d = re.fullmatch(r"Mrs\. (\w+ \w+); Dr (\w+)", got[1]).groups()
+    assert a == b == c and a != "Alex Meyer"
+    # titles disagree: no gender; elsewhere the one that any title tells
+    ends = lambda name, gender: any(name.endswith(e) for e in pii.ENDINGS["latin", gender])
+    assert ends(a.split()[0], "n")
+    robin = {re.search(r"(\w+) \w+$", t)[1] for t in got[2:4]}
+    kim = set(re.findall(r"(\w+) \w+(?=,|$)", got[4]))
+    assert len(robin) == 1 and ends(min(robin), "m") and len(kim) == 1 and ends(min(kim), "f")
+    assert re.fullmatch(r"Dr\. (\w+ \w+) said that \1 knows\.", got[5]) and got[5].split()[1] == a.split()[0]
+
+
+def test_very_long_text(spark):
+    text = "w " * 300_000 + "a@b.com " + "Mr. John Stone " * 2000
+    row = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), KEY).collect()[0]
+    assert row.n_entities == 4001 and row.text.startswith("w " * 300_000) and "Stone" not in row.text
