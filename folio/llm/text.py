@@ -120,6 +120,11 @@ class Words:
         end = np.minimum(self.end, self.start + length)
         return mix((self._sums[end] - self._sums[self.start]) * self._inverse[self.start] + np.uint64(length))
 
+    def suffix_hash(self, length: int) -> np.ndarray:
+        """Hashes of the words' last ``length`` bytes; of the whole word if it is shorter."""
+        start = np.maximum(self.start, self.end - length)
+        return mix((self._sums[self.end] - self._sums[start]) * self._inverse[start] + np.uint64(length))
+
     def row(self) -> np.ndarray:
         """The row of each word."""
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))

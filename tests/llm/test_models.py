@@ -1,11 +1,14 @@
 """Quality, toxicity and the language model: held-out accuracy on small made texts, contracts, edge rows."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from folio.llm import lm
 from folio.llm.quality import quality
@@ -74,7 +77,7 @@ def test_language_model_counts_and_probabilities(spark, monkeypatch):
     monkeypatch.setattr(lm, "SENT", 30)
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(80)]
-    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 40))) for _ in range(150)] + EDGE[:5]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 40))) for _ in range(150)] + EDGE
     frame_rows = frame(spark, texts)
     rows = lm.language_model(frame_rows).collect()
     split = lambda t: [*(t or "").encode().lower().split(), None]
@@ -90,19 +93,79 @@ def test_language_model_counts_and_probabilities(spark, monkeypatch):
     assert lm.language_model(frame_rows.limit(0)).count() == 0
 
 
+def _vocabulary(texts):
+    tokens, ending, _ = lm._tokens(pa.array(texts))
+    words, first, n = np.unique(tokens, return_index=True, return_counts=True)
+    groups, width = lm.classes_of(len(words))
+    by_ending = np.zeros((groups * width - groups * width // 4, 2), np.int64)
+    for e, k in zip(ending[first] % len(by_ending), n):
+        by_ending[e] += k, 1
+    return lm.Vocabulary(words, ending[first], n, int(n.sum()), len(words), by_ending)
+
+
 def test_language_model_learns_and_is_normalised():
-    rng = np.random.default_rng(4)
-    size = 12
-    n = np.full(size, 1000)
-    v = lm.Vocabulary(np.arange(size), n, int(n.sum()), size)
+    rnd = random.Random(5)
+    words = [f"{x}{i}" for i, x in enumerate(rnd.choices(["ment", "ung", "tion", "a"], k=300))]
+    texts = []
+    for _ in range(600):
+        at, text = rnd.randrange(300), []
+        for _ in range(60):
+            at = (at + 1) % 300 if rnd.random() < 0.8 else rnd.randrange(300)
+            text.append(words[at])
+        texts.append(" ".join(text))
+    v = _vocabulary(texts)
     trainer = lm.Trainer(v, 1)
-    one = rng.integers(0, size, 200_000)
-    two = rng.integers(0, size, 200_000)
-    cls = np.where(rng.random(200_000) < 0.8, (one + 1) % size, rng.integers(0, size, 200_000))
-    for i in range(0, len(cls), lm.BATCH):
-        trainer.step(one[i : i + lm.BATCH], two[i : i + lm.BATCH], cls[i : i + lm.BATCH])
+    tokens, ending, bounds = lm._tokens(pa.array(texts))
+    cls, n, near = v.find(tokens, ending)
+    one, two = lm._histories(near, bounds, v)
+    for _ in range(3):
+        for i in range(0, len(cls), 512):
+            trainer.step(one[i : i + 512], two[i : i + 512], cls[i : i + 512])
     model = lm.Model(trainer.p, v)
-    contexts = [(a, b) for a in range(size) for b in range(size)]
-    total = sum(10 ** model.log10(np.full(size + 1, a), np.full(size + 1, b), np.arange(size + 1)).astype(float) for a, b in contexts)
-    assert abs(total.sum() - len(contexts)) < 1e-3
-    assert model.log10(one, two, cls).mean() > np.log10(v.share[cls]).mean() + 0.2
+    size = v.groups * v.width
+    for k in (0, 100, 2000):
+        every = 10 ** model.log10(np.full(size, one[k]), np.full(size, two[k]), np.arange(size))
+        assert abs(every.sum() - 1) < 1e-5
+    # words of a class, and one that nobody knows, share its mass
+    assert abs(v.mass.sum() - (v.total + v.distinct + size - v.own)) < 1
+    gain = model.log10(one, two, cls) + np.log10(n + 1.0) - np.log10(v.mass[cls]) - np.log10((n + 1.0) / (v.total + v.distinct + 1))
+    assert gain.mean() > 0.8, gain.mean()
+
+
+def test_score_by_plain_numpy(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SENT", 60)
+    monkeypatch.setattr(lm, "REPLICA_TOKENS", 300)  # several replicas, averaged in several steps
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    fitted = []
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda training: fitted.append(fit(training)) or fitted[-1])
+    rnd = random.Random(6)
+    words = [f"w{i}ung" if i % 3 else f"W{i}" for i in range(150)]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 40))) for _ in range(120)] + EDGE
+    rows = {r.doc_id: r for r in lm.language_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    (_, model), v = fitted[0], fitted[0][1].v
+    split = lambda t: [*(t or "").encode().lower().split(), b"\x00end"]
+    c = Counter(w for i, t in enumerate(texts) if remainder(i, 7) != 2 for w in split(t))
+    weight, group_out, group_bias, class_out, bias = (x.astype(float) for x in model.parts)
+    near = model.near.astype(float)
+    for i in (*range(0, 120, 7), *range(120, 125)):
+        tokens, ending, bounds = lm._tokens(pa.array([texts[i]]))
+        cls, _, contexts = v.find(tokens, ending)
+        past, want = [v.contexts - 1, v.contexts - 1], 0.0
+        for w, k, x in zip(split(texts[i]), cls.tolist(), contexts.tolist()):
+            query = near[past[-1]] * weight[0] + near[past[-2]] * weight[1]
+            groups = np.exp(group_out @ query + group_bias)
+            g = k // v.width
+            within = np.exp(class_out[g * v.width : (g + 1) * v.width] @ query + bias[g * v.width : (g + 1) * v.width])
+            want += math.log10(groups[g] / groups.sum() * within[k % v.width] / within.sum() * (c[w] + 1) / v.mass[k])
+            past.append(x)
+        assert math.isclose(rows[i].score, want, rel_tol=1e-4, abs_tol=1e-3), (i, rows[i].score, want)
+
+
+def test_gain_over_the_base_on_held_out_texts(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    rows = lm.language_model(spark.read.parquet(path)).where("held_out").select("n_tokens", "base_score", "score").collect()
+    gain = sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows)
+    assert gain >= 0.25, gain
