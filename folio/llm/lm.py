@@ -364,7 +364,7 @@ class Model:
 def _log_softmax(scores: np.ndarray, taken: np.ndarray) -> np.ndarray:
     scores -= scores.max(1, keepdims=True)
     own = scores[np.arange(len(taken)), taken].astype(np.float64)
-    return own - np.log(np.exp(scores, out=scores).sum(1, dtype=np.float64))
+    return own - np.log(np.exp(scores, out=scores).sum(1).astype(np.float64))
 
 
 _PARTIAL = "doc_id long, uid long, n_tokens long, known long, base double, model double, tail array<long>"
