@@ -79,6 +79,8 @@ def _segmenter(capacity: int, dtype: str):
                     flat = x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int32)
                     for a in range(0, len(flat), capacity):
                         piece = flat[a : a + capacity]
+                        if int(piece.min()) < 0 or int(piece.max()) > np.iinfo(dtype).max:
+                            raise ValueError(f"document {d} has an id that does not fit {dtype}")
                         doc.append(d)
                         at.append(a)
                         size.append(len(piece))
@@ -148,7 +150,7 @@ def pack(encoded: DataFrame, tokens: int, capacity: int = CAPACITY, width: int =
     little-endian unsigned integers of ``width`` bytes, filled with ``pad`` and 0; cu_seqlens begins with 0;
     doc_ids and starts tell which document, from which of its tokens, each segment holds. Documents with null or no ids
     fill no row; null doc_ids are packed as null; repeated rows are packed repeatedly; further columns are ignored; an
-    empty table gives no rows. Ids must fit the width, and capacity must too.
+    empty table gives no rows. Ids must fit the width, and capacity must too; else the job fails. Each shard is a partition of its own.
     """
     pieces = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(*segmenting(capacity, width))
     return pack_segments(pieces, tokens, capacity, width, pad)
@@ -159,7 +161,7 @@ def pack_segments(pieces: DataFrame, tokens: int, capacity: int = CAPACITY, widt
     dtype, shards = _DTYPES[width], max(1, -(-tokens // SHARD_TOKENS))
     # by content too, as one id may be repeated
     shard = F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(shards)).cast("int")
-    dealt = pieces.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", F.desc("size"), "doc_id", "start")
+    dealt = pieces.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.desc("size"), "doc_id", "start")
     return dealt.mapInArrow(_packer(capacity, dtype, pad), _SCHEMA)
 
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm import packing
 
@@ -58,3 +59,18 @@ def test_empty_and_wrong(spark):
     assert packing.digests(packing.pack(encoded, 0)).count() == 0
     with pytest.raises(ValueError):
         packing.pack(encoded, 0, capacity=70000)
+    wide = spark.createDataFrame([(1, [5, 65_536])], "doc_id long, ids array<int>")
+    with pytest.raises(Exception, match="does not fit"):
+        packing.pack(wide, 2).collect()
+    assert np.frombuffer(packing.pack(wide, 2, width=4).collect()[0].ids, "<u4")[:2].tolist() == [5, 65_536]
+
+
+def test_shards_are_partitions_and_written_rows_are_read_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 500)
+    encoded = spark.createDataFrame([(i, list(range(i % 40))) for i in range(300)], "doc_id long, ids array<int>")
+    packed = packing.pack(encoded, tokens=6000, capacity=64)
+    of = packed.select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(of) == len({r.shard for r in of}) == len({r.p for r in of}) == 12
+    packing.write(packed, str(tmp_path / "rows"))
+    again = spark.read.parquet(str(tmp_path / "rows"))
+    assert sorted(again.collect(), key=lambda r: (r.shard, r.row)) == sorted(packed.collect(), key=lambda r: (r.shard, r.row))
