@@ -81,12 +81,16 @@ class Model:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        """Share of label 1 in the votes of the nearest sample texts; 0.5 with no sample or nothing in common."""
+        """Share of label 1 in the votes of the nearest sample texts; 0.5 with no sample or nothing in common.
+
+        Nearness counts to 9 decimals, equally near ones by their place in the sample, which is sorted by doc_id.
+        """
         if not len(self.y):
             return np.full(len(counts), 0.5)
-        near = self.vectors(counts) @ self.latent.T
+        near = np.round(self.vectors(counts) @ self.latent.T, 9)
         k = min(NEIGHBOURS, len(self.y))
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        # less than half a unit of the ninth decimal even for the last place
+        top = np.sort(np.argpartition(np.arange(len(self.y)) * (4e-10 / len(self.y)) - near, k - 1, axis=1)[:, :k], axis=1)
         weight = np.maximum(np.take_along_axis(near, top, 1), 0) ** 4
         total = weight.sum(1)
         votes = (weight * self.y[top]).sum(1)
@@ -126,7 +130,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     Only the text makes the score. Null and empty texts share nothing with any
     sample text and get 0.5, as do all texts where no label can be used. A null doc_id
     stays null and is not held out. Repeated rows get equal results; further columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. Of equally near sample texts, those of the smallest doc_ids vote.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = with_score(docs, labels, ["doc_id"])

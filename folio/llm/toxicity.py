@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder, sample
+from .shared import written
 from .text import Words, mix, slices
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: At most so many labelled texts of each label make up the sample.
-SAMPLE_EACH = 1500
+#: At most so many labelled texts of each label make up the sample, and none of more bytes: the bound of what is collected.
+SAMPLE_EACH, LONGEST = 1500, 1 << 17
 #: Bytes of the word beginnings that count as features.
 PREFIXES = (4, 5, 6)
 #: A feature is learned if so many sample texts have it, and a larger share of the toxic ones.
@@ -47,48 +48,41 @@ def features(words: Words) -> np.ndarray:
 
 
 def _bagged(batches):
+    """(doc_id, y, n_sentences, hashes, sentences): each different feature of each sentence once."""
     for batch in batches:
         for part in slices(batch):
             words = Words(part.column("text"), "alnum")
-            found, at = features(words), sentences(words).astype(np.int32)
-            cut = list(zip(words.bounds[:-1], words.bounds[1:]))
+            found, at = features(words), sentences(words)
+            counts, hashes, places = [], [], []
+            for i, j in zip(words.bounds[:-1], words.bounds[1:]):
+                first = at[i] if j > i else 0
+                counts.append(int(at[j - 1] - first) + 1 if j > i else 0)
+                pairs = np.unique(np.stack([np.repeat(at[i:j] - first, found.shape[1]), found[i:j].ravel().view(np.int64)], axis=1), axis=0)
+                places.append(pairs[:, 0].astype(np.int32))
+                hashes.append(pairs[:, 1])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("y"), pa.array([found[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([at[i:j].tobytes() for i, j in cut], pa.binary())],
-                names=["doc_id", "y", "features", "sentences"],
+                [part.column("doc_id"), part.column("y"), pa.array(counts, pa.int32()), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
+                names=["doc_id", "y", "n_sentences", "hashes", "sentences"],
             )
 
 
 class Model:
     """Learned features with their weights, and the log-odds of a sentence that has none."""
 
-    def __init__(self, bags: list[tuple[int, np.ndarray, np.ndarray]]):
-        y = np.array([b[0] for b in bags], np.float64)
+    def __init__(self, y: np.ndarray, n_sentences: np.ndarray, doc: np.ndarray, sentence: np.ndarray, hashes: np.ndarray):
+        """y and n_sentences of each sample text; places of the features to learn: text, sentence in it, hash."""
         self.bias = -8.0
         self.hashes, self.weights = np.zeros(0, np.uint64), np.zeros(0)
-        if not 0 < y.sum() < len(y):
+        if not 0 < y.sum() < len(y) or not len(hashes):
             return
-        doc = np.concatenate([np.full(len(s), i) for i, (_, _, s) in enumerate(bags)])
-        base = np.cumsum([0, *(s[-1] - s[0] + 1 if len(s) else 0 for _, _, s in bags)])
-        sentence = np.concatenate([s - s[0] + base[i] if len(s) else s for i, (_, _, s) in enumerate(bags)]).astype(np.int64)
-        of = np.concatenate([f for _, f, _ in bags])
-        keys, ids = np.unique(of, return_inverse=True)
-        ids = ids.reshape(of.shape)
-        seen = np.unique(ids.astype(np.int64) * len(bags) + doc[:, None])
-        toxic = np.bincount(seen // len(bags), weights=y[seen % len(bags)], minlength=len(keys))
-        texts = np.bincount(seen // len(bags), minlength=len(keys))
-        share = (toxic / y.sum()) / ((texts - toxic + 1) / (len(y) - y.sum() + 1))
-        keep = np.flatnonzero((texts >= LEAST_TEXTS) & (share >= LEAST_RATIO))
-        if not len(keep):
-            return
-        renumber = np.full(len(keys), -1)
-        renumber[keep] = np.arange(len(keep))
-        column = renumber[ids]
-        r, c = np.nonzero(column >= 0)
-        pairs = np.unique(sentence[r] * len(keep) + column[r, c])
-        where, which = pairs // len(keep), pairs % len(keep)
+        y = y.astype(np.float64)
+        base = np.concatenate([[0], np.cumsum(n_sentences)])
+        keys, which = np.unique(hashes, return_inverse=True)
+        pairs = np.unique((base[doc] + sentence) * len(keys) + which)
+        where, which = pairs // len(keys), pairs % len(keys)
         n = int(base[-1])
-        owner = np.repeat(np.arange(len(bags)), np.diff(base))
-        w, m, v = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
+        owner = np.repeat(np.arange(len(y)), n_sentences)
+        w, m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
         w[-1] = self.bias
         scale = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
         for t in range(1, ROUNDS + 1):
@@ -97,12 +91,12 @@ class Model:
             none = np.exp(np.bincount(owner, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y)))
             push = scale * np.where(y == 1, -none / np.maximum(1 - none, 1e-6), 1.0)
             g = p * push[owner]
-            grad = np.append(np.bincount(which, weights=g[where], minlength=len(keep)) + PENALTY, g.sum())
+            grad = np.append(np.bincount(which, weights=g[where], minlength=len(keys)) + PENALTY, g.sum())
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
             w[:-1] = np.maximum(w[:-1], 0)
         used = w[:-1] > 0
-        self.hashes, self.weights, self.bias = keys[keep][used], w[:-1][used], float(min(w[-1], -5.0))
+        self.hashes, self.weights, self.bias = keys[used], w[:-1][used], float(min(w[-1], -5.0))
 
     def sentence_scores(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(probability of each sentence, first word of each)."""
@@ -125,10 +119,23 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from a sample of at most SAMPLE_EACH texts of each label outside the held-out fold."""
-    chosen = sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE_EACH).select("doc_id", "y", "text")
-    rows = sorted(chosen.mapInArrow(_bagged, "doc_id long, y int, features binary, sentences binary").collect())
-    return Model([(r.y, np.frombuffer(r.features, np.uint64).reshape(-1, 1 + len(PREFIXES)), np.frombuffer(r.sentences, np.int32)) for r in rows])
+    """A model from a sample of at most SAMPLE_EACH texts of each label outside the held-out fold, none over LONGEST bytes.
+
+    Features are counted and chosen on the executors; only the places of those that are learned come to the driver.
+    """
+    chosen = sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE_EACH).where(F.octet_length("text") <= LONGEST)
+    bags = written(chosen.select("doc_id", "y", "text").mapInArrow(_bagged, "doc_id long, y int, n_sentences int, hashes array<long>, sentences array<int>"))
+    texts = sorted(bags.select("doc_id", "y", "n_sentences").collect())
+    y = np.array([t.y for t in texts], np.int64)
+    toxic, clean = int(y.sum()), int((1 - y).sum())
+    counted = bags.select("y", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.sum("y").alias("toxic"))
+    share = (F.col("toxic") / F.lit(max(1, toxic))) / ((F.col("texts") - F.col("toxic") + 1) / F.lit(clean + 1))
+    learned = counted.where((F.col("texts") >= LEAST_TEXTS) & (share >= LEAST_RATIO)).select("hash")
+    places = bags.select("doc_id", F.explode(F.arrays_zip("sentences", "hashes")).alias("at")).select("doc_id", "at.sentences", F.col("at.hashes").alias("hash")).join(learned, "hash")
+    found = places.select("doc_id", "sentences", "hash").toArrow()
+    order = {t.doc_id: i for i, t in enumerate(texts)}
+    doc = np.array([order[d] for d in found.column("doc_id").to_pylist()], np.int64)
+    return Model(y, np.array([t.n_sentences for t in texts], np.int64), doc, found.column("sentences").to_numpy().astype(np.int64), found.column("hash").to_numpy().view(np.uint64))
 
 
 def _scorer(shared):

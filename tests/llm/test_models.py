@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -11,7 +12,10 @@ import pyarrow as pa
 import pytest
 
 from folio.llm import lm
+from folio.llm import quality as quality_module
+from folio.llm import toxicity as toxicity_module
 from folio.llm.quality import quality
+from folio.llm.text import Words
 from folio.llm.toxicity import toxicity
 
 SCHEMA = "doc_id long, text string, score double, y string, uid long"
@@ -73,6 +77,51 @@ def test_toxicity_held_out_and_places(spark):
     assert toxicity(frame(spark, texts).limit(0), labels(spark, "toxic", [1])).count() == 0
 
 
+def test_votes_by_brute_force():
+    rnd = random.Random(7)
+    # copies under several ids and labels: equally near
+    kinds = ["".join(rnd.choice("aA0.") for _ in range(rnd.randint(1, 6))) for _ in range(12)]
+    texts = [" ".join(rnd.choices(kinds, k=rnd.randint(1, 5))) for _ in range(40)] * 3
+    y = np.array([rnd.random() < 0.5 for _ in texts], np.int64)
+    model = quality_module.Model(quality_module.term_counts(pa.array(texts)), y)
+    asked = quality_module.term_counts(pa.array([*texts[:25], "", "Aa0 zz", "0" * 500]))
+    want = []
+    for z in model.vectors(asked):
+        near = sorted((-round(float(z @ x), 9), i) for i, x in enumerate(model.latent))[: quality_module.NEIGHBOURS]
+        weights = [max(-s, 0) ** 4 for s, _ in near]
+        want.append(sum(w * y[i] for w, (_, i) in zip(weights, near)) / sum(weights) if sum(weights) > 1e-12 else 0.5)
+    assert np.allclose(model.score(asked), want, atol=1e-6)
+    assert np.allclose(np.concatenate([model.score(asked[i : i + 1]) for i in range(len(asked))]), want, atol=1e-6)
+
+
+def test_noisy_or_by_brute_force(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 6)))
+    texts = [" ".join(f"{word()} {rnd.choice(['zurkel', 'quuxen']) if i % 3 == 0 else word()} {word()}." for _ in range(rnd.randint(1, 6))) for i in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    model = toxicity_module.fit(docs, marks)
+    weights = dict(zip(model.hashes.tolist(), model.weights.tolist()))
+    assert len(weights) > 3
+    for r in toxicity(docs, marks).collect():
+        none = 1.0
+        for s in re.split(r"(?<=[.!?\n])", texts[r.doc_id]):
+            own = set()
+            for w in re.findall("[a-z0-9]+", s):
+                own |= {int(h) for h in toxicity_module.features(Words(pa.array([w]), "alnum"))[0]}
+            if own:
+                none *= 1 - 1 / (1 + math.exp(-(model.bias + sum(weights.get(h, 0.0) for h in own))))
+        assert math.isclose(r.score, 1 - none, abs_tol=1e-9)
+
+
+def test_long_labelled_texts_are_not_collected(spark):
+    texts = ["zurk x. " * 5 if i % 2 else "fine x. " * 5 for i in range(60)] + ["fine zurk. " * 30_000] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(62)], "doc_id long, toxic int")
+    rows = {r.doc_id: r.score for r in toxicity(docs, marks).collect()}
+    assert all((rows[i] >= 0.3) == bool(i % 2) for i in range(60)) and rows[60] == rows[61]
+
+
 def test_language_model_counts_and_probabilities(spark, monkeypatch):
     monkeypatch.setattr(lm, "SENT", 30)
     rnd = random.Random(3)
