@@ -143,17 +143,25 @@ def expand_query(c, expansions=rules.EXPANSIONS) -> Column:
     return strip(F.concat(c, F.lit(" "), F.array_join(added, " ")))
 
 
-def intent_bonus(query, content, page, intents=rules.INTENTS) -> Column:
-    """The bonuses of all intents that the question shows."""
-    low, out = F.lower(col(content)), F.lit(0.0)
-    for triggers, parts, first_page in intents:
+def intent_bonuses(content, page, intents=rules.INTENTS) -> Column:
+    """The bonus of a content for each intent, as an array."""
+    low, out = F.lower(col(content)), []
+    for _, parts, first_page in intents:
         bonus = F.when(col(page) == 1, F.lit(float(first_page))).otherwise(F.lit(0.0))
         for groups, weight, cap in parts:
             hits = F.lit(0)
             for g in groups:
                 hits = hits + any_of(low, g).cast("int")
             bonus = bonus + F.least(F.lit(float(cap)), hits * F.lit(float(weight)))
-        out = out + F.when(any_of(query, triggers), bonus).otherwise(F.lit(0.0))
+        out.append(bonus)
+    return F.array(*out)
+
+
+def intent_bonus(query, bonuses, intents=rules.INTENTS) -> Column:
+    """The bonuses (``intent_bonuses`` of a content) of all intents that the question shows, added up."""
+    out = F.lit(0.0)
+    for i, (triggers, _, _) in enumerate(intents):
+        out = out + F.when(any_of(query, triggers), F.get(col(bonuses), F.lit(i))).otherwise(F.lit(0.0))
     return out
 
 
@@ -186,7 +194,11 @@ def filename_bonus(query, name, bonus: float = 0.35) -> Column:
 
 def is_display_noise(c) -> Column:
     """Rows of numbers, formulas and signs that readers need not see."""
-    c = squeezed(c)
+    return _noise(squeezed(c))
+
+
+def _noise(c: Column) -> Column:
+    """is_display_noise of a text whose white space is collapsed."""
     signs = F.regexp_count(c, F.lit("[∑∫√≈≠≤≥±×÷∞∂∇∈∉∪∩→←↔σλμθφψΩ]"))
     numbers = F.regexp_count(c, F.lit(word_boundary(r"\p{Nd}+(?:\.\p{Nd}+)?") + "%?"))
     marks = F.regexp_count(c, F.lit(r"[^\p{L}\p{M}\p{N}_\s]"))
@@ -200,13 +212,13 @@ def _nonempty(sentences: Column) -> Column:
 
 def clean_display_text(c, fallback: str = rules.NOISE_FALLBACK) -> Column:
     """The sentences that are not noise, one blank apart; the fallback if none is left."""
-    kept = F.filter(_nonempty(F.split(squeezed(c), SENTENCE_SPLIT)), lambda s: ~is_display_noise(s))
+    kept = F.filter(_nonempty(F.split(squeezed(c), SENTENCE_SPLIT)), lambda s: ~_noise(s))
     return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(F.lit(fallback))
 
 
 def workspace_sentences(c) -> Column:
     """Sentences of 30 signs or more that are not noise."""
-    return F.filter(F.transform(F.split(squeezed(c), SENTENCE_SPLIT), strip), lambda s: (F.length(s) >= 30) & ~is_display_noise(s))
+    return F.filter(F.transform(F.split(squeezed(c), SENTENCE_SPLIT), strip), lambda s: (F.length(s) >= 30) & ~_noise(s))
 
 
 def summary_sentences(c) -> Column:

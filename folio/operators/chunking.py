@@ -76,7 +76,7 @@ def chunk_pages(pages: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = O
 
 def word_counts(texts: DataFrame, least: int = 2) -> DataFrame:
     """(word, count) of all words of a corpus that it has ``least`` times or more; for repair_fused."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"([a-z]{1,17})(?![a-z])"), 1)).alias("word")).groupBy("word").count()
+    words = texts.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"(?<![a-z])([a-z]{1,17})(?![a-z])"), 1)).alias("word")).groupBy("word").count()
     return words.where(F.col("count") >= least)
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 DIMS = 384
 BATCH = 64
@@ -37,13 +38,22 @@ def sparse_embedding(texts: DataFrame, key: str, text: str, dims: int = DIMS) ->
     return sums.join(norms, F.col(key) == F.col("_key")).select(key, "dim", (F.col("n") / F.col("norm")).alias("value"))
 
 
-def hash_vector(text: str, dims: int = DIMS) -> np.ndarray:
-    """A unit vector of hashed features, with BLAKE2b as the hash."""
+DIGESTS = {"blake2b": lambda b: hashlib.blake2b(b, digest_size=8).digest(), "md5": lambda b: hashlib.md5(b).digest()}
+
+
+@lru_cache(maxsize=1 << 18)
+def _placed(feature: str, dims: int, digest: str) -> int:
+    """Where a feature counts: its dimension, plus dims if it counts as -1."""
+    d = DIGESTS[digest](feature.encode())
+    return int.from_bytes(d[:4], "big") % dims + (d[4] % 2) * dims
+
+
+def hash_vector(text: str, dims: int = DIMS, digest: str = "blake2b") -> np.ndarray:
+    """A unit vector of hashed features: word runs and all runs of three signs."""
     low = text.lower()
-    out = np.zeros(dims)
-    for f in re.findall(r"[\w一-鿿]+", low) + [low[i : i + 3] for i in range(max(0, len(low) - 2))]:
-        d = hashlib.blake2b(f.encode(), digest_size=8).digest()
-        out[int.from_bytes(d[:4], "big") % dims] += 1.0 if d[4] % 2 == 0 else -1.0
+    features = re.findall(r"\w+", low) + [low[i : i + 3] for i in range(max(0, len(low) - 2))]
+    n = np.bincount([_placed(f, dims, digest) for f in features], minlength=2 * dims) if features else np.zeros(2 * dims)
+    out = (n[:dims] - n[dims:]).astype(np.float64)
     norm = np.linalg.norm(out)
     return out / norm if norm else out
 
@@ -54,27 +64,26 @@ Encoder = Callable[[list[str]], list]
 def encode_batches(texts: DataFrame, text: str, make: Callable[[], Encoder], dims: int, prefix: str = "", batch: int = BATCH, name: str = "embedding") -> DataFrame:
     """texts with the vectors of a batch encoder; ``make`` is called once in each task.
 
-    Null texts have null vectors. A vector of another length fails the job.
+    Null texts have null vectors. Equal texts of a batch of rows are encoded once. A vector of another length fails the job.
     """
-    schema = StructType([*texts.schema.fields, StructField(name, ArrayType(FloatType()))])
+    schema = StructType([*texts.schema.fields, StructField(name, ArrayType(DoubleType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = make()
         for pdf in frames:
-            at = np.flatnonzero(pdf[text].notna())
-            vectors: list = [None] * len(pdf)
-            for i in range(0, len(at), batch):
-                part = at[i : i + batch]
-                found = encode([prefix + pdf[text].iloc[k] for k in part])
-                for k, v in zip(part, found, strict=True):
+            codes, different = pd.factorize(pdf[text])  # -1 for nulls
+            vectors: list = []
+            for i in range(0, len(different), batch):
+                part = different[i : i + batch]
+                for _, v in zip(part, encode([prefix + t for t in part]), strict=True):
                     if len(v) != dims:
                         raise ValueError(f"the encoder gave {len(v)} dimensions, not {dims}")
-                    vectors[k] = [float(x) for x in v]
-            yield pdf.assign(**{name: vectors})
+                    vectors.append(np.asarray(v, dtype=np.float64))
+            yield pdf.assign(**{name: [vectors[c] if c >= 0 else None for c in codes]})
 
     return texts.mapInPandas(run, schema)
 
 
-def hash_embed(texts: DataFrame, text: str, dims: int = DIMS, name: str = "embedding") -> DataFrame:
-    """texts with BLAKE2b hashing vectors; equal texts are encoded once each time they meet in a batch."""
-    return encode_batches(texts, text, lambda: lambda batch: [hash_vector(t, dims) for t in batch], dims, name=name)
+def hash_embed(texts: DataFrame, text: str, dims: int = DIMS, name: str = "embedding", digest: str = "blake2b", prefix: str = "") -> DataFrame:
+    """texts with hashing vectors, in one narrow pass."""
+    return encode_batches(texts, text, lambda: lambda batch: [hash_vector(t, dims, digest) for t in batch], dims, prefix, name=name)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import clean_display_text, is_display_noise, reader_sentences, signal_count, workspace_sentences
+from ..sources.store import written
 
 
 def excerpt(content, signals) -> Column:
@@ -53,7 +54,7 @@ def _evidence(rows: DataFrame, by: list[str], most: int) -> DataFrame:
 
 def reading_cards(documents: DataFrame, chunks: DataFrame, aspects=rules.ASPECTS, overview: str = rules.OVERVIEW_ASPECT) -> DataFrame:
     """(doc_id, document_name, overview, aspect_0, ..., evidence): one card for each document."""
-    rows = aspect_rows(documents, chunks, aspects)
+    rows = written(aspect_rows(documents, chunks, aspects))  # read for the cards and for their evidence
     cards = rows.groupBy("doc_id").agg(*(F.max(F.when(F.col("aspect") == i, F.col("value"))).alias(f"aspect_{i}") for i in range(len(aspects))))
     at = [name for name, _ in aspects].index(overview)
     first = chunks.groupBy("doc_id").agg(F.min("chunk_index").alias("chunk_index")).join(chunks, ["doc_id", "chunk_index"]).select("doc_id", excerpt("content", ()).alias("opening"))
@@ -78,7 +79,7 @@ def comparison(sets: DataFrame, documents: DataFrame, chunks: DataFrame, aspects
     fine = fine.withColumn("reason", reason)
     good = asked.join(fine.where("reason is null").select("set_id"), "set_id", "left_semi")
     used = documents.join(good.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = good.join(aspect_rows(used, chunks.join(used.select("doc_id"), "doc_id", "left_semi"), aspects), "doc_id")
+    rows = good.join(written(aspect_rows(used, chunks.join(used.select("doc_id"), "doc_id", "left_semi"), aspects)), "doc_id")
     listed = rows.groupBy("set_id", "aspect").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda v: v["value"]).alias("values"))
     label = F.element_at(F.array(*(F.lit(name) for name, _ in aspects)), F.col("aspect") + 1)
     table = listed.select("set_id", "aspect", label.alias("label"), "values")

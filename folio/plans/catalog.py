@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..operators import answer, chunking, embed, evaluate, ingest, listing, search, workspace
-from ..sources.store import shared_dir, written
+from ..sources.store import shared_dir, spread, written
 from ..streaming import jobs
 from . import sql as S
 from . import tables as D
@@ -91,39 +91,28 @@ def expand_query(spark, sf):
 
 
 @query(
-    "SELECT query_id, chunk_id, CASE WHEN len(t) = 0 THEN 0 ELSE round(len(list_intersect(t, c)) / sqrt(len(t) * greatest(1, len(c))), 6) END AS score "
-    f"FROM (SELECT query_id, kb_id, {S.terms('question')} AS t FROM ask) JOIN (SELECT chunk_id, kb_id, {S.terms('content')} AS c FROM chunk WHERE chunk_index = 0) USING (kb_id)"
+    "SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT query_id, chunk_id, len(list_intersect(t, c)) / sqrt(len(t) * greatest(1, len(c))) AS score "
+    f"FROM (SELECT query_id, kb_id, {S.terms('question')} AS t FROM ask) JOIN (SELECT chunk_id, kb_id, {S.terms('content')} AS c FROM chunk) USING (kb_id)) WHERE score > 0"
 )
 def lexical_score(spark, sf):
-    first = D.chunks(spark, sf).where("chunk_index = 0")
-    return D.questions(spark, sf).join(first, "kb_id").select("query_id", "chunk_id", F.round(T.lexical_score("question", "content"), 6).alias("score"))
+    return search.lexical(D.questions(spark, sf), D.chunks(spark, sf)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 #: The default intents with signals that the invented texts hold.
 INTENTS = tuple((t, tuple((((("tion",), ("heed", "ouan"), ("edan",))), w, c) for _, w, c in parts), first) for t, parts, first in rules.INTENTS)
 
 
-@query(f"SELECT query_id, chunk_id, round({S.intent('question', 'content', 'page_number', INTENTS)}, 6) AS bonus, round({S.intent('question', 'content', 'page_number')}, 6) AS default_bonus FROM ask JOIN chunk USING (kb_id) WHERE chunk_index < 2")
-def intent_bonus(spark, sf):
-    few = D.chunks(spark, sf).where("chunk_index < 2")
-    pairs = D.questions(spark, sf).join(few, "kb_id")
-    own, default = T.intent_bonus("question", "content", "page_number", INTENTS), T.intent_bonus("question", "content", "page_number")
-    return pairs.select("query_id", "chunk_id", F.round(own, 6).alias("bonus"), F.round(default, 6).alias("default_bonus"))
-
-
 @query(f"SELECT doc_id, turn, {S.penalty('t', 'turn')} AS penalty FROM (SELECT conv_id AS doc_id, turn, replace(replace(text, 'the', '1999 the 2001, arxiv preprint '), 'is', ' 2010') AS t FROM conversations)")
 def reference_penalty(spark, sf):
     c = D.table(spark, sf, "conversations").withColumn("t", F.expr("replace(replace(text, 'the', '1999 the 2001, arxiv preprint '), 'is', ' 2010')"))
     return c.select(F.col("conv_id").alias("doc_id"), "turn", T.reference_penalty("t", "turn").alias("penalty"))
 
 
-@query(f"SELECT query_id, doc_id, {S.name_bonus('question', 'document_name')} AS bonus FROM (SELECT query_id, kb_id, question || ' Doc ' || (query_id * 7) AS question FROM ask) JOIN docs USING (kb_id)")
-def filename_bonus(spark, sf):
-    named = D.questions(spark, sf).withColumn("question", F.concat("question", F.lit(" Doc "), F.col("query_id") * 7))
-    return named.join(D.documents(spark, sf), "kb_id").select("query_id", "doc_id", T.filename_bonus("question", "document_name").alias("bonus"))
+# ---- ingest ----
 
 
-# ---- ingest ----
+def _store(spark) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 _FILES = """SELECT doc_id, lang AS kb_id, 'up/load dir/' || doc_id || CASE doc_id % 9 WHEN 0 THEN '.ZIP' WHEN 1 THEN '' WHEN 2 THEN ' a+b.MD' ELSE '.txt' END AS file_name,
@@ -159,20 +148,24 @@ def admit_dedup(spark, sf):
 
 
 @query(
-    """SELECT d.doc_id, d.kb_id, d.document_name, CASE WHEN c IS NULL THEN 0 ELSE 1 END AS page_count, CAST(coalesce(c, 0) AS INT) AS chunk_count,
+    """SELECT 'd' || d.doc_id AS doc_id, d.kb_id, d.document_name, CASE WHEN c IS NULL THEN 0 ELSE 1 END AS page_count, CAST(coalesce(c, 0) AS INT) AS chunk_count,
 CASE WHEN c IS NULL THEN 'failed' ELSE 'ready' END AS status, CASE WHEN c IS NULL THEN 'no text found' END AS error_message
-FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS c FROM chunk0 WHERE doc_id % 10 <> 3 GROUP BY doc_id) USING (doc_id)"""
+FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS c FROM chunk0 GROUP BY doc_id) USING (doc_id)
+UNION ALL SELECT 'p' || page_id, 'web', url, 0, 0, 'failed', 'no text found' FROM pages"""
 )
 def doc_status(spark, sf):
-    found = chunking.chunk_pages(D.pages(spark, sf)).where("doc_id % 10 <> 3")
-    d = D.documents(spark, sf).drop("created_at").withColumn("page_count", F.lit(0)).withColumn("chunk_count", F.lit(0))
-    out = ingest.document_status(d, D.pages(spark, sf), found)
+    """All documents, and the web pages, of which no text is extracted."""
+    key = lambda mark, c: F.concat(F.lit(mark), c).alias("doc_id")
+    web = D.table(spark, sf, "pages").select(key("p", "page_id"), F.lit("web").alias("kb_id"), F.col("url").alias("document_name"), F.lit("processing").alias("status"))
+    d = D.documents(spark, sf).select(key("d", "doc_id"), "kb_id", "document_name", "status").union(web).withColumn("page_count", F.lit(0)).withColumn("chunk_count", F.lit(0))
+    found = D.chunks(spark, sf).select(key("d", "doc_id"))
+    out = ingest.document_status(d, D.pages(spark, sf).select(key("d", "doc_id")), found)
     return out.select("doc_id", "kb_id", "document_name", "page_count", "chunk_count", "status", "error_message")
 
 
 @query("SELECT doc_id, chunk_index, CASE WHEN doc_id % 10 = 0 AND doc_id % 20 <> 0 THEN upper(section_path) ELSE section_path END AS section_path, length(content) AS n FROM chunk0")
 def reindex(spark, sf):
-    old = chunking.chunk_pages(D.pages(spark, sf))
+    old = D.chunks(spark, sf)
     fresh = old.where("doc_id % 10 = 0 and doc_id % 20 <> 0").withColumn("section_path", F.upper("section_path"))
     ids = D.documents(spark, sf).where("doc_id % 10 = 0")
     return ingest.reindex(old, fresh, ids).select("doc_id", "chunk_index", "section_path", F.length("content").cast("long").alias("n"))
@@ -187,6 +180,17 @@ def delete_cascade(spark, sf):
     return n(left[0], "kb").union(n(left[1], "document")).union(n(left[2], "chunk"))
 
 
+@query("SELECT kb_id, doc_id, chunk_index, length(content) AS n FROM chunk WHERE kb_id <> 'en' UNION ALL SELECT kb_id, doc_id, -1, 0 FROM docs WHERE kb_id = 'en'")
+def stored_chunks(spark, sf):
+    """Chunks written by kb; one kb is then written anew, which leaves the others as they are."""
+    at = f"{_store(spark)}/chunks"
+    rows = D.chunks(spark, sf).select("kb_id", "doc_id", "chunk_index", F.length("content").cast("long").alias("n"))
+    ingest.write_table(rows, at)
+    one = D.documents(spark, sf).where("kb_id = 'en'").select("kb_id", "doc_id", F.lit(-1).alias("chunk_index"), F.lit(0).cast("long").alias("n"))
+    ingest.write_table(one, at, "overwrite")
+    return spark.read.parquet(at).select("kb_id", "doc_id", "chunk_index", "n")
+
+
 # ---- vectors and search ----
 
 _FEATURES = r"list_concat(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+'), list_transform(range(1, length(lower({x})) - 1), lambda i: substr(lower({x}), i, 3)))"
@@ -212,28 +216,44 @@ def hash_embed(spark, sf):
     return embed.sparse_embedding(asked, "query_id", "expanded").select("query_id", "dim", F.round("value", 6).alias("value"))
 
 
-@query()
+_PSUM, _ = _sparse("(SELECT chunk_id, 'passage: ' || content AS t FROM chunk)", "chunk_id", "t")
+
+
+@query(
+    "SELECT chunk_id, 384 AS dims, count(*) AS filled, round(max(value), 6) AS largest, CAST(arg_max(dim, (round(value, 9), -dim)) AS INT) AS at FROM pvec GROUP BY chunk_id",
+    psum=_PSUM, pvec=_UNIT.format(key="chunk_id", sums="psum"),
+)
 def hash_embed_batches(spark, sf):
-    out = embed.hash_embed(D.chunks(spark, sf).select("chunk_id", "content"), "content")
-    return out.select("chunk_id", F.size("embedding").alias("dims"), F.round(F.expr("aggregate(embedding, 0d, (a, x) -> a + x * x)"), 4).alias("norm"))
+    """All chunks through the hook for batch encoders, with a prefix and a check of the vectors' length."""
+    out = embed.hash_embed(D.chunks(spark, sf).select("chunk_id", "content"), "content", digest="md5", prefix="passage: ")
+    largest = F.array_max("embedding")
+    near = F.array_position(F.transform("embedding", lambda v: F.round(v, 9)), F.round(largest, 9)) - 1
+    filled = F.size(F.filter("embedding", lambda v: v != 0)).cast("long")
+    return out.select("chunk_id", F.size("embedding").alias("dims"), filled.alias("filled"), F.round(largest, 6).alias("largest"), near.cast("int").alias("at"))
 
 
 @query(
     """SELECT query_id, item_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank
-  FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0) WHERE rank <= 10"""
+  FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 10"""
 )
 def vector_topk(spark, sf):
     e = D.table(spark, sf, "embeddings")
-    found = search.vector_topk(e.where("vec_id % 25 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "item_id"), 10)
+    found = search.vector_topk(e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "item_id"), 10)
     return found.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0")
+@query(
+    """SELECT a, b, round(greatest(0, sim), 6) AS sim FROM (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS place
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 20 = 0) WHERE place <= 25"""
+)
 def cosine(spark, sf):
+    """True cosines of the stated queries and the 25 best items of their label."""
     e = D.table(spark, sf, "embeddings")
-    pairs = e.where("vec_id % 50 = 0").toDF("a", "x", "label").join(e.toDF("b", "y", "label"), "label")
-    return pairs.select("a", "b", F.round(search.cosine("x", "y", unit=False), 6).alias("sim"))
+    best = search.vector_topk(e.where("vec_id % 20 = 0"), e, 25, "vec_id", "vec_id", scope="label")
+    pairs = best.join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x")), "query_id").join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("y")), "item_id")
+    return pairs.select(F.col("query_id").alias("a"), F.col("item_id").alias("b"), F.round(search.cosine("x", "y", unit=False), 6).alias("sim"))
 
 
 @query("SELECT query_id, chunk_id, round(bm25, 6) AS bm25 FROM bm25")
@@ -287,13 +307,13 @@ _MMR = {"mscore": "SELECT b.query_id, b.chunk_id, document_name, page_number, ch
 def diverse_topk(spark, sf):
     chunks = D.chunks(spark, sf)
     scored = search.bm25(D.questions(spark, sf), chunks).join(chunks.drop("kb_id"), "chunk_id").withColumn("score", F.col("bm25"))
-    return search.diverse(scored, _TOP).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    return search.diverse(scored.drop("content"), _TOP, chunks).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
-def _hybrid(limit: str) -> dict[str, str]:
+def _hybrid(limit: str, allowed: str = "true") -> dict[str, str]:
     return _VECTORS | {
         "sim": "SELECT query_id, chunk_id, sum(q.value * c.value) AS semantic FROM qvec q JOIN cvec c USING (dim) GROUP BY ALL",
-        "pairs0": "SELECT e.query_id, e.question, e.expanded, k.*, greatest(0, coalesce(s.semantic, 0)) AS semantic FROM expand e JOIN chunk k USING (kb_id) JOIN docs d ON d.doc_id = k.doc_id AND d.status = 'ready' LEFT JOIN sim s ON s.query_id = e.query_id AND s.chunk_id = k.chunk_id",
+        "pairs0": "SELECT e.query_id, e.question, e.expanded, k.*, greatest(0, coalesce(s.semantic, 0)) AS semantic FROM expand e JOIN chunk k USING (kb_id) JOIN docs d ON d.doc_id = k.doc_id AND d.status = 'ready' LEFT JOIN sim s ON s.query_id = e.query_id AND s.chunk_id = k.chunk_id WHERE " + allowed,
         "cand": f"SELECT * FROM pairs0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(semantic, 9) DESC, chunk_id) <= {limit}",
         "crow": f"SELECT query_id, chunk_id, {S.tokens('section_path || chr(10) || content')} AS toks, list_distinct({S.tokens('expanded')}) AS want FROM cand",
         "ctot": "SELECT query_id, count(*) AS n, avg(len(toks)) AS avgdl FROM crow GROUP BY query_id",
@@ -311,20 +331,18 @@ def _hybrid(limit: str) -> dict[str, str]:
     } | _picked("fusedrow")
 
 
-def _searched(spark, sf, mode):
-    asked, chunks = D.questions(spark, sf), D.chunks(spark, sf)
-    q = embed.sparse_embedding(asked.withColumn("expanded", T.expand_query("question")), "query_id", "expanded")
-    items = embed.sparse_embedding(chunks, "chunk_id", "content")
-    if mode == "candidates":
-        ready = chunks.join(D.documents(spark, sf).where("status = 'ready'").select("doc_id"), "doc_id", "left_semi")
-        items = ready.select("chunk_id", F.col("kb_id").alias("scope")).join(items, "chunk_id", "left").withColumnRenamed("chunk_id", "item_id")
-        near = search.sparse_topk(q.join(asked.select("query_id", F.col("kb_id").alias("scope")), "query_id"), items, max(8 * _TOP, search.CANDIDATES), embed.DIMS)
-        similar = near.select("query_id", F.col("item_id").alias("chunk_id"), F.col("score").alias("semantic"))
-    else:
-        similar = search.sparse_similarity(written(q), items)
-    similar = written(similar)
-    found = search.search(asked, chunks.drop("document_name"), D.documents(spark, sf), similar, _TOP, mode, intents=INTENTS)
-    return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), F.round("semantic", 6).alias("semantic"), F.round("bm25", 6).alias("bm25"))
+def _searched(spark, sf, asked, similar, mode="candidates"):
+    found = search.search(asked, D.chunks(spark, sf), D.documents(spark, sf), similar, _TOP, mode, intents=INTENTS)
+    return found.select("query_id", "rank", "chunk_id", "score", "semantic", "bm25")
+
+
+def _shown(found):
+    return found.select("query_id", "rank", "chunk_id", *(F.round(c, 6).alias(c) for c in ("score", "semantic", "bm25")))
+
+
+def _found(spark, sf):
+    """What hybrid search finds for all questions."""
+    return D.stored(spark, sf, "found", lambda: _searched(spark, sf, D.questions(spark, sf), D.candidates(spark, sf)))
 
 
 _FOUND = f"SELECT p.query_id, CAST(p.rank AS INT) AS rank, p.chunk_id, round(p.score, 6) AS score, round(semantic, 6) AS semantic, round(bm, 6) AS bm25 FROM pick{_TOP} p JOIN fusedrow f ON f.query_id = p.query_id AND f.chunk_id = p.chunk_id"
@@ -332,12 +350,48 @@ _FOUND = f"SELECT p.query_id, CAST(p.rank AS INT) AS rank, p.chunk_id, round(p.s
 
 @query(_FOUND, **_hybrid("40"))
 def hybrid_search(spark, sf):
-    return _searched(spark, sf, "candidates")
+    return _shown(_found(spark, sf))
+
+
+#: Every second question may use some documents only.
+_LIMITED = "(query_id % 2 = 0 OR k.doc_id IN (SELECT unnest(range(query_id % 5, query_id % 5 + 160, 2))))"
+
+
+@query(_FOUND, **_hybrid("40", _LIMITED.replace("query_id", "e.query_id")))
+def limited_search(spark, sf):
+    few = F.sequence(F.col("query_id") % 5, F.col("query_id") % 5 + 158, F.lit(2))
+    asked = D.questions(spark, sf).withColumn("doc_ids", F.when(F.col("query_id") % 2 == 1, few))
+    return _shown(_searched(spark, sf, asked, D.near(spark, sf, asked, search.CANDIDATES)))
 
 
 @query()  # in SQL, the greedy choice over all chunks takes minutes
 def exhaustive_search(spark, sf):
-    return _searched(spark, sf, "exhaustive")
+    asked = D.questions(spark, sf)
+    q = embed.hash_embed(asked.withColumn("expanded", T.expand_query("question")), "expanded", digest="md5")
+    return _shown(_searched(spark, sf, asked, search.similarities(q, D.vectors(spark, sf)), "exhaustive"))
+
+
+_NEAR = _hybrid("40")
+
+
+@query(f"SELECT query_id, chunk_id, round({S.intent('question', 'content', 'page_number', INTENTS)}, 6) AS bonus, round({S.intent('question', 'content', 'page_number')}, 6) AS default_bonus FROM cand", **_NEAR)
+def intent_bonus(spark, sf):
+    """The candidates of each question."""
+    pairs = D.candidates(spark, sf).join(D.chunks(spark, sf).drop("kb_id"), "chunk_id").join(D.questions(spark, sf), "query_id")
+    bonus = lambda intents: F.round(T.intent_bonus("question", T.intent_bonuses("content", "page_number", intents), intents), 6)
+    return pairs.select("query_id", "chunk_id", bonus(INTENTS).alias("bonus"), bonus(rules.INTENTS).alias("default_bonus"))
+
+
+@query(f"SELECT query_id, doc_id, {S.name_bonus('named', 'document_name')} AS bonus FROM (SELECT DISTINCT query_id, doc_id, document_name, question || ' Doc ' || (doc_id - doc_id % 3) AS named FROM cand)", **_NEAR)
+def filename_bonus(spark, sf):
+    """The documents of each question's candidates, some of which it names."""
+    pairs = D.candidates(spark, sf).join(D.chunks(spark, sf).select("chunk_id", "doc_id", "document_name"), "chunk_id").select("query_id", "doc_id", "document_name").distinct()
+    named = pairs.join(D.questions(spark, sf), "query_id").withColumn("question", F.concat("question", F.lit(" Doc "), F.col("doc_id") - F.col("doc_id") % 3))
+    return named.select("query_id", "doc_id", T.filename_bonus("question", "document_name").alias("bonus"))
+
+
+S.CTES.update(_NEAR)
+S.CTES["hits"] = f"SELECT p.query_id, CAST(p.rank AS INT) AS rank, p.chunk_id, document_name, page_number, chunk_index, content, p.score FROM pick{_TOP} p JOIN chunk k ON k.chunk_id = p.chunk_id"
 
 
 # ---- display and reading ----
@@ -374,10 +428,6 @@ def translation_queue(spark, sf):
 ASPECTS = (("研究问题", ("thou", "heed", "anst", "ouea")), ("核心方法", ("lichen", "eauou", "ciónes")), ("数据集与指标", ("tion", "edan", "worthless")), ("主要发现", ("sch", "ment", "erha")), ("局限与未来工作", ("licensed", "password", "token")))
 
 
-def _best(signals, order: str = "chunk_index") -> str:
-    return S.signal_count("lower(content)", signals)
-
-
 def _aspect_sql() -> dict[str, str]:
     union = " UNION ALL ".join(
         f"SELECT doc_id, {i} AS aspect, chunk_index, {S.signal_count('lower(content)', s)} AS n FROM chunk" for i, (_, s) in enumerate(ASPECTS)
@@ -419,13 +469,13 @@ def reading_card(spark, sf):
     return cards.withColumn("n_evidence", F.size("evidence").cast("long")).withColumn("quotes", quotes).drop("evidence")
 
 
-_SETS = "SELECT doc_id AS set_id, CASE WHEN doc_id % 40 = 0 THEN [doc_id] WHEN doc_id % 20 = 0 THEN [doc_id + 3, doc_id + 3] ELSE [doc_id + 1, doc_id, doc_id + 2] END AS ids FROM documents WHERE doc_id % 10 = 0"
+_SETS = "SELECT doc_id AS set_id, CASE WHEN doc_id % 4 = 0 THEN [doc_id] WHEN doc_id % 4 = 2 THEN [doc_id + 3, doc_id + 3] ELSE [doc_id + 1, doc_id, doc_id + 2] END AS ids FROM documents"
 
 
 def _sets(spark, sf):
     d = F.col("doc_id")
-    ids = F.when(d % 40 == 0, F.array(d)).when(d % 20 == 0, F.array(d + 3, d + 3)).otherwise(F.array(d + 1, d, d + 2))
-    return D.table(spark, sf, "documents").where(d % 10 == 0).select(d.alias("set_id"), ids.alias("doc_ids"))
+    ids = F.when(d % 4 == 0, F.array(d)).when(d % 4 == 2, F.array(d + 3, d + 3)).otherwise(F.array(d + 1, d, d + 2))
+    return D.table(spark, sf, "documents").select(d.alias("set_id"), ids.alias("doc_ids"))
 
 
 @query(
@@ -462,11 +512,12 @@ LIMITS = ("worthless", "zzzz")
 
 
 def _hits(spark, sf):
-    chunks = D.chunks(spark, sf)
-    scored = search.bm25(D.questions(spark, sf), chunks).join(chunks.drop("kb_id"), "chunk_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "chunk_id")
-    scored = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5").withColumn("score", F.col("bm25") / 20)
-    return written(scored.select("query_id", "rank", "chunk_id", "document_name", "page_number", "chunk_index", "content", "score"))
+    """The hits of hybrid search, with their texts."""
+
+    def make():
+        return _found(spark, sf).select("query_id", "rank", "chunk_id", "score").join(D.chunks(spark, sf).select("chunk_id", "document_name", "page_number", "chunk_index", "content"), "chunk_id")
+
+    return D.stored(spark, sf, "hits", make)
 
 
 def _excerpt_sql() -> dict[str, str]:
@@ -602,14 +653,15 @@ def qa_messages(spark, sf):
 
 # ---- evaluation ----
 
-_LABELS = "SELECT a.query_id AS question_id, a.kb_id AS dataset_id, list(chunk_id ORDER BY chunk_id) AS rel FROM ask a JOIN (SELECT query_id, chunk_id FROM ask JOIN chunk USING (kb_id) WHERE (query_id + doc_id) % 23 = 0 AND chunk_index = 0 UNION SELECT query_id, chunk_id FROM hits WHERE rank IN (2, 4)) USING (query_id) GROUP BY ALL"
+_LABELS = "SELECT a.query_id AS question_id, a.kb_id AS dataset_id, list(chunk_id ORDER BY chunk_id) AS rel FROM ask a JOIN (SELECT query_id, chunk_id FROM cand WHERE (query_id + doc_id) % 5 = 0 UNION SELECT query_id, chunk_id FROM hits WHERE rank IN (2, 4)) USING (query_id) GROUP BY ALL"
 _METRICS = """SELECT l.question_id, l.dataset_id, coalesce(m, 0) / len(rel) AS recall, coalesce(m, 0) / 5 AS precision, coalesce(1 / first, 0) AS reciprocal_rank, coalesce(got, '') AS retrieved FROM lab0 l
 LEFT JOIN (SELECT h.query_id AS question_id, count(*) FILTER (list_contains(rel, chunk_id)) AS m, min(rank) FILTER (list_contains(rel, chunk_id)) AS first, array_to_string(list(chunk_id ORDER BY rank), ',') AS got FROM hits h JOIN lab0 ON question_id = query_id GROUP BY ALL) USING (question_id)"""
 
 
 def _labelled(spark, sf, hits):
     asked = D.questions(spark, sf).select("query_id", "kb_id")
-    some = asked.join(D.chunks(spark, sf).where("chunk_index = 0"), "kb_id").where("(query_id + doc_id) % 23 = 0").select("query_id", "chunk_id")
+    near = D.candidates(spark, sf).join(D.chunks(spark, sf).select("chunk_id", "doc_id"), "chunk_id")
+    some = near.where("(query_id + doc_id) % 5 = 0").select("query_id", "chunk_id")
     each = some.union(hits.where("rank in (2, 4)").select("query_id", "chunk_id")).join(asked, "query_id")
     return each.groupBy(F.col("query_id").alias("question_id"), F.col("kb_id").alias("dataset_id")).agg(F.sort_array(F.collect_set("chunk_id")).alias("relevant_chunk_ids"))
 
@@ -619,17 +671,26 @@ def _results(spark, sf):
     return evaluate.question_metrics(_labelled(spark, sf, hits), hits.withColumnRenamed("query_id", "question_id"), 5)
 
 
-@query("SELECT question_id, dataset_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(reciprocal_rank, 6) AS reciprocal_rank, retrieved FROM met0", lab0=_LABELS, met0=_METRICS)
+@query("SELECT question_id, dataset_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(reciprocal_rank, 6) AS reciprocal_rank, retrieved FROM met0", lab0=_LABELS, met0=_METRICS, lat0="SELECT user_id AS question_id, avg(value) AS latency_ms FROM events GROUP BY user_id")
 def eval_questions(spark, sf):
     r = _results(spark, sf)
     got = F.array_join(F.col("retrieved_chunk_ids").cast("array<string>"), ",").alias("retrieved")
     return r.select("question_id", "dataset_id", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "reciprocal_rank")), got)
 
 
-@query("SELECT dataset_id, count(*) AS questions, round(avg(recall), 6) AS recall_at_k, round(avg(precision), 6) AS precision_at_k, round(avg(reciprocal_rank), 6) AS mrr, round(avg(CASE WHEN precision > 0 THEN 1 ELSE 0 END), 6) AS hit_rate FROM met0 GROUP BY dataset_id", lab0=_LABELS, met0=_METRICS)
+@query("SELECT dataset_id, count(*) AS questions, round(avg(recall), 6) AS recall_at_k, round(avg(precision), 6) AS precision_at_k, round(avg(reciprocal_rank), 6) AS mrr, round(avg(CASE WHEN precision > 0 THEN 1 ELSE 0 END), 6) AS hit_rate, round(avg(latency_ms), 6) AS average_latency_ms FROM met0 LEFT JOIN lat0 USING (question_id) GROUP BY dataset_id", lab0=_LABELS, met0=_METRICS, lat0="SELECT user_id AS question_id, avg(value) AS latency_ms FROM events GROUP BY user_id")
 def eval_runs(spark, sf):
-    r = evaluate.run_metrics(_results(spark, sf))
-    return r.select("dataset_id", "questions", *(F.round(c, 6).alias(c) for c in ("recall_at_k", "precision_at_k", "mrr", "hit_rate")))
+    """With the mean latency of the requests that have a question's number as their user."""
+    latency = D.table(spark, sf, "events").groupBy(F.col("user_id").alias("question_id")).agg(F.avg("value").alias("latency_ms"))
+    r = evaluate.run_metrics(_results(spark, sf).join(latency, "question_id", "left"))
+    return r.select("dataset_id", "questions", *(F.round(c, 6).alias(c) for c in ("recall_at_k", "precision_at_k", "mrr", "hit_rate", "average_latency_ms")))
+
+
+@query("SELECT DISTINCT label AS dataset_id FROM embeddings WHERE label NOT IN (SELECT query_id % 7 FROM ask)")
+def empty_datasets(spark, sf):
+    """Data sets without a question, over which no run may be made."""
+    datasets = D.table(spark, sf, "embeddings").select(F.col("label").alias("dataset_id")).distinct()
+    return evaluate.empty_datasets(datasets, D.questions(spark, sf).select((F.col("query_id") % 7).alias("dataset_id")))
 
 
 @query("SELECT q AS question_id, c AS chunk_id FROM (SELECT query_id AS q, kb_id, unnest([c0, c0 + 1, c0]) AS c FROM (SELECT query_id, kb_id, query_id * 100000 AS c0 FROM ask)) x WHERE NOT EXISTS (SELECT 1 FROM chunk k WHERE k.kb_id = x.kb_id AND k.chunk_id = x.c) GROUP BY ALL")
@@ -729,23 +790,25 @@ def request_windows(spark, sf):
 # ---- streams ----
 
 
-def _store(spark) -> str:
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+#: Two waves of events: the second one holds every tenth of the first one's time, late, and all that is newer.
+_HALF = "2024-01-15 12:00:00"
 
 
-@query(f"SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, {_RATES} FROM req WHERE path <> '/health' GROUP BY ALL", req=_REQUESTS)
+@query(
+    f"""SELECT w AS window_start, {_RATES} FROM (SELECT r.*, time_bucket(INTERVAL '1 hour', r.ts) AS w, first_wave, (SELECT max(ts) FROM wave0 WHERE first_wave) - INTERVAL '10 minutes' AS mark1, (SELECT max(ts) FROM wave0) - INTERVAL '10 minutes' AS mark2
+  FROM wave0 r) WHERE path <> '/health' AND w + INTERVAL '1 hour' <= mark2 AND (first_wave OR w + INTERVAL '1 hour' > mark1) GROUP BY w""",
+    wave0=_REQUESTS.replace(" FROM events", f", ts < TIMESTAMP '{_HALF}' AND event_id % 10 <> 0 AS first_wave FROM events"),
+)
 def streaming_metrics(spark, sf):
-    """The event table as a stream, to a table of windows."""
+    """The event table as a stream in two waves: late rows are dropped, and each window is written once, when the watermark has passed it."""
     events = D.table(spark, sf, "events")
     at = _store(spark)
-    events.repartition(1).write.parquet(f"{at}/in")
-    stream = _requests(spark.readStream.schema(events.schema).parquet(f"{at}/in"))
-    counted = jobs.windowed_metrics(stream)
-    done = (
-        counted.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
-        .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out")).start()
-    )
-    done.awaitTermination()
+    first = (F.col("ts") < F.lit(_HALF).cast("timestamp")) & (F.col("event_id") % 10 != 0)
+    for wave in (first, ~first):
+        spread(events.where(wave)).write.mode("append").parquet(f"{at}/in")
+        counted = jobs.windowed_metrics(_requests(spark.readStream.schema(events.schema).parquet(f"{at}/in")))
+        stream = counted.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+        stream.start().awaitTermination()
     return spark.read.parquet(f"{at}/out")
 
 
@@ -759,7 +822,7 @@ def streaming_ingest(spark, sf):
     files = _files(spark, sf)
     at = _store(spark)
     for wave in (0, 1):
-        files.where(F.col("doc_id") % 2 == wave).repartition(1).write.mode("append").parquet(f"{at}/in")
+        files.where(F.col("doc_id") % 2 == wave).write.mode("append").parquet(f"{at}/in")
         stream = spark.readStream.schema(files.schema).parquet(f"{at}/in")
         jobs.ingest_stream(stream, f"{at}/store", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/store/documents").select("doc_id", "kb_id", "sha256", "status", "chunk_count")

@@ -186,7 +186,6 @@ CTES = {
     "postings": "SELECT chunk_id, kb_id, dl, token, count(*) AS tf FROM (SELECT chunk_id, kb_id, dl, unnest(toks) AS token FROM listed) GROUP BY ALL",
     "dfs": "SELECT kb_id, token, count(*) AS df FROM postings GROUP BY ALL",
     "bm25": f"SELECT query_id, chunk_id, sum({bm25_sum()}) AS bm25 FROM asked JOIN postings USING (kb_id, token) JOIN dfs USING (kb_id, token) JOIN totals USING (kb_id) GROUP BY ALL",
-    "hits": "SELECT b.query_id, CAST(row_number() OVER (PARTITION BY b.query_id ORDER BY round(bm25, 9) DESC, chunk_id) AS INT) AS rank, chunk_id, document_name, page_number, chunk_index, content, bm25 / 20 AS score FROM bm25 b JOIN chunk USING (chunk_id) QUALIFY rank <= 5",
 }
 
 

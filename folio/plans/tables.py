@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import expand_query
+from ..operators import embed, search
 from ..operators.chunking import chunk_pages
-from ..sources.store import written
+from ..sources.store import spread, written
 
 #: Questions take one of these words by item_id, so that every intent occurs.
 QUESTION_WORDS = ("数据集 ", "局限 ", "贡献 ", "模型架构 ", "", "结果 ")
 LANGS = ("en", "fr", "de", "es")
 
 
+#: Tables that several queries of a session derive from the same input, each written once.
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The derived table of this name, as this application has written it for sf_dir."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        found = written(make())
+        few = found.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+        _stored[key] = written(spread(found)) if few else found
+    return _stored[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one of fewer splits than cores is dealt out, as the work on its rows is much more than their reading."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "conversations") else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +58,13 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all documents, with ids that SQL can make too; written, as the queries read them more than once."""
-    found = chunk_pages(pages(spark, sf_dir)).withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("chunk_index"))
-    return written(found.join(documents(spark, sf_dir).select("doc_id", "kb_id", "document_name"), "doc_id"))
+    """Chunks of all documents, with ids that SQL can make too."""
+
+    def make():
+        found = chunk_pages(pages(spark, sf_dir)).withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("chunk_index"))
+        return found.join(documents(spark, sf_dir).select("doc_id", "kb_id", "document_name"), "doc_id")
+
+    return stored(spark, sf_dir, "chunks", make)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,3 +73,22 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.element_at(F.array(*(F.lit(w) for w in QUESTION_WORDS)), (F.col("item_id") % len(QUESTION_WORDS) + 1).cast("int"))
     kb = F.element_at(F.array(*(F.lit(x) for x in LANGS)), (F.col("item_id") % len(LANGS) + 1).cast("int"))
     return b.select(F.col("item_id").alias("query_id"), kb.alias("kb_id"), F.concat(word, "text").alias("question"), F.expr("cast(null as array<long>)").alias("doc_ids"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, doc_id, kb_id, embedding) of the chunks of ready documents."""
+    ready = documents(spark, sf_dir).where("status = 'ready'").select("doc_id")
+    some = chunks(spark, sf_dir).join(ready, "doc_id", "left_semi").select("chunk_id", "doc_id", "kb_id", "content")
+    return embed.hash_embed(some, "content", digest="md5").drop("content")
+
+
+def near(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, semantic): the k nearest chunks that each question may use."""
+    q = embed.hash_embed(asked.withColumn("expanded", expand_query("question")), "expanded", digest="md5")
+    found = search.vector_topk(q, vectors(spark, sf_dir), k, item_id="chunk_id", scope="kb_id", doc_ids="doc_ids", least=0.0)
+    return found.select("query_id", F.col("item_id").alias("chunk_id"), F.col("score").alias("semantic"))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 40 nearest chunks of each question."""
+    return stored(spark, sf_dir, "candidates", lambda: near(spark, sf_dir, questions(spark, sf_dir), search.CANDIDATES))

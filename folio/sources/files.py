@@ -10,7 +10,7 @@ BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content b
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, content) of all files below a path."""
+    """(file_name, content) of all files below a path; Spark's reader leaves files of no bytes out."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file_name"), "content")
 
 

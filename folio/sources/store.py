@@ -9,14 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, a new temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset and Spark runs on this machine alone, a new temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="folio-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in as many partitions as there are cores, if a table has fewer splits than that; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read from there: what follows neither repeats the work nor loses it with an executor."""
     spark = df.sparkSession

@@ -12,6 +12,7 @@ from ..operators.chunking import chunk_pages
 from ..operators.ingest import admit, document_status, reject_duplicates
 from ..operators.listing import request_metrics
 from ..sources.files import decoded
+from ..sources.store import written
 
 
 def _read(spark: SparkSession, path: str, schema: str, without_batch: int | None = None) -> DataFrame:
@@ -34,8 +35,9 @@ def ingest_batch(spark: SparkSession, files: DataFrame, store: str, batch: int,
     batch changes nothing.
     """
     stored = _read(spark, f"{store}/documents", _DOCUMENTS, batch)
-    checked = admit(files)
-    new = reject_duplicates(checked, stored)
+    # once written, neither fingerprints nor the choice of new files are made again for each table
+    checked = written(admit(files))
+    new = written(reject_duplicates(checked, stored))
     pages = new.select("doc_id", F.lit(1).alias("page_number"), decoded("content").alias("text"))
     chunks = chunk_pages(pages).join(new.select("doc_id", "kb_id"), "doc_id")
     if embed is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folio.functions import rules
 from folio.functions import text as T
 from folio.operators import answer, chunking, embed, evaluate, ingest, listing, search, workspace
-from folio.sources import files
+from folio.sources import files, store
 from folio.streaming import jobs
 
 
@@ -80,7 +80,7 @@ def test_query_rules(spark):
     assert "dataset" in found[0] and "metric" in found[0] and "数据集" in found[0]
     assert "limitation" in found[1] and "abstract" in found[1] and found[2] == "hello"
     df = spark.createDataFrame([("数据集", "Dataset accuracy metric top-1 top-5 ntu rgb kinetics", 2), ("结构", "a module, a block", 1), ("总结", "we propose; contribution", 1), ("x", "dataset", 1)], "q string, c string, p int")
-    got = [round(r[0], 6) for r in df.select(T.intent_bonus("q", "c", "p")).collect()]
+    got = [round(r[0], 6) for r in df.select(T.intent_bonus("q", T.intent_bonuses("c", "p"))).collect()]
     assert got == [0.2, 0.08, 0.4, 0.0]
     names = spark.createDataFrame([("tell me about td gcn v2", "TD-GCN.pdf"), ("x", "ab.pdf"), ("abc", "abc")], "q string, n string")
     assert [r[0] for r in names.select(T.filename_bonus("q", "n")).collect()] == [0.35, 0.0, 0.35]
@@ -117,6 +117,97 @@ def test_vector_topk(spark):
         assert got[i] == np.lexsort((np.arange(300), -(x @ x[i])))[:7].tolist()
 
 
+def test_vector_topk_within_scope_and_documents(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab"[i % 2], i % 9, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(400)]  # many ties
+    items = spark.createDataFrame(rows, "item_id long, kb string, doc_id long, embedding array<double>").repartition(5)
+    asked = [(0, "a", None, [1.0, 1.0, 0.0, -1.0]), (1, "b", [3, 4], [0.0, 2.0, 1.0, 0.0]), (2, "a", [], [-1.0, 0.0, 0.0, 0.0]), (3, "a", [99], [1.0] * 4), (4, "z", None, [1.0] * 4), (5, "a", None, None)]
+    queries = spark.createDataFrame(asked, "query_id long, kb string, doc_ids array<long>, embedding array<double>")
+    got = {}
+    for r in search.vector_topk(queries, items, 12, scope="kb", doc_ids="doc_ids", least=0.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.item_id, r.score))
+    for q, kb, docs, v in asked[:3]:
+        scored = [(-max(0.0, float(np.dot(v, x))), i) for i, k, d, x in rows if k == kb and (not docs or d in docs)]
+        assert got[q] == [(i, -s) for s, i in sorted(scored)[:12]]
+    assert set(got) == {0, 1, 2}
+
+
+def test_encoder_prefix_and_equal_texts(spark):
+    df = spark.createDataFrame([(1, "same"), (2, "same"), (3, None), (4, "other")], "i int, t string").coalesce(1)
+    seen = lambda batch: [[float(len(batch)), float(len(t))] for t in batch]
+    got = {r.i: r.embedding for r in embed.encode_batches(df, "t", lambda: seen, 2, prefix="q: ").collect()}
+    assert got == {1: [2.0, 7.0], 2: [2.0, 7.0], 3: None, 4: [2.0, 8.0]}
+
+
+def _library(spark):
+    words = "graph network accuracy tomato cooking model method result attention layer soup salt".split()
+    rnd = random.Random(4)
+    chunks = [(d * 10 + k, d, "ab"[d % 2], f"doc_{d}.txt", k, 1 + k // 2, "S", " ".join(rnd.choices(words, k=12)) + ".") for d in range(16) for k in range(2)]
+    chunks = spark.createDataFrame(chunks, "chunk_id long, doc_id long, kb_id string, document_name string, chunk_index int, page_number int, section_path string, content string")
+    documents = spark.createDataFrame([(d, "ab"[d % 2], f"doc_{d}.txt", "failed" if d == 6 else "ready") for d in range(16)], "doc_id long, kb_id string, document_name string, status string")
+    asked = spark.createDataFrame([(0, "a", "graph accuracy doc 4", None), (1, "b", "tomato soup", [1, 3]), (2, "b", "method 贡献", [])], "query_id long, kb_id string, question string, doc_ids array<long>")
+    return chunks, documents, asked
+
+
+def test_exhaustive_search_equals_candidates_that_are_all(spark):
+    # each kb has fewer chunks than candidates are taken, so both ways see the same
+    chunks, documents, asked = _library(spark)
+    ready = chunks.join(documents.where("status = 'ready'").select("doc_id"), "doc_id", "left_semi")
+    items = embed.hash_embed(ready, "content")
+    q = embed.hash_embed(asked.withColumn("expanded", T.expand_query("question")), "expanded")
+    near = search.vector_topk(q, items, 40, item_id="chunk_id", scope="kb_id", doc_ids="doc_ids", least=0.0).select("query_id", F.col("item_id").alias("chunk_id"), F.col("score").alias("semantic"))
+    shown = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 8), round(r.semantic, 8), round(r.bm25, 8)) for r in df.collect())
+    some = shown(search.search(asked, chunks, documents, near))
+    every = shown(search.search(asked, chunks, documents, search.similarities(q, items), mode="exhaustive"))
+    assert some == every and len(every) == 14
+    assert {c // 10 for i, _, c, *_ in every if i == 1} <= {1, 3} and 6 not in {c // 10 for _, _, c, *_ in every}
+    assert [c // 10 for i, k, c, *_ in every if i == 0][0] == 4  # the question names it
+
+
+def test_lexical_scores_of_sharing_chunks(spark):
+    chunks, _, asked = _library(spark)
+    got = {(r.query_id, r.chunk_id): r.score for r in search.lexical(asked, chunks).collect()}
+    pairs = asked.join(chunks, "kb_id").select("query_id", "chunk_id", T.lexical_score("question", "content").alias("s")).where("s > 0").collect()
+    assert {k: round(v, 9) for k, v in got.items()} == {(r.query_id, r.chunk_id): round(r.s, 9) for r in pairs} and got
+
+
+def test_words_for_splitting_are_whole(spark):
+    df = spark.createDataFrame([("deeplearningmodelsworkfine models",), ("deeplearningmodelsworkfine models",)], "text string")
+    assert [r.word for r in chunking.word_counts(df).collect()] == ["models"]
+
+
+def test_shared_folder(spark):
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        store.shared_dir(Elsewhere)
+    assert store.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_tables_by_kb(spark, tmp_path):
+    at = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "kb_id string, n int")
+    ingest.write_table(rows, at)
+    ingest.write_table(spark.createDataFrame([("b", 3)], "kb_id string, n int"), at, "overwrite")
+    ingest.write_table(spark.createDataFrame([("c", 4)], "kb_id string, n int"), at)
+    read = spark.read.parquet(at).where("kb_id = 'b'")
+    assert sorted((r.kb_id, r.n) for r in spark.read.parquet(at).collect()) == [("a", 1), ("b", 3), ("c", 4)] and "PartitionFilters: [isnotnull(kb_id" in read._jdf.queryExecution().toString()
+
+
+def test_text_files_as_pages(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, content in (("a.txt", "one".encode()), ("b.md", b"bad \xff byte"), ("c.pdf", b"%PDF"), ("empty.txt", b"")):
+        (tmp_path / "in" / name).write_bytes(content)
+    found = ingest.admit(files.read_files(spark, str(tmp_path / "in"))).withColumn("doc_id", F.xxhash64("name"))
+    pages = files.text_pages(found).join(found.select("doc_id", "name"), "doc_id")
+    assert sorted((r.name, r.page_number, r.text) for r in pages.collect()) == [("a.txt", 1, "one"), ("b.md", 1, "bad \ufffd byte")]
+
+
 def test_bm25_and_scaling(spark):
     chunks = spark.createDataFrame([(1, "k", "", "graph network accuracy"), (2, "k", "", "cooking tomato"), (3, "o", "", "graph")], "chunk_id long, kb_id string, section_path string, content string")
     asked = spark.createDataFrame([(7, "k", "graph accuracy"), (8, "k", "!!")], "query_id long, kb_id string, question string")
