@@ -27,12 +27,15 @@ MANTISSA_BITS = 10
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: A pair whose corrected estimate is lower than the limit by this many standard deviations is not verified.
-DEVIATIONS = 4.0
+DEVIATIONS = 5.0
 #: Classes of a bucket against which all its classes are held first.
 CENTRES = 2
-#: Rows of one bucket that a residual task compares with each other, and shingles of one component that it holds.
+#: Rows of one bucket that a residual task compares with each other, shingles of one component that it holds, and classes tried against those.
 BLOCK = 2048
-SET_BLOCK = 1_000_000
+SET_BLOCK = 200_000
+TRIED = 512
+#: Parts into which the classes of a component are dealt where they meet something that belongs to the whole component.
+SALTS = 16
 
 _FACTORS = (mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -207,17 +210,17 @@ def _crossing(batches):
 
 
 def _joins_block(batches):
-    """Streams rows (comp, block, kind, cls, regs, shingles) sorted by comp, block, kind; yields a confirmed link (a, b) of each kind-1 class into the block.
+    """Streams rows (comp, block, part, kind, cls, regs, shingles) sorted by comp, block, part, kind; yields a confirmed link (a, b) of each kind-1 class into the block.
 
     The kind-0 rows of one block are held; they have about SET_BLOCK shingles.
     """
     least, at, held, regs, sizes = _least(), None, [], None, None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("comp", "block", "kind", "cls", "regs", "shingles")]
+        columns = [batch.column(c).to_pylist() for c in ("comp", "block", "part", "kind", "cls", "regs", "shingles")]
         a, b = [], []
-        for comp, block, kind, cls, reg, raw in zip(*columns):
-            if (comp, block) != at:
-                at, held, regs = (comp, block), [], None
+        for comp, block, part, kind, cls, reg, raw in zip(*columns):
+            if (comp, block, part) != at:
+                at, held, regs = (comp, block, part), [], None
             own = np.frombuffer(raw, np.uint64)
             if kind == 0:
                 held.append((cls, reg, own))
@@ -247,11 +250,34 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(second, "b").join(first, "a").mapInArrow(_linked, "a long, b long")
 
 
+def _with_component(df: DataFrame, of_comp: DataFrame, how: str = "inner") -> DataFrame:
+    """df(comp, cls, ...) joined with a row of each component, dealt by cls too, so that a large component is in many tasks."""
+    salted = of_comp.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(11)), F.lit(SALTS)).cast("int")).join(salted, ["comp", "salt"], how).drop("salt")
+
+
 def _placed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, size, cls, comp) of the buckets that hold several components."""
-    placed = buckets.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return placed.join(mixed, "key")
+    """(key, cls, comp, inside, most, others) of the buckets that hold several components: whether cls is of the component with most classes in the bucket, and how many are and are not."""
+    placed = buckets.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("comp"))
+    counted = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    placed = placed.join(top, "key")
+    return placed.select("key", "cls", "comp", (F.col("comp") == F.col("top.comp")).alias("inside"), F.col("top.n").alias("most"), (F.col("size") - F.col("top.n")).alias("others"))
+
+
+def _meetings(placed: DataFrame) -> DataFrame:
+    """(grp, side, comp, cls): classes of a bucket outside its main component, in blocks, against each other and against the main component's blocks; those of the main component do not meet each other."""
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    rows = placed.withColumn("o", blocks("others")).withColumn("m", blocks("most"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.when(F.col("inside"), F.col("m")).otherwise(F.col("o"))).cast("int"))
+    other = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("o") - 1)))
+    main = F.col("inside")
+    against_others = other.select(
+        F.when(main, F.xxhash64("key", F.lit(1), "with", "own")).otherwise(F.xxhash64("key", F.lit(0), F.least("own", "with"), F.greatest("own", "with"))).alias("grp"),
+        (main | (F.col("own") > F.col("with"))).cast("int").alias("side"), "comp", "cls",
+    )
+    against_main = rows.where(~main).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return against_others.union(against_main.select(F.xxhash64("key", F.lit(1), "own", "with").alias("grp"), F.lit(0).alias("side"), "comp", "cls"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,8 +290,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows. Further columns, whatever their names, are ignored. An empty table gives no rows.
 
     In each band bucket every class is held against CENTRES classes of the bucket. What is left apart after that
-    is held against the whole of each other component in a shared bucket that it may link into, in blocks. So a bucket of n alike texts costs about n
-    verifications, makes no row for each pair, and loses no link between components.
+    is held against the whole of each other component in a shared bucket that it may link into, in blocks; classes of a bucket's
+    main component are not compared with each other again. So a bucket of n alike texts costs about n
+    verifications, makes no row for each pair, and loses no link between components. A pair at similarity 0.75 exactly shares no
+    band with chance 5e-6 and falls below the estimate's cut with chance 3e-7 or so; others of its component may still link it.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = written(docs.mapInArrow(_sketches, _SKETCH))
@@ -290,25 +318,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     labels = connected(_verified(pairs, sets))
 
-    placed = _placed(buckets, labels)
     weights = labels.groupBy(F.col("label").alias("comp")).agg(F.count(F.lit(1)).alias("weight"))
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    rest = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select(
-        F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("grp"),
-        (F.col("own") > F.col("with")).cast("int").alias("side"), "comp", "cls",
-    ).join(weights, "comp", "left").withColumn("weight", F.coalesce("weight", F.lit(1))).join(sketch, "cls")
-    rest = rest.repartition("grp").sortWithinPartitions("grp").mapInArrow(_crossing, "cls long, comp long")
+    met = _with_component(_meetings(_placed(buckets, labels)), weights, "left").withColumn("weight", F.coalesce("weight", F.lit(1))).join(sketch, "cls")
+    rest = met.repartition("grp").sortWithinPartitions("grp").mapInArrow(_crossing, "cls long, comp long")
     rest = written(rest.distinct())
 
     members = rep.select("cls", "n").join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "n", F.coalesce("label", "cls").alias("comp"))
-    members = members.join(rest.select("comp").distinct(), "comp", "left_semi")
-    cut = members.groupBy("comp").agg(F.ceil(F.sum("n") / F.lit(SET_BLOCK)).cast("int").alias("blocks"))
-    held = members.join(cut, "comp").select("comp", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "cls")
-    tried = rest.join(cut, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "cls")
-    against = held.union(tried).join(sketch.select("cls", "regs"), "cls").join(sets, "cls").select("comp", "block", "kind", "cls", "regs", "shingles")
-    against = against.repartition("comp", "block").sortWithinPartitions("comp", "block", "kind")
+    load = rest.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(TRIED)).cast("int").alias("parts"))
+    members = _with_component(members, load)
+    cut = members.groupBy("comp").agg(F.ceil(F.sum("n") / F.lit(SET_BLOCK)).cast("int").alias("blocks")).join(load, "comp")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda n, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(n)).cast("int")
+    held = _with_component(members.select("comp", "cls"), cut).select("comp", of("blocks", 1).alias("block"), every("parts").alias("part"), F.lit(0).alias("kind"), "cls")
+    tried = _with_component(rest, cut).select("comp", every("blocks").alias("block"), of("parts", 2).alias("part"), F.lit(1).alias("kind"), "cls")
+    against = held.union(tried).join(sketch.select("cls", "regs"), "cls").join(sets, "cls").select("comp", "block", "part", "kind", "cls", "regs", "shingles")
+    against = against.repartition("comp", "block", "part").sortWithinPartitions("comp", "block", "part", "kind")
     more = against.mapInArrow(_joins_block, "a long, b long")
     # components of components: what is linked now are labels
     for end in ("a", "b"):

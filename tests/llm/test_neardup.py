@@ -51,6 +51,7 @@ def rows():
 def test_components_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     monkeypatch.setattr(neardup, "SET_BLOCK", 300)
+    monkeypatch.setattr(neardup, "TRIED", 2)
     monkeypatch.setattr(neardup, "CENTRES", 1)
     made = rows()
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in made], SCHEMA)
