@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small_batches, written
 from .text import slices
 
 #: Code points of a chunk, and how far it reaches into the next one.
@@ -158,6 +158,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     say) is encoded whole. ``then`` may be a function of record batches (doc_id, ids) and its schema: what it makes of
     the rows is returned instead, without the ids leaving the worker that made them.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     length = F.length(F.coalesce("text", F.lit("")))
     finish, schema = then or (None, "doc_id long, ids array<int>")

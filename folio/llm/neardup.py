@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected, written
+from .shared import connected, small_batches, written
 from .text import Words, mix, shingles, slices
 
 SHINGLE = 5
@@ -296,6 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band with chance 5e-6 and falls below the estimate's cut with chance 3e-7 or so; others of its component may still link it.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
     sketched = written(docs.mapInArrow(_sketches, _SKETCH))
     usable = sketched.where("cls is not null and doc_id is not null")
     classes = usable.groupBy("cls").agg(F.min("doc_id").alias("first_doc"))

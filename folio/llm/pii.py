@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small_batches, written
 from .text import slices, text_buffer, with_columns
 
 #: Entities that drew again are sent to every task up to this many; beyond it they are joined to their texts.
@@ -345,6 +345,7 @@ def with_surrogates(docs: DataFrame, key: bytes, sent: int = SENT) -> DataFrame:
     Two narrow passes over the texts, one to detect and one to replace; in between, only entities are shuffled.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
     found = written(marked.mapInArrow(_detector, _ENTITY))
     drawn = assign(found, key)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder, sample
+from .shared import small_batches
 from .text import Words, mix, shapes, slices
 
 FOLDS, HELD_OUT = 3, 1
@@ -118,6 +119,7 @@ def _scorer(shared, carry: list[str], text_col: str, name: str):
 
 def with_score(docs: DataFrame, labels: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
     """The columns ``carry`` of docs, which must be its own, and the score as ``name``: one narrow pass."""
+    small_batches(docs.sparkSession)
     model = fit(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*carry).schema.add(name, "double")

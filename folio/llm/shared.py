@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import shared_dir, written
 
-__all__ = ["connected", "shared_dir", "written"]
+__all__ = ["connected", "shared_dir", "small_batches", "written"]
+
+#: Arrow batches of whole texts that a worker gets at a time; it cuts them into slices anyway.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session hand texts to Python in batches of at most BATCH_BYTES (or one row); a smaller limit of its own stays."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(limit).lower().rstrip("b")
+    if not now.lstrip("-").isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
 
 
 def connected(edges: DataFrame, limit: int = 60) -> DataFrame:
