@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe, packing
 from .ann import neighbours
 from .decontaminate import contamination
+from .fingerprint import edited_fingerprints
 from .licenses import licenses
 from .lm import language_model
 from .neardup import near_duplicates
@@ -74,6 +75,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(written(packing.pack_segments(segments, tokens=size // 4)))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op3_pii": op3_pii,
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op6_near_dedup": op6_near_dedup,
     "op9_bpe": op9_bpe,
+    "op11_fingerprints": op11_fingerprints,
 }
 
 _SHINGLES = r"""
@@ -112,5 +118,29 @@ comp AS (SELECT v, min(r) AS r FROM reach GROUP BY v),
 labelled AS (SELECT s.doc_id, len(s.s) AS n, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE coalesce(m.r, k.c) END AS component_id
   FROM (SELECT doc_id, list_sort(s) AS s FROM sets) s LEFT JOIN classes k ON k.s = s.s LEFT JOIN comp m ON m.v = k.c)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM labelled
+""",
+    "op11_fingerprints": r"""
+WITH following AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS nt FROM documents WINDOW w AS (ORDER BY doc_id)),
+edited AS (SELECT doc_id, t, nt, length(t) AS n, substr(t, 1, length(t) - length(t) // 2) || substr(nt, 1, length(t) // 2) AS e FROM following),
+pieces AS (
+  SELECT doc_id, side, ('0x' || substr(md5(unnest(regexp_extract_all(x, '[^\n]{1,80}'))), 1, 15))::BIGINT AS h
+  FROM (SELECT doc_id, unnest(['a', 'e', 'b']) AS side, unnest([t, e, nt]) AS x FROM edited)
+),
+digests AS MATERIALIZED (
+  SELECT doc_id, side, CASE WHEN c = 1 THEN h ELSE ('0x' || substr(md5(h || ':' || c), 1, 15))::BIGINT END AS d
+  FROM (SELECT doc_id, side, h, count(*) AS c FROM pieces GROUP BY ALL)
+),
+cells AS (SELECT doc_id, side, cell, count(*) AS c, bit_xor(d) AS k FROM (SELECT doc_id, side, d, j * 8 + ((d >> (20 * j)) & 7) AS cell FROM digests, (SELECT unnest([0, 1, 2]) AS j)) GROUP BY ALL),
+sketches AS (SELECT doc_id, side, string_agg(cell || '.' || c || '.' || to_hex(k), ',' ORDER BY cell) AS s FROM cells GROUP BY ALL),
+sizes AS (SELECT doc_id, side, count(*) AS n FROM digests GROUP BY ALL),
+common AS (SELECT x.doc_id, y.side, count(*) AS n FROM digests x JOIN digests y ON x.doc_id = y.doc_id AND x.d = y.d AND x.side = 'a' AND y.side <> 'a' GROUP BY ALL),
+f AS (SELECT v.doc_id, v.n, sha256(e) AS h, coalesce(za.n, 0) AS na, coalesce(ze.n, 0) AS ne, coalesce(zb.n, 0) AS nb, coalesce(sa.s, '') AS a, coalesce(se.s, '') AS e, coalesce(ce.n, 0) AS ce, coalesce(cb.n, 0) AS cb
+  FROM edited v
+  LEFT JOIN sizes za ON za.doc_id = v.doc_id AND za.side = 'a' LEFT JOIN sizes ze ON ze.doc_id = v.doc_id AND ze.side = 'e' LEFT JOIN sizes zb ON zb.doc_id = v.doc_id AND zb.side = 'b'
+  LEFT JOIN sketches sa ON sa.doc_id = v.doc_id AND sa.side = 'a' LEFT JOIN sketches se ON se.doc_id = v.doc_id AND se.side = 'e'
+  LEFT JOIN common ce ON ce.doc_id = v.doc_id AND ce.side = 'e' LEFT JOIN common cb ON cb.doc_id = v.doc_id AND cb.side = 'b')
+SELECT doc_id, n AS n_chars, h AS edited_sha256, na || ':' || a AS fingerprint, ne || ':' || e AS edited_fingerprint,
+  CASE WHEN na + ne = 0 THEN 1 ELSE ce / (na + ne - ce) END AS near_edited, CASE WHEN na + nb = 0 THEN 1 ELSE cb / (na + nb - cb) END AS near_next
+FROM f
 """,
 }
