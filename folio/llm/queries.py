@@ -14,6 +14,7 @@ from .lm import language_model
 from .neardup import near_duplicates
 from .pii import replace_pii
 from .quality import quality
+from .resampling import resampled
 from .shared import written
 from .toxicity import toxicity
 
@@ -79,6 +80,10 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op3_pii": op3_pii,
@@ -91,6 +96,7 @@ QUERIES = {
     "op6_near_dedup": op6_near_dedup,
     "op9_bpe": op9_bpe,
     "op11_fingerprints": op11_fingerprints,
+    "op12_resampling": op12_resampling,
 }
 
 _SHINGLES = r"""
@@ -142,5 +148,27 @@ f AS (SELECT v.doc_id, v.n, sha256(e) AS h, coalesce(za.n, 0) AS na, coalesce(ze
 SELECT doc_id, n AS n_chars, h AS edited_sha256, na || ':' || a AS fingerprint, ne || ':' || e AS edited_fingerprint,
   CASE WHEN na + ne = 0 THEN 1 ELSE ce / (na + ne - ce) END AS near_edited, CASE WHEN na + nb = 0 THEN 1 ELSE cb / (na + nb - cb) END AS near_next
 FROM f
+""",
+    "op12_resampling": r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+words AS (
+  SELECT side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM (SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)
+),
+different AS MATERIALIZED (SELECT DISTINCT w FROM words),
+hashed AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM different, crc
+),
+counted AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM words JOIN hashed USING (w) GROUP BY bucket),
+gain AS MATERIALIZED (SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS g FROM counted),
+weighed AS (SELECT doc_id, count(*) AS n, CAST(sum(g) AS BIGINT) AS weight FROM words JOIN hashed USING (w) JOIN gain USING (bucket) WHERE side = 0 GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weighed USING (doc_id)
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_features >= 20) OVER () AS total FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * total // 100 THEN r END AS rank FROM placed
 """,
 }
