@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, packing
 from .ann import neighbours
+from .collocations import collocations
 from .decontaminate import contamination
 from .fingerprint import edited_fingerprints
 from .licenses import licenses
@@ -84,6 +85,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op3_pii": op3_pii,
@@ -97,6 +102,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op11_fingerprints": op11_fingerprints,
     "op12_resampling": op12_resampling,
+    "op13_collocations": op13_collocations,
 }
 
 _SHINGLES = r"""
@@ -170,5 +176,26 @@ scored AS (
 ),
 placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_features >= 20) OVER () AS total FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * total // 100 THEN r END AS rank FROM placed
+""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sums AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang),
+runs AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k),
+known AS MATERIALIZED (SELECT lang, k AS size, phrase, count(*)::HUGEINT AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
+candidates AS MATERIALIZED (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM known WHERE size >= 2),
+inner_parts AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, a
+  FROM (SELECT *, unnest(range(1, size - k + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS k FROM candidates WHERE size >= 3))
+),
+holders AS (SELECT lang, phrase, max(a) AS held FROM inner_parts GROUP BY ALL),
+kept AS (SELECT c.* FROM candidates c LEFT JOIN holders h USING (lang, phrase) WHERE held IS NULL OR 100 * held < 100 * a),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS p, array_to_string(w[k + 1:], ' ') AS q FROM (SELECT *, unnest(range(1, size)) AS k FROM kept)),
+valued AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score FROM cuts c JOIN known x ON x.lang = c.lang AND x.phrase = p JOIN known y ON y.lang = c.lang AND y.phrase = q JOIN sums s ON s.lang = c.lang),
+weakest AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest) WHERE rank <= 2000
 """,
 }

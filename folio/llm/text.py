@@ -25,8 +25,13 @@ _NOT_BLANK[[0x20, *range(0x09, 0x0E)]] = False
 _ALNUM = np.zeros(256, bool)
 _ALNUM[0x30:0x3A] = _ALNUM[0x61:0x7B] = _ALNUM[0x80:] = True
 
-#: Word classes by name: runs without blanks; runs of digits, letters and all beyond ASCII.
-CLASSES = {"not_blank": _NOT_BLANK, "alnum": _ALNUM}
+#: Signs that end a piece of text: stops and line ends.
+STOPS = np.zeros(256, bool)
+STOPS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
+
+#: Word classes by name: runs without blanks; runs of digits, letters and all beyond ASCII; runs without spaces, tabs and stops.
+CLASSES = {"not_blank": _NOT_BLANK, "alnum": _ALNUM, "within_piece": ~STOPS}
+CLASSES["within_piece"][[0x09, 0x20]] = False
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
