@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from folio.llm import decontaminate, licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -104,3 +106,34 @@ def test_contamination_of_shortened_texts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = decontaminate.contamination(docs, spark.createDataFrame(named, "item_id long, text string")).collect()
     assert {(r.doc_id, k): round(s, 9) for r in rows for k, s in zip(r.item_ids, r.similarities)} == brute(texts, named)
+
+
+def test_simhash_alone_finds_shortened_and_edited_items():
+    """Recall of the fingerprints, without the exact look-up, against all windows compared."""
+    rnd = random.Random(11)
+    draw = lambda n: [f"w{rnd.randrange(20_000)}" for _ in range(n)]
+    items = [(k, draw(rnd.randint(14, 60))) for k in range(45)] + [(k, draw(rnd.randint(5, 14))) for k in range(45, 60)] + [(k, draw(rnd.randint(60, 300))) for k in range(60, 75)]
+    kinds = {
+        "whole": lambda w, f: draw(40) + w + draw(40), "alone": lambda w, f: w, "without its start": lambda w, f: w[f:], "without its end": lambda w, f: w[: len(w) - f],
+        "without both": lambda w, f: w[f // 2 : len(w) - f + f // 2], "without its start, in a text": lambda w, f: draw(30) + w[len(w) // 9 :] + draw(30),
+        "without its end, in a text": lambda w, f: draw(30) + w[: len(w) - len(w) // 9] + draw(30), "edited": lambda w, f: draw(20) + [x if rnd.random() > 0.02 else draw(1)[0] for x in w] + draw(20),
+        "with a word more": lambda w, f: w[: len(w) // 2] + draw(1) + w[len(w) // 2 :],
+    }
+    named = [(k, " ".join(w)) for k, w in items]
+    index, every = decontaminate._Index(named, False), decontaminate._Index(named, True)
+    every.near = lambda words: ()
+    for kind, make in kinds.items():
+        part = decontaminate.Words(pa.array([" ".join(make(w, max(1, (len(w) - 4) // 4))) for _, w in items]), "alnum")
+        found, want = index.verified(part), every.verified(part)
+        pairs = lambda x: {(r, k, v) for r, of in x.items() for k, v in of.items()}
+        assert pairs(found) <= pairs(want) and len(pairs(found)) >= 0.95 * len(pairs(want)) > 0, kind
+
+
+def test_contamination_with_null_and_repeated_ids(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, item, 1), (1, item, 2), (1, item, 2), (1, "other text", 3), (None, None, None), (2, item.upper() + " x" * 200_000, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, best_similarity int")
+    benchmark = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None)], "item_id long, text string")
+    for exact in (True, False):
+        found = decontaminate.contamination(docs, benchmark, exact=exact).collect()
+        assert sorted((r.doc_id or 0, r.item_ids) for r in found) == [(0, []), (0, [7]), (1, []), (1, [7]), (1, [7]), (2, [7])]
