@@ -32,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage that matches a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return with_matches(docs.select(*COLUMNS), benchmark).where(F.size("item_ids") == 0).select(*COLUMNS)
+    return with_matches(docs.select(*COLUMNS), benchmark, exact=False).where(F.size("item_ids") == 0).select(*COLUMNS)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
