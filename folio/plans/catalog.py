@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..operators import answer, chunking, embed, evaluate, ingest, listing, search, workspace
+from ..operators import answer, chunking, embed, evaluate, exhaustive, ingest, listing, search, workspace
 from ..sources.store import shared_dir, spread, written
 from ..streaming import jobs
 from . import sql as S
@@ -282,20 +282,26 @@ _TOP = 5
 _MARK = S.tokens("substr(content, 1, 900)")
 
 
-def _picked(score: str = "scored") -> dict[str, str]:
-    """Greedy choice, one expression a step, over the pool of each question."""
+def _picked(score: str = "scored", few: bool = True) -> dict[str, str]:
+    """Greedy choice, one expression a step, over the pool of each question; of large pools, likeness is taken to what is chosen only."""
     out = {
         "marked": f"SELECT query_id, chunk_id, document_name, page_number, chunk_index, score, list_distinct({_MARK}) AS mark, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM (SELECT * REPLACE (round(score, 9) AS score) FROM {score})",
         "pool": f"SELECT m.* FROM marked m LEFT JOIN (SELECT query_id, score AS bar FROM marked WHERE place = {_TOP}) b USING (query_id) WHERE bar IS NULL OR score >= bar - 0.286 - 1e-9",
         "likeness": """SELECT a.query_id, a.chunk_id AS x, b.chunk_id AS y, len(list_intersect(a.mark, b.mark)) / greatest(1, len(list_distinct(list_concat(a.mark, b.mark))))
   + CASE WHEN a.document_name = b.document_name AND a.page_number = b.page_number THEN 0.18::DOUBLE + CASE WHEN abs(a.chunk_index - b.chunk_index) <= 1 THEN 0.12::DOUBLE ELSE 0 END ELSE 0 END AS p
-  FROM pool a JOIN pool b ON a.query_id = b.query_id AND a.chunk_id <> b.chunk_id""",
+  FROM pool a JOIN {b} b ON a.query_id = b.query_id AND a.chunk_id <> b.chunk_id""".replace("{b}", "pool"),
         "pick1": "SELECT query_id, chunk_id, score, 1 AS rank FROM pool WHERE place = 1",
     }
+    whole = out["likeness"]
     for k in range(2, _TOP + 1):
+        like = "likeness"
+        if not few:
+            like = f"like{k}"
+            out[f"near{k}"] = f"SELECT p.* FROM pool p JOIN pick{k - 1} USING (query_id, chunk_id)"
+            out[like] = whole.replace("JOIN pool b", f"JOIN near{k} b")
         out[f"pick{k}"] = f"""SELECT * FROM pick{k - 1} UNION ALL SELECT query_id, chunk_id, score, {k} AS rank FROM (
   SELECT o.*, row_number() OVER (PARTITION BY o.query_id ORDER BY round(o.score - 0.22::DOUBLE * coalesce(pen, 0), 9) DESC, o.place) AS r FROM pool o
-  LEFT JOIN (SELECT l.query_id, l.x, max(l.p) AS pen FROM likeness l JOIN pick{k - 1} s ON s.query_id = l.query_id AND s.chunk_id = l.y GROUP BY ALL) n ON n.query_id = o.query_id AND n.x = o.chunk_id
+  LEFT JOIN (SELECT l.query_id, l.x, max(l.p) AS pen FROM {like} l JOIN pick{k - 1} s ON s.query_id = l.query_id AND s.chunk_id = l.y GROUP BY ALL) n ON n.query_id = o.query_id AND n.x = o.chunk_id
   WHERE NOT EXISTS (SELECT 1 FROM pick{k - 1} s WHERE s.query_id = o.query_id AND s.chunk_id = o.chunk_id)) WHERE r = 1"""
     return out
 
@@ -314,7 +320,7 @@ def _hybrid(limit: str, allowed: str = "true") -> dict[str, str]:
     return _VECTORS | {
         "sim": "SELECT query_id, chunk_id, sum(q.value * c.value) AS semantic FROM qvec q JOIN cvec c USING (dim) GROUP BY ALL",
         "pairs0": "SELECT e.query_id, e.question, e.expanded, k.*, greatest(0, coalesce(s.semantic, 0)) AS semantic FROM expand e JOIN chunk k USING (kb_id) JOIN docs d ON d.doc_id = k.doc_id AND d.status = 'ready' LEFT JOIN sim s ON s.query_id = e.query_id AND s.chunk_id = k.chunk_id WHERE " + allowed,
-        "cand": f"SELECT * FROM pairs0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(semantic, 9) DESC, chunk_id) <= {limit}",
+        "cand": "SELECT * FROM pairs0" if limit == "all" else f"SELECT * FROM pairs0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(semantic, 9) DESC, chunk_id) <= {limit}",
         "crow": f"SELECT query_id, chunk_id, {S.tokens('section_path || chr(10) || content')} AS toks, list_distinct({S.tokens('expanded')}) AS want FROM cand",
         "ctot": "SELECT query_id, count(*) AS n, avg(len(toks)) AS avgdl FROM crow GROUP BY query_id",
         "ctf": "SELECT query_id, chunk_id, dl, token, count(*) AS tf FROM (SELECT query_id, chunk_id, len(toks) AS dl, want, unnest(toks) AS token FROM crow) WHERE list_contains(want, token) GROUP BY ALL",
@@ -328,11 +334,11 @@ def _hybrid(limit: str, allowed: str = "true") -> dict[str, str]:
         )
         + " FROM both0 WINDOW w AS (PARTITION BY query_id)",
         "fusedrow": f"SELECT *, n_semantic * 0.62::DOUBLE + n_bm * 0.28::DOUBLE + {S.name_bonus('question', 'document_name')} + {S.intent('question', 'content', 'page_number', INTENTS)} - {S.penalty('content', 'page_number')} AS score FROM scaled",
-    } | _picked("fusedrow")
+    } | _picked("fusedrow", few=limit != "all")
 
 
-def _searched(spark, sf, asked, similar, mode="candidates"):
-    found = search.search(asked, D.chunks(spark, sf), D.documents(spark, sf), similar, _TOP, mode, intents=INTENTS)
+def _searched(spark, sf, asked, similar):
+    found = search.search(asked, D.chunks(spark, sf), D.documents(spark, sf), similar, _TOP, intents=INTENTS)
     return found.select("query_id", "rank", "chunk_id", "score", "semantic", "bm25")
 
 
@@ -357,18 +363,32 @@ def hybrid_search(spark, sf):
 _LIMITED = "(query_id % 2 = 0 OR k.doc_id IN (SELECT unnest(range(query_id % 5, query_id % 5 + 160, 2))))"
 
 
+def _limited(spark, sf):
+    few = F.sequence(F.col("query_id") % 5, F.col("query_id") % 5 + 158, F.lit(2))
+    return D.questions(spark, sf).withColumn("doc_ids", F.when(F.col("query_id") % 2 == 1, few))
+
+
 @query(_FOUND, **_hybrid("40", _LIMITED.replace("query_id", "e.query_id")))
 def limited_search(spark, sf):
-    few = F.sequence(F.col("query_id") % 5, F.col("query_id") % 5 + 158, F.lit(2))
-    asked = D.questions(spark, sf).withColumn("doc_ids", F.when(F.col("query_id") % 2 == 1, few))
+    asked = _limited(spark, sf)
     return _shown(_searched(spark, sf, asked, D.near(spark, sf, asked, search.CANDIDATES)))
 
 
-@query()  # in SQL, the greedy choice over all chunks takes minutes
+def _of_all(spark, sf, asked):
+    items = D.stored(spark, sf, "library", lambda: exhaustive.library(D.chunks(spark, sf), D.documents(spark, sf), D.vectors(spark, sf), INTENTS))
+    return _shown(exhaustive.exhaustive_search(D.embedded(asked), items, D.chunks(spark, sf), _TOP, intents=INTENTS))
+
+
+@query(_FOUND, **_hybrid("all"))
 def exhaustive_search(spark, sf):
-    asked = D.questions(spark, sf)
-    q = embed.hash_embed(asked.withColumn("expanded", T.expand_query("question")), "expanded", digest="md5")
-    return _shown(_searched(spark, sf, asked, search.similarities(q, D.vectors(spark, sf)), "exhaustive"))
+    """All chunks of each question's kb."""
+    return _of_all(spark, sf, D.questions(spark, sf))
+
+
+@query(_FOUND, **_hybrid("all", _LIMITED.replace("query_id", "e.query_id")))
+def exhaustive_limited(spark, sf):
+    """All chunks that each question may use, some documents only for every second one."""
+    return _of_all(spark, sf, _limited(spark, sf))
 
 
 _NEAR = _hybrid("40")

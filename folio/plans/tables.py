@@ -82,10 +82,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.hash_embed(some, "content", digest="md5").drop("content")
 
 
+def embedded(asked: DataFrame) -> DataFrame:
+    """Questions with the vectors of what they are expanded to."""
+    return embed.hash_embed(asked.withColumn("expanded", expand_query("question")), "expanded", digest="md5").drop("expanded")
+
+
 def near(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, semantic): the k nearest chunks that each question may use."""
-    q = embed.hash_embed(asked.withColumn("expanded", expand_query("question")), "expanded", digest="md5")
-    found = search.vector_topk(q, vectors(spark, sf_dir), k, item_id="chunk_id", scope="kb_id", doc_ids="doc_ids", least=0.0)
+    found = search.vector_topk(embedded(asked), vectors(spark, sf_dir), k, item_id="chunk_id", scope="kb_id", doc_ids="doc_ids", least=0.0)
     return found.select("query_id", F.col("item_id").alias("chunk_id"), F.col("score").alias("semantic"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import rules
 from folio.functions import text as T
-from folio.operators import answer, chunking, embed, evaluate, ingest, listing, search, workspace
+from folio.operators import answer, chunking, embed, evaluate, exhaustive, ingest, listing, search, workspace
 from folio.sources import files, store
 from folio.streaming import jobs
 
@@ -158,8 +158,11 @@ def test_exhaustive_search_equals_candidates_that_are_all(spark):
     near = search.vector_topk(q, items, 40, item_id="chunk_id", scope="kb_id", doc_ids="doc_ids", least=0.0).select("query_id", F.col("item_id").alias("chunk_id"), F.col("score").alias("semantic"))
     shown = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 8), round(r.semantic, 8), round(r.bm25, 8)) for r in df.collect())
     some = shown(search.search(asked, chunks, documents, near))
-    every = shown(search.search(asked, chunks, documents, search.similarities(q, items), mode="exhaustive"))
+    every = shown(exhaustive.exhaustive_search(q.drop("expanded"), exhaustive.library(chunks, documents, items), chunks))
     assert some == every and len(every) == 14
+    # with few hits at first, what may be chosen is taken from all chunks
+    assert every == shown(exhaustive.exhaustive_search(q.drop("expanded"), exhaustive.library(chunks, documents, items), chunks, within=5))
+    assert exhaustive.exhaustive_search(q.drop("expanded").limit(0), exhaustive.library(chunks, documents, items), chunks).count() == 0
     assert {c // 10 for i, _, c, *_ in every if i == 1} <= {1, 3} and 6 not in {c // 10 for _, _, c, *_ in every}
     assert [c // 10 for i, k, c, *_ in every if i == 0][0] == 4  # the question names it
 
@@ -246,7 +249,30 @@ def test_pruned_choice_equals_unpruned(spark, monkeypatch):
             out.append(pick)
         return [(r[0], i + 1, r[1], r[6]) for i, r in enumerate(out)]
 
-    assert pruned == sorted(x for q in range(20) for x in plain([r for r in rows if r[0] == q]))
+    want = sorted(x for q in range(20) for x in plain([r for r in rows if r[0] == q]))
+    assert pruned == want
+    # those whose best few do not settle it take rounds over all hits
+    assert sorted(map(tuple, search.diverse(hits, 5, within=6).collect())) == want
+
+
+def test_choice_from_a_large_pool_in_many_tasks(spark):
+    # 100,000 hits of one question, all alike but for a few words, so that none can be left out early
+    n = 100_000
+    text = F.concat(F.lit("the same few words in all of them "), F.concat(F.lit("x"), (F.col("id") % 97).cast("string")))
+    hits = spark.range(0, n, 1, 8).select(F.lit(1).cast("long").alias("query_id"), F.col("id").alias("chunk_id"), F.concat(F.lit("d"), F.col("id") % 5).alias("document_name"), F.lit(1).alias("page_number"), (F.col("id") % 1000).cast("int").alias("chunk_index"), text.alias("content"), (F.lit(0.9) - (F.col("id") % 1000) / 100000).alias("score"))
+    got = [(r.rank, r.chunk_id) for r in search.diverse(hits, 4).orderBy("rank").collect()]
+    # by brute force over what differs: score, words, document and place
+    own, out = [(round(0.9 - (i % 1000) / 100000, 9), i, i % 97, i % 5, i % 1000) for i in range(5000)], []
+    while len(out) < 4:
+        def worth(r):
+            most = 0.0
+            for s in out:
+                same = r[3] == s[3]
+                most = max(most, (9 / 9 if r[2] == s[2] else 8 / 10) + 0.18 * same + 0.12 * (same and abs(r[4] - s[4]) <= 1))
+            return round(r[0] - 0.22 * most, 9), r[0], -r[1]
+        best = max((r for r in own if r not in out), key=worth)
+        out.append(best)
+    assert got == [(k + 1, r[1]) for k, r in enumerate(out)]
 
 
 def test_admission(spark):
