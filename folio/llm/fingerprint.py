@@ -124,7 +124,8 @@ def _retried(failed: DataFrame, keys: list[str], recover: bool) -> DataFrame:
     done = None
     pairs = failed.withColumn("size", F.col("size") * 4)
     for _ in range(TRIES):
-        cells = written(_peeled(_cells(pairs, keys), keys, recover))
+        # digests move, not cells: these are then grouped where they are made
+        cells = written(_peeled(_cells(pairs.repartition(*keys), keys), keys, recover))
         stuck = cells.where("cell >= 0").select(*keys).distinct()
         own = cells.where("cell = -1").join(stuck, keys, "left_anti")
         done = own if done is None else done.union(own)
