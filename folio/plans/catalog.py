@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..operators import answer, chunking, embed, evaluate, exhaustive, ingest, listing, search, workspace
+from ..operators import answer, chunking, embed, evaluate, exhaustive, index, ingest, listing, search, workspace
 from ..sources.store import shared_dir, spread, written
 from ..streaming import jobs
 from . import sql as S
@@ -267,15 +267,33 @@ FROM (SELECT *, min(bm25) OVER (PARTITION BY query_id) AS lo, max(bm25) OVER (PA
 )
 def minmax(spark, sf):
     scored = search.bm25(D.questions(spark, sf), D.chunks(spark, sf))
-    return scored.select("query_id", "chunk_id", F.round(search.minmax("bm25"), 6).alias("scaled"))
+    return search.scaled(scored, "bm25", "scaled").select("query_id", "chunk_id", F.round("scaled", 6).alias("scaled"))
+
+
+@query("SELECT query_id, chunk_id, round(bm25, 6) AS bm25, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, chunk_id) AS rank FROM bm25) WHERE rank <= 20")
+def bm25_topk(spark, sf):
+    """The 20 best chunks of each question from a stored index."""
+    found = index.bm25_topk(D.questions(spark, sf), D.bm25_index(spark, sf), 20)
+    return found.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 @query("SELECT query_id, count(*) AS n, min(chunk_id) AS first FROM ask JOIN chunk k USING (kb_id) JOIN docs d ON d.doc_id = k.doc_id WHERE d.status = 'ready' AND (query_id % 2 = 0 OR k.doc_id IN (query_id, query_id + 4, query_id + 8)) GROUP BY query_id")
 def scope(spark, sf):
     ids = F.when(F.col("query_id") % 2 == 1, F.array("query_id", F.col("query_id") + 4, F.col("query_id") + 8))
     asked = D.questions(spark, sf).withColumn("doc_ids", ids)
-    found = search.scoped(asked, D.chunks(spark, sf).drop("document_name"), D.documents(spark, sf))
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("first"))
+    return search.scope_sizes(asked, D.chunks(spark, sf), D.documents(spark, sf))
+
+
+@query("""SELECT query_id, chunk_id, k.document_name FROM ask JOIN chunk k USING (kb_id) JOIN docs d ON d.doc_id = k.doc_id
+WHERE d.status = 'ready' AND k.doc_id IN (query_id, query_id + 4, query_id + 8) UNION ALL
+SELECT query_id, chunk_id, k.document_name FROM (SELECT kb_id, min(query_id) AS query_id FROM ask GROUP BY kb_id) JOIN chunk k USING (kb_id) JOIN docs d ON d.doc_id = k.doc_id WHERE d.status = 'ready'""")
+def scope_pairs(spark, sf):
+    """The chunks themselves: of each question's three documents, and of the whole kb for its first question."""
+    asked = D.questions(spark, sf)
+    few = asked.withColumn("doc_ids", F.array("query_id", F.col("query_id") + 4, F.col("query_id") + 8))
+    first = asked.groupBy("kb_id").agg(F.min("query_id").alias("query_id")).join(asked.drop("kb_id"), "query_id")
+    found = search.scoped(few.unionByName(first), D.chunks(spark, sf).drop("document_name"), D.documents(spark, sf), block=400)
+    return found.select("query_id", "chunk_id", "document_name")
 
 
 _TOP = 5

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import expand_query
-from ..operators import embed, search
+from ..operators import embed, index, search
 from ..operators.chunking import chunk_pages
-from ..sources.store import spread, written
+from ..sources.store import shared_dir, spread, written
 
 #: Questions take one of these words by item_id, so that every intent occurs.
 QUESTION_WORDS = ("数据集 ", "局限 ", "贡献 ", "模型架构 ", "", "结果 ")
@@ -18,12 +19,24 @@ LANGS = ("en", "fr", "de", "es")
 
 
 #: Tables that several queries of a session derive from the same input, each written once.
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple, DataFrame] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """A folder and the names, sizes and times of the files that derived tables come from: tables written anew are another input."""
+    jvm = spark._jvm
+    out = []
+    for name in ("documents", "benchmark"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in fs.listStatus(path):
+            out.append((f.getPath().getName(), f.getLen(), f.getModificationTime()))
+    return sf_dir, str(sorted(out))
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The derived table of this name, as this application has written it for sf_dir."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, *_state(spark, sf_dir), name)
     if key not in _stored:
         found = written(make())
         few = found.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
@@ -67,6 +80,20 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "chunks", make)
 
 
+#: Index folders that an application has written.
+_indexes: dict[tuple, str] = {}
+
+
+def bm25_index(spark: SparkSession, sf_dir: str) -> str:
+    """Where the BM25 index of the chunks lies."""
+    key = (spark.sparkContext.applicationId, *_state(spark, sf_dir))
+    if key not in _indexes:
+        at = f"{shared_dir(spark)}/folio-index-{uuid.uuid4().hex}"
+        index.write_index(chunks(spark, sf_dir), at)
+        _indexes[key] = at
+    return _indexes[key]
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as questions, with intent words and a kb."""
     b = table(spark, sf_dir, "benchmark")
