@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+
+from ..sources.store import exists
 
 DIMS = 384
 BATCH = 64
@@ -41,21 +42,37 @@ def sparse_embedding(texts: DataFrame, key: str, text: str, dims: int = DIMS) ->
 DIGESTS = {"blake2b": lambda b: hashlib.blake2b(b, digest_size=8).digest(), "md5": lambda b: hashlib.md5(b).digest()}
 
 
-@lru_cache(maxsize=1 << 18)
-def _placed(feature: str, dims: int, digest: str) -> int:
-    """Where a feature counts: its dimension, plus dims if it counts as -1."""
-    d = DIGESTS[digest](feature.encode())
-    return int.from_bytes(d[:4], "big") % dims + (d[4] % 2) * dims
+def _placed(features: list[str], dims: int, digest: str) -> np.ndarray:
+    """Where each feature counts: its dimension, plus dims if it counts as -1."""
+    make = DIGESTS[digest]
+    raw = np.frombuffer(b"".join([make(f.encode())[:5] for f in features]), np.uint8).reshape(-1, 5)
+    return (raw[:, :4].copy().view(">u4").ravel().astype(np.int64) % dims) + (raw[:, 4] % 2).astype(np.int64) * dims
+
+
+def hash_vectors(texts: list[str], dims: int = DIMS, digest: str = "blake2b") -> list[np.ndarray]:
+    """Unit vectors of hashed features: word runs and all runs of three signs. Each different feature of these texts is hashed once."""
+    low = [t.lower() for t in texts]
+    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for t in low]
+    # a run of three signs as one number of 63 bits
+    grams = [(p[:-2] << np.uint64(42)) | (p[1:-1] << np.uint64(21)) | p[2:] if len(p) > 2 else p[:0] for p in points]
+    different, gram = np.unique(np.concatenate(grams) if grams else np.zeros(0, np.uint64), return_inverse=True)
+    spelled = ["".join(map(chr, (x >> 42, x >> 21 & 0x1FFFFF, x & 0x1FFFFF))) for x in different.tolist()]
+    numbers: dict[str, int] = {}
+    words = [[numbers.setdefault(w, len(numbers)) for w in re.findall(r"\w+", t)] for t in low]
+    of_gram, of_word = (_placed(x, dims, digest) if x else np.zeros(0, np.int64) for x in (spelled, list(numbers)))
+    rows = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
+    counts = np.bincount(rows * (2 * dims) + of_gram[gram.ravel()], minlength=2 * dims * len(texts))
+    rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    counts += np.bincount(rows * (2 * dims) + of_word[np.array([i for w in words for i in w], np.int64)], minlength=2 * dims * len(texts))
+    counts = counts.reshape(len(texts), 2 * dims)
+    out = (counts[:, :dims] - counts[:, dims:]).astype(np.float64)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return list(np.divide(out, norm, out=out, where=norm > 0))
 
 
 def hash_vector(text: str, dims: int = DIMS, digest: str = "blake2b") -> np.ndarray:
-    """A unit vector of hashed features: word runs and all runs of three signs."""
-    low = text.lower()
-    features = re.findall(r"\w+", low) + [low[i : i + 3] for i in range(max(0, len(low) - 2))]
-    n = np.bincount([_placed(f, dims, digest) for f in features], minlength=2 * dims) if features else np.zeros(2 * dims)
-    out = (n[:dims] - n[dims:]).astype(np.float64)
-    norm = np.linalg.norm(out)
-    return out / norm if norm else out
+    """The vector of one text."""
+    return hash_vectors([text], dims, digest)[0]
 
 
 Encoder = Callable[[list[str]], list]
@@ -86,4 +103,32 @@ def encode_batches(texts: DataFrame, text: str, make: Callable[[], Encoder], dim
 
 def hash_embed(texts: DataFrame, text: str, dims: int = DIMS, name: str = "embedding", digest: str = "blake2b", prefix: str = "") -> DataFrame:
     """texts with hashing vectors, in one narrow pass."""
-    return encode_batches(texts, text, lambda: lambda batch: [hash_vector(t, dims, digest) for t in batch], dims, prefix, name=name)
+    return encode_batches(texts, text, lambda: lambda batch: hash_vectors(batch, dims, digest), dims, prefix, batch=1024, name=name)
+
+
+def stored_vectors(texts: DataFrame, text: str, path: str, model: str, make: Callable[[], Encoder], dims: int, prefix: str = "", batch: int = BATCH, name: str = "embedding") -> DataFrame:
+    """texts with vectors from a table at ``path``, to which those of new texts are added first: no text is encoded twice by a model with a prefix.
+
+    The table's key is the SHA-256 of the text within a folder for model and prefix. Keys alone are compared; of
+    equal texts one is encoded. Null texts have null vectors. A run that fails adds nothing, and repeating it is safe:
+    readers take one vector of a key.
+    """
+    spark = texts.sparkSession
+    at = f"{path.rstrip('/')}/model={hashlib.sha256(f'{model}\n{prefix}\n{dims}'.encode()).hexdigest()[:16]}"
+    keyed = texts.withColumn("_sha", F.sha2(text, 256))
+    schema = StructType([StructField("_sha", StringType()), StructField("_vector", ArrayType(DoubleType()))])
+
+    def known() -> DataFrame:
+        return spark.read.schema(schema).parquet(at) if exists(spark, at) else spark.createDataFrame([], schema)
+
+    new = keyed.where(F.col(text).isNotNull()).select("_sha", F.col(text).alias("_text")).join(known().select("_sha"), "_sha", "left_anti")
+    # texts are sent once for each key; what is encoded is spread over the tasks
+    new = new.groupBy("_sha").agg(F.first("_text").alias("_text"))
+    encode_batches(new, "_text", make, dims, prefix, batch, "_vector").select("_sha", "_vector").write.mode("append").parquet(at)
+    vectors = known().groupBy("_sha").agg(F.first("_vector").alias(name))
+    return keyed.join(vectors, "_sha", "left").select(*texts.columns, name)
+
+
+def stored_hash_embed(texts: DataFrame, text: str, path: str, dims: int = DIMS, name: str = "embedding", digest: str = "blake2b", prefix: str = "") -> DataFrame:
+    """``hash_embed`` by way of ``stored_vectors``."""
+    return stored_vectors(texts, text, path, f"hash-{digest}", lambda: lambda batch: hash_vectors(batch, dims, digest), dims, prefix, 1024, name)

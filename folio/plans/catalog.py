@@ -225,7 +225,7 @@ _PSUM, _ = _sparse("(SELECT chunk_id, 'passage: ' || content AS t FROM chunk)",
 )
 def hash_embed_batches(spark, sf):
     """All chunks through the hook for batch encoders, with a prefix and a check of the vectors' length."""
-    out = embed.hash_embed(D.chunks(spark, sf).select("chunk_id", "content"), "content", digest="md5", prefix="passage: ")
+    out = embed.stored_hash_embed(D.chunks(spark, sf).select("chunk_id", "content"), "content", D.vector_store(spark), digest="md5", prefix="passage: ")
     largest = F.array_max("embedding")
     near = F.array_position(F.transform("embedding", lambda v: F.round(v, 9)), F.round(largest, 9)) - 1
     filled = F.size(F.filter("embedding", lambda v: v != 0)).cast("long")

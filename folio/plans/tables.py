@@ -102,11 +102,20 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("item_id").alias("query_id"), kb.alias("kb_id"), F.concat(word, "text").alias("question"), F.expr("cast(null as array<long>)").alias("doc_ids"))
 
 
+def vector_store(spark: SparkSession) -> str:
+    """Where vectors of all texts that this application has encoded lie."""
+    return f"{shared_dir(spark)}/folio-vectors-{spark.sparkContext.applicationId}"
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, doc_id, kb_id, embedding) of the chunks of ready documents."""
-    ready = documents(spark, sf_dir).where("status = 'ready'").select("doc_id")
-    some = chunks(spark, sf_dir).join(ready, "doc_id", "left_semi").select("chunk_id", "doc_id", "kb_id", "content")
-    return embed.hash_embed(some, "content", digest="md5").drop("content")
+
+    def make():
+        ready = documents(spark, sf_dir).where("status = 'ready'").select("doc_id")
+        some = chunks(spark, sf_dir).join(ready, "doc_id", "left_semi").select("chunk_id", "doc_id", "kb_id", "content")
+        return embed.stored_hash_embed(some, "content", vector_store(spark), digest="md5").drop("content")
+
+    return stored(spark, sf_dir, "vectors", make)
 
 
 def embedded(asked: DataFrame) -> DataFrame:

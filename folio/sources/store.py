@@ -19,6 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path, on any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The same rows in as many partitions as there are cores, if a table has fewer splits than that; else as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

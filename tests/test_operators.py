@@ -139,6 +139,45 @@ def test_encoder_prefix_and_equal_texts(spark):
     assert got == {1: [2.0, 7.0], 2: [2.0, 7.0], 3: None, 4: [2.0, 8.0]}
 
 
+def test_vectors_are_encoded_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    at = f"file://{tmp_path}/vectors"
+
+    def make():
+        def encode(batch):
+            calls.add(len(batch))
+            return [[float(len(t)), 1.0] for t in batch]
+        return encode
+
+    def run(rows, model="m", prefix=""):
+        df = spark.createDataFrame(rows, "i int, t string, embedding string").drop("embedding").repartition(3)
+        got = {r.i: r.embedding for r in embed.stored_vectors(df, "t", at, model, make, 2, prefix).collect()}
+        assert got == {i: None if t is None else [float(len(prefix + t)), 1.0] for i, t, _ in rows}
+        return calls.value
+
+    assert run([(1, "one", "x"), (2, "one", "x"), (3, None, "x"), (4, "", "x")]) == 2
+    assert run([(1, "one", "x"), (5, "three", "x"), (3, None, "x")]) == 3  # of these only one is new
+    assert run([(1, "one", "x"), (5, "three", "x")]) == 3
+    assert run([(1, "one", "x")], prefix="p: ") == 4 and run([(1, "one", "x")], model="n") == 5
+    assert run([]) == 5
+    text = spark.createDataFrame([(1, "Ein Wörtchen, 世界 👍 x"), (2, ""), (3, "ab")], "i int, t string")
+    plain = {r.i: r.embedding for r in embed.hash_embed(text, "t").collect()}
+    assert plain == {r.i: r.embedding for r in embed.stored_hash_embed(text, "t", at).collect()} and not any(plain[2])
+
+
+def test_hash_vectors_equal_a_plain_count(spark):
+    import hashlib
+    import re
+
+    for text in ("the cat, the CAT", "Ünï 世界世 a_b 12", "", "ab", "a\nb c" * 50):
+        low, want = text.lower(), np.zeros(384)
+        for f in re.findall(r"\w+", low) + [low[i : i + 3] for i in range(len(low) - 2)]:
+            d = hashlib.blake2b(f.encode(), digest_size=8).digest()
+            want[int.from_bytes(d[:4], "big") % 384] += -1 if d[4] % 2 else 1
+        norm = np.linalg.norm(want)
+        assert np.allclose(embed.hash_vector(text), want / norm if norm else want, atol=1e-12)
+
+
 def _library(spark):
     words = "graph network accuracy tomato cooking model method result attention layer soup salt".split()
     rnd = random.Random(4)
