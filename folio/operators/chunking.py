@@ -55,14 +55,17 @@ def _chunker(size: int, overlap: int):
     return chunks
 
 
-def chunk_pages(pages: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
+def chunk_pages(pages: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP, words: DataFrame | dict[str, float] | None = None) -> DataFrame:
     """(chunk_id, doc_id, page_number, chunk_index, section_path, token_count, content) of pages(doc_id, page_number, text).
 
     Packing is narrow work on each page; only section titles and numbers look across the pages of a document. Null and
-    blank pages give no chunk.
+    blank pages give no chunk. With ``words``, a table of word_counts, fused words are split between cleaning and packing (``repair_fused``);
+    pages without such words take no part in that.
     """
-    text = clean_text(F.coalesce("text", F.lit("")))
-    units = pages.select("doc_id", F.col("page_number").cast("int").alias("page_number"), split_units(text, chunk_size).alias("units"))
+    cleaned = pages.select("doc_id", F.col("page_number").cast("int").alias("page_number"), clean_text(F.coalesce("text", F.lit(""))).alias("text"))
+    if words is not None:
+        cleaned = repair_fused(cleaned, words)
+    units = cleaned.select("doc_id", "page_number", split_units("text", chunk_size).alias("units"))
     units = units.withColumn("headings", F.transform("units", lambda u: F.when(is_heading(u), heading_title(u))))
     parts = units.mapInPandas(_chunker(chunk_size, overlap), "doc_id long, page_number int, part int, content string, section string")
     order = Window.partitionBy("doc_id").orderBy("page_number", "part")
@@ -74,9 +77,17 @@ def chunk_pages(pages: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = O
     )
 
 
-def word_counts(texts: DataFrame, least: int = 2) -> DataFrame:
-    """(word, count) of all words of a corpus that it has ``least`` times or more; for repair_fused."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"(?<![a-z])([a-z]{1,17})(?![a-z])"), 1)).alias("word")).groupBy("word").count()
+#: Letters from which on a word counts as fused ones.
+FUSED = 18
+
+
+def word_counts(texts: DataFrame, least: int = 1) -> DataFrame:
+    """(word, count) of all words of small letters of a corpus, however rare unless ``least`` says otherwise; for repair_fused.
+
+    A word stands between signs other than letters, numbers and underscores. Runs of FUSED letters or more are what is split, so they are no words.
+    """
+    word = rf"(?<![\p{{L}}\p{{N}}_])([a-z]{{1,{FUSED - 1}}})(?![\p{{L}}\p{{N}}_])"
+    words = texts.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(word), 1)).alias("word")).groupBy("word").count()
     return words.where(F.col("count") >= least)
 
 
@@ -97,7 +108,7 @@ def best_split(run: str, costs: dict[str, float], longest: int | None = None, de
     return out[::-1]
 
 
-_FUSED = re.compile(r"\b[a-z]{18,}\b")
+_FUSED = re.compile(rf"\b[a-z]{{{FUSED},}}\b")
 
 
 def _runs(frames):
@@ -130,12 +141,12 @@ def _splitter(total: int, least: int, longest: int):
 
 
 def repair_fused(texts: DataFrame, words: DataFrame | dict[str, float]) -> DataFrame:
-    """texts with runs of 18 or more small letters in ``text`` split into known words; texts without such runs never leave the JVM.
+    """texts with runs of FUSED or more small letters in ``text`` split into known words; texts without such runs never leave the JVM.
 
     ``words`` has counts of words (word, count), of any number: each run meets only the words within it, by a join.
     Or it is a small table of costs, which is sent to the executors.
     """
-    at_issue = F.coalesce(F.col("text").rlike("[a-z]{18,}"), F.lit(False))
+    at_issue = F.coalesce(F.col("text").rlike(f"[a-z]{{{FUSED},}}"), F.lit(False))
     if isinstance(words, dict):
         shared = texts.sparkSession.sparkContext.broadcast(words)
 

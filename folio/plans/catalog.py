@@ -67,10 +67,19 @@ def token_estimate(spark, sf):
     return d.select("doc_id", "page_number", T.token_estimate(F.coalesce("text", F.lit(""))).cast("long").alias("token_estimate"))
 
 
-@query()
+@query("SELECT doc_id, sha256(text) AS text_sha256 FROM mended", **S.repaired("documents", "doc_id"))
 def repair_fused(spark, sf):
     d = D.table(spark, sf, "documents").select("doc_id", "text")
-    return chunking.repair_fused(d.where("text is not null"), chunking.word_counts(d)).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    return chunking.repair_fused(d.where("text is not null"), D.words(spark, sf)).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(
+    "SELECT doc_id, page_number, chunk_index, section_path, token_count, content FROM chunk_mended",
+    cleanpage=f"SELECT doc_id, page_number, {S.clean("coalesce(text, '')")} AS text FROM page", **S.repaired("cleanpage", "doc_id, page_number"), mended_units=S._units("mended", cleaned=True), chunk_mended=S._chunked("mended_units"),
+)
+def chunk_repaired(spark, sf):
+    """Chunks of pages whose fused words are split after cleaning, by the stored counts of all words."""
+    return chunking.chunk_pages(D.pages(spark, sf), words=D.words(spark, sf)).drop("chunk_id")
 
 
 @query(f"SELECT doc_id, len(s) AS n_terms, CAST(list_sum(list_transform(s, lambda x: length(x))) AS BIGINT) AS n_signs FROM (SELECT doc_id, {S.terms('text')} AS s FROM documents)")

@@ -163,14 +163,39 @@ FROM (SELECT doc_id, page_number, part, parts[part].c AS content, parts[part].s
 WINDOW w AS (PARTITION BY doc_id ORDER BY page_number, part)"""
 
 
-def _units(source: str) -> str:
-    c = clean("coalesce(text, '')")
+def _units(source: str, cleaned: bool = False) -> str:
+    c = "text" if cleaned else clean("coalesce(text, '')")
     return f"""SELECT doc_id, page_number, flatten(list_transform(cutlist, lambda k: k.parts)) AS units FROM (
   SELECT doc_id, page_number, list(struct_pack(i := i, parts := {cut('u')}) ORDER BY i) AS cutlist FROM (
     SELECT doc_id, page_number, us[i] AS u, i FROM (SELECT doc_id, page_number, us, unnest(range(1, len(us) + 1)) AS i FROM (
       SELECT doc_id, page_number, {units_of(c)} AS us FROM {source}))) GROUP BY doc_id, page_number)"""
 
 
+#: Words and signs between them, in turn.
+_PARTS = r"'[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'"
+
+
+def repaired(source: str, columns: str) -> dict[str, str]:
+    """Fused words of source(columns, text) split at least cost, with all words of the documents: best costs by position, then the way back."""
+    # one step a letter: costs and where the last word begins, for each position; x carries the position
+    last = "list_min(list_transform(range(greatest(0, x.b[1] - longest), x.b[1]), lambda j: {'v': s.c[j + 1] + coalesce(known[substr(run, j + 1, x.b[1] - j)], dearest * (x.b[1] - j)), 'j': j}))"
+    costs = f"""list_reduce(list_prepend({{'c': [0::DOUBLE], 'b': [0::BIGINT]}}, list_transform(range(1, length(run) + 1), lambda i: {{'c': [0::DOUBLE], 'b': [i]}})),
+  lambda s, x: {{'c': list_append(s.c, ({last}).v), 'b': list_append(s.b, ({last}).j)}})"""
+    way = """list_reduce(list_prepend({'i': length(run)::BIGINT, 'parts': []::VARCHAR[]}, list_transform(range(length(run)), lambda k: {'i': 0::BIGINT, 'parts': []::VARCHAR[]})),
+  lambda t, k: CASE WHEN t.i = 0 THEN t ELSE {'i': f.b[t.i + 1], 'parts': list_prepend(substr(run, f.b[t.i + 1] + 1, t.i - f.b[t.i + 1]), t.parts)} END)"""
+    return {
+        "dictionary": f"SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, {_PARTS})) AS w FROM documents) WHERE regexp_full_match(w, '[a-z]{{1,17}}') GROUP BY w",
+        "dictsum": "SELECT sum(n)::DOUBLE AS total, min(n) AS least, max(length(word)) AS longest FROM dictionary",
+        "fusedword": f"SELECT DISTINCT w AS run FROM (SELECT unnest(regexp_extract_all(text, {_PARTS})) AS w FROM {source}) WHERE regexp_full_match(w, '[a-z]{{18,}}')",
+        "fusedpart": "SELECT DISTINCT run, substr(run, i + 1, k) AS word FROM (SELECT run, i, unnest(range(1, longest + 1)) AS k FROM (SELECT run, unnest(range(length(run))) AS i, longest FROM fusedword CROSS JOIN dictsum)) WHERE i + k <= length(run)",
+        "fusedknown": "SELECT run, map_from_entries(list((word, ln(total / n)))) AS known FROM fusedpart JOIN dictionary USING (word) CROSS JOIN dictsum GROUP BY run",
+        "fusedbest": f"SELECT run, {costs} AS f FROM (SELECT w.run, coalesce(known, MAP {{}}::MAP(VARCHAR, DOUBLE)) AS known, longest, ln(total / least) + 10 AS dearest FROM fusedword w LEFT JOIN fusedknown k ON k.run = w.run CROSS JOIN dictsum)",
+        "fusedsplit": f"SELECT run, array_to_string(({way}).parts, ' ') AS split FROM fusedbest",
+        "fusedpiece": f"SELECT {columns}, pos, list_extract(ws, pos) AS w FROM (SELECT {columns}, ws, unnest(range(1, len(ws) + 1)) AS pos FROM (SELECT {columns}, regexp_extract_all(text, {_PARTS}) AS ws FROM {source} WHERE text IS NOT NULL))",
+        "mended": f"SELECT {columns}, coalesce(m, '') AS text FROM (SELECT {columns} FROM {source} WHERE text IS NOT NULL) LEFT JOIN (SELECT {columns}, string_agg(coalesce(split, w), '' ORDER BY pos) AS m FROM fusedpiece LEFT JOIN fusedsplit ON run = w GROUP BY {columns}) USING ({columns})",
+    }
+
+
 CTES = {
     "docs": "SELECT doc_id, lang AS kb_id, 'doc_' || doc_id || '.txt' AS document_name, CASE WHEN doc_id % 17 = 0 THEN 'failed' ELSE 'ready' END AS status, make_timestamp((1704067200 + doc_id * 60) * 1000000) AS created_at FROM documents",
     "page": "SELECT doc_id, 1 AS page_number, text FROM documents",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import expand_query
 from ..operators import embed, index, search
-from ..operators.chunking import chunk_pages
+from ..operators.chunking import chunk_pages, word_counts
 from ..sources.store import shared_dir, spread, written
 
 #: Questions take one of these words by item_id, so that every intent occurs.
@@ -70,6 +70,11 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), "text")
 
 
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all words of the documents."""
+    return stored(spark, sf_dir, "words", lambda: word_counts(table(spark, sf_dir, "documents")))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all documents, with ids that SQL can make too."""
 
