@@ -14,12 +14,21 @@ def labels_from_answers(messages: DataFrame, citations: DataFrame) -> DataFrame:
     return asked.join(cited, "conv_id").select("conv_id", "question", F.array_distinct(F.transform("cited", lambda c: c["chunk_id"])).alias("relevant_chunk_ids"))
 
 
-def check_labels(questions: DataFrame, datasets: DataFrame, documents: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Questions with distinct labels, in order, and unknown labels (question_id, chunk_id): not a chunk of the data set's kb, maybe any more."""
+def check_labels(questions: DataFrame, datasets: DataFrame, documents: DataFrame, chunks: DataFrame, removed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Questions with distinct labels, in order, and unknown labels (question_id, chunk_id): not a chunk of the data set's kb, maybe any more.
+
+    With removed(chunk_id, doc_id), the chunks that re-indexing has removed, they have a reason too: ``stale`` for a chunk that the kb
+    once had, ``unknown`` for one that it never had.
+    """
     clean = questions.withColumn("relevant_chunk_ids", F.array_distinct("relevant_chunk_ids"))
     each = clean.join(datasets.select("dataset_id", "kb_id"), "dataset_id").select("question_id", "kb_id", F.explode("relevant_chunk_ids").alias("chunk_id"))
     known = chunks.select("chunk_id", "doc_id").join(documents.select("doc_id", "kb_id"), "doc_id").select("kb_id", "chunk_id")
-    return clean, each.join(known, ["kb_id", "chunk_id"], "left_anti").select("question_id", "chunk_id")
+    missing = each.join(known, ["kb_id", "chunk_id"], "left_anti")
+    if removed is None:
+        return clean, missing.select("question_id", "chunk_id")
+    once = removed.select("chunk_id", "doc_id").join(documents.select("doc_id", "kb_id"), "doc_id").select("kb_id", "chunk_id", F.lit("stale").alias("_once")).distinct()
+    reasons = missing.join(once, ["kb_id", "chunk_id"], "left").select("question_id", "chunk_id", F.coalesce("_once", F.lit("unknown")).alias("reason"))
+    return clean, reasons
 
 
 def question_metrics(questions: DataFrame, hits: DataFrame, top_k: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_type, safe_filename
+from ..sources.store import written
 
 TYPES = ("pdf", "txt", "md", "docx")
 MOST_BYTES = 25 * 1024 * 1024
@@ -66,6 +67,84 @@ def delete(parents: DataFrame, gone: DataFrame, key: str, *children: tuple[DataF
     return left
 
 
+#: Foreign keys: table, its own key, its parent and the column that names the parent's row. Citations keep their quote when a chunk goes, so chunks aren't their parents.
+KEYS = (
+    ("members", "member_id", "knowledge_bases", "kb_id"),
+    ("documents", "doc_id", "knowledge_bases", "kb_id"),
+    ("chunks", "chunk_id", "documents", "doc_id"),
+    ("conversations", "conv_id", "knowledge_bases", "kb_id"),
+    ("messages", "message_id", "conversations", "conv_id"),
+    ("citations", "citation_id", "messages", "message_id"),
+    ("datasets", "dataset_id", "knowledge_bases", "kb_id"),
+    ("questions", "question_id", "datasets", "dataset_id"),
+    ("runs", "run_id", "datasets", "dataset_id"),
+    ("results", "result_id", "runs", "run_id"),
+)
+
+
+def delete_rows(tables: dict[str, DataFrame], root: str, gone: DataFrame, keys=KEYS) -> dict[str, DataFrame]:
+    """What is left of all tables when the rows of ``root`` with the keys in ``gone`` (one column) are deleted, with all that hangs on them.
+
+    The graph of keys is walked from the root, each table after its parents; only keys move. Rows without a parent's key
+    stay, and so do tables that don't hang on the root. A table with several parents loses the rows of each.
+    """
+    left, lost = dict(tables), {root: gone.toDF("_gone").distinct()}
+    own = {child: key for child, key, _, _ in keys}
+    root_key = own.get(root) or next((column for _, _, parent, column in keys if parent == root), gone.columns[0])
+    left[root] = tables[root].join(lost[root].withColumnRenamed("_gone", root_key), root_key, "left_anti").select(*tables[root].columns)
+    waiting = [k for k in keys if k[0] in tables]
+    while True:
+        # a table's turn comes when no parent of it has still to lose rows
+        ready = [k for k in waiting if k[2] in lost and not any(o[0] == k[2] and o in waiting for o in waiting if o is not k and o[2] in lost)]
+        if not ready:
+            return left
+        child = ready[0][0]
+        mine = [k for k in ready if k[0] == child]
+        waiting = [k for k in waiting if k not in mine]
+        found = None
+        for _, key, parent, column in mine:
+            rows = tables[child].join(lost[parent].withColumnRenamed("_gone", column), column, "left_semi").select(F.col(key).alias("_gone"))
+            found = rows if found is None else found.union(rows)
+            left[child] = left[child].join(lost[parent].withColumnRenamed("_gone", column), column, "left_anti").select(*tables[child].columns)
+        lost[child] = written(found.distinct() if child not in lost else found.union(lost[child]).distinct())
+
+
+#: Folders of a table that is stored by document.
+DOC_BUCKETS = 64
+
+
+def doc_bucket(n: int = DOC_BUCKETS):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+
+
+def put_chunks(chunks: DataFrame, path: str, buckets: int = DOC_BUCKETS) -> None:
+    """Store chunks by buckets of their documents, so that few documents can be replaced; what df holds of a bucket replaces what is there."""
+    rows = chunks.withColumn("bucket", doc_bucket(buckets))
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def replace_chunks(path: str, fresh: DataFrame, ids: DataFrame, buckets: int = DOC_BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """Re-index documents in a table of ``put_chunks``: their stored chunks give way to those in ``fresh``.
+
+    Only the buckets of these documents are read and written, each replaced as a whole when all are ready: a job that fails before changes nothing.
+    Documents of ``ids`` without fresh chunks keep what they have. Returns (doc_id, status), ready or failed, of each
+    document in ids, and (chunk_id, doc_id) of the stored chunks that are no more.
+    """
+    spark = fresh.sparkSession
+    ids = written(ids.select("doc_id").distinct())
+    fresh = written(fresh.join(ids, "doc_id", "left_semi"))
+    done = written(fresh.select("doc_id").distinct())
+    touched = [r[0] for r in done.select(doc_bucket(buckets).alias("b")).distinct().collect()]
+    status = ids.join(done.withColumn("_done", F.lit(1)), "doc_id", "left").select("doc_id", F.when(F.col("_done") == 1, "ready").otherwise("failed").alias("status"))
+    stored = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    old = written(stored)
+    removed = written(old.join(done, "doc_id", "left_semi").select("chunk_id", "doc_id").join(fresh.select("chunk_id"), "chunk_id", "left_anti"))
+    rows = written(old.join(done, "doc_id", "left_anti").unionByName(fresh.withColumn("bucket", doc_bucket(buckets))).select(*stored.columns))
+    if touched:
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return status, removed
+
+
 def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
     """Write a table partitioned by kb_id; overwriting replaces only the partitions that df holds."""
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..operators import answer, chunking, embed, evaluate, exhaustive, index, ingest, listing, search, workspace
+from ..sources import files
 from ..sources.store import shared_dir, spread, written
 from ..streaming import jobs
 from . import sql as S
@@ -200,6 +201,124 @@ def stored_chunks(spark, sf):
     return spark.read.parquet(at).select("kb_id", "doc_id", "chunk_index", "n")
 
 
+_NEW = "doc_id % 10 = 0 AND doc_id % 20 <> 0"
+
+
+def _replaced(spark, sf):
+    """Chunks stored by document, of which every tenth document is indexed anew with other texts, but for every twentieth, which gives no chunk; what is stored then, what was removed, and the states."""
+    at = f"{_store(spark)}/chunks"
+    ingest.put_chunks(D.chunks(spark, sf).drop("kb_id", "document_name"), at)
+    pages = D.pages(spark, sf).where("doc_id % 10 = 0")
+    pages = pages.withColumn("text", F.when(F.col("doc_id") % 20 != 0, F.expr("substring(text, 1, cast(length(text) div 2 as int))")))
+    fresh = chunking.chunk_pages(pages).withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("chunk_index"))
+    status, removed = ingest.replace_chunks(at, fresh, D.documents(spark, sf).where("doc_id % 10 = 0"))
+    return spark.read.parquet(at), removed, status
+
+
+_REPLACED = {
+    "halfpage": f"SELECT doc_id, 1 AS page_number, substr(text, 1, length(text) // 2) AS text FROM documents WHERE {_NEW}",
+    "half_units": S._units("halfpage"), "half0": S._chunked("half_units"),
+    "replaced": f"SELECT doc_id, chunk_index, doc_id * 100000 + chunk_index AS chunk_id, content FROM half0 UNION ALL SELECT doc_id, chunk_index, doc_id * 100000 + chunk_index, content FROM chunk0 WHERE NOT ({_NEW}) OR doc_id NOT IN (SELECT doc_id FROM half0)",
+}
+
+
+@query("SELECT chunk_id, doc_id, chunk_index, sha256(content) AS content_sha256 FROM replaced", **_REPLACED)
+def replaced_chunks(spark, sf):
+    """What is read after documents were indexed anew in place."""
+    return _replaced(spark, sf)[0].select("chunk_id", "doc_id", "chunk_index", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query(f"SELECT d.doc_id, CASE WHEN {_NEW.replace('doc_id', 'd.doc_id')} AND h.doc_id IS NOT NULL THEN 'ready' ELSE 'failed' END AS status FROM docs d LEFT JOIN (SELECT DISTINCT doc_id FROM half0) h ON h.doc_id = d.doc_id WHERE d.doc_id % 10 = 0", **_REPLACED)
+def replaced_status(spark, sf):
+    return _replaced(spark, sf)[2]
+
+
+@query(
+    """SELECT query_id AS question_id, x.c AS chunk_id, CASE WHEN k.chunk_id IS NULL THEN 'unknown' ELSE 'stale' END AS reason FROM (
+  SELECT query_id, a.kb_id, unnest([k.chunk_id, k.chunk_id + 90000]) AS c FROM ask a JOIN chunk k ON k.kb_id = a.kb_id AND k.doc_id % 10 = 0 AND k.doc_id % 40 = query_id % 40 // 10 * 10) x
+LEFT JOIN chunk k ON k.chunk_id = x.c WHERE x.c NOT IN (SELECT chunk_id FROM replaced)""",
+    **_REPLACED,
+)
+def stale_labels(spark, sf):
+    """Labels of chunks that re-indexing has removed, and of chunks that never were."""
+    stored, removed, _ = _replaced(spark, sf)
+    q = D.questions(spark, sf).select(F.col("query_id").alias("question_id"), "kb_id", F.floor(F.col("query_id") % 40 / 10).cast("long").alias("group"))
+    chunks = D.chunks(spark, sf).where("doc_id % 10 = 0").select("chunk_id", "kb_id", F.floor(F.col("doc_id") % 40 / 10).cast("long").alias("group"))
+    asked = q.join(chunks, ["kb_id", "group"]).groupBy("question_id", F.col("kb_id").alias("dataset_id")).agg(F.collect_list("chunk_id").alias("ids"))
+    asked = asked.select("question_id", "dataset_id", F.concat("ids", F.transform("ids", lambda c: c + 90000)).alias("relevant_chunk_ids"))
+    datasets = D.documents(spark, sf).select(F.col("kb_id").alias("dataset_id"), "kb_id").distinct()
+    return evaluate.check_labels(asked, datasets, D.documents(spark, sf), stored, removed)[1]
+
+
+_GRAPH = {
+    "g_kbs": "SELECT DISTINCT kb_id FROM docs", "g_documents": "SELECT doc_id AS id, kb_id FROM docs", "g_chunks": "SELECT chunk_id AS id, doc_id FROM chunk",
+    "g_conversations": "SELECT DISTINCT conv_id AS id, ['en', 'fr', 'de', 'es'][conv_id % 4 + 1] AS kb_id FROM conversations",
+    "g_messages": "SELECT conv_id * 1000 + turn AS id, conv_id FROM conversations",
+    "g_citations": "SELECT (conv_id * 1000 + turn) * 10 + n AS id, conv_id * 1000 + turn AS message_id FROM conversations, (SELECT unnest([1, 2]) AS n) WHERE role <> 'user'",
+    "g_datasets": "SELECT DISTINCT label AS id, ['en', 'fr', 'de', 'es'][label % 4 + 1] AS kb_id FROM embeddings", "g_questions": "SELECT vec_id AS id, label AS dataset_id FROM embeddings",
+    "g_runs": "SELECT DISTINCT user_id AS id, user_id % 10 AS dataset_id FROM events", "g_results": "SELECT event_id AS id, user_id AS run_id FROM events",
+}
+
+
+def _graph(spark, sf):
+    kb = lambda c: F.element_at(F.array(*(F.lit(x) for x in ("en", "fr", "de", "es"))), (c % 4 + 1).cast("int")).alias("kb_id")
+    d, c, e, v = D.documents(spark, sf), D.table(spark, sf, "conversations"), D.table(spark, sf, "events"), D.table(spark, sf, "embeddings")
+    message = (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id")
+    return {
+        "knowledge_bases": d.select("kb_id").distinct(), "documents": d.select("doc_id", "kb_id"), "chunks": D.chunks(spark, sf).select("chunk_id", "doc_id"),
+        "conversations": c.select("conv_id", kb(F.col("conv_id"))).distinct(), "messages": c.select(message, "conv_id"),
+        "citations": c.where("role <> 'user'").select(message, F.explode(F.array(F.lit(1), F.lit(2))).alias("n")).select((F.col("message_id") * 10 + F.col("n")).alias("citation_id"), "message_id"),
+        "datasets": v.select(F.col("label").alias("dataset_id"), kb(F.col("label"))).distinct(), "questions": v.select(F.col("vec_id").alias("question_id"), F.col("label").alias("dataset_id")),
+        "runs": e.select(F.col("user_id").alias("run_id"), (F.col("user_id") % 10).alias("dataset_id")).distinct(), "results": e.select(F.col("event_id").alias("result_id"), F.col("user_id").alias("run_id")),
+    }
+
+
+_LEFT = {
+    "l_documents": "SELECT * FROM g_documents WHERE kb_id <> 'de'", "l_chunks": "SELECT * FROM g_chunks WHERE doc_id IN (SELECT id FROM l_documents)", "l_conversations": "SELECT * FROM g_conversations WHERE kb_id <> 'de'",
+    "l_messages": "SELECT * FROM g_messages WHERE conv_id IN (SELECT id FROM l_conversations)", "l_citations": "SELECT * FROM g_citations WHERE message_id IN (SELECT id FROM l_messages)",
+    "l_datasets": "SELECT * FROM g_datasets WHERE kb_id <> 'de'", "l_questions": "SELECT * FROM g_questions WHERE dataset_id NOT IN (SELECT id FROM g_datasets WHERE kb_id = 'de')",
+    "l_runs": "SELECT * FROM g_runs WHERE dataset_id NOT IN (SELECT id FROM g_datasets WHERE kb_id = 'de')",
+    "l_results": "SELECT * FROM g_results WHERE run_id NOT IN (SELECT id FROM g_runs WHERE dataset_id IN (SELECT id FROM g_datasets WHERE kb_id = 'de'))",
+}
+_SUMS = " UNION ALL ".join(f"SELECT '{t}' AS level, count(*) AS n, CAST(coalesce(sum(id), 0) AS BIGINT) AS ids FROM l_{t}" for t in ("documents", "chunks", "conversations", "messages", "citations", "datasets", "questions", "runs", "results"))
+
+
+def _sums(tables, skip=("knowledge_bases",)):
+    out = None
+    for name, df in tables.items():
+        if name not in skip:
+            one = df.agg(F.lit(name).alias("level"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(df.columns[0] if name not in ("messages", "citations") else name[:-1] + "_id"), F.lit(0)).alias("ids"))
+            out = one if out is None else out.union(one)
+    return out
+
+
+@query(_SUMS, **_GRAPH, **_LEFT)
+def delete_kb(spark, sf):
+    """A kb goes with all that hangs on it, on every level."""
+    kbs = D.documents(spark, sf).select("kb_id").distinct()
+    return _sums(ingest.delete_rows(_graph(spark, sf), "knowledge_bases", kbs.where("kb_id = 'de'")))
+
+
+@query(
+    "SELECT 'documents' AS level, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM g_documents WHERE id % 10 <> 0 UNION ALL SELECT 'chunks', count(*), CAST(sum(id) AS BIGINT) FROM g_chunks WHERE doc_id % 10 <> 0 UNION ALL SELECT 'citations', count(*), CAST(sum(id) AS BIGINT) FROM g_citations",
+    **_GRAPH,
+)
+def delete_documents(spark, sf):
+    """Documents go with their chunks; citations, which keep their quotes, stay."""
+    left = ingest.delete_rows(_graph(spark, sf), "documents", D.documents(spark, sf).where("doc_id % 10 = 0").select("doc_id"))
+    return _sums({t: left[t] for t in ("documents", "chunks", "citations")})
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN chr(65533) ELSE '' END || text || chr(10) AS text FROM documents")
+def file_pages(spark, sf):
+    """All documents written as text files, some with a byte that is no UTF-8, and read as pages."""
+    at = f"{_store(spark)}/files"
+    bad = F.when(F.col("doc_id") % 7 == 0, F.expr("cast(X'FF' as string)")).otherwise("")
+    files.write_files(D.table(spark, sf, "documents").select("doc_id", F.concat(bad, "text").alias("text")), at)
+    found = ingest.admit(files.read_files(spark, at, "*.{txt,md}")).where("reject_reason is null").withColumn("doc_id", files.key_of().cast("long"))
+    return files.text_pages(found).select("doc_id", "text")
+
+
 # ---- vectors and search ----
 
 _FEATURES = r"list_concat(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+'), list_transform(range(1, length(lower({x})) - 1), lambda i: substr(lower({x}), i, 3)))"

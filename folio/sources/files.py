@@ -9,9 +9,25 @@ from pyspark.sql import functions as F
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, content) of all files below a path; Spark's reader leaves files of no bytes out."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file_name"), "content")
+def read_files(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
+    """(file_name, content) of all files below a path whose names match the glob ``names``; Spark's reader leaves files of no bytes out.
+
+    Names are looked at before anything is read. Many small files share a task and large ones have their own, as spark.sql.files.maxPartitionBytes says.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if names is not None:
+        reader = reader.option("pathGlobFilter", names)
+    return reader.load(path).select(F.col("path").alias("file_name"), "content")
+
+
+def write_files(texts: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """Write each text as a file of its own, below a folder ``key=value``, with a line end after it; bytes that are not valid UTF-8 stay as they are."""
+    texts.select(key, F.coalesce(text, F.lit("")).alias("value")).sortWithinPartitions(key).write.partitionBy(key).text(path)
+
+
+def key_of(file_name: str = "file_name", key: str = "doc_id"):
+    """The key that ``write_files`` put into a file's path."""
+    return F.regexp_extract(file_name, f"/{key}=([^/]*)/", 1)
 
 
 def decoded(content):

@@ -12,20 +12,27 @@ from ..operators.chunking import chunk_pages
 from ..operators.ingest import admit, document_status, reject_duplicates
 from ..operators.listing import request_metrics
 from ..sources.files import decoded
-from ..sources.store import written
+from ..sources.store import exists, written
 
 
-def _read(spark: SparkSession, path: str, schema: str, without_batch: int | None = None) -> DataFrame:
-    try:
-        df = spark.read.parquet(path)
-    except Exception as e:  # nothing is stored yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-    return df if without_batch is None else df.where(F.col("batch") != without_batch)
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-_DOCUMENTS = "doc_id long, kb_id string, name string, file_type string, sha256 string, page_count int, chunk_count int, status string, error_message string, batch long"
+#: Folders of the stored fingerprints; a batch reads those that its own fall into.
+FINGERPRINT_BUCKETS = 256
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("kb_id", "sha256"), F.lit(FINGERPRINT_BUCKETS)).cast("int").alias("bucket")
+
+
+def stored_fingerprints(files: DataFrame, store: str, batch: int) -> DataFrame:
+    """(kb_id, sha256) stored by other batches, from the buckets of these files' fingerprints alone."""
+    spark = files.sparkSession
+    own = [r[0] for r in files.select(_bucket()).distinct().collect()]
+    known = _read(spark, f"{store}/fingerprints", "kb_id string, sha256 string, bucket int, batch long")
+    return known.where(F.col("bucket").isin(own) & (F.col("batch") != batch)).select("kb_id", "sha256")
 
 
 def ingest_batch(spark: SparkSession, files: DataFrame, store: str, batch: int, embed: Callable[[DataFrame], DataFrame] | None = None) -> None:
@@ -34,10 +41,9 @@ def ingest_batch(spark: SparkSession, files: DataFrame, store: str, batch: int,
     The batch's number is a partition of each table and is overwritten when the batch runs again, so a repeated
     batch changes nothing.
     """
-    stored = _read(spark, f"{store}/documents", _DOCUMENTS, batch)
     # once written, neither fingerprints nor the choice of new files are made again for each table
     checked = written(admit(files))
-    new = written(reject_duplicates(checked, stored))
+    new = written(reject_duplicates(checked, stored_fingerprints(checked.where("reject_reason is null"), store, batch)))
     pages = new.select("doc_id", F.lit(1).alias("page_number"), decoded("content").alias("text"))
     chunks = chunk_pages(pages).join(new.select("doc_id", "kb_id"), "doc_id")
     if embed is not None:
@@ -51,8 +57,10 @@ def ingest_batch(spark: SparkSession, files: DataFrame, store: str, batch: int,
     put(chunks, "chunks")
     put(rejected, "rejected")
     done = _read(spark, f"{store}/chunks", "doc_id long, batch long").where(F.col("batch") == batch)
-    # last, as it marks the batch's fingerprints as stored
     put(document_status(documents, pages, done), "documents")
+    # last: what a batch has stored is not new to later ones; the batch itself, run again, doesn't look at its own
+    prints = new.select("kb_id", "sha256", _bucket(), F.lit(batch).cast("long").alias("batch"))
+    prints.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{store}/fingerprints")
 
 
 def ingest_stream(files: DataFrame, store: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
