@@ -256,12 +256,23 @@ def _with_component(df: DataFrame, of_comp: DataFrame, how: str = "inner") -> Da
     return df.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(11)), F.lit(SALTS)).cast("int")).join(salted, ["comp", "salt"], how).drop("salt")
 
 
+#: Rows of a key from which on they meet the key's one row where they are, which is sent to all tasks: at most one such key for each so many rows.
+HOT = 1 << 17
+
+
+def _met(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """many(key, size, ...) joined with one(key, size, ...), a row of each key; size is how many rows of many a key has, about. Rows of hot keys are not shuffled."""
+    hot = F.col("size") > HOT
+    rest = many.where(~hot).join(one.where(~hot).drop("size"), key)
+    return rest.unionByName(many.where(hot).join(F.broadcast(one.where(hot).drop("size")), key))
+
+
 def _placed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, cls, comp, inside, most, others) of the buckets that hold several components: whether cls is of the component with most classes in the bucket, and how many are and are not."""
-    placed = buckets.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("comp"))
+    placed = buckets.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("key", "size", "cls", F.coalesce("label", "cls").alias("comp"))
     counted = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    placed = placed.join(top, "key")
+    top = counted.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps")).where("comps > 1").withColumn("classes", F.col("size"))
+    placed = _met(placed, top, "key").withColumn("size", F.col("classes"))
     return placed.select("key", "cls", "comp", (F.col("comp") == F.col("top.comp")).alias("inside"), F.col("top.n").alias("most"), (F.col("size") - F.col("top.n")).alias("others"))
 
 
@@ -299,7 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     sketched = written(docs.mapInArrow(_sketches, _SKETCH))
     usable = sketched.where("cls is not null and doc_id is not null")
-    classes = usable.groupBy("cls").agg(F.min("doc_id").alias("first_doc"))
+    classes = usable.groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
     rep = usable.join(classes.select(F.col("first_doc").alias("doc_id"), "cls"), ["doc_id", "cls"], "left_semi")
     rep = written(rep.groupBy("cls").agg(F.first("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")))
 
@@ -310,8 +321,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(docs.join(involved, "doc_id", "left_semi").mapInArrow(_full_sets, "cls long, shingles binary").dropDuplicates(["cls"]))
     sketch = rep.select("cls", "n", "regs")
 
-    centres = buckets.groupBy("key").agg(*(F.min_by("cls", F.xxhash64("cls", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)))
-    pairs = buckets.join(centres, "key").select("cls", F.explode(F.array_distinct(F.array(*(f"c{i}" for i in range(CENTRES))))).alias("centre"))
+    centres = buckets.groupBy("key", "size").agg(*(F.min_by("cls", F.xxhash64("cls", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)))
+    pairs = _met(buckets, centres, "key").select("cls", F.explode(F.array_distinct(F.array(*(f"c{i}" for i in range(CENTRES))))).alias("centre"))
     pairs = pairs.where("cls <> centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
     pairs = (
         pairs.join(sketch.toDF("b", "nb", "rb"), "b").join(sketch.toDF("a", "na", "ra"), "a")
@@ -343,8 +354,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = written(merged.union(joined_labels.join(labels.select("v"), "v", "left_anti").select("v", "label")))
 
     joined = classes.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = joined.groupBy("label").agg(F.min("first_doc").alias("component"))
-    of_class = written(joined.join(least, "label").select("cls", "component"))
-    out = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")).join(of_class, "cls", "left")
+    least = joined.groupBy("label").agg(F.min("first_doc").alias("component"), F.count(F.lit(1)).alias("size"))
+    # components of one class need no join; classes don't know how large theirs is, so large ones are told by their label
+    large = F.broadcast(least.where(F.col("size") > HOT).select("label", F.col("component").alias("of_large")))
+    joined = joined.join(large, "label", "left")
+    rest = joined.where("of_large is null").drop("of_large").join(least.drop("size"), "label")
+    of_class = written(rest.select("cls", "component", "copies").unionByName(joined.where("of_large is not null").select("cls", F.col("of_large").alias("component"), "copies")))
+    # documents of a text with very many copies meet its class where they are; those without words meet none
+    hot = F.broadcast(of_class.where(F.col("copies") > HOT).select("cls", F.col("component").alias("of_hot")))
+    rows = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")).join(hot, "cls", "left")
+    few = F.col("cls").isNotNull() & F.col("of_hot").isNull()
+    out = rows.where(few).join(of_class.select("cls", "component"), "cls", "left").unionByName(rows.where(~few).withColumn("component", F.col("of_hot"))).drop("of_hot")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

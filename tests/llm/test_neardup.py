@@ -76,3 +76,16 @@ def test_estimate_is_near_and_corrected():
         errors.append(neardup.estimate(ra[None], rb[None], np.array([700]), np.array([700]))[0] - 500 / 900)
     assert abs(np.mean(errors)) < 0.02
     assert np.std(errors) < 0.07
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    rnd = random.Random(21)
+    base = [f"w{rnd.randrange(500)}" for _ in range(60)]
+    texts = [" ".join(base)] * 30 + [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(0, 60, 3)] + ["", None, "one two"] * 5
+    texts += [" ".join(base[:30] + [f"y{rnd.randrange(900)}" for _ in range(30)]) for _ in range(30)]
+    docs = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    shown = lambda: sorted((tuple(r) for r in neardup.near_duplicates(docs).collect()), key=str)
+    want = shown()
+    assert len({r[2] for r in want}) < len(want) - 20
+    monkeypatch.setattr(neardup, "HOT", 2)
+    assert shown() == want
