@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 #: Tokens of a shard: what a task holds at a time, and how far packing looks.
 SHARD_TOKENS = 4_000_000
+#: Partitions that shards are dealt to, at most.
+PARTITIONS = 4096
 
 
 class Room:
@@ -150,7 +152,8 @@ def pack(encoded: DataFrame, tokens: int, capacity: int = CAPACITY, width: int =
     little-endian unsigned integers of ``width`` bytes, filled with ``pad`` and 0; cu_seqlens begins with 0;
     doc_ids and starts tell which document, from which of its tokens, each segment holds. Documents with null or no ids
     fill no row; null doc_ids are packed as null; repeated rows are packed repeatedly; further columns are ignored; an
-    empty table gives no rows. Ids must fit the width, and capacity must too; else the job fails. Each shard is a partition of its own.
+    empty table gives no rows. Ids must fit the width, and capacity must too; else the job fails. Shards are dealt to at most PARTITIONS
+    partitions, in which one after the other is packed.
     """
     pieces = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(*segmenting(capacity, width))
     return pack_segments(pieces, tokens, capacity, width, pad)
@@ -161,7 +164,8 @@ def pack_segments(pieces: DataFrame, tokens: int, capacity: int = CAPACITY, widt
     dtype, shards = _DTYPES[width], max(1, -(-tokens // SHARD_TOKENS))
     # by content too, as one id may be repeated
     shard = F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(shards)).cast("int")
-    dealt = pieces.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.desc("size"), "doc_id", "start")
+    parts = min(shards, PARTITIONS)
+    dealt = pieces.withColumn("shard", shard).repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard", F.desc("size"), "doc_id", "start")
     return dealt.mapInArrow(_packer(capacity, dtype, pad), _SCHEMA)
 
 
