@@ -34,6 +34,8 @@ ROUNDS = (1, 8)
 BLOCK = 8_192
 LEAF = 128
 TOGETHER = 256
+#: Queries that visit a cell in one task, and visits that are handed on at a time.
+QUERIES, VISITS = 4096, 4096
 #: Parts into which each vector's copies are dealt before their smallest ids are gathered.
 SALTS = 64
 
@@ -227,11 +229,13 @@ def _visitor(shared, ratio: float, since: int, until: int | None):
                 order = np.argsort(gap, axis=1, kind="stable")[:, since:until]
                 reach = ratio * np.maximum((q * q).sum(1) + norm**2 - 2 * part.column("bound").to_numpy(zero_copy_only=False), 0)
                 row, place = np.nonzero(np.take_along_axis(gap, order, axis=1) <= reach[:, None])
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.cells[order[row, place]]), part.column("cls").take(take), part.column("vector").take(take), part.column("bound").take(take)],
-                    names=["cell", "cls", "vector", "bound"],
-                )
+                for j in range(0, len(row), VISITS):
+                    r, p = row[j : j + VISITS], place[j : j + VISITS]
+                    take = pa.array(r)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cells.cells[order[r, p]]), part.column("cls").take(take), part.column("vector").take(take), part.column("bound").take(take)],
+                        names=["cell", "cls", "vector", "bound"],
+                    )
 
     return visit
 
@@ -241,7 +245,7 @@ _BEST = pa.list_(pa.struct([("id", pa.int64()), ("score", pa.float64())]))
 
 
 def _searcher(norm: float, keep: int, ratio: float):
-    """Streams rows (cell, block, kind, cls, vector, ids, bound) sorted by cell, block, kind: a block's vectors, then its queries."""
+    """Streams rows (cell, block, part, kind, cls, vector, ids, bound) sorted by cell, block, part, kind: a block's vectors, then a part of its queries."""
 
     def answers(block, cls, q, bound):
         for i in range(0, len(q), TOGETHER):
@@ -259,14 +263,14 @@ def _searcher(norm: float, keep: int, ratio: float):
     def search(batches):
         at, ids, held, block = None, [], [], None
         for batch in batches:
-            cell, number, kind, cls = (batch.column(c).to_numpy() for c in ("cell", "block", "kind", "cls"))
+            cell, number, share, kind, cls = (batch.column(c).to_numpy() for c in ("cell", "block", "part", "kind", "cls"))
             vectors, bound = _vectors(batch.column("vector")), batch.column("bound").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(number) != 0) | (np.diff(kind) != 0)) + 1), len(cell)]
+            cuts = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(number) != 0) | (np.diff(share) != 0) | (np.diff(kind) != 0)) + 1), len(cell)]
             for i, j in zip(cuts[:-1], cuts[1:]):
                 if j == i:
                     continue
-                if (cell[i], number[i]) != at:
-                    at, ids, held, block = (cell[i], number[i]), [], [], None
+                if (cell[i], number[i], share[i]) != at:
+                    at, ids, held, block = (cell[i], number[i], share[i]), [], [], None
                 if kind[i] == 0:
                     ids += batch.column("ids").slice(i, j - i).to_pylist()
                     held.append(vectors[i:j])
@@ -331,11 +335,15 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
 
     def visited(q: DataFrame, since: int, until: int | None) -> DataFrame:
         rows = q.mapInArrow(_visitor(shared, ratio, since, until), "cell int, cls long, vector array<double>, bound double")
-        rows = rows.join(F.broadcast(blocks_of), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = written(rows.select("cell", "block", F.lit(1).alias("kind"), "cls", "vector", F.expr("cast(null as array<long>)").alias("ids"), "bound"))
-        # blocks that nobody visits are not read again
-        used = base.join(rows.select("cell", "block").distinct(), ["cell", "block"], "left_semi").select(*rows.columns)
-        dealt = used.union(rows).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
+        rows = written(rows)
+        # the queries of a cell are dealt to parts, each with a copy of the block; at most CELLS rows say how many parts a cell has
+        parts = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts")))
+        rows = rows.join(F.broadcast(blocks_of), "cell").join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("parts")).cast("int"))
+        rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("cell", "block", "part", F.lit(1).alias("kind"), "cls", "vector", F.expr("cast(null as array<long>)").alias("ids"), "bound")
+        # blocks of cells that nobody visits are not read again
+        used = base.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*rows.columns)
+        dealt = used.union(rows).repartition("cell", "block", "part").sortWithinPartitions("cell", "block", "part", "kind")
         return written(dealt.mapInArrow(_searcher(norm, keep, ratio), _FOUND))
 
     found = visited(q.withColumn("bound", F.lit(float("-inf"))), 0, ROUNDS[0])
