@@ -30,7 +30,7 @@ SENT, TAIL = 131_072, 32_768
 ENDING, RANK = 3, 20
 #: Tokens of a training step, noise groups of a step, noise classes of each group in a step, learning rates of context vectors and of all else.
 BATCH, NOISE_GROUPS, NOISE, RATE_CONTEXT, RATE = 4096, 8, 16, 0.8, 0.2
-#: Training tokens of a replica at least, replicas at most, how many are averaged in one task, and context vectors of one row of a written replica.
+#: Training tokens of a replica at least, and from how many replicas on it takes eight times as many (so that replicas stay smaller than the texts); how many are averaged in one task, and context vectors of one row of a written replica.
 REPLICA_TOKENS, REPLICAS, FAN_IN, PIECE = 1_000_000, 1024, 16, 16_384
 
 _END = int(hash_of("\x00end").view(np.int64))
@@ -317,8 +317,9 @@ def _averaged(batches):
 
 
 def train(texts: DataFrame, shared_vocabulary, v: Vocabulary) -> Parameters:
-    """One pass over all texts in at most REPLICAS replicas, averaged FAN_IN at a time, piece by piece."""
-    parts = max(1, min(REPLICAS, texts.rdd.getNumPartitions(), v.total // REPLICA_TOKENS))
+    """One pass over all texts in replicas, as many as there are partitions if each has tokens enough, averaged FAN_IN at a time, piece by piece."""
+    enough = max(min(REPLICAS, v.total // REPLICA_TOKENS), v.total // (8 * REPLICA_TOKENS))
+    parts = max(1, min(texts.rdd.getNumPartitions(), enough))
     found = written(texts.select("text").coalesce(parts).mapInArrow(_trainer(shared_vocabulary), _REPLICA))
     while parts > 1:
         parts = -(-parts // FAN_IN)

@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     Features are counted and chosen on the executors; only the places of those that are learned come to the driver.
     """
-    chosen = sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE_EACH).where(F.octet_length("text") <= LONGEST)
+    chosen = sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE_EACH, LONGEST)
     bags = written(chosen.select("doc_id", "y", "text").mapInArrow(_bagged, "doc_id long, y int, n_sentences int, hashes array<long>, sentences array<int>"))
     texts = sorted(bags.select("doc_id", "y", "n_sentences").collect())
     y = np.array([t.y for t in texts], np.int64)
