@@ -47,24 +47,39 @@ _PATTERNS = (
 TITLES = {
     "Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Don": "m",
     "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Mme": "f", "Madame": "f", "Mlle": "f", "Señora": "f", "Doña": "f",
-    "Dr": "n", "Prof": "n", "Господин": "m", "Госпожа": "f",
+    "Dr": "n", "Prof": "n", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
 }
+#: Titles that stand after a name, with their gender.
+AFTER = {"先生": "m", "女士": "f", "小姐": "f", "教授": "n", "博士": "n"}
 #: Given names of known gender, for names after a title that has none.
-GIVEN = {"m": ("John", "Peter", "Michael", "Hans", "Pierre", "Carlos", "Paul", "David", "Иван"), "f": ("Mary", "Anna", "Maria", "Sophie", "Carmen", "Julia", "Sarah", "Laura", "Анна")}
+GIVEN = {
+    "m": "John Peter Michael Hans Pierre Carlos Paul David Иван James Robert William Thomas George Jan Luis José Antonio Marco Karl Henri Louis Miguel Juan Владимир Сергей Γιώργος Νίκος".split(),
+    "f": "Mary Anna Maria Sophie Carmen Julia Sarah Laura Анна Elizabeth Emma Olivia Susan Marie Claire Ingrid Greta Ana Isabel Elena Giulia Ольга Елена Μαρία Ελένη".split(),
+}
+#: Small words that may stand within a family name; they stay.
+PARTICLES = "van von der den de del della di da dos du la le ter ten zu bin ibn al el".split()
+#: Family names of one sign that a name before a title begins with.
+FAMILY_SIGNS = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕"
 _GENDER = {name: g for g, names in GIVEN.items() for name in names}
-_UPPER = r"[A-ZÀ-ÖØ-ÞА-ЯЁ]"
-_LOWER = r"[a-zß-öø-ÿа-яё]"
-_NAME = re.compile(rf"(?<!\w)({'|'.join(TITLES)})\.?[ ]((?:{_UPPER}{_LOWER}+)(?:[ \-](?!(?:{'|'.join(TITLES)})(?!\w)){_UPPER}{_LOWER}+){{0,2}})(?!\w)")
-_CAPITALISED = re.compile(rf"(?<!\w){_UPPER}\w+")
+_UPPER = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ]"
+_LOWER = r"[a-zß-öø-ÿа-яёα-ωάέήίόύώϊϋΐΰ]"
+#: A part of a name: Green, O'Brien, McDonald, or in capitals.
+_PART = rf"(?:[A-Za-zÀ-ÖØ-öø-ÿ]['’])?(?:{_UPPER}{_LOWER}+(?:{_UPPER}{_LOWER}+)?|{_UPPER}{{2,}})"
+_WITHIN = rf"(?:(?:{'|'.join(PARTICLES)})[ ]){{0,3}}"
+_NAME = re.compile(rf"(?<!\w)({'|'.join(TITLES)})\.?[ ]({_WITHIN}{_PART}(?:[ \-]{_WITHIN}(?!(?:{'|'.join(TITLES)})(?!\w)){_PART}){{0,2}})(?!\w)")
+_PARTS = re.compile(rf"(?<!\w){_PART}(?!\w)")
+_BEFORE = re.compile(rf"([{FAMILY_SIGNS}][一-鿿]{{0,2}}?)({'|'.join(AFTER)})")
+_CAPITALISED = re.compile(rf"(?<!\w)(?:[A-Za-zÀ-ÖØ-öø-ÿ]['’])?{_UPPER}\w+")
+_BEGINS = re.compile(r"(?:^|[.!?:\n]\s*)$")
 
 #: Syllables from which surrogate names are built, by script, and endings by script and gender.
-SYLLABLES = {"latin": "al an ber bro car dal den el fa ga han jor ka lin mar nel ol per ra sel ta ul ven wil".split(), "cyrillic": "ал бор вла гре дан ель зор кир лев мар нел оль пет рад сав тим".split()}
-ENDINGS = {("latin", "m"): "o en us ert".split(), ("latin", "f"): "a ia ine elle".split(), ("latin", "n"): "er in is y".split(), ("cyrillic", "m"): "ан ей ор ил".split(), ("cyrillic", "f"): "а ия ина ана".split(), ("cyrillic", "n"): "ко ук их ич".split()}
+SYLLABLES = {"latin": "al an ber bro car dal den el fa ga han jor ka lin mar nel ol per ra sel ta ul ven wil".split(), "cyrillic": "ал бор вла гре дан ель зор кир лев мар нел оль пет рад сав тим".split(), "greek": "αλ βερ γα δαν ελ ζορ καλ λεν μαρ νικ ορ παν ρα σταυ τιμ φιλ".split(), "han": list("安宁康文明华国平志海云山川松竹梅兰石江河星月春秋冬夏东南西北")}
+ENDINGS = {("latin", "m"): "o en us ert".split(), ("latin", "f"): "a ia ine elle".split(), ("latin", "n"): "er in is y".split(), ("cyrillic", "m"): "ан ей ор ил".split(), ("cyrillic", "f"): "а ия ина ана".split(), ("cyrillic", "n"): "ко ук их ич".split(), ("greek", "m"): "ος ης ας".split(), ("greek", "f"): "α η ια".split(), ("greek", "n"): "ου ακη ιδη".split()}
 
 _MAY_HOLD = np.zeros(256, bool)
 _MAY_HOLD[[ord(c) for c in "@0123456789=:"]] = True
 #: Titles, and the beginnings of keys, which may hold letters only.
-_SIGN_BYTES = re.compile(b"|".join(t.encode() for t in TITLES) + rb"|AKIA|ASIA|gh[pousr]_|sk-[A-Za-z0-9]{20}")
+_SIGN_BYTES = re.compile(b"|".join(t.encode() for t in [*TITLES, *AFTER]) + rb"|AKIA|ASIA|gh[pousr]_|sk-[A-Za-z0-9]{20}")
 
 
 def _address6(s: str) -> str | None:
@@ -78,6 +93,24 @@ def _address6(s: str) -> str | None:
     return address.compressed
 
 
+def _plain(name: str) -> str:
+    return name.lower().replace("’", "'")
+
+
+def _neighbour(text: str, at: int, side: int) -> str | None:
+    """The capitalised word right before or after a place, one blank or hyphen apart, in small letters."""
+    if side > 0:
+        m = _CAPITALISED.match(text, at + 1) if text[at : at + 1] in (" ", "-") else None
+        return _plain(m.group()) if m else None
+    if at < 2 or text[at - 1] not in " -":
+        return None
+    begin = at - 1
+    while begin and at - begin < 64 and (text[begin - 1].isalnum() or text[begin - 1] in "'’_"):
+        begin -= 1
+    m = _CAPITALISED.fullmatch(text, begin, at - 1)
+    return _plain(m.group()) if m else None
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(begin, end, type, canonical form) of a text's entities, in order, none within another; earlier patterns win.
 
@@ -108,29 +141,47 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 canonical = re.sub(r"[^0-9A-Z]", "", s)
                 if kind == "phone" and not 7 <= len(canonical) <= 15:
                     continue
+                if kind == "phone" and len(canonical) == 11 and canonical[0] == "1":
+                    canonical = canonical[1:]  # with or without the country's number, it is one phone
             take(m.start(1), m.end(1), kind, canonical)
     kinds: dict[str, list[str]] = {}
+    forms: dict[str, set[str]] = {}
     for m in _NAME.finditer(text):
-        parts = list(re.finditer(r"[^ \-]+", m.group(2)))
+        parts = list(_PARTS.finditer(m.group(2)))
         gender = TITLES[m.group(1)]
         for i, p in enumerate(parts):
             # the last part is the family name: one for all genders, so that each mention of it agrees
             given = i < len(parts) - 1
-            kind = "given_" + (gender if gender != "n" else _GENDER.get(p.group(), "n")) if given else "family"
-            take(m.start(2) + p.start(), m.start(2) + p.end(), kind, p.group().lower())
-            kinds.setdefault(p.group().lower(), []).append(kind)
+            name = _plain(p.group())
+            kind = "given_" + (gender if gender != "n" else _GENDER.get(p.group().capitalize(), "n")) if given else "family"
+            take(m.start(2) + p.start(), m.start(2) + p.end(), kind, name)
+            kinds.setdefault(name, []).append(kind)
+            forms.setdefault(name, {name.capitalize(), name.upper()}).add(p.group().replace("’", "'"))
+    for m in _BEFORE.finditer(text):
+        # without word borders, the longest name that the title allows may begin too early: its family sign decides
+        take(m.start(1), m.end(1), "family", m.group(1))
     if kinds:
+        small: dict[str, bool] = {}
         for m in _CAPITALISED.finditer(text):
-            name, s = m.group().lower(), m.group()
-            if name not in kinds or s not in (name.capitalize(), name.upper()):
+            begin, s = m.start(), m.group()
+            if _plain(s) not in kinds and s[1:2] in ("'", "’"):
+                begin, s = begin + 2, s[2:]  # l'Anna
+            name = _plain(s)
+            if name not in kinds or s.replace("’", "'") not in forms[name]:
                 continue
+            before, after = _neighbour(text, begin, -1), _neighbour(text, m.end(), 1)
+            if before not in kinds and after not in kinds and _BEGINS.search(text, max(0, begin - 8), begin):
+                # at the beginning of a sentence, a word that the text has in small letters too may be that word
+                if name not in small:
+                    small[name] = re.search(rf"(?<!\w){re.escape(name)}(?!\w)", text) is not None
+                if small[name]:
+                    continue
             kind = kinds[name][0]
             if "family" in kinds[name] and set(kinds[name]) != {"family"}:
                 # both a given and a family name in this text: given where a family name follows
-                after = _CAPITALISED.match(text, m.end() + 1) if text[m.end() : m.end() + 1] in (" ", "-") else None
-                given = after is not None and "family" in kinds.get(after.group().lower(), ())
+                given = after is not None and "family" in kinds.get(after, ())
                 kind = next(k for k in kinds[name] if (k != "family") == given)
-            take(m.start(), m.end(), kind, name)
+            take(begin, m.end(), kind, name)
     return sorted(found)
 
 
@@ -209,7 +260,10 @@ def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0) -> str:
         prefix = re.match(r"AKIA|ASIA|gh[pousr]_|sk-|", canonical).group()
         rest = canonical[len(prefix) :]
         return prefix + _like(rest + ("0" if rest.isdigit() else "x") * more, draw, bool(re.fullmatch(r"(?=.*[a-fA-F])(?=.*\d)(?:[0-9a-f]+|[0-9A-F]+)", rest)))
-    script = "cyrillic" if re.search("[а-яё]", canonical) else "latin"
+    if re.match("[一-鿿]", canonical):
+        signs = SYLLABLES["han"]
+        return "".join(signs[draw.below(len(signs))] for _ in range(len(canonical) + attempt // 4))
+    script = "cyrillic" if re.search("[а-яё]", canonical) else "greek" if re.search("[α-ω]", canonical) else "latin"
     syllables, endings = SYLLABLES[script], ENDINGS[script, kind[-1] if kind.startswith("given_") else "n"]
     count = 1 + draw.below(2) + attempt // 2  # longer names once the short ones are taken
     return "".join(syllables[draw.below(len(syllables))] for _ in range(count)) + endings[draw.below(len(endings))]
@@ -218,7 +272,8 @@ def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0) -> str:
 def rendered(kind: str, mention: str, canonical: str) -> str:
     """The canonical surrogate in the format of a mention."""
     if kind in ("card", "phone", "ssn", "iban"):
-        signs = iter(canonical)
+        digits = re.sub("[^0-9]", "", mention) if kind == "phone" else ""
+        signs = iter("1" + canonical if len(digits) == 11 and digits[0] == "1" else canonical)
         return "".join(next(signs, "") if c.isdigit() or (c.isalpha() and c.isascii()) else c for c in mention) + "".join(signs)
     if (kind == "email" or kind == "ip" and ":" in canonical) and mention.isupper():
         return canonical.upper()

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -126,3 +127,31 @@ def test_very_long_text(spark):
     text = "w " * 300_000 + "a@b.com " + "Mr. John Stone " * 2000
     row = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), KEY).collect()[0]
     assert row.n_entities == 4001 and row.text.startswith("w " * 300_000) and "Stone" not in row.text
+
+
+def test_forms_of_names():
+    """Names of each form after a title, and again without one, in prose; what is no name stays."""
+    rnd = random.Random(5)
+    found = lambda text: [text[a:b] for a, b, k, _ in pii.detect(text) if k == "family" or k.startswith("given")]
+    family = ["Green", "O'Brien", "McDonald", "D’Angelo", "Öztürk", "Παπαδόπουλος", "Сидоров", "SMITH", "MacArthur"]
+    given = ["John", "Anna", "Éloïse", "Μαρία", "Анна", "Zoë"]
+    within = ["", "", "", "van der ", "von ", "de la ", "bin "]
+    misses = 0
+    for _ in range(400):
+        title, f, g, p = rnd.choice(list(pii.TITLES)), rnd.choice(family), rnd.choice(given + [None]), rnd.choice(within)
+        names = ([g] if g else []) + [f]
+        text = f"at first {title}{rnd.choice(['.', ''])} {g + ' ' if g else ''}{p}{f} came, and later {f} left; {' '.join(names)}!"
+        misses += found(text) != names + [f] + names
+    assert misses == 0
+    assert found("Mrs O'Brien saw O’Brien") == ["O'Brien", "O’Brien"] and len({c for *_, c in pii.detect("Mrs O'Brien saw O’Brien")}) == 1
+    assert found("请找王小明先生和李女士") == ["王小明", "李"]
+    assert found("Mr Will Smith said hi. Will you come? I will, said Will Smith") == ["Will", "Smith", "Will", "Smith"]
+    assert found("Mme Anna Durand, l'Anna") == ["Anna", "Durand", "Anna"]
+    assert found("the van der x, no Title Here, Green") == []
+
+
+def test_one_phone_with_and_without_its_country():
+    one, two = (c for *_, c in pii.detect("call +1 (555) 123-4567 or (555) 123-4567"))
+    assert one == two
+    new = pii.surrogate("phone", one, b"k")
+    assert pii.rendered("phone", "+1 (555) 123-4567", new) == "+1 " + pii.rendered("phone", "(555) 123-4567", new)
