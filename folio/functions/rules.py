@@ -45,18 +45,8 @@ NOT_FOUND = "文档中未检索到明确表述。"
 RESEARCH_WORDS = ("propose", "contribution", "dataset", "metric", "limitation", "future work", "outperform")
 EXCERPT_METHOD_SIGNALS = ("architecture", "component", "branch", "module", "block", "gate", "framework", "pipeline")
 
-DATASETS = (("NTU RGB+D 60（NTU-60）", ("ntu rgb+d 60", "ntu-60")), ("NTU RGB+D 120（NTU-120）", ("ntu rgb+d 120", "ntu-120")), ("Kinetics-Skeleton", ("kinetics-skeleton",)))
 METRICS = (("Top-1 Accuracy", "top-1"), ("Top-5 Accuracy", "top-5"))
 PLAIN_METRIC = ("accuracy", "分类准确率（Accuracy）")
-RESULT_SIGNALS = ("ours", "td-gcn", "achieves", "obtains")
-
-#: Components of a method answer: line, and sets of signals of which one must be whole in a hit.
-COMPONENTS = (
-    ("- Persistent Homology 分支：从骨架运动中提取全局拓扑描述符。", (("persistent-homology", "descriptor"),)),
-    ("- TA-FiLM 拓扑调制：根据 joint、bone 和 motion 等不同模态调整拓扑描述符。", (("ta-film",), ("feature-wise", "modulation"))),
-    ("- Dynamic Graph Block：融合 node、edge 与 general-relation 流，并结合 SE、时序卷积和残差连接。", (("dynamic", "graph", "block"),)),
-    ("- Stage-aware Gates：控制拓扑信息在浅层、中层和深层网络中的注入强度。", (("stage-aware", "gate"), ("depth-aware", "gate"))),
-)
 SUMMARY_SLOTS = (
     ("problem", "研究问题", ("however", "challenge", "fail to", "limitation", "problem")),
     ("proposal", "核心方案", ("we propose", "we present", "we develop", "to address this gap", "to address these issues", "introduce")),

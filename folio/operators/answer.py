@@ -36,13 +36,20 @@ def _by_question(hits: DataFrame, columns: list[Column], most: int) -> DataFrame
     return kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *columns))).alias("hits"))
 
 
+def _no_line() -> Column:
+    return F.lit(None).cast("string")
+
+
 def _lines(content: Column) -> Column:
     breaks = "\r\n|[" + "".join(f"\\x{{{c:x}}}" for c in (0xA, 0xB, 0xC, 0xD, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029)) + "]"
     return F.filter(F.transform(F.split(content, breaks), squeezed), lambda x: x != "")
 
 
-def dataset_answer(hits: DataFrame, datasets=rules.DATASETS, metrics=rules.METRICS, plain=rules.PLAIN_METRIC, signals=rules.RESULT_SIGNALS) -> DataFrame:
-    """(query_id, answer): known data sets and metrics in the first 5 hits, and the first reported result of the first 3."""
+def dataset_answer(hits: DataFrame, datasets=(), metrics=rules.METRICS, plain=rules.PLAIN_METRIC, signals=()) -> DataFrame:
+    """(query_id, answer): known data sets and metrics in the first 5 hits, and the first reported result of the first 3.
+
+    The caller names the data sets of its field, (label, signals), and the signals of a line that reports a result.
+    """
     line = lambda lines: F.array_max(  # noqa: E731  the first line with a signal, as (-position)
         F.filter(F.transform(lines, lambda x, i: F.when((F.length(x) > 24) & any_of(F.lower(x), signals), -i)), lambda i: i.isNotNull())
     )
@@ -52,8 +59,8 @@ def dataset_answer(hits: DataFrame, datasets=rules.DATASETS, metrics=rules.METRI
     first = F.get(F.filter("found", lambda f: f["at"].isNotNull()), 0)
     begin = F.greatest(F.lit(0), -first["at"] - 1)
     result = F.substring(F.array_join(F.slice(first["lines"], begin + 1, -first["at"] + 4 - begin), " "), 1, 420)
-    labels = F.array_compact(F.array(*(F.when(any_of("low", s), F.lit("- " + label)) for label, s in datasets)))
-    named = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(s)), F.lit("- " + label)) for label, s in metrics)))
+    labels = F.array_compact(F.array(_no_line(), *(F.when(any_of("low", s), F.lit("- " + label)) for label, s in datasets)))
+    named = F.array_compact(F.array(_no_line(), *(F.when(F.contains("low", F.lit(s)), F.lit("- " + label)) for label, s in metrics)))
     fallback = F.when(F.contains("low", F.lit(plain[0])), F.lit("- " + plain[1])).otherwise(F.lit(rules.TEXT_NO_METRICS))
     listed = lambda a, none: F.when(F.size(a) > 0, F.array_join(a, "\n")).otherwise(none)
     sections = F.array_compact(F.array(
@@ -65,25 +72,25 @@ def dataset_answer(hits: DataFrame, datasets=rules.DATASETS, metrics=rules.METRI
     return rows.select("query_id", F.array_join(sections, "\n\n").alias("answer"))
 
 
-def component_lines(hits: DataFrame, components=rules.COMPONENTS) -> DataFrame:
-    """(query_id, lines): a line for each component, citing the first of 5 hits that holds all signals of one of its sets."""
+def component_lines(hits: DataFrame, components=()) -> DataFrame:
+    """(query_id, lines): a line for each of the caller's components (line, sets of signals), citing the first of 5 hits that holds all signals of one of its sets."""
     low = F.lower("content")
     firsts = []
     for _, sets in components:
         at = [F.min(F.when(F.forall(F.array(*(F.contains(low, F.lit(s)) for s in one)), lambda x: x), F.col("rank"))) for one in sets]
         firsts.append(F.coalesce(*at))
-    cited = hits.where("rank <= 5").groupBy("query_id").agg(*(c.alias(f"c{i}") for i, c in enumerate(firsts)))
+    cited = hits.where("rank <= 5").groupBy("query_id").agg(F.count(F.lit(1)), *(c.alias(f"c{i}") for i, c in enumerate(firsts)))
     lines = [F.when(F.col(f"c{i}").isNotNull(), F.concat(F.lit(text + "["), F.col(f"c{i}"), F.lit("]"))) for i, (text, _) in enumerate(components)]
-    return cited.select("query_id", F.array_compact(F.array(*lines)).alias("lines"))
+    return cited.select("query_id", F.array_compact(F.array(_no_line(), *lines)).alias("lines"))
 
 
-def method_answer(hits: DataFrame, components=rules.COMPONENTS) -> DataFrame:
+def method_answer(hits: DataFrame, components=()) -> DataFrame:
     """(query_id, answer) of the questions with two components or more."""
     text = F.concat(F.lit(rules.TEXT_METHOD_HEAD + "\n"), F.array_join("lines", "\n"), F.lit("\n\n" + rules.TEXT_METHOD_END))
     return component_lines(hits, components).where(F.size("lines") >= 2).select("query_id", text.alias("answer"))
 
 
-def summary_answer(hits: DataFrame, slots=rules.SUMMARY_SLOTS, components=rules.COMPONENTS) -> DataFrame:
+def summary_answer(hits: DataFrame, slots=rules.SUMMARY_SLOTS, components=()) -> DataFrame:
     """(query_id, answer) of the questions with a problem and a proposal sentence in the first 4 hits."""
     each = hits.where("rank <= 4").select("query_id", "rank", F.posexplode(summary_sentences("content")).alias("at", "sentence"))
     low = F.lower("sentence")
@@ -114,7 +121,7 @@ def excerpt_answer(questions: DataFrame, hits: DataFrame, **kw) -> DataFrame:
     return questions.select("query_id").join(lines, "query_id", "left").select("query_id", whole.alias("answer"))
 
 
-def batch_answers(questions: DataFrame, hits: DataFrame, triggers: dict | None = None, slots=rules.SUMMARY_SLOTS, components=rules.COMPONENTS, limitation=rules.LIMITATION_WORDS, least: float = 0.02, dataset_rules: dict | None = None, excerpt_rules: dict | None = None) -> DataFrame:
+def batch_answers(questions: DataFrame, hits: DataFrame, triggers: dict | None = None, slots=rules.SUMMARY_SLOTS, components=(), limitation=rules.LIMITATION_WORDS, least: float = 0.02, dataset_rules: dict | None = None, excerpt_rules: dict | None = None) -> DataFrame:
     """(query_id, kind, answer): the first way of answering that applies to each question.
 
     Too little evidence; a question for limitations without any in the hits; data sets; method and summary, if they

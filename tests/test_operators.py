@@ -345,7 +345,10 @@ def test_answers(spark):
     asked = spark.createDataFrame([(1, "数据集和指标"), (2, "局限"), (3, "what is said"), (4, "x")], "query_id long, question string")
     text = "We use NTU RGB+D 60 and Kinetics-Skeleton.\nResults of our study follow.\nTD-GCN achieves 93.6% Top-1 and 99.1 Top-5 accuracy."
     hits = hits_of(spark, [(1, 1, 11, "d", 1, text, 0.9), (2, 1, 11, "d", 1, text, 0.9), (3, 1, 11, "d", 1, "It is said that graphs help people. Nothing else.", 0.9), (4, 1, 11, "d", 1, "x", 0.01)])
-    got = {r.query_id: (r.kind, r.answer) for r in answer.batch_answers(asked, hits).collect()}
+    field = {"datasets": (("NTU-60", ("ntu rgb+d 60",)), ("Kinetics-Skeleton", ("kinetics-skeleton",))), "signals": ("achieves", "obtains")}
+    got = {r.query_id: (r.kind, r.answer) for r in answer.batch_answers(asked, hits, dataset_rules=field).collect()}
+    plain = {r.query_id: (r.kind, r.answer) for r in answer.batch_answers(asked, hits).collect()}
+    assert rules.TEXT_NO_DATASETS in plain[1][1] and {q: x for q, x in plain.items() if q != 1} == {q: x for q, x in got.items() if q != 1}
     assert got[1][0] == "dataset" and all(x in got[1][1] for x in ("NTU-60", "Kinetics-Skeleton", "Top-1 Accuracy", "Top-5 Accuracy", "93.6%"))
     assert got[2] == ("refusal", rules.TEXT_NO_LIMITATION) and got[4] == ("none", rules.TEXT_NO_EVIDENCE)
     assert got[3][0] == "excerpts" and "- It is said that graphs help people. [1]" in got[3][1]
