@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import any_of, expand_query, tokens
+from ..functions.text import any_of, expand_query, terms, tokens
 from ..functions.text import _reduced as reduced
 from ..sources.store import written
 from . import search
@@ -41,8 +41,27 @@ def library(chunks: DataFrame, documents: DataFrame, vectors: DataFrame, intents
     return numbers.join(vectors.select("chunk_id", "embedding"), "chunk_id", "left").join(ready, "doc_id").withColumn("stem", stem)
 
 
-class _Block:
-    """The questions of one block, by kb, as arrays: sent to all tasks."""
+def _postings(block, q: np.ndarray, lists: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(entries, rows of their askers in q, chunks, times) of each asked token that these chunks' lists of tokens hold."""
+    sizes = np.array([len(t) for t in lists])
+    flat = np.concatenate(lists).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
+    begin = np.searchsorted(block.token, flat, "left")
+    known = begin < np.searchsorted(block.token, flat, "right")
+    chunk = np.repeat(np.arange(len(lists)), sizes)[known]
+    both, times = np.unique(np.stack([begin[known], chunk]), axis=1, return_counts=True)
+    row_of = np.full(len(block.ids), -1)
+    row_of[q] = np.arange(len(q))
+    cuts = np.flatnonzero(np.diff(both[0])) + 1
+    for at, chunks, n in zip(np.split(both[0], cuts), np.split(both[1], cuts), np.split(times, cuts)):
+        if not len(at):
+            continue
+        entries = np.arange(at[0], np.searchsorted(block.token, block.token[at[0]], "right"))
+        rows = row_of[block.asker[entries]]
+        yield entries[rows >= 0], rows[rows >= 0], chunks, n
+
+
+class _Asked:
+    """The terms of one block of questions, by kb."""
 
     def __init__(self, rows: list):
         self.ids = np.array([r.query_id for r in rows], np.int64)
@@ -50,17 +69,25 @@ class _Block:
         for i, r in enumerate(rows):
             self.kbs.setdefault(r.kb_id, []).append(i)
         self.kbs = {kb: np.array(x) for kb, x in self.kbs.items()}
+        # entries (token, question) by token
+        pairs = sorted((t, i) for i, r in enumerate(rows) for t in set(r.asked or ()))
+        self.token = np.array([t for t, _ in pairs], np.int64)
+        self.asker = np.array([i for _, i in pairs], np.int64)
+        self.sizes = np.bincount(self.asker, minlength=len(rows))
+
+
+class _Block(_Asked):
+    """The questions of one block with all that scores need, as arrays: sent to all tasks."""
+
+    def __init__(self, rows: list):
+        super().__init__(rows)
         width = max((len(r.embedding) for r in rows if r.embedding is not None), default=1)
         self.vectors = np.array([r.embedding if r.embedding is not None else np.zeros(width) for r in rows], np.float64)
         self.limited = {i: np.array(sorted(r.doc_ids), np.int64) for i, r in enumerate(rows) if r.doc_ids}
         self.shows = np.array([r.shows for r in rows], np.float64).reshape(len(rows), -1)
         self.reduced = [r.reduced for r in rows]
-        # entries (token, question) by token
-        pairs = sorted((t, i) for i, r in enumerate(rows) for t in set(r.asked))
-        self.token = np.array([t for t, _ in pairs], np.int64)
-        self.asker = np.array([i for _, i in pairs], np.int64)
         n = len(rows)
-        self.n, self.length, self.df = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(len(pairs), np.int64)
+        self.n, self.length, self.df = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(len(self.token), np.int64)
         self.low, self.high, self.bm_low, self.bm_high = (np.full(n, x) for x in (np.inf, -np.inf, np.inf, -np.inf))
 
     def idf(self) -> np.ndarray:
@@ -83,24 +110,8 @@ class _Meeting:
             if i in block.limited:
                 self.allowed[j] = np.isin(docs, block.limited[i])
 
-    def postings(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(entries, rows of their askers, chunks, times) of each asked token that these chunks have."""
-        block, lists = self.block, self.part["tokens"].to_numpy()
-        sizes = np.array([len(t) for t in lists])
-        flat = np.concatenate(lists).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
-        begin = np.searchsorted(block.token, flat, "left")
-        known = begin < np.searchsorted(block.token, flat, "right")
-        chunk = np.repeat(np.arange(len(lists)), sizes)[known]
-        both, times = np.unique(np.stack([begin[known], chunk]), axis=1, return_counts=True)
-        row_of = np.full(len(block.ids), -1)
-        row_of[self.q] = np.arange(len(self.q))
-        cuts = np.flatnonzero(np.diff(both[0])) + 1
-        for at, chunks, n in zip(np.split(both[0], cuts), np.split(both[1], cuts), np.split(times, cuts)):
-            if not len(at):
-                continue
-            entries = np.arange(at[0], np.searchsorted(block.token, block.token[at[0]], "right"))
-            rows = row_of[block.asker[entries]]
-            yield entries[rows >= 0], rows[rows >= 0], chunks, n
+    def postings(self):
+        return _postings(self.block, self.q, self.part["tokens"].to_numpy())
 
     def bm25(self) -> np.ndarray:
         block, out = self.block, np.zeros(self.semantic.shape)
@@ -301,3 +312,39 @@ def exhaustive_search(questions: DataFrame, items: DataFrame, chunks: DataFrame,
         more = found.pool(lacking.groupBy("query_id").agg(F.min("score").alias("bar")))
         known = known.unionByName(more.select(*known.columns)).distinct()
     return chosen.join(known, ["query_id", "chunk_id"])
+
+
+def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k chunks of each question's kb with the largest set cosine of terms, ties (to 9 decimals) to the smaller chunk_id; those that share no term are not given.
+
+    queries(query_id, kb_id, question) in blocks, which meet the chunks in their tasks: each sends its own k best of a question.
+    """
+    terms_of = lambda c: F.transform(terms(c), lambda t: F.xxhash64(t))
+    items, found = chunks.select("chunk_id", "kb_id", terms_of("content").alias("tokens")), None
+    for part in search._blocks(queries, "query_id"):
+        shared = queries.sparkSession.sparkContext.broadcast(_Asked(part.select("query_id", "kb_id", terms_of("question").alias("asked")).collect()))
+
+        def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            block = shared.value
+            top = search._Running(len(block.ids), k)
+            for pdf in frames:
+                for kb, some in pdf.groupby("kb_id", sort=False):
+                    every = block.kbs.get(kb, np.zeros(0, np.int64))
+                    for a in range(0, len(some), ROWS):
+                        part = some.iloc[a : a + ROWS]
+                        sizes = part["tokens"].map(len).to_numpy()
+                        for b in range(0, len(every), QUESTIONS):
+                            q = every[b : b + QUESTIONS]
+                            n = np.zeros((len(q), len(part)))
+                            for _, rows, held, _ in _postings(block, q, part["tokens"].to_numpy()):
+                                n[np.ix_(rows, held)] += 1
+                            with np.errstate(invalid="ignore", divide="ignore"):
+                                score = np.where(n > 0, n / np.sqrt(block.sizes[q][:, None] * sizes[None, :]), -np.inf)
+                            top.add(q, score, part["chunk_id"].to_numpy())
+            r, c = np.nonzero(top.scores > -np.inf)
+            yield pd.DataFrame({"query_id": block.ids[r], "chunk_id": top.ids[r, c], "score": top.scores[r, c]})
+
+        one = items.mapInPandas(best, "query_id long, chunk_id long, score double")
+        found = one if found is None else found.unionByName(one)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -108,6 +108,16 @@ def lexical_score(spark, sf):
     return search.lexical(D.questions(spark, sf), D.chunks(spark, sf)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    "SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM ("
+    "SELECT query_id, chunk_id, len(list_intersect(t, c)) / sqrt(len(t) * greatest(1, len(c))) AS score "
+    f"FROM (SELECT query_id, kb_id, {S.terms('question')} AS t FROM ask) JOIN (SELECT chunk_id, kb_id, {S.terms('content')} AS c FROM chunk) USING (kb_id)) WHERE score > 0) WHERE rank <= 20"
+)
+def lexical_topk(spark, sf):
+    """The 20 best chunks of each question, without a row for every pair."""
+    return exhaustive.lexical_topk(D.questions(spark, sf), D.chunks(spark, sf), 20).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 #: The default intents with signals that the invented texts hold.
 INTENTS = tuple((t, tuple((((("tion",), ("heed", "ouan"), ("edan",))), w, c) for _, w, c in parts), first) for t, parts, first in rules.INTENTS)
 
