@@ -298,14 +298,14 @@ class Exhaustive:
         return self._passes(lambda shared: _from_bar(shared, of))
 
 
-def exhaustive_search(questions: DataFrame, items: DataFrame, chunks: DataFrame, top_k: int = 5, expansions=rules.EXPANSIONS, intents=rules.INTENTS, within: int = search.WITHIN) -> DataFrame:
+def exhaustive_search(questions: DataFrame, items: DataFrame, chunks: DataFrame, top_k: int = 5, expansions=rules.EXPANSIONS, intents=rules.INTENTS, within: int = search.WITHIN, further: int = search.FURTHER) -> DataFrame:
     """(query_id, rank, chunk_id, score, semantic, bm25): hybrid search of all chunks that each question may use.
 
     questions as in ``Exhaustive``, items from ``library``, written; chunks(chunk_id, content) gives the texts of those that may be chosen.
     """
     found = Exhaustive(questions, items, expansions, intents)
-    hits = written(found.best(max(within, top_k) + 1))
-    chosen = written(search.diverse(hits, top_k, chunks, deeper=found.pool, within=within))
+    hits = written(found.best(max(within, further, top_k) + 1))
+    chosen = written(search.diverse(hits, top_k, chunks, found.pool, within, further))
     known = hits.select("query_id", "chunk_id", "semantic", "bm25")
     lacking = chosen.join(known, ["query_id", "chunk_id"], "left_anti")
     if lacking.limit(1).count():

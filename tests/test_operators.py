@@ -200,7 +200,7 @@ def test_exhaustive_search_equals_candidates_that_are_all(spark):
     every = shown(exhaustive.exhaustive_search(q.drop("expanded"), exhaustive.library(chunks, documents, items), chunks))
     assert some == every and len(every) == 14
     # with few hits at first, what may be chosen is taken from all chunks
-    assert every == shown(exhaustive.exhaustive_search(q.drop("expanded"), exhaustive.library(chunks, documents, items), chunks, within=5))
+    assert every == shown(exhaustive.exhaustive_search(q.drop("expanded"), exhaustive.library(chunks, documents, items), chunks, within=5, further=5))
     assert exhaustive.exhaustive_search(q.drop("expanded").limit(0), exhaustive.library(chunks, documents, items), chunks).count() == 0
     assert {c // 10 for i, _, c, *_ in every if i == 1} <= {1, 3} and 6 not in {c // 10 for _, _, c, *_ in every}
     assert [c // 10 for i, k, c, *_ in every if i == 0][0] == 4  # the question names it
@@ -291,7 +291,8 @@ def test_pruned_choice_equals_unpruned(spark, monkeypatch):
     want = sorted(x for q in range(20) for x in plain([r for r in rows if r[0] == q]))
     assert pruned == want
     # those whose best few do not settle it take rounds over all hits
-    assert sorted(map(tuple, search.diverse(hits, 5, within=6).collect())) == want
+    assert sorted(map(tuple, search.diverse(hits, 5, within=6, further=6).collect())) == want
+    assert sorted(map(tuple, search.diverse(hits, 5, within=6, further=15).collect())) == want
 
 
 def test_choice_from_a_large_pool_in_many_tasks(spark):
