@@ -54,11 +54,11 @@ def errors_allowed(notice: str) -> int:
     return len(notice) // SIGNS_PER_ERROR
 
 
-@lru_cache(maxsize=1)
-def _compiled():
+@lru_cache(maxsize=8)
+def _compiled(notices: tuple = NOTICES):
     """(label, notice, errors, pieces with their places, fuzzy pattern) of each notice."""
     out = []
-    for label, notice, kept in NOTICES:
+    for label, notice, kept in notices:
         k = errors_allowed(notice)
         cuts = [round(i * len(notice) / (k + 1)) for i in range(k + 2)]
         pieces = [(a, notice[a:b].encode()) for a, b in zip(cuts[:-1], cuts[1:])]
@@ -69,10 +69,10 @@ def _compiled():
     return out
 
 
-@lru_cache(maxsize=1)
-def _seeds():
+@lru_cache(maxsize=8)
+def _seeds(notices: tuple = NOTICES):
     """All pieces, each once."""
-    pieces = sorted({p for *_, ps, _ in _compiled() for _, p in ps}, key=lambda p: (-len(p), p))
+    pieces = sorted({p for *_, ps, _ in _compiled(notices) for _, p in ps}, key=lambda p: (-len(p), p))
     return pieces
 
 
@@ -119,10 +119,10 @@ def _all_matches(fuzzy, k: int, text: str):
             left += [(a, b) for a, b in ((begin, m.start() - 1), (m.end() + 1, end)) if a < b]
 
 
-def fuzzy_places(text: bytes) -> list[tuple[str, int, int, int, int]]:
+def fuzzy_places(text: bytes, notices: tuple = NOTICES) -> list[tuple[str, int, int, int, int]]:
     """(label, begin, end, edits, length of the notice) of notices in normalised text, positions in bytes."""
     seen: dict[bytes, list[int]] = {}
-    for piece in _seeds():
+    for piece in _seeds(notices):
         at, i = [], text.find(piece)
         while i >= 0:
             at.append(i)
@@ -130,7 +130,7 @@ def fuzzy_places(text: bytes) -> list[tuple[str, int, int, int, int]]:
         if at:
             seen[piece] = at
     out = []
-    for label, notice, k, pieces, fuzzy in _compiled():
+    for label, notice, k, pieces, fuzzy in _compiled(notices):
         windows = sorted({max(0, i - a - 4 * k) for a, p in pieces for i in seen.get(p, ())})
         reach = len(notice) + 9 * k  # an edit may be a sign of up to four bytes
         merged: list[list[int]] = []
@@ -158,7 +158,11 @@ _SCHEMA = (
 )
 
 
-def _scan(batches):
+def _scanner(notices: tuple):
+    return lambda batches: _scan(batches, notices)
+
+
+def _scan(batches, notices: tuple):
     for batch in batches:
         for part in slices(batch):
             words = Words(part.column("text"), "alnum")
@@ -172,7 +176,7 @@ def _scan(batches):
                 base[r].append((word - int(bounds[r]), label))
                 score[r] = 1.0
             text, begins = normalised(words)
-            for label, b, e, edits, length in fuzzy_places(text):
+            for label, b, e, edits, length in fuzzy_places(text, notices):
                 first = int(np.searchsorted(begins, b, "right")) - 1
                 last = int(np.searchsorted(begins, e - 1, "right")) - 1
                 r = int(np.searchsorted(bounds, first, "right")) - 1
@@ -198,13 +202,13 @@ def _scan(batches):
             )
 
 
-def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: tuple = NOTICES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches), one row for each row of docs.
 
-    ``matches`` lists label, begin, end (code points of the text), edits and text of
+    ``notices`` has (label, notice, words that must stand unchanged) of what is sought with errors: small letters and digits, words one blank apart. ``matches`` lists label, begin, end (code points of the text), edits and text of
     the notices found within their errors. score: 1 with a base phrase, else the best
     match's 1 - edits / length, else 0. Null and empty texts have no words and no
     labels. Null doc_ids stay null, repeated rows give repeated results, further columns are ignored, an empty
     table gives no rows.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan, _SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scanner(notices), _SCHEMA)

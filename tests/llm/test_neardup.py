@@ -89,3 +89,10 @@ def test_hot_keys_change_nothing(spark, monkeypatch):
     assert len({r[2] for r in want}) < len(want) - 20
     monkeypatch.setattr(neardup, "HOT", 2)
     assert shown() == want
+
+
+def test_very_long_texts_of_unlike_words(spark):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(1, long), (2, long + " and a few more words at its end"), (3, " ".join(f"v{i}" for i in range(120_000))), (4, "x" * 500_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (119_996, 1), 2: (120_004, 1), 3: (119_996, 3), 4: (1, 4)}

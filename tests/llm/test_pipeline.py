@@ -43,3 +43,17 @@ def test_stages_keep_the_columns(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == corpus_pipeline.COLUMNS
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_stages_take_odd_rows(spark, sf_dir):
+    """Null and repeated ids, null, empty and very long texts, and further columns with names of the operators' own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    first = docs.first()
+    odd = [(None, first.text, "en", "s", 1), (None, None, None, None, None), (first.doc_id, first.text, "en", "s", 1), (90001, "", "en", "s", 0), (90002, " ".join(f"u{i}" for i in range(50_000)), "en", "s", 9)]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    for name in ("score", "entities", "item_ids", "cls", "uid", "redrawn", "kept"):
+        rows = rows.selectExpr("*", f"'x' as {name}")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, sf_dir).collect()
+        assert 0 < len(out) <= rows.count(), name
+        assert all(len(r) for r in out)

@@ -137,3 +137,41 @@ def test_contamination_with_null_and_repeated_ids(spark):
     for exact in (True, False):
         found = decontaminate.contamination(docs, benchmark, exact=exact).collect()
         assert sorted((r.doc_id or 0, r.item_ids) for r in found) == [(0, []), (0, [7]), (1, []), (1, [7]), (1, [7]), (2, [7])]
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_notices_equal_brute_force(spark):
+    """Each text holds a notice where, by edit distance over all its word windows, some window is near enough; own notices are a parameter."""
+    rnd = random.Random(17)
+    notices = (("free", "released into the public domain", ()), ("eclipse", "eclipse public license", ()), ("own", "all rights reserved by nobody at all", ()))
+    texts = []
+    for _ in range(250):
+        w = list(rnd.choice(notices)[1])
+        for _ in range(rnd.randint(0, 6)):
+            i = rnd.randrange(len(w))
+            w[i : i + rnd.choice([0, 1])] = rnd.choice(["x", "ab", "", "q"])
+        pad = lambda: " ".join(rnd.choice(["public", "the", "zu", "licence", "domain", "k9"]) for _ in range(rnd.randint(0, 3)))
+        texts.append(" ".join(f"{pad()} {''.join(w)} {pad()}".split()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.matches for r in licenses.licenses(docs, notices=notices).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        w = words(text)
+        for label, notice, _ in notices:
+            k, size = licenses.errors_allowed(notice), len(notice.split())
+            near = [_edits(notice, " ".join(w[a:b])) for a in range(len(w)) for b in range(a + 1, min(len(w), a + size + k + 1) + 1)]
+            least = min(near, default=99)
+            own = [m.edits for m in got[i] if m.label == label]
+            found += least <= k
+            assert (min(own) == least) if least <= k else not own, (text, label, least, own)
+    assert found > 100 and licenses.licenses(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(60_000)) + " under the mti license")], "doc_id long, text string")
+    assert licenses.licenses(odd).first().n_words == 60_004
