@@ -182,14 +182,14 @@ def reference_penalty(content, page, phrases=rules.BIBLIOGRAPHY) -> Column:
     )
 
 
-def _reduced(c: Column) -> Column:
+def reduced(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^a-z0-9一-鿿]", "")
 
 
 def filename_bonus(query, name, bonus: float = 0.35) -> Column:
     """A bonus if the question holds the document's name."""
-    stem = _reduced(F.regexp_replace(col(name), r"(?s)\.[^.]*$", ""))
-    return F.when((F.length(stem) >= 3) & F.contains(_reduced(col(query)), stem), F.lit(bonus)).otherwise(F.lit(0.0))
+    stem = reduced(F.regexp_replace(col(name), r"(?s)\.[^.]*$", ""))
+    return F.when((F.length(stem) >= 3) & F.contains(reduced(col(query)), stem), F.lit(bonus)).otherwise(F.lit(0.0))
 
 
 def is_display_noise(c) -> Column:

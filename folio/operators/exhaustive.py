@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import any_of, expand_query, terms, tokens
-from ..functions.text import _reduced as reduced
+from ..functions.text import any_of, expand_query, reduced, terms, tokens
 from ..sources.store import written
 from . import search
 
