@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 from . import rules
 
-#: White space as Unicode has it, for Java's regular expressions.
-WS = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ((0x9, 0xD), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))) + "]"
+_BLANKS = ((0x9, 0xD), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+
+
+def _signs(ranges) -> str:
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+#: White space as Unicode and Python have it, for Java's regular expressions; the same without the blank, and its signs.
+WS = _signs(_BLANKS)
+WS_OTHER = _signs(((0x1C, 0x1F) if r == (0x1C, 0x20) else r for r in _BLANKS))
+WS_SIGNS = "".join(chr(x) for a, b in _BLANKS for x in range(a, b + 1))
 CJK = r"[一-鿿]"
 SENTENCE_SPLIT = rf"(?<=[.!?。！？]){WS}+"
 
@@ -19,20 +28,22 @@ def col(c) -> Column:
 
 def strip(c) -> Column:
     """The text without white space at both ends."""
-    return F.regexp_replace(col(c), rf"^{WS}+|{WS}+$", "")
+    return F.btrim(col(c), F.lit(WS_SIGNS))
 
 
 def squeezed(c) -> Column:
     """White space collapsed to single blanks, none at the ends."""
-    return F.trim(F.regexp_replace(col(c), f"{WS}+", " "))
+    # single blanks, most of what there is, stay without a match
+    return F.trim(F.regexp_replace(col(c), f"{WS}{{2,}}|{WS_OTHER}", " "))
 
 
 def clean_text(c) -> Column:
     """NULs to blanks, hyphenated line ends joined, a blank between ) and a digit, blanks and empty lines collapsed."""
     c = F.replace(col(c), F.lit("\x00"), F.lit(" "))
-    c = F.regexp_replace(c, rf"(?<=[A-Za-z])-{WS}*\n{WS}*(?=[a-z])", "")
-    c = F.regexp_replace(c, r"(?<=\))(?=\p{Nd})", " ")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
+    # each pattern begins with a rare sign, and single blanks are no match
+    c = F.regexp_replace(c, rf"-(?<=[A-Za-z]-){WS}*\n{WS}*(?=[a-z])", "")
+    c = F.regexp_replace(c, r"\)(?=\p{Nd})", ") ")
+    c = F.regexp_replace(c, r"[ \t]{2,}|\t", " ")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
@@ -202,8 +213,9 @@ def _noise(c: Column) -> Column:
     signs = F.regexp_count(c, F.lit("[∑∫√≈≠≤≥±×÷∞∂∇∈∉∪∩→←↔σλμθφψΩ]"))
     numbers = F.regexp_count(c, F.lit(word_boundary(r"\p{Nd}+(?:\.\p{Nd}+)?") + "%?"))
     marks = F.regexp_count(c, F.lit(r"[^\p{L}\p{M}\p{N}_\s]"))
-    dense = (marks / F.greatest(F.lit(1), F.length(c)) > 0.24) & (numbers >= 2)
-    return (F.length(c) >= 8) & ((signs >= 2) | (numbers >= 5) | dense)
+    dense = (numbers >= 2) & (marks / F.greatest(F.lit(1), F.length(c)) > 0.24)
+    # numbers are counted only where there is a digit
+    return (F.length(c) >= 8) & ((signs >= 2) | (c.rlike(r"\p{Nd}") & ((numbers >= 5) | dense)))
 
 
 def _nonempty(sentences: Column) -> Column:

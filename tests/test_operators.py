@@ -434,3 +434,16 @@ def test_repair_fused_with_all_words(spark):
     total = sum(counts.values())
     costs = {w: math.log(total / n) for w, n in counts.items()}
     assert sorted((r.i, r.text or "") for r in got) == [(1, f"a {split} b {split}"), (2, f"{split} é"), (2, f"{split} é"), (3, "short"), (4, ""), (5, "v" * 20 + "9"), (6, " ".join(chunking.best_split("u" * 20, costs)))]
+
+
+def test_units_and_titles_of_the_packer_are_those_of_the_column_functions(spark):
+    texts = [
+        "1. Über uns\nEINS ZWEI. drei!\u2003vier。五  x", "ǅ A\n# \nª B\nⅣ IV\nÉTÉ\nÉTé", "x" * 25 + " " + "y" * 9 + " z", "a b" * 40, "第三章 x\n٣.١ abc\n12\x85Z", "", " \n\n",
+        "A " * 60, "#" * 7 + " a\n###\u00a0b", "TOO MANY WORDS IN ONE LINE OF CAPITALS TO BE A TITLE X Y", "q" * 101 + "\n" + "Q" * 101,
+    ]
+    for size in (1, 10, 900):
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", T.split_units("t", size).alias("u"))
+        rows = rows.select("i", "t", "u", F.transform("u", lambda u: F.when(T.is_heading(u), T.heading_title(u))).alias("h")).collect()
+        for r in rows:
+            assert chunking._units(r.t, size) == r.u
+            assert [chunking._title(u) for u in r.u] == r.h
