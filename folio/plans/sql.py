@@ -14,6 +14,17 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+#: Letters whose capital form is more than one sign, as Unicode's special casing has it (ß: SS); DuckDB's upper maps sign by sign.
+_CAPITALS = {c: c.upper() for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if len(c.upper()) > 1}
+
+
+def upper(x: str) -> str:
+    """Spark's upper: the full capital forms."""
+    known = ", ".join(q(c) for c in _CAPITALS)
+    forms = ", ".join(q(c) for c in _CAPITALS.values())
+    return f"array_to_string(list_transform(string_split({x}, ''), lambda c: coalesce(list_extract([{forms}], list_position([{known}], c)), upper(c))), '')"
+
+
 def strip(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 

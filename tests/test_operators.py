@@ -447,3 +447,16 @@ def test_units_and_titles_of_the_packer_are_those_of_the_column_functions(spark)
         for r in rows:
             assert chunking._units(r.t, size) == r.u
             assert [chunking._title(u) for u in r.u] == r.h
+
+
+def test_upper_of_the_sql_has_full_capital_forms(spark):
+    import duckdb
+
+    from folio.plans import sql as S
+
+    texts = ["Maß und Straße", "ŉ ǰ ΐ և ẖ ﬁ ﬄ ᾳ ῷ", "", "it's é ǆ ǅ ς", "a\u0308", "Ärger"]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE x (t VARCHAR)")
+    db.executemany("INSERT INTO x VALUES (?)", [[t] for t in texts])
+    got = db.execute(f"SELECT {S.upper('t')} FROM x").fetchall()
+    assert [r[0] for r in got] == values(spark, texts, F.upper("t"))
