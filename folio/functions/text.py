@@ -203,19 +203,28 @@ def filename_bonus(query, name, bonus: float = 0.35) -> Column:
     return F.when((F.length(stem) >= 3) & F.contains(reduced(col(query)), stem), F.lit(bonus)).otherwise(F.lit(0.0))
 
 
+def _once(value: Column, make) -> Column:
+    """make(value), the value worked out once for each row however often ``make`` takes it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def is_display_noise(c) -> Column:
     """Rows of numbers, formulas and signs that readers need not see."""
-    return _noise(squeezed(c))
+    return _once(squeezed(c), _noise)
+
+
+_FORMULA = "∑∫√≈≠≤≥±×÷∞∂∇∈∉∪∩→←↔σλμθφψΩ"
+#: What any noise has: a digit or a formula's sign.
+_SUSPECT = rf"[\p{{Nd}}{_FORMULA}]"
 
 
 def _noise(c: Column) -> Column:
     """is_display_noise of a text whose white space is collapsed."""
-    signs = F.regexp_count(c, F.lit("[∑∫√≈≠≤≥±×÷∞∂∇∈∉∪∩→←↔σλμθφψΩ]"))
+    signs = F.regexp_count(c, F.lit(f"[{_FORMULA}]"))
     numbers = F.regexp_count(c, F.lit(word_boundary(r"\p{Nd}+(?:\.\p{Nd}+)?") + "%?"))
     marks = F.regexp_count(c, F.lit(r"[^\p{L}\p{M}\p{N}_\s]"))
-    dense = (numbers >= 2) & (marks / F.greatest(F.lit(1), F.length(c)) > 0.24)
-    # numbers are counted only where there is a digit
-    return (F.length(c) >= 8) & ((signs >= 2) | (c.rlike(r"\p{Nd}") & ((numbers >= 5) | dense)))
+    dense = (marks / F.greatest(F.lit(1), F.length(c)) > 0.24) & (numbers >= 2)
+    return (F.length(c) >= 8) & c.rlike(_SUSPECT) & ((numbers >= 5) | (signs >= 2) | dense)
 
 
 def _nonempty(sentences: Column) -> Column:
@@ -224,8 +233,13 @@ def _nonempty(sentences: Column) -> Column:
 
 def clean_display_text(c, fallback: str = rules.NOISE_FALLBACK) -> Column:
     """The sentences that are not noise, one blank apart; the fallback if none is left."""
-    kept = F.filter(_nonempty(F.split(squeezed(c), SENTENCE_SPLIT)), lambda s: ~_noise(s))
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(F.lit(fallback))
+
+    def shown(flat: Column) -> Column:
+        kept = F.array_join(F.filter(_nonempty(F.split(flat, SENTENCE_SPLIT)), lambda s: ~_noise(s)), " ")
+        # a text without digits and formulas has no noise: its sentences, one blank apart, are the text
+        return F.when(flat.rlike(_SUSPECT), kept).otherwise(flat)
+
+    return _once(_once(squeezed(c), shown), lambda s: F.when(s != "", s).otherwise(F.lit(fallback)))
 
 
 def workspace_sentences(c) -> Column:
@@ -245,5 +259,6 @@ def excerpt_sentences(c) -> Column:
 
 def reader_sentences(c) -> Column:
     """Runs that end in sentence enders, as the reader shows them."""
-    runs = F.regexp_extract_all(squeezed(c), F.lit("([^.!?。！？]+[.!?。！？]+|[^.!?。！？]+$)"), 1)
+    # cut where an ender meets another sign; only the first part can have enders alone
+    runs = F.filter(F.split(squeezed(c), r"(?<=[.!?。！？])(?![.!?。！？])"), lambda s: ~s.rlike("^[.!?。！？]"))
     return F.filter(F.transform(runs, strip), lambda s: F.length(s) > 1)

@@ -460,3 +460,29 @@ def test_upper_of_the_sql_has_full_capital_forms(spark):
     db.executemany("INSERT INTO x VALUES (?)", [[t] for t in texts])
     got = db.execute(f"SELECT {S.upper('t')} FROM x").fetchall()
     assert [r[0] for r in got] == values(spark, texts, F.upper("t"))
+
+
+def test_shown_texts_and_reader_sentences_by_plain_models(spark):
+    import re
+
+    rnd, signs = random.Random(5), "aB1 .!?。2∑≤-(\u2003\n9é"
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 60))) for _ in range(400)] + ["... a. b", "?!", "", "no digits here. Two.", "12 3 4 5 6 7"]
+
+    def noise(s):
+        number = len(re.findall(r"(?<!\w)\d+(?:\.\d+)?(?!\w)%?", s))
+        return len(s) >= 8 and (sum(c in T._FORMULA for c in s) >= 2 or number >= 5 or (len(re.findall(r"[^\w\s]|_", s.replace("_", ""))) / len(s) > 0.24 and number >= 2))
+
+    def shown(t):
+        kept = [s for s in re.split(r"(?<=[.!?。！？])\s+", " ".join(t.split())) if s and not noise(s)]
+        return " ".join(kept) or rules.NOISE_FALLBACK
+
+    def sentences(t):
+        return [s.strip() for s in re.findall(r"[^.!?。！？]+[.!?。！？]+|[^.!?。！？]+$", " ".join(t.split())) if len(s.strip()) > 1]
+
+    got = values(spark, texts, T.clean_display_text("t"), T.is_display_noise("t"), T.reader_sentences("t"))
+    assert got == [(shown(t), noise(" ".join(t.split())), sentences(t)) for t in texts]
+
+
+def test_a_sentence_is_squeezed_once_for_its_noise(spark):
+    plan = spark.range(1).select(T.is_display_noise(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
