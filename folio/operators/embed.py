@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..sources.store import exists
 
@@ -49,25 +49,64 @@ def _placed(features: list[str], dims: int, digest: str) -> np.ndarray:
     return (raw[:, :4].copy().view(">u4").ravel().astype(np.int64) % dims) + (raw[:, 4] % 2).astype(np.int64) * dims
 
 
-def hash_vectors(texts: list[str], dims: int = DIMS, digest: str = "blake2b") -> list[np.ndarray]:
-    """Unit vectors of hashed features: word runs and all runs of three signs. Each different feature of these texts is hashed once."""
+#: Where runs of three signs below 256 and words count, plus 1, as this process has hashed them; by dims and digest.
+_grams: dict[tuple, np.ndarray] = {}
+_words: dict[tuple, dict[str, int]] = {}
+#: Words that a process remembers at most.
+WORDS = 1 << 18
+
+
+def _gram_places(points: np.ndarray, at: np.ndarray, dims: int, digest: str) -> np.ndarray:
+    """``_placed`` of the runs of three signs that begin at ``at``; runs of signs below 256 are hashed once in a process, then looked up."""
+    table = _grams.setdefault((dims, digest), np.zeros(1 << 24, np.int32))
+    low = points < 256
+    small = np.where(low, points, 0).astype(np.int32)
+    number = (small[:-2] << 16 | small[1:-1] << 8 | small[2:])[at]
+    low = (low[:-2] & low[1:-1] & low[2:])[at]
+    new = np.unique(number[(table[number] == 0) & low])
+    if len(new):
+        table[new] = _placed([chr(x >> 16) + chr(x >> 8 & 255) + chr(x & 255) for x in new.tolist()], dims, digest) + 1
+    out = table[number] - 1
+    if not low.all():
+        # as numbers of 63 bits
+        p, others = points.astype(np.uint64), at[~low]
+        different, back = np.unique(p[others] << np.uint64(42) | p[others + 1] << np.uint64(21) | p[others + 2], return_inverse=True)
+        out[~low] = _placed(["".join(map(chr, (x >> 42, x >> 21 & 0x1FFFFF, x & 0x1FFFFF))) for x in different.tolist()], dims, digest)[back.ravel()]
+    return out
+
+
+def _word_places(words: list[list[str]], dims: int, digest: str) -> np.ndarray:
+    known = _words.setdefault((dims, digest), {})
+    if len(known) > WORDS:
+        known.clear()
+    new = list({w for of in words for w in of} - known.keys())
+    if new:
+        known.update(zip(new, _placed(new, dims, digest).tolist()))
+    return np.array([known[w] for of in words for w in of], np.int64)
+
+
+def hash_vectors(texts: list[str], dims: int = DIMS, digest: str = "blake2b", unit: bool = True) -> np.ndarray:
+    """Unit vectors, one a row, of hashed features: word runs and all runs of three signs; whole numbers before they are scaled if not ``unit``."""
     low = [t.lower() for t in texts]
-    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for t in low]
-    # a run of three signs as one number of 63 bits
-    grams = [(p[:-2] << np.uint64(42)) | (p[1:-1] << np.uint64(21)) | p[2:] if len(p) > 2 else p[:0] for p in points]
-    different, gram = np.unique(np.concatenate(grams) if grams else np.zeros(0, np.uint64), return_inverse=True)
-    spelled = ["".join(map(chr, (x >> 42, x >> 21 & 0x1FFFFF, x & 0x1FFFFF))) for x in different.tolist()]
-    numbers: dict[str, int] = {}
-    words = [[numbers.setdefault(w, len(numbers)) for w in re.findall(r"\w+", t)] for t in low]
-    of_gram, of_word = (_placed(x, dims, digest) if x else np.zeros(0, np.int64) for x in (spelled, list(numbers)))
-    rows = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
-    counts = np.bincount(rows * (2 * dims) + of_gram[gram.ravel()], minlength=2 * dims * len(texts))
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner, size = np.repeat(np.arange(len(low)), [len(t) for t in low]), 2 * dims * len(texts)
+    counts = np.zeros(size, np.int64)
+    if len(points) > 2:
+        at = np.flatnonzero(owner[2:] == owner[:-2])
+        counts += np.bincount(owner[at] * (2 * dims) + _gram_places(points, at, dims, digest), minlength=size)
+    words = [re.findall(r"\w+", t) for t in low]
     rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-    counts += np.bincount(rows * (2 * dims) + of_word[np.array([i for w in words for i in w], np.int64)], minlength=2 * dims * len(texts))
+    counts += np.bincount(rows * (2 * dims) + _word_places(words, dims, digest), minlength=size)
     counts = counts.reshape(len(texts), 2 * dims)
-    out = (counts[:, :dims] - counts[:, dims:]).astype(np.float64)
+    out = counts[:, :dims] - counts[:, dims:]
+    return scaled_to_unit(out) if unit else out.astype(np.int32)
+
+
+def scaled_to_unit(counts: np.ndarray) -> np.ndarray:
+    """Rows at length 1; rows of zeros stay."""
+    out = counts.astype(np.float64)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return list(np.divide(out, norm, out=out, where=norm > 0))
+    return np.divide(out, norm, out=out, where=norm > 0)
 
 
 def hash_vector(text: str, dims: int = DIMS, digest: str = "blake2b") -> np.ndarray:
@@ -75,7 +114,7 @@ def hash_vector(text: str, dims: int = DIMS, digest: str = "blake2b") -> np.ndar
     return hash_vectors([text], dims, digest)[0]
 
 
-Encoder = Callable[[list[str]], list]
+Encoder = Callable[[list[str]], list | np.ndarray]
 
 
 def encode_batches(texts: DataFrame, text: str, make: Callable[[], Encoder], dims: int, prefix: str = "", batch: int = BATCH, name: str = "embedding") -> DataFrame:
@@ -106,6 +145,19 @@ def hash_embed(texts: DataFrame, text: str, dims: int = DIMS, name: str = "embed
     return encode_batches(texts, text, lambda: lambda batch: hash_vectors(batch, dims, digest), dims, prefix, batch=1024, name=name)
 
 
+def hash_counts(texts: DataFrame, text: str, dims: int = DIMS, name: str = "embedding", digest: str = "blake2b") -> DataFrame:
+    """texts with hashing vectors as whole numbers, which take a fraction of the room; ``scaled_to_unit`` makes the vectors of ``hash_embed``. Null texts have null."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for a in range(0, len(pdf), 1024):
+                part = pdf.iloc[a : a + 1024]
+                counts = hash_vectors([t if t is not None else "" for t in part[text]], dims, digest, unit=False)
+                yield part.assign(**{name: [c if t is not None else None for c, t in zip(counts, part[text])]})
+
+    return texts.mapInPandas(run, StructType([*texts.schema.fields, StructField(name, ArrayType(IntegerType()))]))
+
+
 def stored_vectors(texts: DataFrame, text: str, path: str, model: str, make: Callable[[], Encoder], dims: int, prefix: str = "", batch: int = BATCH, name: str = "embedding") -> DataFrame:
     """texts with vectors from a table at ``path``, to which those of new texts are added first: no text is encoded twice by a model with a prefix.
 

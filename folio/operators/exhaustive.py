@@ -18,6 +18,7 @@ from ..functions import rules
 from ..functions.text import any_of, expand_query, reduced, terms, tokens
 from ..sources.store import written
 from . import search
+from .embed import scaled_to_unit
 
 #: Chunks and questions that meet in one matrix.
 ROWS, QUESTIONS = 1024, 512
@@ -28,16 +29,19 @@ def hashed_tokens(c) -> Column:
     return F.transform(tokens(c), lambda t: F.xxhash64(t))
 
 
-def library(chunks: DataFrame, documents: DataFrame, vectors: DataFrame, intents=rules.INTENTS) -> DataFrame:
+def library(chunks: DataFrame, documents: DataFrame, vectors: DataFrame | None = None, intents=rules.INTENTS) -> DataFrame:
     """What scores take from the chunks of ready documents, without their texts: ids, place, name, tokens, penalty, bonuses and vector.
 
     chunks(chunk_id, doc_id, page_number, chunk_index, section_path, content), documents(doc_id, kb_id, document_name, status),
-    vectors(chunk_id, embedding). Chunks without a vector have likeness 0.
+    vectors(chunk_id, embedding); without ``vectors``, chunks has ``embedding`` itself, and no vector moves. Chunks without a vector have likeness 0;
+    vectors of whole numbers (``embed.hash_counts``) are scaled to length 1 where they are compared.
     """
     ready = documents.where("status = 'ready'").select("doc_id", "kb_id", "document_name")
     numbers = search.chunk_features(chunks.drop("kb_id", "document_name").withColumn("tokens", hashed_tokens(search.searched())), intents)
     stem = reduced(F.regexp_replace("document_name", r"(?s)\.[^.]*$", ""))
-    return numbers.join(vectors.select("chunk_id", "embedding"), "chunk_id", "left").join(ready, "doc_id").withColumn("stem", stem)
+    if vectors is not None:
+        numbers = numbers.join(vectors.select("chunk_id", "embedding"), "chunk_id", "left")
+    return numbers.join(ready, "doc_id").withColumn("stem", stem)
 
 
 def _postings(block, q: np.ndarray, lists: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -102,6 +106,8 @@ class _Meeting:
         held = part["embedding"].to_numpy()
         width = block.vectors.shape[1]
         x = np.array([v if v is not None else np.zeros(width) for v in held], np.float64)
+        if any(v is not None and v.dtype.kind == "i" for v in held):
+            x = scaled_to_unit(x)
         self.semantic = np.maximum(block.vectors[q] @ x.T, 0.0)
         self.allowed = np.ones(self.semantic.shape, bool)
         docs = part["doc_id"].to_numpy()

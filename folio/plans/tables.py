@@ -112,15 +112,10 @@ def vector_store(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/folio-vectors-{spark.sparkContext.applicationId}"
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chunk_id, doc_id, kb_id, embedding) of the chunks of ready documents."""
-
-    def make():
-        ready = documents(spark, sf_dir).where("status = 'ready'").select("doc_id")
-        some = chunks(spark, sf_dir).join(ready, "doc_id", "left_semi").select("chunk_id", "doc_id", "kb_id", "content")
-        return embed.stored_hash_embed(some, "content", vector_store(spark), digest="md5").drop("content")
-
-    return stored(spark, sf_dir, "vectors", make)
+def ready_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, doc_id, kb_id, content) of the chunks of ready documents."""
+    ready = documents(spark, sf_dir).where("status = 'ready'").select("doc_id")
+    return chunks(spark, sf_dir).join(ready, "doc_id", "left_semi").select("chunk_id", "doc_id", "kb_id", "content")
 
 
 def embedded(asked: DataFrame) -> DataFrame:
@@ -129,8 +124,9 @@ def embedded(asked: DataFrame) -> DataFrame:
 
 
 def near(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, semantic): the k nearest chunks that each question may use."""
-    found = search.vector_topk(embedded(asked), vectors(spark, sf_dir), k, item_id="chunk_id", scope="kb_id", doc_ids="doc_ids", least=0.0)
+    """(query_id, chunk_id, semantic): the k nearest chunks that each question may use; their vectors are made in the tasks."""
+    encode = lambda texts: embed.hash_vectors(texts, digest="md5")
+    found = search.vector_topk(embedded(asked), ready_chunks(spark, sf_dir), k, item_id="chunk_id", scope="kb_id", doc_ids="doc_ids", least=0.0, text="content", encode=encode)
     return found.select("query_id", F.col("item_id").alias("chunk_id"), F.col("score").alias("semantic"))
 
 
