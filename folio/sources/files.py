@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from urllib.parse import urlparse
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import exists
+
 #: The columns of Spark's binary files, for streams.
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -20,14 +28,60 @@ def read_files(spark: SparkSession, path: str, names: str | None = None) -> Data
     return reader.load(path).select(F.col("path").alias("file_name"), "content")
 
 
+def _task_writer(folder: str, key: str):
+    """Writes a task's files into a hidden folder that gets its name when all are there; of two attempts of a task one counts."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        at = os.path.join(folder, f"_part-{task.partitionId()}-{task.taskAttemptId()}")
+        done, last, f, n = os.path.join(folder, f"part={task.partitionId()}"), None, None, 0
+        try:
+            for batch in batches:
+                for name, text in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist()):
+                    if f is None or name != last:
+                        if f is not None:
+                            f.close()
+                        else:
+                            os.makedirs(at, exist_ok=True)
+                        last, f, n = name, open(os.path.join(at, f"{key}={name}.txt"), "wb"), n + 1
+                    f.write(text + b"\n")
+        finally:
+            if f is not None:
+                f.close()
+        if n:
+            try:
+                os.rename(at, done)
+            except OSError:
+                if not os.path.isdir(done):
+                    raise
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return write
+
+
 def write_files(texts: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Write each text as a file of its own, below a folder ``key=value``, with a line end after it; bytes that are not valid UTF-8 stay as they are."""
-    texts.select(key, F.coalesce(text, F.lit("")).alias("value")).sortWithinPartitions(key).write.partitionBy(key).text(path)
+    """Write each text as a file of its own with its key in the path, with a line end after it; bytes that are not valid UTF-8 stay as they are.
+
+    On a mounted file system, which all executors share, a task writes ``part=n/key=value.txt`` itself: Spark's writer starts processes and makes a folder for each
+    file there. Elsewhere Spark writes ``key=value/part-n.txt``. Repeated keys of a task are lines of one file. What exists is not written over.
+    """
+    spark, value = texts.sparkSession, F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    parsed = urlparse(path)
+    if parsed.scheme not in ("", "file"):
+        texts.select(key, value.cast("string").alias("value")).sortWithinPartitions(key).write.partitionBy(key).text(path)
+        return
+    if exists(spark, path):
+        raise FileExistsError(path)
+    folder = parsed.path if parsed.scheme else path
+    os.makedirs(folder)
+    name = F.coalesce(F.url_encode(F.col(key).cast("string")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    named = texts.select(name.alias("name"), value.alias("value")).sortWithinPartitions("name")
+    named.mapInArrow(_task_writer(folder, key), "n long").agg(F.sum("n")).collect()
 
 
 def key_of(file_name: str = "file_name", key: str = "doc_id"):
     """The key that ``write_files`` put into a file's path."""
-    return F.regexp_extract(file_name, f"/{key}=([^/]*)/", 1)
+    return F.regexp_extract(file_name, rf"/{key}=([^/]*?)(?:/|\.[^./]*$)", 1)
 
 
 def decoded(content):

@@ -100,3 +100,19 @@ def test_stale_and_unknown_labels(spark):
     # what one kb has lost was never a label of the other
     assert sorted(map(tuple, found.collect())) == [(1, 6, "stale"), (1, 9, "unknown"), (2, 6, "unknown")]
     assert clean.where("question_id = 1").first().relevant_chunk_ids == [5, 6, 9]
+
+
+def test_many_files_take_few_folders(spark, tmp_path):
+    df = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).repartition(3)
+    at = f"file://{tmp_path}/files"
+    files.write_files(df.unionByName(df.where("doc_id = 5")), at)
+    folders = [p for p in (tmp_path / "files").rglob("*") if p.is_dir()]
+    assert len(folders) <= 6 and not any(p.name.startswith("_") for p in folders)
+    found = files.read_files(spark, at, "*.txt").select(files.key_of().cast("long").alias("doc_id"), files.decoded("content").alias("text"))
+    assert sorted(map(tuple, found.collect())) == sorted([(i, f"text {i}\n") for i in range(600)] + [(5, "text 5\n")])
+    with pytest.raises(FileExistsError):
+        files.write_files(df, at)
+    keys = spark.createDataFrame([("a.b", "x"), ("c", "y"), ("c", "z"), (None, "n")], "doc_id string, text string").coalesce(1)
+    files.write_files(keys, f"file://{tmp_path}/keys")
+    found = files.read_files(spark, f"file://{tmp_path}/keys").select(files.key_of(), files.decoded("content"))
+    assert sorted(map(tuple, found.collect())) == [("__HIVE_DEFAULT_PARTITION__", "n\n"), ("a.b", "x\n"), ("c", "y\nz\n")]
