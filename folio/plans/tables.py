@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import expand_query
 from ..operators import embed, index, search
 from ..operators.chunking import chunk_pages, word_counts
-from ..sources.store import shared_dir, spread, written
+from ..sources.store import parts_to_deal, shared_dir, written
 
 #: Questions take one of these words by item_id, so that every intent occurs.
 QUESTION_WORDS = ("数据集 ", "局限 ", "贡献 ", "模型架构 ", "", "结果 ")
@@ -22,11 +22,11 @@ LANGS = ("en", "fr", "de", "es")
 _stored: dict[tuple, DataFrame] = {}
 
 
-def _state(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+def _state(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("documents", "benchmark")) -> tuple[str, str]:
     """A folder and the names, sizes and times of the files that derived tables come from: tables written anew are another input."""
     jvm = spark._jvm
     out = []
-    for name in ("documents", "benchmark"):
+    for name in names:
         path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         for f in fs.listStatus(path):
@@ -39,15 +39,24 @@ def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataF
     key = (spark.sparkContext.applicationId, *_state(spark, sf_dir), name)
     if key not in _stored:
         found = written(make())
-        few = found.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
-        _stored[key] = written(spread(found)) if few else found
+        n = parts_to_deal(found)
+        _stored[key] = written(found.repartition(n)) if n else found
     return _stored[key]
 
 
+#: Partitions that given tables are dealt to, as found once for an application and input.
+_parts: dict[tuple, int] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one of fewer splits than cores is dealt out, as the work on its rows is much more than their reading."""
+    """A given table; one whose rows lie in a few splits is dealt out, as the work on its rows is much more than their reading."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in ("documents", "conversations") else df
+    if name not in ("documents", "conversations"):
+        return df
+    key = (spark.sparkContext.applicationId, *_state(spark, sf_dir, (name,)), name)
+    if key not in _parts:
+        _parts[key] = parts_to_deal(df)
+    return df.repartition(_parts[key]) if _parts[key] else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.operators import evaluate, ingest
-from folio.sources import files
+from folio.sources import files, store
 from folio.streaming import jobs
 
 
@@ -116,3 +116,24 @@ def test_many_files_take_few_folders(spark, tmp_path):
     files.write_files(keys, f"file://{tmp_path}/keys")
     found = files.read_files(spark, f"file://{tmp_path}/keys").select(files.key_of(), files.decoded("content"))
     assert sorted(map(tuple, found.collect())) == [("__HIVE_DEFAULT_PARTITION__", "n\n"), ("a.b", "x\n"), ("c", "y\nz\n")]
+
+
+def test_one_row_group_is_dealt_out(spark, tmp_path):
+    path = f"file://{tmp_path}/one"
+    spark.range(0, 40000, 1, 1).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(path)
+    shares = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = spark.read.parquet(path)
+        # many splits, of which one has all rows
+        assert df.rdd.getNumPartitions() > 8 and shares(df) == [40000]
+        dealt = shares(store.spread(df))
+        assert len(dealt) >= 4 and max(dealt) * 4 <= 2 * 40000 and sum(dealt) == 40000
+        # rows that lie well stay
+        dealt = store.written(df.repartition(16))
+        assert store.parts_to_deal(dealt) == 0 and store.spread(dealt) is dealt
+        assert shares(store.spread(dealt.where("doc_id < 0"))) == []
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
