@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,6 +126,18 @@ def tokens(c) -> Column:
     return F.concat(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9][a-z0-9_+.-]*)"), 1), _cjk_pairs(c, 1))
 
 
+_LATIN, _CJK_RUN = re.compile("[a-z0-9][a-z0-9_+.-]*"), re.compile(f"{CJK}+")
+
+
+def tokens_of(text: str | None) -> list[str]:
+    """``tokens`` of one text."""
+    out = _LATIN.findall(text.lower()) if text else []
+    if text and not text.isascii():
+        for run in _CJK_RUN.findall(text):
+            out += [run[i : i + 2] for i in range(max(1, len(run) - 1))]
+    return out
+
+
 def lexical_score(query, content) -> Column:
     """Set cosine of the terms of a query and a content."""
     q, c = terms(query), terms(content)
