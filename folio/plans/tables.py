@@ -122,9 +122,10 @@ def vector_store(spark: SparkSession) -> str:
 
 
 def ready_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chunk_id, doc_id, kb_id, content) of the chunks of ready documents."""
+    """(chunk_id, doc_id, kb_id, content) of the chunks of ready documents, dealt evenly to four tasks a core: splits of stored files differ in size, and vectors are made of all texts."""
     ready = documents(spark, sf_dir).where("status = 'ready'").select("doc_id")
-    return chunks(spark, sf_dir).join(ready, "doc_id", "left_semi").select("chunk_id", "doc_id", "kb_id", "content")
+    dealt = chunks(spark, sf_dir).select("chunk_id", "doc_id", "kb_id", "content").repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")
+    return dealt.join(ready, "doc_id", "left_semi").select("chunk_id", "doc_id", "kb_id", "content")
 
 
 def embedded(asked: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.operators import evaluate, ingest
+from folio.plans import tables
 from folio.sources import files, store
 from folio.streaming import jobs
 
@@ -137,3 +138,13 @@ def test_one_row_group_is_dealt_out(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_texts_for_vectors_are_dealt_evenly(spark, monkeypatch):
+    # stored in splits of very different sizes
+    rows = spark.range(0, 4000, 1, 1).union(spark.range(4000, 4100, 1, 1))
+    stored = rows.select((F.col("id") * 10).alias("chunk_id"), F.col("id").alias("doc_id"), F.lit("en").alias("kb_id"), F.lit("text").alias("content"))
+    monkeypatch.setattr(tables, "chunks", lambda *_: stored)
+    monkeypatch.setattr(tables, "documents", lambda *_: rows.select(F.col("id").alias("doc_id"), F.when(F.col("id") % 17 == 0, "failed").otherwise("ready").alias("status")))
+    found = [r["count"] for r in tables.ready_chunks(spark, "").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(found) == 4100 - 242 and len(found) >= 12 and max(found) * 4 <= 2 * sum(found)
