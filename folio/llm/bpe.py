@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import small_batches, written
-from .text import slices
+from .text import slices, tidied
 
 #: Code points of a chunk, and how far it reaches into the next one.
 CHUNK = 32_768
@@ -163,7 +163,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     length = F.length(F.coalesce("text", F.lit("")))
     finish, schema = then or (None, "doc_id long, ids array<int>")
     plain = _encoder(path, pattern, ("doc_id",))
-    whole = (lambda batches: finish(plain(batches))) if finish else plain
+    whole = tidied((lambda batches: finish(plain(batches))) if finish else plain)
     short = docs.where(length <= chunk + overlap).mapInArrow(whole, schema)
 
     long = docs.where(length > chunk + overlap).withColumn("uid", F.monotonically_increasing_id())
@@ -178,7 +178,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     torn = cuts.where("torn").select("uid").distinct()
     ranged = (
         cut.join(cuts.drop("torn"), ["uid", "chunk"]).join(torn, "uid", "left_anti")
-        .mapInArrow(_range_encoder(chunk, path, pattern), "uid long, doc_id long, chunk int, ids array<int>")
+        .mapInArrow(tidied(_range_encoder(chunk, path, pattern)), "uid long, doc_id long, chunk int, ids array<int>")
     )
     gathered = ranged.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     stitched = gathered.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import connected, small_batches, written
-from .text import Words, mix, shingles, slices
+from .text import Words, mix, shingles, slices, tidied
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     small_batches(docs.sparkSession)
-    sketched = written(docs.mapInArrow(_sketches, _SKETCH))
+    sketched = written(docs.mapInArrow(tidied(_sketches), _SKETCH))
     usable = sketched.where("cls is not null and doc_id is not null")
     classes = usable.groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
     rep = usable.join(classes.select(F.col("first_doc").alias("doc_id"), "cls"), ["doc_id", "cls"], "left_semi")
@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = written(banded.join(shared, "key"))
     involved = buckets.select("cls").distinct().join(rep.select("cls", "doc_id"), "cls").select("doc_id").distinct()
-    sets = written(docs.join(involved, "doc_id", "left_semi").mapInArrow(_full_sets, "cls long, shingles binary").dropDuplicates(["cls"]))
+    sets = written(docs.join(involved, "doc_id", "left_semi").mapInArrow(tidied(_full_sets), "cls long, shingles binary").dropDuplicates(["cls"]))
     sketch = rep.select("cls", "n", "regs")
 
     centres = buckets.groupBy("key", "size").agg(*(F.min_by("cls", F.xxhash64("cls", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches, written
-from .text import slices, text_buffer, with_columns
+from .text import slices, text_buffer, tidied, with_columns
 
 #: Entities that drew again are sent to every task up to this many; beyond it they are joined to their texts.
 SENT = 100_000
@@ -402,18 +402,18 @@ def with_surrogates(docs: DataFrame, key: bytes, sent: int = SENT) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
-    found = written(marked.mapInArrow(_detector, _ENTITY))
+    found = written(marked.mapInArrow(tidied(_detector), _ENTITY))
     drawn = assign(found, key)
     redrawn = written(drawn.where("moved")).select("type", "canonical", "surrogate")
     ready = docs.withColumn("entities", F.expr(f"cast(null as {_ENTITIES})"))
     if redrawn.limit(sent + 1).count() <= sent:
         again = {(r.type, r.canonical): r.surrogate for r in redrawn.collect()}
-        return ready.mapInArrow(_replacer(key, spark.sparkContext.broadcast(again)), ready.schema)
+        return ready.mapInArrow(tidied(_replacer(key, spark.sparkContext.broadcast(again))), ready.schema)
     own = found.join(redrawn, ["type", "canonical"]).dropDuplicates(["doc_id", "text_hash", "type", "canonical"])
     own = own.groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_hash")).agg(F.collect_list(F.struct("type", "canonical", "surrogate")).alias("redrawn"))
     joined = ready.join(own, ready.doc_id.eqNullSafe(F.col("of_doc")) & (F.xxhash64(ready.text) == F.col("of_hash")), "left")
     joined = joined.select(*ready.columns, "redrawn")
-    return joined.mapInArrow(_replacer(key, None), joined.schema).select(*ready.columns)
+    return joined.mapInArrow(tidied(_replacer(key, None)), joined.schema).select(*ready.columns)
 
 
 def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", sent: int = SENT) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .labelled import remainder, sample
 from .shared import small_batches
-from .text import Words, mix, shapes, slices
+from .text import Words, mix, shapes, slices, tidied
 
 FOLDS, HELD_OUT = 3, 1
 #: At most so many labelled texts of each label make up the sample: the bound of what is collected and sent.
@@ -123,7 +123,7 @@ def with_score(docs: DataFrame, labels: DataFrame, carry: list[str], id_col: str
     model = fit(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*carry).schema.add(name, "double")
-    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(_scorer(shared, carry, text_col, name), schema)
+    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(tidied(_scorer(shared, carry, text_col, name)), schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,10 @@
 """License scans and decontamination against brute force on small texts."""
 
+import pickle
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import pyarrow as pa
@@ -129,6 +132,36 @@ def test_simhash_alone_finds_shortened_and_edited_items():
         assert pairs(found) <= pairs(want) and len(pairs(found)) >= 0.95 * len(pairs(want)) > 0, kind
 
 
+def test_index_takes_little_memory():
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(60)]
+    index = decontaminate._Index(items, False)
+    # plain tables of masks took 2 MB for each group of up to 64 fingerprints
+    assert len(index.groups) > 3 and len(pickle.dumps(index)) < 1_000_000 * len(index.groups)
+
+
+def test_workers_give_memory_back_after_a_task():
+    code = """
+import re
+import numpy as np
+from folio.llm.text import tidied
+
+def anon():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+def scan(batches):
+    held = [np.ones(8_000) for _ in range(1_000)]
+    pins.extend(np.ones(8_000) for _ in range(3))
+    yield from batches
+
+pins, before = [], anon()
+assert list(tidied(scan)([1, 2])) == [1, 2]
+print(anon() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert float(done.stdout) < 20, done.stdout  # 61 MB, where nothing is given back
+
+
 def test_contamination_with_null_and_repeated_ids(spark):
     item = " ".join(f"w{i}" for i in range(30))
     rows = [(None, item, 1), (1, item, 2), (1, item, 2), (1, "other text", 3), (None, None, None), (2, item.upper() + " x" * 200_000, 4)]
