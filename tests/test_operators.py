@@ -436,6 +436,22 @@ def test_repair_fused_with_all_words(spark):
     assert sorted((r.i, r.text or "") for r in got) == [(1, f"a {split} b {split}"), (2, f"{split} é"), (2, f"{split} é"), (3, "short"), (4, ""), (5, "v" * 20 + "9"), (6, " ".join(chunking.best_split("u" * 20, costs)))]
 
 
+def test_parts_of_fused_words_are_not_broadcast(spark):
+    # 400 runs are small and their parts, about 130,000 rows, are not: Spark took both to be of one size and sent all parts through the driver
+    rnd = random.Random(12)
+    runs = ["".join(rnd.choice("abcdefgh") for _ in range(30)) for _ in range(400)]
+    words = store.written(chunking.word_counts(spark.createDataFrame([(" ".join(r[k : k + 6] for r in runs for k in range(25)),)], "text string")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        found = chunking.repair_fused(spark.createDataFrame(list(enumerate(runs)), "i int, text string"), words)
+        got, plan = found.collect(), found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin [word#" in plan and "BroadcastHashJoin [word#" not in plan
+    assert sorted(r.i for r in got) == list(range(400)) and all(r.text.replace(" ", "") == runs[r.i] and " " in r.text for r in got)
+
+
 def test_units_and_titles_of_the_packer_are_those_of_the_column_functions(spark):
     texts = [
         "1. Über uns\nEINS ZWEI. drei!\u2003vier。五  x", "ǅ A\n# \nª B\nⅣ IV\nÉTÉ\nÉTé", "x" * 25 + " " + "y" * 9 + " z", "a b" * 40, "第三章 x\n٣.١ abc\n12\x85Z", "", " \n\n",
