@@ -119,6 +119,26 @@ def test_many_files_take_few_folders(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [("__HIVE_DEFAULT_PARTITION__", "n\n"), ("a.b", "x\n"), ("c", "y\nz\n")]
 
 
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    top = tmp_path / "in"
+    names = ["a.txt", "b.md", "c.pdf", "_d.txt", ".e.txt", "_f=1.txt", "x.txt._COPYING_", "p=1/q/g.txt", "p=1/g h.txt", "_p/i.txt", ".p/j.txt", "_p=2/k.md", "é%20 [1].txt", "empty.txt", "p=1/A.TXT"]
+    for name in names:
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(b"" if name == "empty.txt" else name.encode() + b"\xff")
+    (top / "large.txt").write_bytes(b"x" * (files.READ_BYTES + 1))
+    for path in (str(top), f"file://{top}", f"file:{top}/"):
+        for glob in (None, "*.{txt,md}", "[a-c].*", "?.[^t]*", "none"):
+            reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+            want = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+            got = files.read_files(spark, path, glob)
+            assert got.schema == want.selectExpr("path as file_name", "content").schema
+            assert sorted((r.file_name, bytes(r.content)) for r in got.collect()) == sorted((r.path, bytes(r.content)) for r in want.collect())
+            # no index of files, of which the driver would hold one entry for each
+            assert not any(name.startswith(f"file://{top}") or name.startswith(f"file:{top}") for name in got.inputFiles())
+    one = files.read_files(spark, f"{top}/a.txt")
+    assert [bytes(r.content) for r in one.collect()] == [b"a.txt\xff"]
+
+
 def test_one_row_group_is_dealt_out(spark, tmp_path):
     path = f"file://{tmp_path}/one"
     spark.range(0, 40000, 1, 1).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(path)
