@@ -9,7 +9,8 @@ from collections import Counter
 
 import pyarrow as pa
 
-from folio.llm import decontaminate, licenses
+import corpus_pipeline
+from folio.llm import decontaminate, licenses, queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -132,6 +133,26 @@ def test_simhash_alone_finds_shortened_and_edited_items():
         assert pairs(found) <= pairs(want) and len(pairs(found)) >= 0.95 * len(pairs(want)) > 0, kind
 
 
+def test_queries_find_what_fingerprints_miss(spark, tmp_path):
+    rnd = random.Random(5)
+    draw = lambda n: [f"w{rnd.randrange(20_000)}" for _ in range(n)]
+    items = [(k, draw(rnd.randint(35, 60))) for k in range(60)]
+    texts = []
+    for _, w in items * 2:
+        a = rnd.randint(1, len(w) - 1)
+        texts.append(" ".join(draw(30) + w[a:] + w[:a] + draw(30)))
+    texts.append(" ".join(draw(50)))
+    named = [(k, " ".join(w)) for k, w in items]
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(named, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = brute(texts, named)
+    assert len({i for i, _ in want}) > 90
+    rows = queries.op4_decontamination(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, k): round(s, 9) for r in rows for k, s in zip(r.item_ids, r.similarities)} == want
+    kept = corpus_pipeline.decontaminate(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(range(len(texts))) - {i for i, _ in want})
+
+
 def test_index_takes_little_memory():
     rng = random.Random(9)
     items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(60)]
